@@ -2,12 +2,10 @@
 
 One hash of every shingle (five words; a shorter text is one shingle) is drawn:
 its top byte names one of BINS bins, the rest is its value there, and each bin
-keeps its least value. Sorting a document's hashes together with one sentinel a
-bin makes the first of each run of equal top bytes that bin's least value.
-Empty bins are filled by optimal densification: bin i probes the bins
-(a_i + r * b_i) mod BINS for r = 0, 1, ... (b_i odd, so every bin comes up) and
-copies the first that is not empty. Four low-order bits of each bin, mixed with
-the bin's number, are packed, sixteen bins to a long.
+keeps its least value. Empty bins are filled by optimal densification: bin i
+probes the bins (a_i + r * b_i) mod BINS for r = 0, 1, ... (b_i odd) and copies
+the first that is not empty. Four low-order bits of
+each bin, mixed with the bin's number, are packed, sixteen bins to a long.
 
 The likeness of two fingerprints is the share P of equal bins, corrected for
 equal bits by chance: (P - 1/16) / (1 - 1/16), never below 0.
@@ -26,10 +24,16 @@ SHINGLE = 5
 BINS = 256
 BITS = 4
 PER_LONG = 64 // BITS
+#: Bins are aggregated in groups of so many.
+GROUP = 16
+GROUPS = BINS // GROUP
+#: Hashed probes of an empty bin. If all meet empty bins, as in texts of very few shingles, the
+#: first bin that is not empty at or after the first probe, in cyclic order, is copied.
+QUICK_PROBES = 16
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 EMPTY_BIN = (1 << 56) - 1  # low 56 bits of a sentinel
 #: Rows that one task numbers and pairs with their successor, about.
-ROWS_A_BUCKET = 2000
+ROWS_A_BUCKET = 500
 MAX_BUCKETS = 100_000
 
 
@@ -40,35 +44,40 @@ def _probes() -> tuple[list[int], list[int]]:
     return [x >> 56 for x in mixed], [(x >> 40 & 255) | 1 for x in mixed]
 
 
-def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """Add `name`, the packed fingerprint as array<bigint>; an empty array where the text has no words.
+def fingerprinted(texts: DataFrame, keys: list[str], text: str, name: str) -> DataFrame:
+    """The columns `keys`, which tell the rows apart, and `name`: the packed fingerprint of the column `text`.
 
-    Each step is a column that the next one uses more than once, which keeps
-    Catalyst from pasting it into the lambdas, where it would be evaluated for
-    every element.
+    The work is done on exploded rows, which Spark compiles, not in lambdas,
+    which it interprets. All aggregations are by `keys`: if the rows already
+    lie together by one of them, nothing is shuffled. Texts without words get
+    an empty array.
     """
-    df = df.withColumn("__words", F.filter(F.split(F.lower(text), SPACE), lambda w: w != ""))
-    words, count = F.col("__words"), F.size("__words")
-    hashes = F.when(
-        count >= SHINGLE,
-        F.transform(F.sequence(F.lit(0), count - SHINGLE), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(SHINGLE)))),
-    ).otherwise(F.array(F.xxhash64(words)))
-    sentinels = F.expr(f"transform(sequence({-BINS // 2}, {BINS // 2 - 1}), b -> shiftleft(cast(b as bigint), 56) | {EMPTY_BIN}L)")
-    df = df.withColumn("__ordered", F.sort_array(F.concat(hashes, sentinels)))
-    ordered = F.col("__ordered")
-    firsts = F.filter(ordered, lambda x, i: (i == 0) | (F.shiftright(x, 56) != F.shiftright(F.get(ordered, i - 1), 56)))
-    df = df.withColumn("__bins", F.transform(firsts, lambda x: F.nullif(x.bitwiseAND(F.lit(EMPTY_BIN)), F.lit(EMPTY_BIN))))
+    words = texts.select(*keys, F.filter(F.split(F.lower(F.col(text)), SPACE), lambda w: w != "").alias("__words"))
+    count = F.size("__words")
+    shingles = F.when(count == 0, 0).otherwise(F.greatest(count - (SHINGLE - 1), F.lit(1)))
+    # One row a shingle, and one empty row a group of bins, so that each group comes up.
+    words = words.withColumn("__n", shingles).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__n") + (GROUPS - 1))))
+    parts = (F.get("__words", F.col("__i") + k) for k in range(SHINGLE))
+    hashed = words.select(*keys, "__n", F.when(F.col("__i") < F.col("__n"), F.xxhash64(*parts)).alias("__h"), F.col("__i"))
+    group = F.coalesce(F.shiftrightunsigned("__h", 60), F.col("__i") - F.col("__n")).cast("int")
+    slot = F.shiftrightunsigned("__h", 56).bitwiseAND(GROUP - 1)
+    hashed = hashed.select(*keys, "__n", group.alias("__g"), slot.alias("__s"), F.col("__h").bitwiseAND(EMPTY_BIN).alias("__v"))
+    least = hashed.groupBy(*keys, "__n", "__g").agg(*(F.min(F.when(F.col("__s") == k, F.col("__v"))).alias(f"__{k}") for k in range(GROUP)))
+    groups = least.select(*keys, "__n", F.struct("__g", F.array(*(f"__{k}" for k in range(GROUP))).alias("v")).alias("__group"))
+    bins = groups.groupBy(*keys, "__n").agg(F.sort_array(F.collect_list("__group")).alias("__groups"))
+    bins = bins.select(*keys, "__n", F.flatten("__groups.v").alias("__bins"))
     start, stride = _probes()
-    probes = ", ".join(f"__bins[(__a[i] + {r} * __b[i]) & {BINS - 1}]" for r in range(BINS))
-    array = lambda xs: "array(" + ",".join(map(str, xs)) + ")"
-    df = df.withColumns({"__a": F.expr(array(start)), "__b": F.expr(array(stride))})
-    df = df.withColumn("__nibbles", F.expr(f"transform(__bins, (v, i) -> shiftright(xxhash64(coalesce(v, {probes}), i), 17) & {(1 << BITS) - 1})"))
-    packed = F.expr(
-        f"transform(sequence(0, {BINS // PER_LONG - 1}), w -> aggregate(slice(__nibbles, w * {PER_LONG} + 1, {PER_LONG}), 0L, (z, x) -> shiftleft(z, {BITS}) | x))"
-    )
-    some = (F.size("__words") > 0) & (F.size("__nibbles") == BINS)
-    df = df.withColumn(name, F.when(some, packed).otherwise(F.expr("cast(array() as array<bigint>)")))
-    return df.drop("__words", "__ordered", "__bins", "__a", "__b", "__nibbles")
+    bins = bins.withColumns({"__a": F.lit(start), "__b": F.lit(stride)}).withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
+    probe = lambda r: f"__bins[(__a[__i] + {r} * __b[__i]) & {BINS - 1}]"
+    rest = "get(array_except(concat(slice(__bins, __a[__i] + 1, 256), __bins), array(cast(null as bigint))), 0)"
+    filled = f"coalesce(__bins[__i], {', '.join(map(probe, range(QUICK_PROBES)))}, {rest})"
+    nibbles = bins.select(*keys, "__n", "__i", F.expr(f"xxhash64({filled}, __i)").bitwiseAND((1 << BITS) - 1).alias("__nibble"))
+    place = F.expr(f"shiftleft(__nibble, ({PER_LONG - 1} - __i % {PER_LONG}) * {BITS})")
+    nibbles = nibbles.select(*keys, "__n", F.expr(f"__i div {PER_LONG}").alias("__w"), place.alias("__part"))
+    longs = [F.bit_or(F.when(F.col("__w") == w, F.col("__part"))).alias(f"__{w}") for w in range(BINS // PER_LONG)]
+    packed = nibbles.groupBy(*keys, "__n").agg(*longs)
+    some = F.array(*(f"__{w}" for w in range(BINS // PER_LONG)))
+    return packed.select(*keys, F.when(F.col("__n") > 0, some).otherwise(F.expr("cast(array() as array<bigint>)")).alias(name))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -93,12 +102,14 @@ def as_string(packed: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with fingerprint, an array of 16 longs.
+    """One row for each distinct (doc_id, text) of `docs`, with fingerprint, an array of 16 longs.
 
     A null text counts as empty; texts without words have an empty array;
     equal texts, and texts equal but for case and spaces, equal fingerprints.
     """
-    return with_fingerprint(docs.drop("fingerprint"), text_or_empty(), "fingerprint")
+    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    rows = rows.withColumn("__id", F.xxhash64("doc_id", "text")).repartition("__id").dropDuplicates(["__id", "doc_id", "text"])
+    return fingerprinted(rows, ["__id", "doc_id", "text"], "text", "fingerprint").drop("__id")
 
 
 def in_order(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -> tuple[DataFrame, WindowSpec]:
@@ -142,20 +153,30 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     empty; an empty table gives no rows; repeated rows stay, each followed by
     its twin.
     """
-    frame, order = in_order(docs.select("doc_id", "text"))
-    frame = frame.withColumn("text", text_or_empty()).repartition("__bucket")
-    frame = with_fingerprint(frame, F.col("text"), "__print")
-    frame = frame.withColumns({"__next": F.lead("text").over(order), "__next_print": F.lead("__print").over(order)}).filter(~F.col("__guest"))
+    frame, order = in_order(docs.select("doc_id", text_or_empty().alias("text")))
+    frame = frame.repartition("__bucket").withColumns({"__row": F.row_number().over(order), "__next": F.lead("text").over(order)})
     n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    frame = frame.withColumns({"n_chars": n.cast("long"), "__half": half})
-    frame = frame.withColumn("__edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - F.col("__half")), F.substring("__next", F.lit(1), F.col("__half"))))
-    frame = frame.withColumn("edited_sha256", F.sha2(F.col("__edited").cast("binary"), 256))
-    frame = with_fingerprint(frame, F.col("__edited"), "__edited_print")
-    return frame.select(
+    edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.substring("__next", F.lit(1), F.floor(n / 2).cast("int")))
+    frame = frame.withColumn("__edited", F.when(~F.col("__guest"), edited))
+    version = lambda k, text: F.struct(F.lit(k).alias("k"), text.alias("text"))
+    both = F.array(version(0, F.col("text")), version(1, F.col("__edited")))
+    frame = frame.select(
+        "__bucket",
+        "__row",
+        "__guest",
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        F.unhex(F.sha2(F.col("__edited").cast("binary"), 256)).alias("__sha"),
+        F.explode(F.when(F.col("__guest"), F.slice(both, 1, 1)).otherwise(both)).alias("__version"),
+    ).withColumns({"__k": F.col("__version.k"), "__text": F.col("__version.text")})
+    prints = fingerprinted(frame, ["__bucket", "__row", "__k", "__guest", "doc_id", "n_chars", "__sha"], "__text", "__print")
+    # A row's text is followed by its edited text and that by the next row's text.
+    follow = W.partitionBy("__bucket").orderBy("__row", "__k")
+    prints = prints.withColumns({"__edited_print": F.lead("__print", 1).over(follow), "__next_print": F.lead("__print", 2).over(follow)})
+    return prints.filter((F.col("__k") == 0) & ~F.col("__guest")).select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
+        F.lower(F.hex("__sha")).alias("edited_sha256"),
         as_string(F.col("__print")).alias("fingerprint"),
         as_string(F.col("__edited_print")).alias("edited_fingerprint"),
         likeness(F.col("__print"), F.col("__edited_print")).alias("near_edited"),
