@@ -1,12 +1,19 @@
 """The queries of this subpackage, one an operator, and the SQL of those that SQL can express."""
 
-from inkspan.llm import decontamination, fingerprint, mixing, secret_scan, sharding
+import corpus_pipeline
+from inkspan.llm import decontamination, fingerprint, langid, mixing, neardup, passages, quality, secret_scan, sharding, toxicity
 
 QUERIES = {
     "op1_oph_fingerprints": fingerprint.op1_oph_fingerprints,
+    "op2_language_bitmask": langid.op2_language_bitmask,
+    "op3_quality_gam": quality.op3_quality_gam,
+    "op4_toxicity_fm": toxicity.op4_toxicity_fm,
     "op5_lpt_shards": sharding.op5_lpt_shards,
+    "op6_repeated_passages": passages.op6_repeated_passages,
     "op7_source_mix": mixing.op7_source_mix,
+    "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_decontaminate": decontamination.op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op10_decontaminate": decontamination.OP10_SQL}
