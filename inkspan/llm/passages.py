@@ -41,12 +41,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import CHUNK_BYTES, checkpointed, doc_chunks, table, text_or_empty, utf8
+from inkspan.llm.common import checkpointed, doc_chunks, table, text_or_empty, utf8
 
 LENGTH = 100
 GRAM = 24
 #: Bytes of corpus a bucket of the dictionary or of documents stands for.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
+#: Bytes of text whose phrases are sorted at once, and bytes of one very long text that are hashed at once.
+PARSE_BYTES, LONG_BYTES = 8 << 20, 4 << 20
 #: A trigger with more distinct phrases than this is dealt out string by string.
 CROWDED = 4096
 
@@ -196,16 +198,20 @@ def parse(batches: Iterator[pa.RecordBatch], buckets: int, length: int, gram: in
     for batch in batches:
         doc, tie = (np.asarray(batch.column(i)) for i in (0, 1))
         data, offsets = utf8(batch.column(2))
-        found: list[list[np.ndarray]] = []
-        for i, j in doc_chunks(offsets):
-            start, stop = int(offsets[i]), int(offsets[j])
-            for a in range(start, max(start + 1, stop), CHUNK_BYTES * 8):  # only one very long text takes more than one turn
-                b = min(stop, a + CHUNK_BYTES * 8 + length - 1)
-                first, last, trigger, content = phrases(data[a:b], offsets[i + 1 : j + 1] - a, roller, length, gram)
-                row = np.searchsorted(offsets, first + a, "right") - 1
-                found.append([trigger, content, doc[row], tie[row], (first + a - offsets[row]).astype(np.int32), (last - first).astype(np.int16)])
-        if not found:
-            continue
+        for i, j in doc_chunks(offsets, PARSE_BYTES):
+            yield from parse_part(data, offsets[i : j + 1], doc[i:j], tie[i:j], buckets, roller, length, gram)
+
+
+def parse_part(data, offsets, doc, tie, buckets: int, roller: Roller, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    found: list[list[np.ndarray]] = []
+    for i, j in doc_chunks(offsets):
+        start, stop = int(offsets[i]), int(offsets[j])
+        for a in range(start, max(start + 1, stop), LONG_BYTES):  # only one very long text takes more than one turn
+            b = min(stop, a + LONG_BYTES + length - 1)
+            first, last, trigger, content = phrases(data[a:b], offsets[i + 1 : j + 1] - a, roller, length, gram)
+            row = np.searchsorted(offsets, first + a, "right") - 1
+            found.append([trigger, content, doc[row], tie[row], (first + a - offsets[row]).astype(np.int32), (last - first).astype(np.int16)])
+    if found:
         columns = [np.concatenate(c) for c in zip(*found, strict=True)]
         at, begins, same = firsts(columns[:2], columns[2:5])
         columns = [c[at] for c in columns]
