@@ -1,8 +1,9 @@
 """Every query of the library by name, with the SQL that states the same result."""
 
-from inkspan.plans import overlap
+from inkspan.plans import overlap, textstats
 from inkspan.plans.dialect import register
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-register(QUERIES, ORACLES, overlap.PLANS)
+for _module in (overlap, textstats):
+    register(QUERIES, ORACLES, _module.PLANS)

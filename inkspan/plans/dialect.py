@@ -149,7 +149,7 @@ def views(spark: SparkSession, sf_dir: str, sql: str) -> str:
         if re.search(rf"\b{name}\b", sql):
             view = f"inkspan_{name}_{abs(hash(sf_dir)):x}"
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(view)
-            sql = re.sub(rf"(\bFROM|\bJOIN) {name}\b(?!\s*\()", rf"\1 {view} AS {name}", sql)
+            sql = re.sub(rf"(\bFROM|\bJOIN) {name}\b(?!\s*\()", rf"\1 {view}", sql)
     return sql
 
 
