@@ -1,9 +1,9 @@
 """Every query of the library by name, with the SQL that states the same result."""
 
-from inkspan.plans import overlap, textstats
+from inkspan.plans import overlap, signals, textstats
 from inkspan.plans.dialect import register
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (overlap, textstats):
+for _module in (overlap, textstats, signals):
     register(QUERIES, ORACLES, _module.PLANS)

@@ -58,6 +58,9 @@ class Spark:
         """Rows of `table` with `name` from low up to, without, high; none if high is not above low."""
         return f"{table} LATERAL VIEW explode(CASE WHEN {high} > {low} THEN sequence({low}, {high} - 1) ELSE array() END) AS {name}"
 
+    def array(self, items) -> str:
+        return f"array({', '.join(items)})"
+
     def join_words(self, array: str) -> str:
         return f"array_join({array}, ' ')"
 
@@ -116,6 +119,9 @@ class Duck(Spark):
     def numbers(self, table: str, low: str, high: str, name: str) -> str:
         return f"(SELECT *, unnest(range(CAST({low} AS BIGINT), CAST({high} AS BIGINT))) AS {name} FROM {table})"
 
+    def array(self, items) -> str:
+        return f"[{', '.join(items)}]"
+
     def join_words(self, array: str) -> str:
         return f"array_to_string({array}, ' ')"
 
