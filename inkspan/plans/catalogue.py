@@ -1,9 +1,11 @@
 """Every query of the library by name, with the SQL that states the same result."""
 
-from inkspan.plans import overlap, signals, textstats
+from inkspan.plans import frames, overlap, signals, style, tables, textstats
 from inkspan.plans.dialect import register
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (overlap, textstats, signals):
+for _module in (overlap, textstats, signals, style, tables):
     register(QUERIES, ORACLES, _module.PLANS)
+QUERIES.update(frames.QUERIES)
+ORACLES.update(frames.ORACLES)

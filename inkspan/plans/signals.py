@@ -22,6 +22,7 @@ SNIPPETS = (
     "Turns out it works. That's the real point. This paper argues that more care than speed matters, using a dataset with significance. [TODO] utm_source=chatgpt.com",
     "Abstract\nThis study investigates an impact using an experiment. Basically we find out what everyone knows.\nMethodology\nWe make sure to get rid of things.\nConclusion\nIt has been shown to improve results.",
     "It is a pаssword with homоglyphs and zero​width signs, not just once, but twice over.",
+    "---\n- **Label:** a vibrant and cutting-edge showcase.\n# Heading left in the text\nA **bold** claim, highlighting its importance.",
 )
 
 # Stock phrases, and patterns of the nine categories and of the other signals.
