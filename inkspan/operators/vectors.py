@@ -31,10 +31,8 @@ def hashed_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", dim
     pair = F.concat_ws("_", "word", F.get("w", F.col("i") + 1))
     both = F.array(F.struct(F.col("word").alias("t"), F.lit(1.0).alias("v")), F.struct(F.when(F.col("i") + 1 < F.col("n"), pair).alias("t"), F.lit(1.5).alias("v")))
     h = F.crc32(F.col("x.t").cast("binary"))
-    parts = terms.select(key, F.explode(both).alias("x")).select(
-        key, F.coalesce(h % dimensions, F.lit(0)).cast("int").alias("d"), F.coalesce(F.when(h % 2 == 0, F.col("x.v")).otherwise(-F.col("x.v")), F.lit(0.0)).alias("v")
-    )
-    parts = parts.withColumn("v", F.when(F.col("v").isNull(), 0.0).otherwise(F.col("v")))
+    signed = F.when(h.isNull(), 0.0).when(h % 2 == 0, F.col("x.v")).otherwise(-F.col("x.v"))  # no term: a text without words, or a last word's pair
+    parts = terms.select(key, F.explode(both).alias("x")).select(key, F.coalesce(h % dimensions, F.lit(0)).cast("int").alias("d"), signed.alias("v"))
     sums = parts.groupBy(key, "d").agg(F.sum("v").alias("v")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("d", "v"))).alias("m"))
     norm = F.sqrt(F.aggregate(F.map_values("m"), F.lit(0.0), lambda s, x: s + x * x))
     full = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.when(norm > 0, F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0.0)) / norm).otherwise(0.0))
