@@ -154,7 +154,9 @@ class Additive:
                 cell = rough[a] * values.shape[1] + rough[b]
                 g = np.bincount(cell, y - p, values.size).reshape(values.shape)
                 h = np.bincount(cell, p * (1 - p), values.size).reshape(values.shape)
-                _, at = best_cut(g.sum(axis=1), h.sum(axis=1), 2.0)
+                # The cut of one feature after which cuts of the other gain most: either alone may gain nothing.
+                both = [sum(max(0.0, best_cut(g[half].sum(axis=0), h[half].sum(axis=0), 2.0)[0]) for half in (slice(0, at), slice(at, None))) for at in range(1, len(g))]
+                at = 1 + int(np.argmax(both)) if both else 0
                 step = np.empty_like(values)
                 for half in (slice(0, at), slice(at, None)):
                     if g[half].size:

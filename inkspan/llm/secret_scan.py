@@ -134,7 +134,11 @@ def scan_secrets(docs: DataFrame, window: int = WINDOW, classes: Sequence = CLAS
 
 def digest(kinds: Sequence[str]) -> Column:
     """kind:start:end of the spans, by start and then by the order of kinds, comma-joined."""
-    marked = [F.transform(kind, lambda s, k=k: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"))) for k, kind in enumerate(kinds)]
+
+    def of(k: int):  # a lambda with a default would be taken for one of two arguments
+        return lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"))
+
+    marked = [F.transform(kind, of(k)) for k, kind in enumerate(kinds)]
     names = F.array(*(F.lit(k) for k in kinds))
     return F.array_join(
         F.transform(F.array_sort(F.concat(*marked)), lambda s: F.concat_ws(":", F.get(names, s["k"]), s["start"].cast("string"), s["end"].cast("string"))), ","
