@@ -23,6 +23,8 @@ from inkspan.llm.passages import Roller, U, mix
 SAMPLE = 20_000
 SLOTS, TERMS, RANK = 1 << 20, 8192, 8
 EPOCHS, BATCH, RATE, SHRINK = 12, 256, 0.1, 2e-4
+#: Standard errors by which a chosen slot's share of toxic texts differs from all texts' share, at least.
+LEAST = 3.0
 THRESHOLD = 0.3
 BEGINNINGS = (3, 4, 5, 6)
 
@@ -88,7 +90,7 @@ class Factors:
         # Signed square root of each slot's part of the chi-squared statistic; slots in fewer than three texts say nothing.
         weight = np.where(have >= 3, np.abs(toxic - expected) / np.sqrt(expected * (1 - share) + 1), 0.0)
         chosen = np.argsort(-weight, kind="stable")[:TERMS]
-        chosen = chosen[weight[chosen] > 1.0]
+        chosen = chosen[weight[chosen] > LEAST]
         self.place = np.full(SLOTS, -1, np.int32)
         self.place[chosen] = np.arange(len(chosen))
         random = np.random.Generator(np.random.PCG64(seed))
