@@ -115,7 +115,8 @@ def phrases(data: np.ndarray, ends: np.ndarray, roller: Roller, length: int = LE
     first = np.flatnonzero(inside & (changed | (edge == 1)))
     last = np.flatnonzero(inside[:-1] & (changed[1:] | (edge[1:] == -1)))
     content = mix((sums[last + length] - sums[first]) * roller.backs[first] + U(0x51ED270B))
-    return first, last, grams[trigger[first]], content
+    # Triggers have small hashes; hashed once more they spread evenly.
+    return first, last, mix(grams[trigger[first]] * U(3) + U(0x2545F491)), content
 
 
 # Packed records: columns one after another, the bytes of each transposed so that equal high bytes compress.
@@ -294,14 +295,19 @@ def single_strings(data: np.ndarray, entries: list[np.ndarray], length: int) ->
     """The strings of crowded entries, each a piece; of those equal by hash the first only, the others being repeats."""
     doc, tie, first, last, begin = entries
     count = last - first + 1
+    size = count + (length - 1)
+    low = np.cumsum(size, dtype=np.int64) - size
+    body = data[np.repeat(begin - low, size) + np.arange(size.sum())]  # only the entries' text is hashed
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    inner = np.repeat(low, count) + step
     doc, tie, start, at = np.repeat(doc, count), np.repeat(tie, count), (np.repeat(first, count) + step).astype(np.int32), np.repeat(begin, count) + step
-    roller = Roller()
-    sums = roller.sums(data)
-    own = mix((sums[at + length] - sums[at]) * roller.backs[at])
-    other = Roller(seed=11)
-    sums = other.sums(data)
-    check = (sums[at + length] - sums[at]) * other.backs[at]
+
+    def hashed(seed: int) -> np.ndarray:
+        roller = Roller(seed)
+        sums = roller.sums(body)
+        return mix((sums[inner + length] - sums[inner]) * roller.backs[inner])
+
+    own, check = hashed(7), hashed(11)
     order, begins, same = firsts([own, check], [doc, tie, start])
     late, lead = order[~same], order[begins]
     known = merged([doc[late], tie[late], start[late], start[late]])
