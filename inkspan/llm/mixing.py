@@ -84,3 +84,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix_plan(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+#: The same in DuckDB: sources in order of cap over weight fill up until the rest stays below theirs.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, CAST(3 * source_size AS DOUBLE) AS cap,
+    CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM s
+),
+f AS (
+  SELECT *, (SELECT CAST(sum(size) AS DOUBLE) FROM d) - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share, cap / weight AS level
+  FROM w WHERE source_size > 0
+),
+e AS (SELECT rest, share FROM f WHERE rest * weight / share <= cap ORDER BY level LIMIT 1),
+t AS (
+  SELECT w.source, w.source_size, CASE WHEN w.source_size = 0 THEN 0.0
+    WHEN (SELECT rest FROM e) IS NULL OR (SELECT rest FROM e) * w.weight / (SELECT share FROM e) > w.cap THEN w.cap
+    ELSE (SELECT rest FROM e) * w.weight / (SELECT share FROM e) END AS target FROM w
+),
+r AS (
+  SELECT d.doc_id, d.size, t.source_size, CAST(t.target AS DOUBLE) AS target, CASE WHEN t.source_size > 0 THEN CAST(t.target AS DOUBLE) / t.source_size ELSE 0 END AS rate,
+    CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+"""

@@ -238,3 +238,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4).drop("check")
+
+
+#: The same in DuckDB by comparing all sets that share a shingle; for small tables.
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+g AS (SELECT DISTINCT r, array_to_string(w[i : i + 3], ' ') AS gram, least(len(w), 4) AS k FROM w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.k = b.k AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM p JOIN n a ON a.r = p.x JOIN n b ON b.r = p.y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+reach(x, y) AS (SELECT r, r FROM w UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+c AS (SELECT reach.x AS r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.y GROUP BY reach.x)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, w.doc_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM w JOIN c USING (r) LEFT JOIN n USING (r)
+"""

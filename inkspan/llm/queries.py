@@ -16,4 +16,8 @@ QUERIES = {
     "op10_decontaminate": decontamination.op10_decontaminate,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op10_decontaminate": decontamination.OP10_SQL}
+ORACLES = {
+    "op7_source_mix": mixing.OP7_SQL,
+    "op8_near_duplicates": neardup.OP8_SQL,
+    "op10_decontaminate": decontamination.OP10_SQL,
+}
