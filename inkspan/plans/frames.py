@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkspan.functions.text import PATTERN_SENTENCE
 from inkspan.functions.udfs import common_subsequence, find_spans, nfkc, sequence_diff
 from inkspan.operators.revision import cleanup
 from inkspan.operators.vectors import hashed_vectors, top_k
 from inkspan.plans.dialect import SPARK, views
+from inkspan.plans.overlap import overlap_by_source
 from inkspan.plans.signals import HEDGES, PROVENANCE, STRUCTURES, TRANSITIONS, _source
 from inkspan.plans.tables import QUERY_STEP
 from inkspan.sources.readers import latex_prose, markdown_text
@@ -42,6 +44,29 @@ def span_evidence(spark, sf_dir):
     return found.select("doc_id", F.substring_index("s.kind", "-", 1).alias("kind"), "s.start", "s.end", F.col("s.text").alias("matched")).distinct()
 
 
+def flagged_sentences(spark, sf_dir):
+    """Sentences that overlap a hedge, structure, transition or provenance mark, with the kinds of those."""
+    families = {"hedge": HEDGES, "structure": STRUCTURES, "transition": TRANSITIONS, "provenance": PROVENANCE}
+    patterns = {f"{family}-{i}": "(?im)" + p.replace("(?m)", "") for family, ps in families.items() for i, p in enumerate(ps)}
+    rows = injected(spark, sf_dir).withColumns({"e": find_spans(F.col("text"), patterns), "s": find_spans(F.col("text"), {"sentence": PATTERN_SENTENCE})})
+    rows = rows.select("doc_id", "e", F.explode("s").alias("s")).filter(F.length(F.trim("s.text")) >= 4)
+    over = F.filter("e", lambda e: (e["start"] < F.col("s.end")) & (e["end"] > F.col("s.start")))
+    kinds = F.array_sort(F.array_distinct(F.transform(over, lambda e: F.substring_index(e["kind"], "-", 1))))
+    return rows.select("doc_id", "s.start", "s.end", kinds.alias("kinds")).filter(F.size("kinds") > 0)
+
+
+def closest_passages(spark, sf_dir):
+    """The corpus sentence nearest to each of the first 50 sentences of the documents that quote the corpus, by hashed vectors."""
+    pieces = lambda text: F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda s: F.length(F.trim(s)) > 5)
+    cited = spark.sql(views(spark, sf_dir, overlap_by_source(SPARK))).select("doc_id").distinct()
+    drafts = documents(spark, sf_dir).join(cited, "doc_id", "left_semi").select("doc_id", F.posexplode(F.slice(pieces("text"), 1, 50)).alias("n", "sentence"))
+    drafts = drafts.withColumn("key", F.col("doc_id") * 64 + F.col("n"))
+    corpus = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.posexplode(F.slice(pieces("text"), 1, 100)).alias("m", "sentence"))
+    corpus = corpus.withColumn("key", -(F.col("item_id") * 128 + F.col("m") + 1))
+    near = top_k(hashed_vectors(drafts, "key", "sentence"), hashed_vectors(corpus, "key", "sentence"), "key", "vector", 1)
+    return near.select(F.floor(F.col("query_id") / 64).alias("doc_id"), F.pmod("query_id", F.lit(64)).alias("sentence_no"), F.floor((-F.col("id") - 1) / 128).alias("item_id"), "similarity")
+
+
 def cleanup_edits(spark, sf_dir):
     """Edits offered and refused, and a digest of the revised text."""
     return cleanup(injected(spark, sf_dir)).select("doc_id", F.size("edits").alias("edits"), F.size("refused").alias("refused"), F.sha2("revised", 256).alias("revised_sha256"))
@@ -96,7 +121,7 @@ def smart_citations(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        hashed_vector_norms, document_topk, span_evidence, cleanup_edits, normalized_text, draft_sequence, common_words, latex_documents, markdown_documents,
+        hashed_vector_norms, document_topk, span_evidence, flagged_sentences, closest_passages, cleanup_edits, normalized_text, draft_sequence, common_words, latex_documents, markdown_documents,
         event_windows, smart_citations,
     )
 }
