@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from inkspan.llm.common import checkpointed
 
 MAX_ROUNDS = 60
+#: Parts among which the edges of one node, which may be a large share of all, are dealt.
+SALTS = 8
 
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a node is linked to the least of the node's neighbourhood."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"])
     return joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u != v").distinct()
 
 
