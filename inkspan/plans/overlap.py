@@ -12,7 +12,7 @@ in the corpus leave it, so the documents' words are never shuffled.
 
 from __future__ import annotations
 
-from inkspan.functions.text import careful_sentences, match_words
+from inkspan.functions.text import MATCH_WORD, careful_sentences, match_words
 
 # Words that alone don't make a window count.
 COMMON = "a an the and or but if then of in on at to for from by with as is are was were be been this that these those it its we our they their".split()
@@ -21,13 +21,13 @@ COMMON = "a an the and or but if then of in on at to for from by with as is are
 LOW, MEDIUM = 15, 40
 
 
-def _grams(d, source: str, key: str, at: str) -> str:
+def _grams(d, source: str, key: str, at: str, judged: bool) -> str:
     w = [d.at("w", f"{at} + {k}" if k else at) for k in range(4)]
     common = ", ".join(f"'{c}'" for c in COMMON)
     eligible = " + ".join(f"CASE WHEN {x} IN ({common}) THEN 0 ELSE 1 END" for x in w)
     text = " || ' ' || ".join(w)
     table = d.numbers(source, "0", f"{d.size('w')} - 3", at)
-    return f"SELECT {key}, {at}, {text} AS gram, ({eligible}) >= 2 AS eligible FROM {table}"
+    return f"SELECT {key}, {at}, {text} AS gram{f', ({eligible}) >= 2 AS eligible' if judged else ''} FROM {table}"
 
 
 def coverage(d) -> str:
@@ -35,17 +35,18 @@ def coverage(d) -> str:
     return f"""
 dw AS (SELECT doc_id, {match_words(d)} AS w FROM documents),
 cw AS (SELECT item_id AS src, {match_words(d)} AS w FROM benchmark),
-dg AS ({_grams(d, "dw", "doc_id", "i")}),
-cg AS ({_grams(d, "cw", "src", "j")}),
-hits AS (SELECT dg.doc_id, cg.src, dg.i, cg.j, dg.i - cg.j AS diag, dg.eligible FROM dg JOIN cg ON dg.gram = cg.gram),
-good AS (SELECT DISTINCT doc_id, src, diag FROM hits WHERE eligible),
-kept AS (SELECT h.* FROM hits h JOIN good g ON h.doc_id = g.doc_id AND h.src = g.src AND h.diag = g.diag),
+dg AS ({_grams(d, "dw", "doc_id", "i", False)}),
+cg AS ({_grams(d, "cw", "src", "j", True)}),
+hits AS (SELECT dg.doc_id, cg.src, dg.i, cg.j, dg.i - cg.j AS diag, cg.eligible FROM dg JOIN cg ON dg.gram = cg.gram),
+kept AS (
+  SELECT * FROM (SELECT *, max(CASE WHEN eligible THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, src, diag) AS good FROM hits) h WHERE good = 1
+),
 island AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, src, diag ORDER BY i) AS grp FROM kept),
-run AS (SELECT doc_id, src, diag, grp, min(i) AS low, max(i) + 4 AS high FROM island GROUP BY doc_id, src, diag, grp),
+run AS (
+  SELECT doc_id, src, diag, i, j, eligible, min(i) OVER (PARTITION BY doc_id, src, diag, grp) AS low, max(i) OVER (PARTITION BY doc_id, src, diag, grp) + 4 AS high FROM island
+),
 ranked AS (
-  SELECT s.doc_id, s.src, s.diag, s.i, r.low, r.high,
-    row_number() OVER (PARTITION BY s.doc_id, s.src, s.i ORDER BY r.high - r.low DESC, s.j) AS place
-  FROM island s JOIN run r ON s.doc_id = r.doc_id AND s.src = r.src AND s.diag = r.diag AND s.grp = r.grp WHERE s.eligible
+  SELECT doc_id, src, diag, i, low, high, row_number() OVER (PARTITION BY doc_id, src, i ORDER BY high - low DESC, j) AS place FROM run WHERE eligible
 ),
 best AS (SELECT doc_id, src, diag, low, high, min(i) AS first_i FROM ranked WHERE place = 1 GROUP BY doc_id, src, diag, low, high),
 spread AS (SELECT doc_id, src, diag, first_i, k FROM {d.numbers("best", "low", "high", "k")}),
@@ -54,12 +55,13 @@ cover AS (SELECT doc_id, src, k, {d.min_by("k - diag", "first_i")} AS source_k F
 
 def overlap_scores(d) -> str:
     return f"""WITH {coverage(d)},
-matched AS (SELECT doc_id, count(DISTINCT k) AS n FROM cover GROUP BY doc_id)
-SELECT dw.doc_id, CAST({d.size("dw.w")} AS BIGINT) AS total_words, CAST(coalesce(m.n, 0) AS BIGINT) AS matched_words,
-  CASE WHEN {d.size("dw.w")} = 0 THEN 0.0 ELSE round(CAST(100.0 AS DOUBLE) * coalesce(m.n, 0) / {d.size("dw.w")}, 2) END AS overall_similarity,
-  CASE WHEN CAST(100.0 AS DOUBLE) * coalesce(m.n, 0) < {LOW} * {d.size("dw.w")} OR {d.size("dw.w")} = 0 THEN 'Low Risk'
-       WHEN CAST(100.0 AS DOUBLE) * coalesce(m.n, 0) < {MEDIUM} * {d.size("dw.w")} THEN 'Medium Risk' ELSE 'High Risk' END AS risk
-FROM dw LEFT JOIN matched m ON dw.doc_id = m.doc_id"""
+matched AS (SELECT doc_id, count(DISTINCT k) AS n FROM cover GROUP BY doc_id),
+total AS (SELECT doc_id, CAST({d.count("text", MATCH_WORD)} AS BIGINT) AS words FROM documents)
+SELECT t.doc_id, t.words AS total_words, CAST(coalesce(m.n, 0) AS BIGINT) AS matched_words,
+  CASE WHEN t.words = 0 THEN 0.0 ELSE round(CAST(100.0 AS DOUBLE) * coalesce(m.n, 0) / t.words, 2) END AS overall_similarity,
+  CASE WHEN CAST(100.0 AS DOUBLE) * coalesce(m.n, 0) < {LOW} * t.words OR t.words = 0 THEN 'Low Risk'
+       WHEN CAST(100.0 AS DOUBLE) * coalesce(m.n, 0) < {MEDIUM} * t.words THEN 'Medium Risk' ELSE 'High Risk' END AS risk
+FROM total t LEFT JOIN matched m ON t.doc_id = m.doc_id"""
 
 
 def overlap_by_source(d) -> str:
