@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from re import _parser as parser
+
 MATCH_WORD = r"[\p{L}\p{N}_]+"
 NOT_WORD = r"[^\p{L}\p{N}_\s]"
 PATTERN_WORD = r"[A-Za-z0-9]+(?:['’][A-Za-z]+)?"
@@ -36,3 +39,32 @@ def careful_sentences(d, text: str = "text") -> str:
 
 def trimmed(d, text: str) -> str:
     return d.replace(d.replace(text, r"^\s+", ""), r"\s+$", "")
+
+
+def held(items) -> set[str] | None:
+    """Of a parsed sequence, the most telling set of strings one of which every match holds."""
+    options, run = [], ""
+    for op, value in [*items, (None, None)]:
+        letter = chr(value).lower() if op is parser.LITERAL else ""
+        if letter and (letter.isascii() or letter == letter.upper()):
+            run += letter
+            continue
+        options.append({run})
+        run = ""
+        if op is parser.SUBPATTERN:
+            options.append(held(value[3]))
+        elif op is parser.BRANCH:
+            parts = [held(p) for p in value[1]]
+            options.append(set().union(*parts) if all(parts) else None)
+        elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT) and value[0]:
+            options.append(held(value[2]))
+    telling = [o for o in options if o and all(len(p.strip()) > 2 or p.strip() and not re.search(r"\w", p) for p in o)]
+    return max(telling, key=lambda o: (min(map(len, o)), -len(o)), default=None)
+
+
+def needed(regex: str) -> list[str]:
+    """Lower-case strings one of which is in the lower-cased text of every match; empty if that can't be told."""
+    try:
+        return sorted(held(parser.parse(regex)) or ())
+    except re.error:  # a pattern of another dialect
+        return []

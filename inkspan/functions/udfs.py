@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkspan.functions.text import needed
+
 SPAN = "array<struct<kind:string,start:int,end:int,text:string>>"
 
 
@@ -22,17 +24,16 @@ def find_spans(text: Column, patterns: dict[str, str]) -> Column:
 
     @F.pandas_udf(SPAN)
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compiled = [(kind, re.compile(p)) for kind, p in listed]
+        compiled = [(kind, re.compile(p), needed(p)) for kind, p in listed]
+
+        def found(text: str) -> list[dict]:
+            low = text.lower()
+            likely = [(k, p) for k, p, parts in compiled if not parts or any(x in low for x in parts)]
+            hits = ({"kind": k, "start": m.start(), "end": m.end(), "text": m.group()} for k, p in likely for m in p.finditer(text))
+            return sorted(hits, key=lambda x: (x["start"], x["end"], x["kind"]))
+
         for texts in batches:
-            yield pd.Series(
-                [
-                    sorted(
-                        ({"kind": k, "start": m.start(), "end": m.end(), "text": m.group()} for k, p in compiled for m in p.finditer(t or "")),
-                        key=lambda x: (x["start"], x["end"], x["kind"]),
-                    )
-                    for t in texts
-                ]
-            )
+            yield pd.Series([found(t or "") for t in texts])
 
     return spans(text)
 
@@ -55,25 +56,29 @@ def offset_map(text: Column) -> Column:
     return mapped(text)
 
 
+def subsequence_length(a, b) -> int:
+    """Length of the longest common subsequence: one long integer holds a bit for each item of `a`, cleared where the length grows."""
+    if a is None or b is None or not len(a) or not len(b):
+        return 0
+    places: dict = {}
+    for i, item in enumerate(a):
+        places.setdefault(item, []).append(i)
+    masks = {item: sum(1 << i for i in at) for item, at in places.items()}
+    full = (1 << len(a)) - 1
+    row = full
+    for item in b:
+        same = row & masks.get(item, 0)
+        if same:
+            row = ((row + same) | (row - same)) & full
+    return len(a) - row.bit_count()
+
+
 def common_subsequence(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two word arrays, one vectorised row a word."""
 
     @F.pandas_udf("int")
     def length(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            if x is None or y is None or not len(x) or not len(y):
-                out.append(0)
-                continue
-            names = {w: i for i, w in enumerate(dict.fromkeys([*x, *y]))}
-            target = np.array([names[w] for w in y])
-            row = np.zeros(len(y) + 1, np.int32)
-            for w in x:
-                step = row.copy()
-                step[1:] = np.where(target == names[w], row[:-1] + 1, row[1:])
-                row = np.maximum.accumulate(np.maximum(step, row))
-            out.append(int(row[-1]))
-        return pd.Series(out, dtype="int32")
+        return pd.Series([subsequence_length(x, y) for x, y in zip(left, right, strict=True)], dtype="int32")
 
     return length(a, b)
 

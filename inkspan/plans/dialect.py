@@ -12,6 +12,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkspan.functions.text import needed
+from inkspan.sources.tables import read_table
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -27,17 +30,26 @@ class Spark:
             regex = regex.replace(quote, "\\x22")
         return f"r{quote}{regex}{quote}"
 
+    def guarded(self, text: str, regex: str, none: str, found: str) -> str:
+        """`found` where a column holds a string that each match needs, `none` elsewhere: a plain search spares most texts the pattern."""
+        parts = needed(regex) if re.fullmatch(r"[\w.]+|lower\([\w.]+\)", text) else []
+        if not parts:
+            return found
+        low = text if text.startswith("lower(") else f"lower({text})"
+        quoted = ("'" + p.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'" for p in parts)
+        return f"CASE WHEN NOT ({' OR '.join(f'contains({low}, {p})' for p in quoted)}) THEN {none} ELSE {found} END"
+
     def count(self, text: str, regex: str) -> str:
-        return f"regexp_count({text}, {self.pattern(regex)})"
+        return self.guarded(text, regex, "0", f"regexp_count({text}, {self.pattern(regex)})")
 
     def all(self, text: str, regex: str, group: int = 0) -> str:
         return f"regexp_extract_all({text}, {self.pattern(regex)}, {group})"
 
     def first(self, text: str, regex: str, group: int = 0) -> str:
-        return f"regexp_extract({text}, {self.pattern(regex)}, {group})"
+        return self.guarded(text, regex, "''", f"regexp_extract({text}, {self.pattern(regex)}, {group})")
 
     def like(self, text: str, regex: str) -> str:
-        return f"{text} RLIKE {self.pattern(regex)}"
+        return self.guarded(text, regex, "false", f"{text} RLIKE {self.pattern(regex)}")
 
     def replace(self, text: str, regex: str, by: str) -> str:
         return f"regexp_replace({text}, {self.pattern(regex)}, {self.pattern(re.sub(r'<(\d)>', r'$\1', by))})"
@@ -98,6 +110,9 @@ class Duck(Spark):
     def all(self, text: str, regex: str, group: int = 0) -> str:
         return f"regexp_extract_all({text}, {self.pattern(regex)}, {group})"
 
+    def first(self, text: str, regex: str, group: int = 0) -> str:
+        return f"regexp_extract({text}, {self.pattern(regex)}, {group})"
+
     def like(self, text: str, regex: str) -> str:
         return f"regexp_matches({text}, {self.pattern(regex)})"
 
@@ -154,7 +169,7 @@ def views(spark: SparkSession, sf_dir: str, sql: str) -> str:
     for name in TABLES:
         if re.search(rf"\b{name}\b", sql):
             view = f"inkspan_{name}_{abs(hash(sf_dir)):x}"
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(view)
+            read_table(spark, sf_dir, name).createOrReplaceTempView(view)
             sql = re.sub(rf"(\bFROM|\bJOIN) {name}\b(?!\s*\()", rf"\1 {view}", sql)
     return sql
 

@@ -14,6 +14,7 @@ from inkspan.plans.overlap import overlap_by_source
 from inkspan.plans.signals import HEDGES, PROVENANCE, STRUCTURES, TRANSITIONS, _source
 from inkspan.plans.tables import QUERY_STEP
 from inkspan.sources.readers import latex_prose, markdown_text
+from inkspan.sources.tables import read_table
 from inkspan.streaming.overlap import windowed_events
 
 
@@ -22,7 +23,7 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, sf_dir, "documents")
 
 
 def hashed_vector_norms(spark, sf_dir):
@@ -84,10 +85,10 @@ def draft_sequence(spark, sf_dir):
 
 
 def common_words(spark, sf_dir):
-    """Longest common word subsequence of each document's first and second halves, up to 200 words each."""
+    """Longest common word subsequence of each document's first and second halves."""
     words = F.split(F.trim("text"), r"\s+")
     rows = documents(spark, sf_dir).select("doc_id", words.alias("w")).withColumn("h", F.floor(F.size("w") / 2).cast("int"))
-    return rows.select("doc_id", common_subsequence(F.slice("w", F.lit(1), F.least("h", F.lit(200))), F.slice("w", F.col("h") + 1, F.least("h", F.lit(200)))).alias("length"))
+    return rows.select("doc_id", common_subsequence(F.slice("w", F.lit(1), F.col("h")), F.slice("w", F.col("h") + 1, F.col("h"))).alias("length"))
 
 
 def latex_documents(spark, sf_dir):

@@ -2,15 +2,20 @@
 
 import io
 import json
+import re
 import zipfile
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from inkspan.functions.udfs import common_subsequence, edited, find_spans, nfkc, offset_map, sequence_diff
+from inkspan.functions.text import needed
+from inkspan.functions.udfs import common_subsequence, edited, find_spans, nfkc, offset_map, sequence_diff, subsequence_length
 from inkspan.operators.revision import cleanup
 from inkspan.operators.vectors import hashed_vectors, top_k
+from inkspan.plans import signals
 from inkspan.sources import readers, sinks
 from inkspan.streaming.overlap import stream_overlap, windowed_events
 
@@ -33,6 +38,40 @@ def test_subsequence_and_diff(spark):
     assert rows[1].d.added == 1 and rows[1].d.similarity == 0.0
 
 
+@given(st.lists(st.integers(0, 3), max_size=12), st.lists(st.integers(0, 3), max_size=12))
+def test_subsequence_length(a, b):
+    table = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
+    assert subsequence_length(a, b) == table[-1, -1]
+
+
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [
+        (r"(?i)\b(?:often|perhaps)\b", ["often", "perhaps"]),
+        (r"(?i)\bmay (?:Help|lead)\b", ["may "]),
+        (r"(?:abc)?d*", []),
+        (r"(?:abc|\d+)", []),
+        (r"(?!abc)x", []),
+        (r"(?i)\bÉtoile", ["toile"]),
+        (r"[\p{L}]+abc", []),
+    ],
+)
+def test_needed_strings(pattern, want):
+    assert needed(pattern) == want
+
+
+@pytest.mark.parametrize("name", ["MARKERS", "HEDGES", "TRANSITIONS", "STRUCTURES", "CHATBOT", "RHETORIC", "VAGUE", "PROVENANCE", "CLAIMS", "INFORMAL", "ANONYMITY"])
+def test_matches_hold_a_needed_string(name):
+    for pattern in getattr(signals, name):
+        parts = needed("(?i)" + pattern)
+        for snippet in signals.SNIPPETS:
+            for found in re.finditer("(?i)" + pattern, snippet):
+                assert not parts or any(p in found.group().lower() for p in parts)
+
+
 @pytest.mark.parametrize(
     ("text", "edits", "want"),
     [
