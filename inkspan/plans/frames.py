@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkspan.functions.text import PATTERN_SENTENCE
 from inkspan.functions.udfs import common_subsequence, find_spans, nfkc, sequence_diff
 from inkspan.operators.revision import cleanup
+from inkspan.operators.style_review import category_points, rule_metrics, style_findings, style_review
 from inkspan.operators.vectors import hashed_vectors, top_k
 from inkspan.plans.dialect import SPARK, views
 from inkspan.plans.overlap import overlap_by_source
@@ -119,11 +120,28 @@ def smart_citations(spark, sf_dir):
     )
 
 
+def style_documents(spark, sf_dir):
+    """Index and recommendation by all rules."""
+    return style_review(injected(spark, sf_dir))
+
+
+def style_rule_metrics(spark, sf_dir):
+    return rule_metrics(injected(spark, sf_dir))
+
+
+def style_categories(spark, sf_dir):
+    return category_points(injected(spark, sf_dir))
+
+
+def style_evidence(spark, sf_dir):
+    return style_findings(injected(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         hashed_vector_norms, document_topk, span_evidence, flagged_sentences, closest_passages, cleanup_edits, normalized_text, draft_sequence, common_words, latex_documents, markdown_documents,
-        event_windows, smart_citations,
+        event_windows, smart_citations, style_documents, style_rule_metrics, style_categories, style_evidence,
     )
 }
 ORACLES = {
