@@ -7,6 +7,7 @@ The driver's documents hold few of these patterns, so the queries run over
 from __future__ import annotations
 
 from inkspan.functions.text import MATCH_WORD, PATTERN_SENTENCE, PATTERN_WORD, careful_sentences, trimmed
+from inkspan.plans.overlap import overlap_by_source
 from inkspan.plans.textstats import big, dbl, rhythm_score
 
 SNIPPETS = (
@@ -327,18 +328,45 @@ def unsupported_claims(d) -> str:
     return f"SELECT doc_id, sentence_no, marker FROM ({_claims(d)}) c WHERE NOT has_citation"
 
 
+# Worth of a source by its type, of other types, and of a source without one.
+TIERS = {"global_academic": 1.0, "institutional": 0.9, "arxiv": 0.8, "openalex": 0.9, "crossref": 0.9, "wikipedia": 0.55, "web": 0.45}
+OTHER_TIER, UNTYPED = 0.6, "institutional"
+#: Types given to the corpus items in turn, as the tables have none.
+TYPES = (*TIERS, "scholarly_article", None)
+
+
+def source_quality(d) -> str:
+    """Mean worth in percent of the sources that a document overlaps."""
+    kind = f"CASE source_id % {len(TYPES)} " + " ".join(f"WHEN {k} THEN '{t or UNTYPED}'" for k, t in enumerate(TYPES)) + " END"
+    worth = "CASE kind " + " ".join(f"WHEN '{t}' THEN {100 * v:g}" for t, v in TIERS.items()) + f" ELSE {100 * OTHER_TIER:g} END"
+    return f"""SELECT doc_id, {big("count(*)")} AS sources, round(avg({dbl(worth)}), 1) AS source_quality
+FROM (SELECT doc_id, {kind} AS kind FROM ({overlap_by_source(d)}) o) k GROUP BY doc_id"""
+
+
 def evidence_score(d) -> str:
-    """Claim coverage (0.5) and link rate (0.3), renormalised over those that are known."""
+    """Claim coverage (0.5), link rate (0.3) and source quality (0.2), renormalised over those that are known."""
     coverage = "round(100.0 * c.cited / c.n, 1)"
     link = "round(100.0 * l.linked / l.citations, 1)"
+    weights = {"coverage": "0.5", "link_rate": "0.3", "source_quality": "0.2"}
+    total = " + ".join(f"coalesce({dbl(w)} * {name}, 0)" for name, w in weights.items())
+    known = " + ".join(f"CASE WHEN {name} IS NULL THEN {dbl('0')} ELSE {dbl(w)} END" for name, w in weights.items())
     return f"""WITH c AS (SELECT doc_id, {dbl("count(*)")} AS n, {dbl("sum(CASE WHEN has_citation THEN 1 ELSE 0 END)")} AS cited FROM ({_claims(d)}) x GROUP BY doc_id),
 l AS (SELECT doc_id, {dbl("citations")} AS citations, {dbl("linked")} AS linked FROM ({citation_links(d)}) y),
-m AS (SELECT l.doc_id, {dbl(coverage)} AS coverage, CASE WHEN l.citations > 0 THEN {dbl(link)} END AS link_rate FROM l LEFT JOIN c ON l.doc_id = c.doc_id),
-s AS (SELECT *, CASE WHEN coverage IS NOT NULL AND link_rate IS NOT NULL THEN round((0.5 * coverage + 0.3 * link_rate) / 0.8, 1) ELSE coalesce(coverage, link_rate) END AS evidence FROM m)
-SELECT doc_id, coverage AS claim_coverage, link_rate, {dbl("evidence")} AS evidence_score,
+m AS (SELECT l.doc_id, {dbl(coverage)} AS coverage, CASE WHEN l.citations > 0 THEN {dbl(link)} END AS link_rate, q.source_quality
+  FROM l LEFT JOIN c ON l.doc_id = c.doc_id LEFT JOIN ({source_quality(d)}) q ON l.doc_id = q.doc_id),
+s AS (SELECT *, CASE WHEN {known} > 0 THEN round(({total}) / ({known}), 1) END AS evidence FROM m)
+SELECT doc_id, coverage AS claim_coverage, link_rate, source_quality, {dbl("evidence")} AS evidence_score,
   CASE WHEN evidence IS NULL THEN 'Not enough evidence data' WHEN evidence >= 85 THEN 'Strong structural coverage' WHEN evidence >= 60 THEN 'Partial structural coverage' ELSE 'Coverage needs review' END AS band FROM s"""
 
 
+def identifier_routes(d) -> str:
+    """What a citation request names: a DOI anywhere in it, else an arXiv number, else a title. Requests are made up from the corpus."""
+    request = f"CASE item_id % 4 WHEN 0 THEN 'https://doi.org/10.1000/item.' || item_id WHEN 1 THEN 'arXiv:2101.0000' || item_id % 10 WHEN 2 THEN ' see 1706.03762v2 ' ELSE substring(text, 1, 80) END"
+    doi, arxiv = d.first("request", r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+"), d.first("request", r"\d{4}\.\d{4,5}")
+    return f"""SELECT item_id, CASE WHEN {doi} <> '' THEN 'doi' WHEN {arxiv} <> '' THEN 'arxiv' ELSE 'title' END AS kind,
+  CASE WHEN {doi} <> '' THEN {doi} WHEN {arxiv} <> '' THEN {arxiv} ELSE {trimmed(d, "request")} END AS identifier FROM (SELECT item_id, {request} AS request FROM benchmark) r"""
+
+
 def informal_terms(d) -> str:
     counts = d.array(big(d.count("text", ci(rf"\b{w}\b"))) for w in INFORMAL)
     rows = d.each("u", "names", "k", "term")
@@ -377,6 +405,6 @@ PLANS = {
     for f in (
         pattern_evidence, specificity, pattern_scores, top_signals, calibration, sanitized, mixed_script_words, citation_scan, bibliography_entries, citation_links,
         uncited_references, citations_without_reference, duplicate_references, alphabetized_references, link_checks, isbn_checks, claims, unsupported_claims,
-        evidence_score, informal_terms, thesis_score, anonymity, section_cadence,
+        source_quality, evidence_score, identifier_routes, informal_terms, thesis_score, anonymity, section_cadence,
     )
 }

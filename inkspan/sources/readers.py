@@ -94,6 +94,71 @@ def docx_column(content: Column) -> Column:
     return read(content)
 
 
+def docx_parts(content: bytes) -> list[dict] | None:
+    """Typed parts of a DOCX file, paragraphs before table cells: headings with their level, list items, bold and italic spans; None if it can't be read."""
+    space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            if len(archive.infolist()) > MAX_DOCX_ENTRIES or sum(i.file_size for i in archive.infolist()) > MAX_ARCHIVE_BYTES:
+                return None
+            body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{space}body")
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return None
+    said = lambda node: "".join(t.text or "" for t in node.iter(f"{space}t"))
+    parts, cells = [], []
+
+    def switched_on(run, name: str) -> bool:
+        mark = run.find(f"{space}rPr/{space}{name}")
+        return mark is not None and mark.get(f"{space}val") not in ("0", "false", "none")
+
+    for node in body if body is not None else ():
+        if node.tag == f"{space}tbl":
+            cells += [said(cell).strip() for cell in node.iter(f"{space}tc")]
+        elif node.tag == f"{space}p" and said(node).strip():
+            named = node.find(f"{space}pPr/{space}pStyle")
+            style = "" if named is None else named.get(f"{space}val") or ""
+            level = re.search(r"\d+", style)
+            kind = "heading" if style.lower().startswith("heading") else "list_item" if "list" in style.lower() else "paragraph"
+            spans: dict[str, list] = {"b": [], "i": []}
+            at = 0
+            for run in node.iter(f"{space}r"):
+                end = at + len(said(run))
+                for name, listed in spans.items():
+                    if end > at and switched_on(run, name):
+                        listed.append([at, end])
+                at = end
+            parts.append({"kind": kind, "text": said(node), "heading_level": int(level.group()) if level and kind == "heading" else None, "bold_spans": spans["b"], "italic_spans": spans["i"]})
+    return parts + [{"kind": "table_cell", "text": c, "heading_level": None, "bold_spans": None, "italic_spans": None} for c in cells if c]
+
+
+def docx_blocks(files: DataFrame) -> DataFrame:
+    """(path, content) of DOCX files to their typed blocks, with offsets in the text of all blocks two line breaks apart. Unreadable files give none."""
+    schema = "array<struct<kind:string,text:string,heading_level:int,bold_spans:array<array<int>>,italic_spans:array<array<int>>>>"
+
+    @F.pandas_udf(schema)
+    def read(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: None if c is None else docx_parts(c))
+
+    rows = files.filter(extension(F.col("path")) == "docx").select("path", read("content").alias("parts"))
+    before = F.aggregate(F.slice("parts", F.lit(1), F.col("block_no")), F.lit(0), lambda n, p: n + F.length(p["text"]) + 2)
+    rows = rows.select("path", "parts", F.posexplode("parts").alias("block_no", "p")).withColumn("start", before)
+    return rows.select("path", (F.col("block_no") + 1).alias("block_no"), "p.*", "start", (F.col("start") + F.length("p.text")).alias("end"))
+
+
+def signatures(spark: SparkSession, folder: str) -> DataFrame:
+    """Path, time and size of each file of an allowed type; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.filter(extension(F.col("path")).isin(*EXTENSIONS)).select("path", "modificationTime", "length")
+
+
+def changed_sources(known: DataFrame, now: DataFrame) -> DataFrame:
+    """Files added, changed or removed between two tables of signatures."""
+    same = F.col("a.modificationTime").eqNullSafe(F.col("b.modificationTime")) & F.col("a.length").eqNullSafe(F.col("b.length"))
+    both = known.alias("a").join(now.alias("b"), F.col("a.path") == F.col("b.path"), "full")
+    change = F.when(F.col("a.path").isNull(), "added").when(F.col("b.path").isNull(), "removed").when(~same, "changed")
+    return both.select(F.coalesce("a.path", "b.path").alias("path"), change.alias("change")).filter("change IS NOT NULL")
+
+
 def extract_text(files: DataFrame) -> DataFrame:
     """(path, content) to path, filename, text, status: success, empty, unsupported, too large or unreadable.
 

@@ -137,6 +137,34 @@ def test_corpus_scan(spark, tmp_path):
     assert states["f.docx"] == "unreadable" and states["g.exe"] == "unsupported" and states["h.txt"] == "empty"
 
 
+def test_docx_blocks(spark):
+    space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    run = lambda text, mark="": f"<w:r><w:rPr>{mark}</w:rPr><w:t>{text}</w:t></w:r>"
+    body = f'<w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr>{run("Head")}</w:p><w:tbl><w:tr><w:tc><w:p>{run(" x ")}</w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl>'
+    body += f'<w:p>{run("ab", "<w:b/>")}{run("cd", "<w:i/>")}{run("ef", "<w:b w:val=&quot;0&quot;/>".replace("&quot;", chr(34)))}</w:p><w:p/><w:p><w:pPr><w:pStyle w:val="ListBullet"/></w:pPr>{run("item")}</w:p>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        archive.writestr("word/document.xml", f"<w:document {space}><w:body>{body}</w:body></w:document>")
+    files = spark.createDataFrame([("a.docx", bytearray(out.getvalue())), ("b.docx", bytearray(b"no")), ("c.docx", None)], "path string, content binary")
+    rows = readers.docx_blocks(files).orderBy("block_no").collect()
+    assert [(r.block_no, r.kind, r.text, r.heading_level, r.start, r.end) for r in rows] == [
+        (1, "heading", "Head", 2, 0, 4), (2, "paragraph", "abcdef", None, 6, 12), (3, "list_item", "item", None, 14, 18), (4, "table_cell", "x", None, 20, 21),
+    ]
+    assert rows[1].bold_spans == [[0, 2]] and rows[1].italic_spans == [[2, 4]]
+
+
+def test_changed_sources(spark, tmp_path):
+    for name in ("a.txt", "b.txt", "c.txt", "d.exe"):
+        (tmp_path / name).write_text(name)
+    known = spark.createDataFrame(readers.signatures(spark, str(tmp_path)).collect())
+    assert readers.changed_sources(known, known).count() == 0
+    (tmp_path / "a.txt").write_text("another length")
+    (tmp_path / "b.txt").unlink()
+    (tmp_path / "e.md").write_text("new")
+    rows = readers.changed_sources(known, readers.signatures(spark, str(tmp_path))).collect()
+    assert {(r.path.rsplit("/", 1)[1], r.change) for r in rows} == {("a.txt", "changed"), ("b.txt", "removed"), ("e.md", "added")}
+
+
 def test_archives_and_corpus_changes(spark):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as archive:
