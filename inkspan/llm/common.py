@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that numpy code expands at once; arrays of eight bytes a character stay small.
 CHUNK_BYTES = 1 << 20
@@ -19,18 +22,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
-    Where that setting is unset, as in tests, a folder of this machine is used.
+    Where that setting is unset a folder of this machine serves a local master,
+    as in tests; on a cluster executors would not see it, so that is an error.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+    return named.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A function for executors that returns a broadcast copy of `value`.
+
+    Broadcasts name classes by module; the bytes broadcast here hold the
+    classes themselves, so executors need no copy of this package.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(sent.value)
+
+
+def extended(df: DataFrame, more: str) -> T.StructType:
+    """The schema of `df` with the columns of a DDL string behind its own."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
+
+
+def aside(df: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """`df` with all columns but those `used` under names that no operator has, and what selects its columns again."""
+    quoted = {c: F.col(f"`{c.replace('`', '``')}`") for c in df.columns}
+    renamed = {c: c if c.lower() in used else f"__own_{i}" for i, c in enumerate(df.columns)}
+    return df.select(*(quoted[c].alias(new) for c, new in renamed.items())), [F.col(new).alias(c) for c, new in renamed.items()]
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -12,10 +12,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     """(doc_id, text, y) of about `rows` labelled documents at most for which `keep`, a condition on doc_id, holds.
 
     Labels that are null, or whose doc_id is, are left out; of several labels
-    of one document the largest counts. The ids, at most about `rows`, are
-    broadcast, so the documents are not shuffled.
+    of one document the largest counts, of several texts under one doc_id the
+    least by hash, so the rows are bounded however often an id is repeated.
+    The ids, at most about `rows`, are broadcast, so only the sample's texts
+    are shuffled.
     """
     own = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & keep).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     share = min(1.0, rows / max(1, own.count()))
     own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(own), "doc_id")
+    found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(own), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))

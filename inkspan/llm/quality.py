@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import doc_chunks, fold, table, utf8
+from inkspan.llm.common import doc_chunks, extended, fold, shared, table, utf8
 from inkspan.llm.labelled import labelled_sample
 from inkspan.llm.passages import Roller, U, mix
 
@@ -196,15 +196,15 @@ def with_quality(docs: DataFrame, model: Additive) -> DataFrame:
     input is replaced. Without any labelled row every score is 0.5.
     """
     docs = docs.drop("score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
+    fitted = shared(docs.sparkSession, model)  # a few thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = fitted().score
         for batch in batches:
             x = features(*utf8(batch.column(batch.schema.get_field_index("text"))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(x))], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(x))], names=[*batch.schema.names, "score"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{ddl}, score double")
+    return docs.mapInArrow(run, extended(docs, "score double"))
 
 
 def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
