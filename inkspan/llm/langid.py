@@ -1,10 +1,13 @@
 """Language identification with bit-sliced Bloom filters over letter trigrams.
 
-Each language has a Bloom filter of its usual trigrams. The filters share one
-table of bit masks, bit l of a slot being slot's bit in the filter of language
-l, so the AND of a trigram's slots names all languages that have it. A text's
-counts by language, less the matches expected by chance at each filter's fill,
-decide.
+Each language has a Bloom filter of its usual trigrams. The filters share
+tables of bit masks, one table for each 64 languages: bit l of a slot is the
+slot's bit in the filter of language l, so the AND of a trigram's slots names
+all languages that have it. A text's counts by language, less the matches
+expected by chance at each filter's fill, decide.
+
+Every language of the learning rows gets a filter, however many there are; the
+model grows with their number (SLOTS bits a language) and not with the corpus.
 
 Filters are learned from at most about `per_language` texts of each language,
 chosen by a hash of their id; every text is then read whole.
@@ -20,15 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import doc_chunks, fold, table, text_or_empty, utf8
+from inkspan.llm.common import checkpointed, doc_chunks, extended, fold, shared, table, text_or_empty, utf8
 from inkspan.llm.passages import U, mix
 
-#: Texts of a language to learn from, about; languages, which share a 64-bit mask; trigrams of one.
-PER_LANGUAGE, LANGUAGES, GRAMS = 1500, 64, 8000
+#: Texts of a language to learn from, about, and trigrams of its filter.
+PER_LANGUAGE, GRAMS = 1500, 8000
+#: Languages of one table of masks.
+MASK_BITS = 64
 #: A language's trigram occurs in this share of its texts at least.
 COMMON = 0.01
 SLOTS = 1 << 18
 UNKNOWN = "und"
+#: In the place of a trigram: the number of texts read.
+TEXTS = -1
 
 
 def letters(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +65,7 @@ def trigrams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, gram, texts that have it)."""
+    """(lang, text) to (lang, gram, texts that have it), with the number of texts under TEXTS."""
     found: dict[str, Counter] = {}
     for batch in batches:
         langs = batch.column(0).to_pylist()
@@ -68,7 +75,7 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, at = trigrams(points)
             cuts = np.searchsorted(at, begins)
             for r in range(i, j):
-                found.setdefault(langs[r], Counter()).update(np.unique(codes[cuts[r - i] : cuts[r - i + 1]]).tolist())
+                found.setdefault(langs[r], Counter()).update([TEXTS, *np.unique(codes[cuts[r - i] : cuts[r - i + 1]]).tolist()])
     for lang, grams in found.items():
         yield pa.RecordBatch.from_arrays(
             [pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.int64()), pa.array(list(grams.values()), pa.int64())], names=["lang", "gram", "n"]
@@ -77,32 +84,45 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class Filters:
     def __init__(self, grams: dict[str, list[int]], slots: int = SLOTS) -> None:
-        self.langs = sorted(grams)
-        kind = next((k for k, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(self.langs) <= bits), np.uint64)
-        self.table = np.zeros(slots, kind)
-        for bit, lang in enumerate(self.langs):
-            for at in self.places(np.array(grams[lang], U)):
-                np.bitwise_or.at(self.table, at, kind(1 << bit))
-        fill = [float(((self.table >> kind(b)) & kind(1)).mean()) for b in range(len(self.langs))]
-        self.chance = np.array([f * f for f in fill])
+        self.langs, self.mask, self.tables = sorted(grams), U(slots - 1), []
+        for at in range(0, len(self.langs), MASK_BITS):
+            langs = self.langs[at : at + MASK_BITS]
+            kind = next((k for k, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(langs) <= bits), np.uint64)
+            table = np.zeros(slots, kind)
+            for bit, lang in enumerate(langs):
+                for place in self.places(np.array(grams[lang], U)):
+                    np.bitwise_or.at(table, place, kind(1 << bit))
+            self.tables.append(table)
+        self.chance = np.array([float(own.mean()) ** 2 for own in self.bits(self.tables)])
 
     def places(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h, mask = mix(codes), U(len(self.table) - 1)
-        return (h & mask).astype(np.int64), ((h >> U(32)) & mask).astype(np.int64)
+        h = mix(codes)
+        return (h & self.mask).astype(np.int64), ((h >> U(32)) & self.mask).astype(np.int64)
+
+    def bits(self, masks: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """For each language in turn its bit of the masks, which come table by table."""
+        for number in range(len(self.langs)):
+            own = masks[number // MASK_BITS]
+            yield (own >> own.dtype.type(number % MASK_BITS)) & own.dtype.type(1)
+
+    def holders(self, codes: np.ndarray) -> list[np.ndarray]:
+        """Masks, table by table, of the languages whose filters hold each trigram."""
+        a, b = self.places(codes)
+        return [table[a] & table[b] for table in self.tables]
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Letters of each text, and how many of their trigrams each language has."""
-        total, hits = [], []
+        total, hits = [np.zeros(0, np.int64)], [np.zeros((0, len(self.langs)), np.int64)]
         for i, j in doc_chunks(offsets):
             points, begins = letters(data, offsets, i, j)
             codes, at = trigrams(points)
-            a, b = self.places(codes)
-            masks = self.table[a] & self.table[b]
             cuts = np.searchsorted(at, begins)
             total.append(np.diff(cuts))
-            sums = [np.concatenate(([0], np.cumsum((masks >> self.table.dtype.type(bit)) & self.table.dtype.type(1), dtype=np.int64))) for bit in range(len(self.langs))]
-            hits.append(np.stack([np.diff(s[cuts]) for s in sums], axis=1) if sums else np.zeros((j - i, 0), np.int64))
-        return np.concatenate(total) if total else np.zeros(0, np.int64), np.concatenate(hits) if hits else np.zeros((0, len(self.langs)), np.int64)
+            own = np.zeros((j - i, len(self.langs)), np.int64)
+            for number, bit in enumerate(self.bits(self.holders(codes))):
+                own[:, number] = np.diff(np.concatenate(([0], np.cumsum(bit, dtype=np.int64)))[cuts])
+            hits.append(own)
+        return np.concatenate(total), np.concatenate(hits)
 
     def decide(self, total: np.ndarray, hits: np.ndarray) -> tuple[list[str], np.ndarray]:
         """The language of most trigrams beyond chance (ties: first by name) and its share of those of all."""
@@ -115,23 +135,23 @@ class Filters:
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
-    """Filters from (doc_id, text, lang) rows; rows without a language are left out."""
-    docs = docs.filter(F.col("lang").isNotNull())
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return Filters({})
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    wanted = F.lit(False)
-    for r in sizes:
-        wanted = wanted | ((F.col("lang") == r.lang) & (draw <= int(min(1.0, per_language / r["count"]) * (1 << 30))))
-    counted = docs.filter(wanted).select("lang", text_or_empty().alias("text")).mapInArrow(count_grams, "lang string, gram long, n long")
-    counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    texts = docs.filter(wanted).groupBy("lang").count().collect()
-    least = F.lit(0)
-    for r in texts:
-        least = F.when(F.col("lang") == r.lang, max(1, int(COMMON * r["count"]))).otherwise(least)
-    grams: dict[str, list] = {r.lang: [] for r in texts}
-    for r in counted.filter(F.col("n") >= least).collect():  # the common trigrams of a bounded sample
+    """Filters from (doc_id, text, lang) rows; rows without a language are left out.
+
+    Of each language about `per_language` texts at most are read, chosen by a
+    hash of id and text.
+    """
+    docs = docs.filter(F.col("lang").isNotNull()).select("doc_id", "lang", text_or_empty().alias("text"))
+    rows = {r.lang: r.rows for r in docs.groupBy("lang").agg(F.count("*").alias("rows")).collect()}  # one entry a language
+    limits = [(lang, int(min(1.0, per_language / n) * (1 << 30))) for lang, n in rows.items()]
+    limits = docs.sparkSession.createDataFrame(limits, "__lang string, __limit long")
+    chosen = docs.join(F.broadcast(limits), F.col("lang") == F.col("__lang"))
+    chosen = chosen.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) <= F.col("__limit")).select("lang", "text")
+    counted = chosen.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = checkpointed(counted)  # of a bounded sample
+    texts = counted.filter(F.col("gram") == TEXTS).select("lang", F.col("n").alias("texts"))
+    usual = counted.filter(F.col("gram") != TEXTS).join(F.broadcast(texts), "lang").filter(F.col("n") >= F.greatest(F.lit(1), F.floor(F.col("texts") * COMMON)))
+    grams: dict[str, list] = {lang: [] for lang in rows}
+    for r in usual.collect():
         grams[r.lang].append((-r.n, r.gram))
     return Filters({lang: [g for _, g in sorted(found)[:GRAMS]] for lang, found in grams.items()})
 
@@ -139,20 +159,22 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """The rows of `docs` with lang_pred and score.
 
-    A text that is null or has no letters is `und` with score 0. Repeated rows
-    stay; an empty table gives no rows; columns of the input with the names of
-    the new ones are replaced.
+    A text that is null or has no letters is `und` with score 0. Texts of any
+    length are read whole, in parts of CHUNK_BYTES where rows allow. Ties go to
+    the first language by name; repeated rows stay and get equal results; an
+    empty table gives no rows; columns of the input with the names of the new
+    ones are replaced.
     """
     docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS masks and at most LANGUAGES names
+    learned = shared(docs.sparkSession, filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = learned()
         for batch in batches:
-            named, score = shared.value.decide(*shared.value.counts(*utf8(batch.column(batch.schema.get_field_index("text")))))
+            named, score = own.decide(*own.counts(*utf8(batch.column(batch.schema.get_field_index("text")))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(named, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{ddl}, lang_pred string, score double")
+    return docs.mapInArrow(run, extended(docs, "lang_pred string, score double"))
 
 
 def op2_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
