@@ -8,14 +8,15 @@ two present terms score their joint presence beyond what either says alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import doc_chunks, fold, table, utf8
+from inkspan.llm.common import doc_chunks, extended, fold, shared, table, utf8
 from inkspan.llm.labelled import labelled_sample
 from inkspan.llm.passages import Roller, U, mix
 
@@ -23,8 +24,9 @@ from inkspan.llm.passages import Roller, U, mix
 SAMPLE = 20_000
 SLOTS, TERMS, RANK = 1 << 20, 8192, 8
 EPOCHS, BATCH, RATE, SHRINK = 12, 256, 0.1, 2e-4
-#: Standard errors by which a chosen slot's share of toxic texts differs from all texts' share, at least.
-LEAST = 3.0
+#: Standard errors by which a chosen slot's share of toxic texts differs from all texts' share, at least:
+#: that of these which does best on a quarter of the training rows, fitted on the others.
+LEASTS = (2.0, 3.0, 4.0)
 THRESHOLD = 0.3
 BEGINNINGS = (3, 4, 5, 6)
 
@@ -78,7 +80,7 @@ def present(row: np.ndarray, term: np.ndarray, width: int) -> tuple[np.ndarray,
 
 
 class Factors:
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, seed: int = 5) -> Factors:
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, least: float = LEASTS[0], seed: int = 5) -> Factors:
         """rows: the distinct slots of each training text."""
         all_slots = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -90,7 +92,7 @@ class Factors:
         # Signed square root of each slot's part of the chi-squared statistic; slots in fewer than three texts say nothing.
         weight = np.where(have >= 3, np.abs(toxic - expected) / np.sqrt(expected * (1 - share) + 1), 0.0)
         chosen = np.argsort(-weight, kind="stable")[:TERMS]
-        chosen = chosen[weight[chosen] > LEAST]
+        chosen = chosen[weight[chosen] > least]
         self.place = np.full(SLOTS, -1, np.int32)
         self.place[chosen] = np.arange(len(chosen))
         random = np.random.Generator(np.random.PCG64(seed))
@@ -128,6 +130,12 @@ class Factors:
         squares = np.bincount(row, (own**2).sum(axis=1), rows)
         return self.base + np.bincount(row, self.w[term], rows) + 0.5 * ((s**2).sum(axis=1) - squares), s
 
+    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
+        """The same of texts given by their distinct slots."""
+        slots = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+        owner, term = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), self.place[slots]
+        return self._raw(owner[term >= 0], term[term >= 0].astype(np.int64), len(rows))[0]
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = np.zeros(len(offsets) - 1)
         for i, j, row, slot in terms(data, offsets):
@@ -138,6 +146,18 @@ class Factors:
         return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
+def chosen_least(rows: list[np.ndarray], y: np.ndarray, leasts: Sequence[float] = LEASTS) -> float:
+    """Of the bounds for choosing slots, the one of the least log loss on every fourth row, the model being fitted on the others."""
+    inner = np.arange(len(rows)) % 4 == 3
+    if not y[inner].any() or not y[~inner].any():
+        return leasts[0]
+    losses = []
+    for least in leasts:
+        total = Factors().fit([r for r, held in zip(rows, inner, strict=True) if not held], y[~inner], least).logits([r for r, held in zip(rows, inner, strict=True) if held])
+        losses.append(float(np.logaddexp(0, np.where(y[inner] > 0, -total, total)).mean()))
+    return leasts[int(np.argmin(losses))]
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Factors:
     """A model of labels.toxic, fitted on labelled documents outside fold 2 of 4."""
 
@@ -152,7 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Factors:
     sample = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 4) != 2, rows).select("doc_id", "text", "y")
     # About `rows` rows of some kB: the distinct terms of a text.
     found = sorted((r.doc_id, r.y, bytes(r.x)) for r in sample.mapInArrow(run, "doc_id long, y double, x binary").toLocalIterator())
-    return Factors().fit([np.frombuffer(x, np.int32) for _, _, x in found], np.array([y for _, y, _ in found]))
+    found.sort(key=lambda row: zlib.crc32(str(row[0]).encode()))
+    rows, y = [np.frombuffer(x, np.int32) for _, _, x in found], np.array([y for _, y, _ in found])
+    return Factors().fit(rows, y, chosen_least(rows, y))
 
 
 def with_toxicity(docs: DataFrame, model: Factors) -> DataFrame:
@@ -162,15 +184,15 @@ def with_toxicity(docs: DataFrame, model: Factors) -> DataFrame:
     input is replaced. Without any labelled row every score is 0.5.
     """
     docs = docs.drop("score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS places and TERMS vectors, 5 MB
+    fitted = shared(docs.sparkSession, model)  # SLOTS places and TERMS vectors, 5 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = fitted().score
         for batch in batches:
-            score = shared.value.score(*utf8(batch.column(batch.schema.get_field_index("text"))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
+            found = score(*utf8(batch.column(batch.schema.get_field_index("text"))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "score"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{ddl}, score double")
+    return docs.mapInArrow(run, extended(docs, "score double"))
 
 
 def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
