@@ -3,9 +3,10 @@
 One hash of every shingle (five words; a shorter text is one shingle) is drawn:
 its top byte names one of BINS bins, the rest is its value there, and each bin
 keeps its least value. Empty bins are filled by optimal densification: bin i
-probes the bins (a_i + r * b_i) mod BINS for r = 0, 1, ... (b_i odd) and copies
-the first that is not empty. Four low-order bits of
-each bin, mixed with the bin's number, are packed, sixteen bins to a long.
+probes the bins (a_i + r * b_i) mod BINS for r = 0, 1, ... and copies the first
+that is not empty; b_i is odd, so the probes meet every bin. Four low-order
+bits of each bin, mixed with the bin's number, are packed, sixteen bins to a
+long.
 
 The likeness of two fingerprints is the share P of equal bins, corrected for
 equal bits by chance: (P - 1/16) / (1 - 1/16), never below 0.
@@ -13,12 +14,14 @@ equal bits by chance: (P - 1/16) / (1 - 1/16), never below 0.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.window import WindowSpec
 
-from inkspan.llm.common import table, text_or_empty
+from inkspan.llm.common import checkpointed, table, text_or_empty
 
 SHINGLE = 5
 BINS = 256
@@ -27,8 +30,8 @@ PER_LONG = 64 // BITS
 #: Bins are aggregated in groups of so many.
 GROUP = 16
 GROUPS = BINS // GROUP
-#: Hashed probes of an empty bin. If all meet empty bins, as in texts of very few shingles, the
-#: first bin that is not empty at or after the first probe, in cyclic order, is copied.
+#: Probes that are tried one by one. The first later one that meets a filled bin j is the least of
+#: (j - a) / b mod BINS over the filled bins: of them there are few when so many probes fail.
 QUICK_PROBES = 16
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 EMPTY_BIN = (1 << 56) - 1  # low 56 bits of a sentinel
@@ -37,13 +40,6 @@ ROWS_A_BUCKET = 500
 MAX_BUCKETS = 100_000
 
 
-def _probes() -> tuple[list[int], list[int]]:
-    """Start and odd stride of each bin's probes, from a fixed multiplicative hash."""
-    mixed = [((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for i in range(BINS)]
-    mixed = [(x ^ x >> 29) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1 for x in mixed]
-    return [x >> 56 for x in mixed], [(x >> 40 & 255) | 1 for x in mixed]
-
-
 def fingerprinted(texts: DataFrame, keys: list[str], text: str, name: str) -> DataFrame:
     """The columns `keys`, which tell the rows apart, and `name`: the packed fingerprint of the column `text`.
 
@@ -66,10 +62,18 @@ def fingerprinted(texts: DataFrame, keys: list[str], text: str, name: str) -> Da
     groups = least.select(*keys, "__n", F.struct("__g", F.array(*(f"__{k}" for k in range(GROUP))).alias("v")).alias("__group"))
     bins = groups.groupBy(*keys, "__n").agg(F.sort_array(F.collect_list("__group")).alias("__groups"))
     bins = bins.select(*keys, "__n", F.flatten("__groups.v").alias("__bins"))
-    start, stride = _probes()
-    bins = bins.withColumns({"__a": F.lit(start), "__b": F.lit(stride)}).withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
-    probe = lambda r: f"__bins[(__a[__i] + {r} * __b[__i]) & {BINS - 1}]"
-    rest = "get(array_except(concat(slice(__bins, __a[__i] + 1, 256), __bins), array(cast(null as bigint))), 0)"
+    # Filled bins as value * 256 + number: values have 56 bits.
+    bins = bins.withColumn("__filled", F.expr("filter(transform(__bins, (v, j) -> shiftleft(v, 8) | j), x -> x is not null)"))
+    bins = bins.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
+    bins = bins.withColumns({"__a": F.expr(f"cast(xxhash64(__i) & {BINS - 1} as int)"), "__b": F.expr(f"cast(shiftrightunsigned(xxhash64(__i), 8) & {BINS - 1} as int) | 1")})
+    # Newton's steps from 1 / b = b mod 8 to mod 64 and beyond BINS.
+    once = f"((__b * (2 - __b * __b)) & {BINS - 1})"
+    bins = bins.withColumn("__inverse", F.expr(f"({once} * (2 - __b * {once})) & {BINS - 1}"))
+    probe = lambda r: f"__bins[(__a + {r} * __b) & {BINS - 1}]"
+    turn = f"((cast(x & {BINS - 1} as int) - __a) * __inverse) & {BINS - 1}"
+    least = f"array_min(transform(__filled, (x, p) -> ({turn}) * {BINS} + p))"
+    # Naming the column outside the lambda too keeps Catalyst from pasting its expression into it.
+    rest = f"if(__inverse > 0, shiftrightunsigned(get(__filled, {least} & {BINS - 1}), 8), null)"
     filled = f"coalesce(__bins[__i], {', '.join(map(probe, range(QUICK_PROBES)))}, {rest})"
     nibbles = bins.select(*keys, "__n", "__i", F.expr(f"xxhash64({filled}, __i)").bitwiseAND((1 << BITS) - 1).alias("__nibble"))
     place = F.expr(f"shiftleft(__nibble, ({PER_LONG - 1} - __i % {PER_LONG}) * {BITS})")
@@ -115,32 +119,53 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def in_order(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -> tuple[DataFrame, WindowSpec]:
     """Rows dealt into buckets so that a row's successor, by descending doc_id, is in its bucket.
 
-    Null ids come last; rows of one id follow one another by text. Ids are cut
-    into even buckets at ids that occur. The rows at a bucket's upper end are
-    also guests behind the last row of the bucket above, and the first rows of
-    all behind the last of all, where the order begins again. Returns the rows
-    with __bucket and __guest, and the window.
+    Null ids come last; rows of one id follow one another by descending hash
+    of their text. Rows are cut into even buckets at approximate quantiles of
+    the ids, and an id that fills several buckets (null ids, say) at quantiles
+    of the hashes; only rows equal in both stay together. The rows at a
+    bucket's upper end are also guests behind the last row of the bucket above,
+    and the first rows of all behind the last of all, where the order begins
+    again. Returns the rows with __bucket and __guest, and the window.
     """
-    rows = docs.count()
-    buckets = min(MAX_BUCKETS, max(1, -(-rows // rows_a_bucket)))
-    least = -(1 << 63)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(least))
-    cuts = docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets + 1)], 10 * buckets), F.max("k")).first()
-    cuts = sorted({*(cuts[0] or ()), *([] if cuts[1] is None else [cuts[1]])})  # at most MAX_BUCKETS ids
+    spark = docs.sparkSession
+    keyed = docs.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__tie": F.xxhash64("text")})
+    keys = checkpointed(keyed.select("__key", "__tie"))
+    buckets = min(MAX_BUCKETS, max(1, -(-keys.count() // rows_a_bucket)))
+    points = [i / buckets for i in range(1, buckets)]
+    times = Counter((keys.agg(F.percentile_approx("__key", points, 10 * buckets)).first()[0] or ()) if points else ())  # at most MAX_BUCKETS ids
+    heavy = [key for key, n in times.items() if n > 2]
+    cuts = {(key, (1 << 63) - 1) for key in times}
+    if heavy:  # each fills two buckets or more, so they are few
+        inside = keys.join(F.broadcast(spark.createDataFrame([(k,) for k in heavy], "__key long")), "__key").groupBy("__key")
+        even = max(times[key] for key in heavy)
+        for r in inside.agg(F.percentile_approx("__tie", [i / even for i in range(1, even)], 10 * even).alias("ties")).toLocalIterator():
+            cuts |= {(r["__key"], tie) for tie in r.ties[:: max(1, even // times[r["__key"]])]}
+    cuts = sorted(cuts)
     middle = "((z.lo + z.hi) div 2)"
+    here = f"cast({middle} as int)"
+    below = f"__ids[{here}] < __key or (__ids[{here}] = __key and __ties[{here}] < __tie)"
     search = (
-        "aggregate(sequence(1, 20), named_struct('lo', 0L, 'hi', cast(size(__cuts) as bigint)), (z, i) -> "
-        f"if(z.lo >= z.hi, z, if(__cuts[cast({middle} as int)] < __key, named_struct('lo', {middle} + 1, 'hi', z.hi), named_struct('lo', z.lo, 'hi', {middle}))), "
+        "aggregate(sequence(1, 20), named_struct('lo', 0L, 'hi', cast(size(__ids) as bigint)), (z, i) -> "
+        f"if(z.lo >= z.hi, z, if({below}, named_struct('lo', {middle} + 1, 'hi', z.hi), named_struct('lo', z.lo, 'hi', {middle}))), "
         "z -> cast(z.lo as int))"
     )
-    frame = docs.withColumn("__key", key).withColumn("__cuts", F.lit(cuts).cast("array<bigint>") if cuts else F.expr("cast(array() as array<bigint>)"))
-    frame = frame.withColumn("__home", F.expr(search))
-    above = (F.col("__home") + 1) % F.lit(max(1, len(cuts)))
-    place = lambda b, g: F.struct(b.alias("bucket"), F.lit(g).alias("guest"))
-    both = F.array(place(F.col("__home"), False), place(above, True))
-    frame = frame.withColumn("__place", F.explode(F.when(F.expr("get(__cuts, __home) = __key"), both).otherwise(F.slice(both, 1, 1))))
-    frame = frame.withColumns({"__bucket": F.col("__place.bucket"), "__guest": F.col("__place.guest")}).drop("__place", "__cuts", "__home")
-    order = W.partitionBy("__bucket").orderBy("__guest", F.col("__key").desc(), F.col("text").asc_nulls_first())
+    longs = lambda values: F.lit(values).cast("array<bigint>") if values else F.expr("cast(array() as array<bigint>)")
+
+    def homes(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({"__ids": longs([k for k, _ in cuts]), "__ties": longs([t for _, t in cuts])})
+        return rows.withColumn("__home", F.expr(search)).drop("__ids", "__ties")
+
+    # The upper end of each bucket that has rows, and the bucket above it: at most MAX_BUCKETS rows.
+    tops = sorted((r["__home"], r.top[0], r.top[1]) for r in homes(keys).groupBy("__home").agg(F.max(F.struct("__key", "__tie")).alias("top")).collect())
+    tops = [(home, key, tie, above) for (home, key, tie), (above, _, _) in zip(tops, tops[1:] + tops[:1], strict=True)]
+    tops = F.broadcast(spark.createDataFrame(tops, "__home int, __top_key long, __top_tie long, __above int"))
+    frame = homes(keyed).join(tops, "__home")
+    place = lambda b, g: F.struct(F.col(b).alias("bucket"), F.lit(g).alias("guest"))
+    both = F.array(place("__home", False), place("__above", True))
+    upper = (F.col("__key") == F.col("__top_key")) & (F.col("__tie") == F.col("__top_tie"))
+    frame = frame.withColumn("__place", F.explode(F.when(upper, both).otherwise(F.slice(both, 1, 1))))
+    frame = frame.withColumns({"__bucket": F.col("__place.bucket"), "__guest": F.col("__place.guest")}).drop("__place", "__home", "__above", "__top_key", "__top_tie")
+    order = W.partitionBy("__bucket").orderBy("__guest", F.col("__key").desc(), F.col("__tie").desc(), F.col("text").asc_nulls_first())
     return frame, order
 
 
