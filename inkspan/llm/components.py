@@ -6,24 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import checkpointed
+from inkspan.llm.skew import salted_join
 
 MAX_ROUNDS = 60
-#: Parts among which the edges of one node, which may be a large share of all, are dealt.
-SALTS = 8
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def least_neighbours(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n"))
+
+
+def large_star(edges: DataFrame, count: int) -> DataFrame:
     """Each larger neighbour of a node is linked to the least of the node's neighbourhood."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"])
+    joined = salted_join(both, least_neighbours(both), "u", "__n", "v", 2 * count)
     return joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u != v").distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, count: int) -> DataFrame:
     """Each smaller neighbour of a node, and the node, is linked to the least of them. Edges run from larger to smaller."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    rest = edges.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = least_neighbours(edges)
+    rest = salted_join(edges, least, "u", "__n", "v", count).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -31,9 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge, root being the least node of its component.
 
     `edges` has columns u and v of one orderable type; loops and repeats are
-    allowed. Groups meet by partial minima and joins, never in one task. Each
-    round is cut off by a checkpoint; the rounds end when the set of edges, by
-    count and sum of hashes, stays as it was.
+    allowed. Groups meet by partial minima and joins, never in one task: the
+    edges of a node with many are dealt out. Each round is cut off by a
+    checkpoint; the rounds end when the set of edges, by count and sum of
+    hashes, stays as it was.
     """
     edges = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = checkpointed(edges), None
@@ -42,5 +45,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
-        edges = checkpointed(small_star(large_star(edges)))
+        edges = checkpointed(small_star(large_star(edges, now[0]), now[0]))
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -23,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import checkpointed, doc_chunks, table, text_or_empty, utf8
 from inkspan.llm.components import components
 from inkspan.llm.passages import Roller, U, mix
+from inkspan.llm.skew import likely_in, salted_join
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
@@ -146,8 +147,9 @@ def forest(count: int, near) -> list[tuple[int, int]]:
     return edges
 
 
-def edges_table(nodes: list[bytes], edges: list[tuple[int, int]]) -> pa.Table:
-    return pa.table({"u": pa.array([nodes[a] for a, _ in edges], pa.binary()), "v": pa.array([nodes[b] for _, b in edges], pa.binary())})
+def edges_table(nodes: np.ndarray, edges: list[tuple[int, int]]) -> pa.Table:
+    both = np.array(edges, np.int64).reshape(-1, 2)
+    return pa.table({"u": pa.array(nodes[both[:, 0]]), "v": pa.array(nodes[both[:, 1]])})
 
 
 def plain_key(column: pa.ChunkedArray) -> np.ndarray:
@@ -156,7 +158,7 @@ def plain_key(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def similar_signatures(group: pa.Table, least: float) -> pa.Table:
-    nodes = group.column("node").to_pylist()
+    nodes = np.asarray(group.column("node").combine_chunks())
     bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint8).reshape(len(nodes), HASHES)
     pair = group.column("pair").combine_chunks().flatten()
     found = []
@@ -171,7 +173,7 @@ def similar_signatures(group: pa.Table, least: float) -> pa.Table:
 
 
 def similar_sets(group: pa.Table, k: int, percent: int) -> pa.Table:
-    nodes = group.column("node").to_pylist()
+    nodes = np.asarray(group.column("node").combine_chunks())
     sets = list(shingle_sets(*utf8(group.column("text")), k, Roller()))
     pair = group.column("pair").combine_chunks().flatten()
     found = []
@@ -194,6 +196,14 @@ def similar_sets(group: pa.Table, k: int, percent: int) -> pa.Table:
     return edges_table(nodes, found)
 
 
+#: What tells a text from others, without nulls: so a join needs no null-safe comparison.
+PLACE = ["at_id", "at_null", "at_check"]
+
+
+def place(doc_id: Column, check: Column) -> list[Column]:
+    return [F.coalesce(doc_id, F.lit(0)).alias(PLACE[0]), doc_id.isNull().alias(PLACE[1]), check.alias(PLACE[2])]
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float = 0.15) -> DataFrame:
     """doc_id, check (a hash of the text), n_shingles, component_id and kept for each row of `docs`.
 
@@ -207,30 +217,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("check"), text_or_empty().alias("text"))
     schema = "doc_id long, check long, n long, class binary, bands array<long>, bits binary"
     seen = checkpointed(rows.mapInArrow(lambda batches: summarise(batches, k), schema))
-    some = seen.filter("n > 0")
     classes = checkpointed(
-        some.groupBy(F.col("class").alias("node")).agg(
-            F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "check")).alias("at"), F.first("bands").alias("bands"), F.first("bits").alias("bits")
-        )
-    )
+        seen.filter("n > 0")
+        .groupBy("class")
+        .agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "check")).alias("at"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+        .withColumn("node", F.monotonically_increasing_id())
+    )  # from here on a class goes by a number, which the checkpoint holds fast
     count = classes.count()
     bands = classes.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = max(8, count // 4000)
     meeting = bands.join(shared, "band").join(classes.select("node", "bits"), "node")
     meeting = spread(meeting, "band", "node", "size", SIGNATURE_BLOCK, buckets)
-    maybe = meeting.groupBy("bucket").applyInArrow(lambda g: similar_signatures(g, percent / 100 - slack), "u binary, v binary")
+    maybe = meeting.groupBy("bucket").applyInArrow(lambda g: similar_signatures(g, percent / 100 - slack), "u long, v long")
     grouped = checkpointed(components(maybe))
     sizes = grouped.groupBy("root").agg(F.count("*").alias("size"))
-    wanted = grouped.join(classes.select("node", "at.doc_id", "at.check"), "node").join(sizes, "root")
-    texts = rows.select(F.col("doc_id").alias("id"), F.col("check").alias("of"), "text")
-    wanted = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("check") == F.col("of"))).select("root", "node", "size", "text")
-    wanted = spread(wanted, "root", "node", "size", SET_BLOCK, buckets)
-    links = wanted.groupBy("bucket").applyInArrow(lambda g: similar_sets(g, k, percent), "u binary, v binary")
-    joined = components(links)
-    labelled = classes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = labelled.join(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("node").alias("class"), "component_id")
-    out = seen.select("doc_id", "check", "n", "class").join(named, "class", "left")
+    nodes = grouped.count()
+    wanted = salted_join(grouped, sizes, "root", "size", "node", nodes).join(classes.select("node", "at.doc_id", "at.check"), "node")
+    wanted = checkpointed(wanted.select("root", "node", "size", *place(F.col("doc_id"), F.col("check"))))
+    # Only the candidates' texts, and a few that a filter of bounded size can't tell from them, are shuffled.
+    near = likely_in(rows, wanted, place(F.col("doc_id"), F.col("check")), [F.col(c) for c in PLACE], "__near").filter("__near")
+    texts = near.select(*place(F.col("doc_id"), F.col("check")), "text").dropDuplicates(PLACE)
+    wanted = spread(wanted.join(texts, PLACE), "root", "node", "size", SET_BLOCK, buckets)
+    links = wanted.groupBy("bucket").applyInArrow(lambda g: similar_sets(g, k, percent), "u long, v long")
+    joined = components(links).join(classes.select("node", "class", "least"), "node")
+    least = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    named = salted_join(joined, least, "root", "size", "node", nodes).select("class", "component_id")
+    alone = classes.join(joined.select("node"), "node", "left_anti").select("class", F.col("least").alias("component_id"))
+    out = seen.select("doc_id", "check", "n", "class").join(named.unionByName(alone), "class", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "check", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
