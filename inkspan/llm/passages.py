@@ -14,7 +14,11 @@ text most occurrences are equal to an earlier phrase: all their strings are
 repeats and nothing of their text is looked at again. The first occurrence of
 each distinct phrase stays; if its trigger has one phrase only, its strings are
 all new. What is left is the dictionary proper: distinct phrases that share a
-trigger with another one.
+trigger with another one. The phrases of a trigger meet in one task, unless a
+sample of the documents shows the trigger to be hot (a passage that a large
+share of all documents quote, each in another context): those meet by trigger
+and content, and all distinct ones go to the dictionary. The sample decides
+only where phrases meet, never what is found.
 
 Suffix array. The dictionary's phrases are gathered by trigger, and a suffix
 array over the phrases of each bucket, sorted by prefix doubling to LENGTH
@@ -51,6 +55,8 @@ BUCKET_BYTES = 4 << 20
 PARSE_BYTES, LONG_BYTES = 8 << 20, 4 << 20
 #: A trigger with more distinct phrases than this is dealt out string by string.
 CROWDED = 4096
+#: Documents, about, in which hot triggers are looked for, and distinct phrases there that make a trigger hot.
+SAMPLE, HOT = 50_000, 32
 
 U = np.uint64
 _POSITION = U((1 << 26) - 1)
@@ -193,32 +199,63 @@ def firsts(keys: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarray,
     return at, begins, same
 
 
-def parse(batches: Iterator[pa.RecordBatch], buckets: int, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def sampled_triggers(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Texts to their distinct triggers and contents."""
+    roller = Roller()
+    for batch in batches:
+        data, offsets = utf8(batch.column(0))
+        for i, j in doc_chunks(offsets):
+            for _, found in parsed_chunk(data, offsets, i, j, roller, length, gram):
+                both = np.unique(np.stack((found[2], found[3])), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["trigger", "content"])
+
+
+def hot_triggers(rows: DataFrame, length: int, gram: int) -> np.ndarray:
+    """Triggers with HOT or more distinct phrases in a sample of about SAMPLE documents, sorted: at most the sample's phrases over HOT."""
+    count = rows.count()
+    draw = F.pmod(F.xxhash64("doc", "tie", F.lit(3)), F.lit(1 << 30)) <= int(min(1.0, SAMPLE / max(1, count)) * (1 << 30))
+    found = rows.filter(draw).select("text").mapInArrow(lambda batches: sampled_triggers(batches, length, gram), "trigger long, content long").distinct()
+    return np.sort(np.array([r.trigger for r in found.groupBy("trigger").count().filter(F.col("count") >= HOT).collect()], np.int64).view(U))
+
+
+def parse(batches: Iterator[pa.RecordBatch], buckets: int, length: int, gram: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(doc, tie, text) to the first occurrences of phrases, by bucket of trigger, and the repeats known already."""
     roller = Roller()
     for batch in batches:
         doc, tie = (np.asarray(batch.column(i)) for i in (0, 1))
         data, offsets = utf8(batch.column(2))
         for i, j in doc_chunks(offsets, PARSE_BYTES):
-            yield from parse_part(data, offsets[i : j + 1], doc[i:j], tie[i:j], buckets, roller, length, gram)
+            yield from parse_part(data, offsets[i : j + 1], doc[i:j], tie[i:j], buckets, roller, length, gram, hot)
+
+
+def parsed_chunk(data, offsets, i: int, j: int, roller: Roller, length: int, gram: int) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """First byte of a stretch of rows i to j, and of its phrases first and last start, trigger, content, and bytes and row of the first."""
+    start, stop = int(offsets[i]), int(offsets[j])
+    for a in range(start, max(start + 1, stop), LONG_BYTES):  # only one very long text takes more than one turn
+        b = min(stop, a + LONG_BYTES + length - 1)
+        first, last, trigger, content = phrases(data[a:b], offsets[i + 1 : j + 1] - a, roller, length, gram)
+        row = np.searchsorted(offsets, first + a, "right") - 1
+        yield a, (first, last, trigger, content, first + a - offsets[row], row)
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted known ones."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
 
-def parse_part(data, offsets, doc, tie, buckets: int, roller: Roller, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def parse_part(data, offsets, doc, tie, buckets: int, roller: Roller, length: int, gram: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     found: list[list[np.ndarray]] = []
     for i, j in doc_chunks(offsets):
-        start, stop = int(offsets[i]), int(offsets[j])
-        for a in range(start, max(start + 1, stop), LONG_BYTES):  # only one very long text takes more than one turn
-            b = min(stop, a + LONG_BYTES + length - 1)
-            first, last, trigger, content = phrases(data[a:b], offsets[i + 1 : j + 1] - a, roller, length, gram)
-            row = np.searchsorted(offsets, first + a, "right") - 1
-            found.append([trigger, content, doc[row], tie[row], (first + a - offsets[row]).astype(np.int32), (last - first).astype(np.int16)])
+        for _, (first, last, trigger, content, at, row) in parsed_chunk(data, offsets, i, j, roller, length, gram):
+            found.append([trigger, content, doc[row], tie[row], at.astype(np.int32), (last - first).astype(np.int16)])
     if found:
         columns = [np.concatenate(c) for c in zip(*found, strict=True)]
         at, begins, same = firsts(columns[:2], columns[2:5])
         columns = [c[at] for c in columns]
         yield from repeats_of([c[~same] for c in columns], buckets)
         columns = [c[begins] for c in columns]
-        bucket = ((columns[0] >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
+        meet = np.where(among(columns[0], hot), mix(columns[0] ^ columns[1]), columns[0])
+        bucket = ((meet >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
         yield from rows_of(OCCURRENCES, ((k, pack(c)) for k, c in split_by(bucket, columns)))
 
 
@@ -247,8 +284,8 @@ def merged(spans: list[np.ndarray]) -> list[np.ndarray]:
     return [doc[begins], tie[begins], first[begins].astype(np.int32), (high[ends] - lift[ends]).astype(np.int32)]
 
 
-def phrase_classes(group: pa.Table, buckets: int, crowded: int) -> pa.Table:
-    """All first occurrences of a bucket of triggers to repeats, and to entries of the dictionary."""
+def phrase_classes(group: pa.Table, buckets: int, crowded: int, hot: np.ndarray) -> pa.Table:
+    """All first occurrences of a bucket of triggers, or of a hot trigger's phrases, to repeats, and to entries of the dictionary."""
     kinds, blobs = group.column("kind").to_pylist(), group.column("blob").to_pylist()
     out = list(rows_of(REPEATS, ((b, x) for k, b, x in zip(kinds, group.column("bucket").to_pylist(), blobs, strict=True) if k == REPEATS)))
     columns = unpack([x for k, x in zip(kinds, blobs, strict=True) if k == OCCURRENCES], OCCURRENCE)
@@ -260,8 +297,9 @@ def phrase_classes(group: pa.Table, buckets: int, crowded: int) -> pa.Table:
         starts = np.flatnonzero(np.concatenate(([True], trigger[1:] != trigger[:-1])))
         count = np.diff(np.concatenate((starts, [len(trigger)])))
         count = np.repeat(count, count)
-        keep = count > 1
-        entry = [x[keep] for x in (doc, tie, first, first + more.astype(np.int32), trigger, (count > crowded).astype(np.uint8))]
+        spread = among(trigger, hot)  # a hot trigger's other phrases may be in other buckets
+        keep, crowd = spread | (count > 1), spread | (count > crowded)
+        entry = [x[keep] for x in (doc, tie, first, first + more.astype(np.int32), trigger, crowd.astype(np.uint8))]
         out += rows_of(ENTRIES, ((k, pack(c)) for k, c in split_by(doc_bucket(entry[0], entry[1], buckets), entry)))
     return pa.Table.from_batches(out, ROWS)
 
@@ -418,7 +456,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, dige
     A null text counts as empty. "Earlier" is by doc_id, nulls first; texts
     under one doc_id are told apart and ordered by a hash; rows equal in both
     are one document and get one result each. Texts shorter than `length` lose
-    nothing. An empty table gives no rows; other columns are ignored.
+    nothing; very long ones are parsed in stretches that overlap. An empty
+    table gives no rows; other columns, whatever their names, are ignored.
     """
     rows = docs.select(
         "doc_id",
@@ -428,8 +467,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, dige
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
-    found = rows.select("doc", "tie", "text").mapInArrow(lambda batches: parse(batches, buckets, length, gram), ROWS_DDL)
-    classes = found.groupBy("bucket").applyInArrow(lambda group: phrase_classes(group, buckets, CROWDED), ROWS_DDL)
+    hot = hot_triggers(rows, length, gram)
+    found = rows.select("doc", "tie", "text").mapInArrow(lambda batches: parse(batches, buckets, length, gram, hot), ROWS_DDL)
+    classes = found.groupBy("bucket").applyInArrow(lambda group: phrase_classes(group, buckets, CROWDED, hot), ROWS_DDL)
     classes = checkpointed(classes)
     by_bucket = rows.withColumn("bucket", doc_bucket_column(buckets)).groupBy("bucket")
     entries = classes.filter(F.col("kind") == ENTRIES).groupBy("bucket")
