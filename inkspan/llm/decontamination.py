@@ -3,158 +3,257 @@
 Test items and documents are normalised alike: A-Z lower-cased, words cut at
 every other ASCII character than letters and digits. A window is `n`
 consecutive item words (a shorter item is one window). All windows go into one
-automaton, which reads each document's normalised text once; ends of matches
-lead back to word numbers and from there to offsets in the original text.
-
-The automaton is built from the windows' text, sent to the executors only up
-to PART_BYTES at a time: a larger benchmark is scanned in several parts whose
-results are merged, so no bound on the benchmark is assumed.
+automaton over word numbers, as flat arrays built on the driver level by
+level: 20 bytes a state, broadcast once. It reads each document's words once;
+ends of matches are word numbers, which lead back to offsets in the original
+text.
+
+Texts are read in lockstep: after `n` words the automaton's state depends on
+the last `n` words only, so texts are cut into segments that overlap by `n`
+words, and one vector step moves all segments of a chunk on by a word.
+
+Items are streamed to the driver. A benchmark of more than PART_WORDS words
+makes several automata, which read the documents one after another, each
+adding to the hits of those before, with a checkpoint between; the results are
+those of one automaton.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import table, utf8
+from inkspan.llm.common import checkpointed, doc_chunks, extended, shared, table, utf8
+from inkspan.llm.passages import Roller, U, mix
 
 N = 10
-PART_BYTES = 64 << 20
+#: Item words of one automaton: at most N states of 20 bytes each, 200 MB in all.
+PART_WORDS = 1_000_000
+#: Words of a segment beyond those that warm its state up.
+SEGMENT = 64
 
 #: Lower-case A-Z; ASCII other than letters and digits becomes a space; bytes of other characters stay.
-NORMAL = bytes(
-    c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
-)
-
-
-def normal_words(text: bytes) -> list[bytes]:
-    return text.translate(NORMAL).split()
-
-
-def windows_of(items: list[tuple[str | None, str | None]], n: int = N) -> dict[bytes, set]:
-    """Item ids by window, a window being its words between single spaces."""
-    found: dict[bytes, set] = {}
+NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_NORMAL = np.frombuffer(NORMAL, np.uint8)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, roller: Roller) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end byte of each word of consecutive texts, and at which word each text begins."""
+    start = int(offsets[0])
+    chunk, cut = _NORMAL[data[start : offsets[-1]]], offsets - start
+    word, joint = chunk != 32, np.zeros(len(chunk) + 1, bool)
+    joint[cut] = True
+    head, tail = word.copy(), word.copy()
+    head[1:] &= ~word[:-1] | joint[1:-1]
+    tail[:-1] &= ~word[1:] | joint[1:-1]
+    heads, tails = np.flatnonzero(head), np.flatnonzero(tail) + 1
+    sums = roller.sums(chunk)
+    names = mix((sums[tails] - sums[heads]) * roller.backs[heads] + (tails - heads).astype(U))
+    return names, heads, tails, np.searchsorted(heads, cut)
+
+
+def item_pieces(items: Iterable[tuple[str | None, str | None]], n: int, limit: int) -> Iterator[tuple[str | None, np.ndarray]]:
+    """Word hashes of each item; one of over `limit` words in pieces that overlap by n - 1, so that every window is in one."""
+    roller = Roller()
     for item, text in items:
-        words = normal_words((text or "").encode())
-        for i in range(max(1, len(words) - n + 1) if words else 0):
-            found.setdefault(b" " + b" ".join(words[i : i + n]) + b" ", set()).add(item)
-    return found
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        names = words_of(raw, np.array([0, len(raw)]), roller)[0]
+        for at in range(0, max(1, len(names) - n + 1) if len(names) else 0, max(1, limit)):
+            yield item, names[at : at + limit + n - 1]
 
 
-def parts_of(windows: dict[bytes, set], limit: int = PART_BYTES) -> Iterator[list]:
+def parts_of(items: Iterable[tuple[str | None, str | None]], n: int = N, limit: int = PART_WORDS) -> Iterator[list[tuple[str | None, np.ndarray]]]:
     part, size = [], 0
-    for window in sorted(windows):
-        if part and size + len(window) > limit:
+    for item, names in item_pieces(items, n, limit):
+        if part and size + len(names) > limit:
             yield part
             part, size = [], 0
-        part.append((window, sorted(windows[window], key=lambda x: (x is None, str(x)))))
-        size += len(window)
+        part.append((item, names))
+        size += len(names)
     if part:
         yield part
 
 
-class Scanner:
-    """The automaton over one part of the windows."""
-
-    def __init__(self, part: list) -> None:
-        import ahocorasick
-
-        self.items = [items for _, items in part]
-        self.automaton = ahocorasick.Automaton()
-        for k, (window, _) in enumerate(part):
-            self.automaton.add_word(window.decode("latin-1"), (k, window.count(b" ") - 1))
-        self.automaton.make_automaton()
-
-    def scan(self, text: bytes) -> tuple[int, np.ndarray | None, set]:
-        """Number of words, which of them are hit (None: none), and the items whose windows occur."""
-        words = normal_words(text)
-        if not words:
-            return 0, None, set()
-        line = b" " + b" ".join(words) + b" "
-        hits, items = None, set()
-        for end, (k, length) in self.automaton.iter(line.decode("latin-1")):
-            if hits is None:
-                spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-                hits = np.zeros(len(words) + 1, np.int32)
-            last = int(np.searchsorted(spaces, end))  # words before this space
-            hits[last - length] += 1
-            hits[last] -= 1
-            items.update(self.items[k])
-        return len(words), None if hits is None else np.cumsum(hits[:-1]) > 0, items
-
-
-def original_spans(text: bytes, hits: np.ndarray) -> list[list[int]]:
-    """Code-point ranges, end exclusive, of the runs of hit words in the original text."""
-    data = np.frombuffer(text.translate(NORMAL), np.uint8)
-    word = np.concatenate(([False], data != 32, [False]))
-    starts, ends = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(~word[1:] & word[:-1])
-    edge = np.diff(np.concatenate(([0], hits.astype(np.int8), [0])))
-    points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
-    return [[int(points[starts[a]]), int(points[ends[b - 1]])] for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
-
-
-FOUND = pa.schema(
-    [("n_words", pa.int64()), ("hit_words", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int32())))]
-)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, part_bytes: int = PART_BYTES) -> DataFrame:
+class Automaton:
+    """Aho-Corasick over word numbers, as arrays.
+
+    State 0 is the root. States are numbered level by level; `keys` holds
+    parent * words + word in order, so the child of an edge is one binary
+    search away. `fail` is the longest proper suffix that is a state,
+    `word_end` the nearest state on the way of suffixes (itself included) at
+    which a window ends, and `starts`/`owners` list the items of each window.
+    """
+
+    def __init__(self, part: list[tuple[str | None, np.ndarray]], n: int = N) -> None:
+        self.n, self.items = n, sorted({item for item, _ in part}, key=lambda x: (x is None, x or ""))
+        number = {item: k for k, item in enumerate(self.items)}
+        names = np.concatenate([names for _, names in part])
+        self.vocabulary, ids = np.unique(names, return_inverse=True)
+        self.words = len(self.vocabulary)
+        size = np.array([len(names) for _, names in part])
+        first = np.cumsum(size) - size
+        windows = np.maximum(size - n + 1, 1)
+        begin = np.repeat(first, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        length = np.repeat(np.minimum(size, n), windows)
+        owner = np.repeat(np.array([number[item] for item, _ in part], np.int64), windows)
+        state, levels, low, depth = np.zeros(len(begin), np.int64), [], [0, 1], [0]
+        for level in range(int(length.max())):
+            going = length > level
+            key = state[going] * self.words + ids[begin[going] + level]
+            own, child = np.unique(key, return_inverse=True)
+            state[going] = low[-1] + child
+            levels.append(own)
+            low.append(low[-1] + len(own))
+        self.keys = np.concatenate(levels)
+        self.depth = np.repeat(np.arange(len(low) - 1, dtype=np.int32), np.diff(low))
+        self.fail = np.zeros(low[-1], np.int32)
+        for level in range(1, len(levels)):  # children of the root fail to the root
+            states = np.arange(low[level + 1], low[level + 2])
+            parent, word = np.divmod(self.keys[states - 1], self.words)
+            self.fail[states] = self.step(self.fail[parent].astype(np.int64), word)
+        ends, at = np.unique(state * len(self.items) + owner), np.zeros(0)
+        at, self.owners = np.divmod(ends, len(self.items))
+        self.ends, counts = np.unique(at, return_counts=True)
+        self.starts = np.concatenate(([0], np.cumsum(counts)))
+        self.word_end = np.zeros(low[-1], np.int32)
+        self.word_end[self.ends] = self.ends
+        for level in range(1, len(levels) + 1):
+            states = np.arange(low[level], low[level + 1])
+            none = states[self.word_end[states] == 0]
+            self.word_end[none] = self.word_end[self.fail[none]]
+
+    def numbers(self, names: np.ndarray) -> np.ndarray:
+        """Word numbers, -1 for words of no item."""
+        at = np.minimum(np.searchsorted(self.vocabulary, names), self.words - 1)
+        return np.where(self.vocabulary[at] == names, at, -1)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The states after reading one word each."""
+        out = np.zeros(len(state), np.int64)
+        left = np.flatnonzero(word >= 0)
+        state, word = state[left], word[left]
+        while len(left):
+            key = state * self.words + word
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[at] == key
+            out[left[found]] = at[found] + 1
+            more = ~found & (state > 0)
+            left, state, word = left[more], self.fail[state[more]].astype(np.int64), word[more]
+        return out
+
+    def scan(self, names: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words of consecutive texts are hit, and the distinct (text, item) pairs. Texts begin at the words `begin`."""
+        numbers = self.numbers(names)
+        hits, size = np.zeros(len(names) + 1, np.int64), np.diff(begin)
+        # Segments: of SEGMENT words, read from n - 1 words before on (not beyond their text).
+        count = -(-size // SEGMENT)
+        text = np.repeat(np.arange(len(size)), count)
+        low = np.repeat(begin[:-1], count) + SEGMENT * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+        high = np.minimum(low + SEGMENT, begin[1:][text])
+        at = np.maximum(low - (self.n - 1), begin[:-1][text])
+        some = np.concatenate(([0], np.cumsum(numbers >= 0)))  # segments without an item's word are left out
+        going = np.flatnonzero(some[high] > some[at])
+        state, pairs = np.zeros(len(text), np.int64), []
+        while len(going):
+            here = at[going]
+            now = self.step(state[going], numbers[here])
+            state[going] = now
+            end, where = self.word_end[now], np.arange(len(now))
+            held = (end > 0) & (here >= low[going])  # matches that end in the warm-up are the segment before's
+            where, end = where[held], end[held]
+            while len(where):
+                last = here[where] + 1
+                np.add.at(hits, last - self.depth[end], 1)
+                np.add.at(hits, last, -1)
+                pairs.append(np.stack((text[going[where]], end), axis=1))
+                end = self.word_end[self.fail[end]]
+                where, end = where[end > 0], end[end > 0]
+            at[going] += 1
+            going = going[at[going] < high[going]]
+        hit = np.cumsum(hits[:-1]) > 0
+        if not pairs:
+            return hit, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pairs = np.unique(np.concatenate(pairs).astype(np.int64), axis=0)
+        window = np.searchsorted(self.ends, pairs[:, 1])
+        many = self.starts[window + 1] - self.starts[window]
+        owners = self.owners[np.repeat(self.starts[window] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        both = np.unique(np.repeat(pairs[:, 0], many) * len(self.items) + owners)
+        return hit, *np.divmod(both, len(self.items))
+
+
+FOUND = "n_words long, hit_words array<int>, items array<string>, spans array<array<int>>"
+_HITS, _ITEMS, _SPANS = pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32()))
+
+
+def reader(automaton, known: bool):
+    """Batches with the columns of FOUND behind theirs; `known`: hits and items of automata before are the columns __hit and __items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, roller = automaton(), Roller()
+        for batch in batches:
+            place = batch.schema.get_field_index
+            data, offsets = utf8(batch.column(place("text")))
+            before = [batch.column(place(c)).to_pylist() for c in ("__hit", "__items")] if known else None
+            counts, hits, items, spans = [], [], [], []
+            for i, j in doc_chunks(offsets):
+                names, heads, tails, begin = words_of(data, offsets[i : j + 1], roller)
+                size = np.diff(begin)
+                hit, text, item = own.scan(names, begin) if own else (np.zeros(len(names), bool), np.zeros(0, np.int64), np.zeros(0, np.int64))
+                named: dict[int, set] = {}
+                for t, k in zip(text.tolist(), item.tolist(), strict=True):
+                    named.setdefault(t, set()).add(own.items[k])
+                counts.append(size)
+                for r in range(j - i):
+                    a, b = begin[r], begin[r + 1]
+                    mine, found = hit[a:b], named.get(r, set()) - {None}
+                    if known:
+                        mine[np.array(before[0][i + r], np.int64)] = True
+                        found |= set(before[1][i + r])
+                    hits.append(np.flatnonzero(mine).astype(np.int32))
+                    items.append(sorted(found))
+                    spans.append(original_spans(data[offsets[i + r] : offsets[i + r + 1]], heads[a:b], tails[a:b], mine, int(offsets[i + r] - offsets[i])))
+            counts = np.concatenate([np.zeros(0, np.int64), *counts])
+            new = [pa.array(counts), pa.array(hits, _HITS), pa.array(items, _ITEMS), pa.array(spans, _SPANS)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "n_words", "hit_words", "items", "spans"])
+
+    return run
+
+
+def original_spans(text: np.ndarray, heads: np.ndarray, tails: np.ndarray, hit: np.ndarray, shift: int) -> list[list[int]]:
+    """Code-point ranges, end exclusive, of the runs of hit words in the original text, which begins at byte `shift` of heads and tails."""
+    if not hit.any():
+        return []
+    edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
+    points = np.concatenate(([0], np.cumsum((text & 0xC0) != 0x80)))
+    return np.stack((points[heads[edge[:-1] == 1] - shift], points[tails[edge[1:] == -1] - shift]), axis=1).tolist()
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, part_words: int = PART_WORDS) -> DataFrame:
     """The rows of `docs` with n_words, n_hit, items (sorted ids as strings), spans and contaminated.
 
     spans are the hit stretches of the original text, [start, end) in code
     points. A null or wordless text has no words and no hits, a null or
     wordless item no windows; an item without id hits words but is not listed.
-    Empty tables give no rows or no hits. Repeated rows stay. Columns of the
-    input with the names of the new ones are replaced.
+    Texts and items of any length are read whole; items repeated count once an
+    id. Empty tables give no rows or no hits. Repeated rows stay and get equal
+    results. Columns of the input with the names of the new ones are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "n_hit", "items", "spans", "contaminated")
-    items = [(r.item, r.text) for r in benchmark.select(F.col("item_id").cast("string").alias("item"), "text").toLocalIterator()]
-    parts = list(parts_of(windows_of(items, n), part_bytes)) or [[]]
-    merged = None
-    base = docs.schema
-    names = docs.columns
-    for part in parts:
-        shared = spark.sparkContext.broadcast(part)  # at most PART_BYTES of windows
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            scanner = Scanner(shared.value) if shared.value else None
-            for batch in batches:
-                data, offsets = utf8(batch.column(batch.schema.get_field_index("text")))
-                raw = data.tobytes() if len(offsets) < 2 else data[offsets[0] : offsets[-1]].tobytes()
-                shift = int(offsets[0])
-                counts, hit, items, spans = [], [], [], []
-                for i in range(len(offsets) - 1):
-                    text = raw[int(offsets[i]) - shift : int(offsets[i + 1]) - shift]
-                    words, hits, found = scanner.scan(text) if scanner else (len(normal_words(text)), None, set())
-                    counts.append(words)
-                    hit.append([] if hits is None else np.flatnonzero(hits).astype(np.int32))
-                    items.append(sorted(x for x in found if x is not None))
-                    spans.append([] if hits is None else original_spans(text, hits))
-                new = [pa.array(x, f.type) for x, f in zip((counts, hit, items, spans), FOUND, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *FOUND.names])
-
-        added = "n_words long, hit_words array<int>, items array<string>, spans array<array<int>>"
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base) + ", " + added
-        source = docs if merged is None else merged.withColumnsRenamed({c: f"__{c}" for c in FOUND.names})
-        if merged is not None:
-            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + ", " + added
-        merged = source.mapInArrow(scan, schema)
-        if source is not docs:
-            # Parts of one document: hits and items unite; touching spans come from the united hits' words.
-            merged = merged.select(
-                *names,
-                "n_words",
-                F.array_union("__hit_words", "hit_words").alias("hit_words"),
-                F.array_sort(F.array_union("__items", "items")).alias("items"),
-                F.array_sort(F.array_union("__spans", "spans")).alias("spans"),
-            )
-    return merged.withColumns({"n_hit": F.size("hit_words").cast("long"), "contaminated": F.size("hit_words") > 0}).drop("hit_words")
+    out = docs.drop("n_words", "n_hit", "items", "spans", "contaminated", "hit_words")
+    items = ((r.item, r.text) for r in benchmark.select(F.col("item_id").cast("string").alias("item"), "text").toLocalIterator())
+    known = False
+    for part in parts_of(items, n, part_words):
+        if known:
+            out = checkpointed(out).withColumnsRenamed({"hit_words": "__hit", "items": "__items"}).drop("n_words", "spans")
+        out = out.mapInArrow(reader(shared(spark, Automaton(part, n)), known), extended(out, FOUND)).drop("__hit", "__items")
+        known = True
+    if not known:
+        out = out.mapInArrow(reader(lambda: None, False), extended(out, FOUND))
+    return out.withColumns({"n_hit": F.size("hit_words").cast("long"), "contaminated": F.size("hit_words") > 0}).drop("hit_words")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
