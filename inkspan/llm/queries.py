@@ -1,6 +1,5 @@
 """The queries of this subpackage, one an operator, and the SQL of those that SQL can express."""
 
-import corpus_pipeline
 from inkspan.llm import decontamination, fingerprint, langid, mixing, neardup, passages, quality, secret_scan, sharding, toxicity
 
 QUERIES = {
@@ -14,7 +13,6 @@ QUERIES = {
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_decontaminate": decontamination.op10_decontaminate,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op7_source_mix": mixing.OP7_SQL,
