@@ -105,9 +105,9 @@ EDIT = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Stru
 
 
 def edited(text: str, edits: list[tuple[int, int, str]]) -> str:
-    """Text with its edits made, those that overlap an earlier one left out; an article before a changed word is adapted to it."""
+    """Text with its edits made; of edits with one start the longest, then those that overlap an earlier one left out; an article before a changed word is adapted to it."""
     pieces, at = [], 0
-    for start, end, new in sorted(edits):
+    for start, end, new in sorted(edits, key=lambda e: (e[0], -e[1])):
         if start < at:
             continue
         lead = text[at:start]

@@ -54,12 +54,23 @@ class Spark:
     def replace(self, text: str, regex: str, by: str) -> str:
         return f"regexp_replace({text}, {self.pattern(regex)}, {self.pattern(re.sub(r'<(\d)>', r'$\1', by))})"
 
+    def spaced_dashes(self, text: str) -> str:
+        """Number of double hyphens between single spaces with no hyphen beyond either."""
+        return self.count(text, r"(?<!-)\s--\s(?!-)")
+
     def split(self, text: str, mark: str) -> str:
         return f"split({text}, {self.pattern(mark)}, -1)"
 
     def at(self, array: str, index: str) -> str:
         return f"get({array}, {index})"
 
+    def head(self, array: str, count: int) -> str:
+        return f"slice({array}, 1, {count})"
+
+    def part(self, array: str, low: str, high: str) -> str:
+        """Items from low up to, without, high, counted from 0."""
+        return f"slice({array}, {low} + 1, greatest(0, {high} - {low}))"
+
     def size(self, array: str) -> str:
         return f"size({array})"
 
@@ -119,12 +130,23 @@ class Duck(Spark):
     def replace(self, text: str, regex: str, by: str) -> str:
         return f"regexp_replace({text}, {self.pattern(regex)}, {self.pattern(re.sub(r'<(\d)>', r'\\\1', by))}, 'g')"
 
+    def spaced_dashes(self, text: str) -> str:
+        # No lookaround here: each place is looked at with its neighbours, an empty string standing for the text's edge.
+        fits = rf"regexp_matches(substring({text}, i, 4), '^\s--\s$') AND (i = 1 OR substring({text}, i - 1, 1) <> '-') AND substring({text}, i + 4, 1) <> '-'"
+        return f"len(list_filter(range(1, greatest(2, length({text}) - 2)), lambda i: {fits}))"
+
     def split(self, text: str, mark: str) -> str:
         return f"string_split_regex({text}, {self.pattern(mark)})"
 
     def at(self, array: str, index: str) -> str:
         return f"{array}[{index} + 1]"
 
+    def head(self, array: str, count: int) -> str:
+        return f"({array})[1:{count}]"
+
+    def part(self, array: str, low: str, high: str) -> str:
+        return f"({array})[{low} + 1 : {high}]"
+
     def size(self, array: str) -> str:
         return f"len({array})"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from inkspan.functions.text import MATCH_WORD, PLAIN_WORD, careful_sentences, trimmed
 from inkspan.plans.overlap import coverage
-from inkspan.plans.signals import CITATIONS, HEADER, _source, evidence_score, pattern_scores
+from inkspan.plans.signals import CITATIONS, HEADER, HIGH, _source, evidence_score, pattern_scores, top_signals, unsupported_claims
 from inkspan.plans.textstats import big, dbl
 
 # Quotations of three kinds; verbs and their replacements in reworded options.
@@ -76,37 +76,44 @@ p AS (SELECT doc_id, l, level, lag(level) OVER (PARTITION BY doc_id ORDER BY l)
 SELECT doc_id, {big("l")} AS line_no, {big("level")} AS heading_level, coalesce(level > before + 1, false) AS skips FROM p"""
 
 
-def openings(d) -> str:
-    """The opening of a document: behind an abstract or introduction header, else from its first prose marker, else nothing; up to the next header, 5000 characters at most."""
-    rest = d.first("text", r"(?is)(?:^|\n)[ \t]*(?:abstract|introduction)[ \t]*:?[ \t]*\n(.*)", 1)
-    prose = d.first("text", r"(?is)\b((?:this (?:paper|study|work)|we (?:hypothesi[sz]e|argue|propose|evaluate|investigate)).*)", 1)
-    stop = r"(?is)\n[ \t]*(?:keywords|introduction|background|related work|methods?|methodology|results|discussion|conclusion|references)[ \t]*:?[ \t]*(?:\n.*|$)"
-    cut = lambda x: f"substring({trimmed(d, d.replace(x, stop, ''))}, 1, 5000)"
-    return f"""SELECT doc_id, label, {cut("rest")} AS opening FROM (
-  SELECT doc_id, CASE WHEN {rest} <> '' THEN 'heading' WHEN {prose} <> '' THEN 'opening prose' ELSE 'not located' END AS label, CASE WHEN {rest} <> '' THEN {rest} ELSE {prose} END AS rest
-  FROM ({_source(d)}) t) o"""
-
-
 def check_summary(d) -> str:
-    """One verdict a document from its patterns, provenance marks and evidence."""
-    return f"""SELECT p.doc_id, p.pattern_score, p.provenance, e.evidence_score,
-  CASE WHEN p.provenance > 0 OR p.pattern_score >= 65 OR (e.evidence_score IS NOT NULL AND e.evidence_score < 60) THEN 'needs_review' ELSE 'clear' END AS verdict,
-  {big("CASE WHEN p.provenance > 0 THEN 1 ELSE 0 END + CASE WHEN p.pattern_score >= 65 THEN 1 ELSE 0 END + CASE WHEN e.evidence_score < 60 THEN 1 ELSE 0 END")} AS reasons
-FROM ({pattern_scores(d)}) p JOIN ({evidence_score(d)}) e ON p.doc_id = e.doc_id"""
+    """One verdict a document from its patterns, provenance marks and evidence, and up to three fixes in order of priority.
+
+    Fixes are provenance marks first, then the top signals, then claims
+    without a citation.
+    """
+    fixes = f"""SELECT doc_id, 1 AS kind, k AS place, 'critical' AS priority, 'provenance' AS what FROM {d.numbers("marks", "0", "least(3, provenance)", "k")}
+UNION ALL SELECT doc_id, 2 AS kind, place AS k, CASE WHEN score >= 2 THEN 'high' ELSE 'moderate' END AS priority, category AS what FROM signals
+UNION ALL SELECT doc_id, 3 AS kind, 1 AS k, 'high' AS priority, 'citation' AS what FROM open_claims"""
+    return f"""WITH p AS ({pattern_scores(d)}), e AS ({evidence_score(d)}), marks AS (SELECT doc_id, CAST(provenance AS INT) AS provenance FROM p), signals AS ({top_signals(d)}),
+open_claims AS (SELECT DISTINCT doc_id FROM ({unsupported_claims(d)}) u), fixes AS ({fixes}),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind, place) AS n FROM fixes),
+f AS (SELECT doc_id, {big("count(*)")} AS fixes, {d.joined("priority || ':' || what", "n")} AS top_fixes FROM r WHERE n <= 3 GROUP BY doc_id)
+SELECT p.doc_id, p.pattern_score, p.provenance, e.evidence_score,
+  CASE WHEN NOT p.enough THEN 'insufficient_text' WHEN p.provenance > 0 OR p.pattern_score >= {HIGH} OR (e.evidence_score IS NOT NULL AND e.evidence_score < 60) THEN 'needs_review' ELSE 'clear' END AS verdict,
+  {big(f"CASE WHEN NOT p.enough THEN 1 ELSE CASE WHEN p.provenance > 0 THEN 1 ELSE 0 END + CASE WHEN p.pattern_score >= {HIGH} THEN 1 ELSE 0 END + CASE WHEN e.evidence_score < 60 THEN 1 ELSE 0 END END")} AS reasons,
+  coalesce(f.fixes, 0) AS fixes, coalesce(f.top_fixes, '') AS top_fixes
+FROM p JOIN e ON p.doc_id = e.doc_id LEFT JOIN f ON p.doc_id = f.doc_id"""
 
 
 def reworded(d) -> str:
-    """Options to reword the first sentence of each document."""
-    first = d.at(careful_sentences(d), "0")
-    clean = d.replace(trimmed(d, d.replace(first, r"\s+", " ")), r"[.!?]+$", "")
-    lead = f"lower({d.first('s', r'^\S+')})"
-    verb = "o"
-    for old, new in reversed(VERBS):
-        verb = f"CASE WHEN contains(o, ' {old} ') THEN replace(o, ' {old} ', ' {new} ') ELSE {verb} END"
-    return f"""WITH c AS (SELECT doc_id, {clean} AS s FROM documents),
-o AS (SELECT doc_id, s, {lead} || substring(s, length({lead}) + 1) AS o, {d.count("s", PLAIN_WORD)} AS words FROM c WHERE s <> '')
-SELECT doc_id, 'According to the cited literature, ' || o || '.' AS active, 'Empirical findings suggest that ' || {verb} || ' (the cited literature, 2024).' AS passive,
-  {big("words")} AS words FROM o"""
+    """Three options to reword each sentence of the documents.
+
+    Of the verbs the first in the list that occurs is replaced, once.
+    """
+    rows = d.each("documents", careful_sentences(d), "s", "piece")
+    words = d.all(d.replace(trimmed(d, "piece"), r"[.!?]+$", ""), PLAIN_WORD)
+    once = lambda old, new: f"substring(o, 1, strpos(o, ' {old} ') - 1) || ' {new} ' || substring(o, strpos(o, ' {old} ') + {len(old) + 2})"
+    if d.name == "spark":
+        once = lambda old, new: f"substring(o, 1, instr(o, ' {old} ') - 1) || ' {new} ' || substring(o, instr(o, ' {old} ') + {len(old) + 2})"
+    verb = "CASE " + " ".join(f"WHEN contains(o, ' {old} ') THEN {once(old, new)}" for old, new in VERBS) + " ELSE o END"
+    half = lambda low, high: d.join_words(d.part("w", low, high))
+    return f"""WITH c AS (SELECT doc_id, s, {words} AS w FROM {rows}),
+o AS (SELECT doc_id, s, w, {d.size("w")} AS n, lower({d.at("w", "0")}) || ' ' || {half("1", d.size("w"))} AS o FROM c WHERE {d.size("w")} > 0)
+SELECT doc_id, {big("s")} AS sentence_no, {big("n")} AS words, 'According to the cited literature, ' || o || '.' AS active,
+  'Empirical findings suggest that ' || {verb} || ' (the cited literature, 2024).' AS passive,
+  CASE WHEN n > 6 THEN 'Regarding ' || lower({half("0", "CAST(floor(n / 2) AS INT)")}) || ', subsequent analysis confirms that ' || {half("CAST(floor(n / 2) AS INT)", "n")} || '.'
+    ELSE 'Notably, ' || o || ', reflecting core principles documented in the cited literature.' END AS analytical FROM o"""
 
 
 def math_counts(d) -> str:
@@ -126,5 +133,5 @@ def attribution(d) -> str:
 
 
 PLANS = {
-    f.__name__: f for f in (overlap_variants, block_types, section_words, skipped_headings, openings, check_summary, reworded, math_counts, attribution)
+    f.__name__: f for f in (overlap_variants, block_types, section_words, skipped_headings, check_summary, reworded, math_counts, attribution)
 }

@@ -6,9 +6,9 @@ The driver's documents hold few of these patterns, so the queries run over
 
 from __future__ import annotations
 
-from inkspan.functions.text import MATCH_WORD, PATTERN_SENTENCE, PATTERN_WORD, careful_sentences, trimmed
+from inkspan.functions.text import MATCH_WORD, PATTERN_SENTENCE, PATTERN_WORD, PLAIN_WORD, careful_sentences, trimmed
 from inkspan.plans.overlap import overlap_by_source
-from inkspan.plans.textstats import big, dbl, rhythm_score
+from inkspan.plans.textstats import aliased, big, dbl, rhythm_score
 
 SNIPPETS = (
     "Plain words end this page without any signal at all.",
@@ -85,20 +85,42 @@ CLAIMS = (
     r"\b(?:according to recent (?:findings|reports|data|surveys))\b",
     r"\b(?:has been shown to (?:cause|reduce|increase|improve|lead to))\b",
 )
-INFORMAL = (
-    "a lot of", "basically", "get rid of", "big impact", "good results", "talk about", "shows clearly", "really important", "things",
-    "kind of", "sort of", "a bunch of", "cannot be denied", "everyone knows", "deal with", "find out", "make sure", "looked at",
-)
+INFORMAL = {
+    "a lot of": ("a substantial proportion of", "numerous", "an extensive quantity of"), "basically": ("fundamentally", "primarily", "essentially"),
+    "get rid of": ("eliminate", "mitigate", "eradicate"), "big impact": ("significant effect", "substantial influence", "pronounced outcome"),
+    "good results": ("statistically significant outcomes", "favorable empirical metrics", "robust performance"), "talk about": ("discuss", "examine", "articulate", "analyze"),
+    "shows clearly": ("substantiates", "empirically illustrates", "demonstrates"), "really important": ("paramount", "critical", "pivotal", "of foundational importance"),
+    "things": ("factors", "variables", "phenomena", "elements", "mechanisms"), "kind of": ("moderately", "partially", "to a certain degree"),
+    "sort of": ("qualitatively similar to", "resembling"), "a bunch of": ("a cluster of", "an array of", "a multiplicity of"),
+    "cannot be denied": ("evidence indicates", "literature demonstrates"), "everyone knows": ("it is widely recognized in scholarly consensus that",),
+    "deal with": ("address", "manage", "intervene upon"), "find out": ("ascertain", "determine", "uncover"), "make sure": ("ensure", "verify", "ascertain"),
+    "looked at": ("investigated", "evaluated", "scrutinized"),
+}
 ANONYMITY = (
     r"\b(?:in\s+our\s+previous\s+(?:work|paper|research|study))\b", r"\b(?:we\s+previously\s+(?:showed|demonstrated|introduced|published))\b",
     r"https?://(?:www\.)?github\.com/([a-zA-Z0-9_-]+)/([a-zA-Z0-9_-]+)", r"\b(?:our\s+laboratory|our\s+institution|our\s+group\s+at)\b",
     r"\b(?:grants?\s+(?:from|by|number)|supported\s+by\s+NSF|DARPA|NIH)\b",
 )
+FRONT_MATTER = (
+    r"\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b", r"\b(?:Department of|University of|School of|College of|Institute of)\b[^\n.!?]{0,120}",
+    r"(?m)^[ \t]*(?:By\s+|Author:\s*)[A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){1,3}\s*$",
+)
+OPENING_HEAD = r"^[ \t]*(?:#+[ \t]*|\d+\.?[ \t]*)?{}[ \t]*(?::[ \t]*)?$"
+OPENING_STOP = r"(?:keywords|introduction|background|related work|modeling approach|methods?|methodology|results(?: and comparison)?|discussion|conclusion|references)"
+OPENING_PROSE = r"(?:this (?:paper|study|work)|we (?:hypothesi[sz]e|argue|propose|evaluate|investigate)|the central (?:claim|hypothesis|question)|model selection is)\b"
+BOUND, PARAGRAPHS = r"\b", r"\n\s*\n"
 THESIS = (
     (25, r"\b(hypothesi[sz](?:e|es)|argu(?:e|es)|propos(?:e|es)|demonstrat(?:e|es)|investigat(?:e|es)|examin(?:e|es)|aims? to|objective|central claim|research question)\b"),
     (20, r"\b(using|method|methodology|dataset|experiment|analyzed|evaluated|simulation|framework)\b"),
     (15, r"\b(crucial|significance|implication|contributes|advance|fundamental|impact)\b"),
 )
+#: Category and its label, in the order of the profile; least score of the two upper bands; words from which a profile is reliable.
+LABELS = {
+    "predictability": "Predictable vocabulary", "burstiness": "Sentence rhythm", "hedging": "Hedge density", "structure": "Formulaic structure",
+    "specificity": "Specificity and grounding", "transitions": "Transition fingerprint", "punctuation": "Punctuation fingerprint",
+    "register": "Assistant-style register", "rhetoric": "Rhetorical scaffolding",
+}
+ELEVATED, HIGH, RELIABLE_WORDS = 25, 65, 120
 HIDDEN = "​‌‍﻿­⁠‎‏‪‫‬‭‮"
 LOOKALIKES = "аеорсухіјѕвнтАВЕКМНОРСТХУαεορνΑΒΕΗΙΚΜΝΟΡΤΧΥΖａｂｃｄｅ"
 LATIN = "aeopcyxijsbhtABEKMHOPCTXYaeopvABEHIKMNOPTXYZabcde"
@@ -116,6 +138,11 @@ def _source(d) -> str:
     return f"SELECT doc_id, text || {d.char(10)} || CASE doc_id % {len(SNIPPETS)} {cases} END AS text FROM documents"
 
 
+def _rows(d) -> str:
+    """The same as a table expression."""
+    return f"({_source(d)})" + (" t" if d.name == "spark" else "")
+
+
 def ci(regex: str) -> str:
     return "(?i)" + regex
 
@@ -132,23 +159,39 @@ def pattern_evidence(d) -> str:
     """Hits of each category, with words and bullets."""
     markers = " + ".join(f"CASE WHEN {d.like('text', ci(chr(92) + 'b' + m + chr(92) + 'b'))} THEN 1 ELSE 0 END" for m in MARKERS)
     bullets = d.count("text", r"(?m)^[ \t]*(?:[-*•]|\d+[.)])\s+")
-    return f"""SELECT doc_id, {big(d.count("lower(text)", PATTERN_WORD))} AS words, {big(markers)} AS distinct_markers, {big(total(d, HEDGES))} AS hedges,
+    each_marker = " + ".join(d.count("text", ci(rf"\b{m}\b")) for m in MARKERS)
+    return f"""SELECT doc_id, {big(d.count("lower(text)", PATTERN_WORD))} AS words, {big(markers)} AS distinct_markers, {big(each_marker)} AS markers, {big(total(d, HEDGES))} AS hedges,
   {big(total(d, STRUCTURES) + f" + CASE WHEN {bullets} >= 5 THEN 1 ELSE 0 END")} AS structures, {big(total(d, TRANSITIONS))} AS transitions,
-  {big(d.count("text", "—"))} AS em_dashes, {big(d.count("text", r"[^-]\s--\s[^-]"))} AS double_dashes, {big(d.count("text", r"—[^—\n]{2,100}—"))} AS wrapped,
+  {big(d.count("text", "—"))} AS em_dashes, {big(d.spaced_dashes("text"))} AS double_dashes, {big(d.count("text", r"—[^—\n]{2,100}—"))} AS wrapped,
   {big(d.count("text", ci(r"\b(?:the (?:problem|answer|reason|rule|point)|what matters)\s*:")))} AS colons, {big(total(d, CHATBOT))} AS chatbot,
   {big(total(d, RHETORIC))} AS rhetoric, {big(total(d, PROVENANCE))} AS provenance FROM ({_source(d)}) t"""
 
 
 def specificity(d) -> str:
-    """Sentences that claim vaguely, with neither a citation nor an anchor."""
-    found = d.each(f"({_source(d)})" + (" t" if d.name == "spark" else ""), d.all("text", PATTERN_SENTENCE), "s", "piece")
+    """Sentences that claim vaguely with neither a citation nor an anchor, other claims without a citation, and long paragraphs with neither.
+
+    A claim counts if its sentence isn't among the vague ones, once for each
+    wording of up to 220 characters. Paragraphs count from 120 words of text on.
+    """
+    found = d.each(_rows(d), d.all("text", PATTERN_SENTENCE), "s", "piece")
     vague = " OR ".join(d.like("piece", ci(p)) for p in VAGUE)
-    return f"""SELECT doc_id, {big("count(*)")} AS unanchored FROM {found}
-WHERE length({trimmed(d, "piece")}) >= 4 AND ({vague}) AND NOT ({d.like("piece", ANCHORED)}) AND NOT ({d.like("piece", ANCHOR)}) GROUP BY doc_id"""
+    paragraphs = d.each(_rows(d), d.split("text", r"\n\s*\n"), "s", "piece")
+    unmarked = f"NOT ({d.like('piece', ANCHORED)}) AND NOT ({d.like('piece', ANCHOR)})"
+    return f"""WITH u AS (SELECT doc_id, substring({trimmed(d, "piece")}, 1, 220) AS sentence FROM {found} WHERE length({trimmed(d, "piece")}) >= 4 AND ({vague}) AND {unmarked}),
+c AS (SELECT doc_id, sentence, CASE WHEN length(sentence) <= 220 THEN 1 ELSE count(*) END AS n FROM ({_claims(d, "sentence")}) x WHERE NOT has_citation GROUP BY doc_id, sentence),
+k AS (SELECT c.doc_id, sum(c.n) AS n FROM c LEFT JOIN (SELECT DISTINCT doc_id, sentence FROM u) v ON c.doc_id = v.doc_id AND c.sentence = v.sentence WHERE v.doc_id IS NULL GROUP BY c.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id),
+p AS (SELECT doc_id, count(*) AS n FROM {paragraphs} WHERE {d.count("lower(piece)", PATTERN_WORD)} >= 35 AND {unmarked} GROUP BY doc_id)
+SELECT t.doc_id, {big("coalesce(n.n, 0)")} AS unanchored, {big("coalesce(k.n, 0)")} AS unsupported,
+  {big(f"CASE WHEN {d.count('lower(t.text)', PATTERN_WORD)} >= {RELIABLE_WORDS} THEN coalesce(p.n, 0) ELSE 0 END")} AS bare_paragraphs
+FROM {aliased(_rows(d))} LEFT JOIN n ON t.doc_id = n.doc_id LEFT JOIN k ON t.doc_id = k.doc_id LEFT JOIN p ON t.doc_id = p.doc_id"""
 
 
 def pattern_scores(d) -> str:
-    """Scores 0 to 3 of nine categories, their total of 27 in percent, and its band."""
+    """Scores 0 to 3 of nine categories, their total of 27 in percent, its band, and the number of evidence rows of each category.
+
+    A text without words or sentences is insufficient: no points.
+    """
     dash = f"""CASE WHEN e.em_dashes = 0 AND e.double_dashes = 0 AND e.colons = 0 THEN 0
     WHEN e.wrapped > 0 OR {dbl("e.em_dashes")} / greatest(1, e.words) * 300 > 3 OR e.colons >= 2 THEN 2 ELSE 1 END"""
     hedge = f"CASE WHEN {dbl('e.hedges')} / greatest(1, e.words) * 100 >= 3 THEN 3 WHEN {dbl('e.hedges')} / greatest(1, e.words) * 100 >= 1.5 THEN 2 WHEN e.hedges > 0 THEN 1 ELSE 0 END"
@@ -157,38 +200,57 @@ def pattern_scores(d) -> str:
         "burstiness": "r.score",
         "hedging": hedge,
         "structure": band("e.structures", 2, 4),
-        "specificity": band("coalesce(s.unanchored, 0)", 2, 4),
+        "specificity": band("(s.unanchored + s.unsupported + s.bare_paragraphs)", 2, 4),
         "transitions": band("e.transitions", 2, 4),
         "punctuation": dash,
         "register": "CASE WHEN e.chatbot >= 2 THEN 3 WHEN e.chatbot > 0 THEN 2 ELSE 0 END",
         "rhetoric": band("e.rhetoric", 2, 4),
     }
-    listed = ", ".join(f"{big(v)} AS {k}" for k, v in cols.items())
+    rows = {
+        "predictability": "e.markers", "burstiness": "r.uniform_runs", "hedging": "e.hedges", "structure": "e.structures", "specificity": "s.unanchored + s.unsupported",
+        "transitions": "e.transitions", "punctuation": "e.em_dashes + e.double_dashes + least(1, e.wrapped) + e.colons", "register": "e.chatbot", "rhetoric": "e.rhetoric",
+    }
+    enough = "e.words > 0 AND r.sentences > 0"
+    listed = ", ".join(f"{big(f'CASE WHEN {enough} THEN {v} ELSE 0 END')} AS {k}" for k, v in cols.items())
+    counted = ", ".join(f"{big(f'CASE WHEN {enough} THEN {v} ELSE 0 END')} AS n_{k}" for k, v in rows.items())
     return f"""WITH c AS (
-  SELECT e.doc_id, e.words, e.provenance, {listed}
-  FROM ({pattern_evidence(d)}) e JOIN ({rhythm_score(d)}) r ON e.doc_id = r.doc_id LEFT JOIN ({specificity(d)}) s ON e.doc_id = s.doc_id
+  SELECT e.doc_id, e.words, CASE WHEN {enough} THEN e.provenance ELSE 0 END AS provenance, {enough} AS enough, {listed}, {counted}
+  FROM ({pattern_evidence(d)}) e JOIN ({rhythm_score(d, _rows(d))}) r ON e.doc_id = r.doc_id JOIN ({specificity(d)}) s ON e.doc_id = s.doc_id
 ), t AS (SELECT *, {" + ".join(cols)} AS points FROM c)
 SELECT *, round({dbl("points")} / 27 * 100, 1) AS pattern_score,
-  CASE WHEN {dbl("points")} / 27 < 0.25 THEN 'Low Pattern Score' WHEN {dbl("points")} / 27 < 0.65 THEN 'Elevated Pattern Score' ELSE 'High Pattern Score' END AS pattern_band,
-  CASE WHEN words < 120 THEN 'limited' ELSE 'standard' END AS reliability FROM t"""
+  CASE WHEN NOT enough THEN 'Insufficient Text' WHEN round({dbl("points")} / 27 * 100, 1) < {ELEVATED} THEN 'Low Pattern Score'
+    WHEN round({dbl("points")} / 27 * 100, 1) < {HIGH} THEN 'Elevated Pattern Score' ELSE 'High Pattern Score' END AS pattern_band,
+  CASE WHEN NOT enough THEN 'insufficient' WHEN words < {RELIABLE_WORDS} THEN 'limited' ELSE 'standard' END AS reliability FROM t"""
 
 
 def top_signals(d) -> str:
-    """The up to four categories of most points of each document, ties by name."""
-    names = ("predictability", "burstiness", "hedging", "structure", "specificity", "transitions", "punctuation", "register", "rhetoric")
+    """The up to four categories of most points of each document; ties by number of evidence rows, then by label."""
+    names = tuple(LABELS)
     quoted, rows = d.array(f"'{n}'" for n in names), d.each("u", "names", "k", "category")
-    return f"""WITH s AS ({pattern_scores(d)}), u AS (SELECT doc_id, {quoted} AS names, {d.array(names)} AS scores FROM s),
-v AS (SELECT doc_id, category, {d.at("scores", "k")} AS score FROM {rows})
-SELECT doc_id, category, score, {big("place")} AS place FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) AS place FROM v WHERE score > 0) r WHERE place <= 4"""
+    labels = d.array(f"'{n}'" for n in LABELS.values())
+    return f"""WITH s AS ({pattern_scores(d)}),
+u AS (SELECT doc_id, {quoted} AS names, {labels} AS labels, {d.array(names)} AS scores, {d.array(f"n_{n}" for n in names)} AS counts FROM s),
+v AS (SELECT doc_id, category, {d.at("labels", "k")} AS label, {d.at("scores", "k")} AS score, {d.at("counts", "k")} AS evidence_count FROM {rows})
+SELECT doc_id, category, label, score, evidence_count, {big("place")} AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, evidence_count DESC, label) AS place FROM v WHERE score > 0) r WHERE place <= 4"""
 
 
 def calibration(d) -> str:
-    """Distribution of the pattern score over all documents, nearest-rank quantiles."""
-    return f"""WITH s AS (SELECT pattern_score, row_number() OVER (ORDER BY pattern_score, doc_id) AS k, count(*) OVER () AS n FROM ({pattern_scores(d)}) p)
-SELECT {big("max(n)")} AS documents, round(avg(pattern_score), 4) AS mean, round(stddev_pop(pattern_score), 4) AS deviation, max(pattern_score) AS largest,
-  max(CASE WHEN k = CAST(ceil(n * 0.75) AS BIGINT) THEN pattern_score END) AS p75, max(CASE WHEN k = CAST(ceil(n * 0.9) AS BIGINT) THEN pattern_score END) AS p90,
-  max(CASE WHEN k = CAST(ceil(n * 0.95) AS BIGINT) THEN pattern_score END) AS p95, {big("sum(CASE WHEN pattern_score >= 25 THEN 1 ELSE 0 END)")} AS flagged FROM s"""
+    """Distribution of the pattern score over all documents: quantiles by rank, documents flagged, documents in which each category fires.
+
+    Scores take 28 values at most, so ranks are read off their counts.
+    """
+    fired = ", ".join(f"sum(CASE WHEN {c} > 0 THEN 1 ELSE 0 END) AS {c}" for c in LABELS)
+    rank = lambda p: f"max(CASE WHEN high > {p} AND high - n <= {p} THEN pattern_score END)"  # noqa: E731  the score of rank p, from 0
+    place = lambda pct: f"floor({dbl(pct)} / 100 * (total - 1) + 0.5)"
+    totals = ", ".join(f"{big(f'sum({c})')} AS fired_{c}" for c in LABELS)
+    return f"""WITH h AS (SELECT pattern_score, count(*) AS n, {fired} FROM ({pattern_scores(d)}) p GROUP BY pattern_score),
+r AS (SELECT *, sum(n) OVER (ORDER BY pattern_score) AS high, sum(n) OVER () AS total FROM h)
+SELECT {big("max(total)")} AS documents, round({dbl("sum(n * pattern_score)")} / max(total), 2) AS mean,
+  ({rank("floor((total - 1) / 2.0)")} + {rank("ceil((total - 1) / 2.0)")}) / 2 AS median,
+  round(sqrt(greatest({dbl("0")}, {dbl("sum(n * pattern_score * pattern_score)")} / max(total) - ({dbl("sum(n * pattern_score)")} / max(total)) * ({dbl("sum(n * pattern_score)")} / max(total)))), 2) AS deviation,
+  max(pattern_score) AS largest, {rank(place(75))} AS p75, {rank(place(90))} AS p90, {rank(place(95))} AS p95, {rank("total - 1")} AS p100,
+  {big(f"sum(CASE WHEN pattern_score >= {ELEVATED} THEN n ELSE 0 END)")} AS elevated, {big(f"sum(CASE WHEN pattern_score >= {HIGH} THEN n ELSE 0 END)")} AS high, {totals} FROM r"""
 
 
 def sanitized(d) -> str:
@@ -237,9 +299,15 @@ def _cites(d) -> str:
 
 
 def citation_scan(d) -> str:
-    """In-text citations of each style in the body."""
-    return f"""WITH parts AS ({_parts(d)}), {_cites(d)}
-SELECT doc_id, style, {big("count(*)")} AS citations, min(content) AS first_content FROM cites GROUP BY doc_id, style"""
+    """In-text citations of each style in the body, numbered, with what they say and where that begins."""
+    rows = []
+    for style, pattern in CITATIONS.items():
+        # A match begins behind the pieces and matches before it, its content at the first place of the content in it.
+        pieces, found = d.split("body", pattern), d.all("body", pattern)
+        each = d.each("(SELECT doc_id, body, " + f"{found} AS found, {d.all('body', pattern, 1)} AS said, {pieces} AS pieces FROM parts) x", "found", "c", "raw")
+        rows.append(f"""SELECT doc_id, '{style}' AS style, c, raw, {d.at("said", "c")} AS content, length({d.at("pieces", "c")}) AS lead, length(raw) AS own FROM {each}""")
+    return f"""WITH parts AS ({_parts(d)}), found AS ({" UNION ALL ".join(rows)})
+SELECT doc_id, style, {big("c")} AS citation_no, raw, content, {big("sum(lead + own) OVER (PARTITION BY doc_id, style ORDER BY c) - own")} AS start_offset FROM found"""
 
 
 def bibliography_entries(d) -> str:
@@ -247,16 +315,26 @@ def bibliography_entries(d) -> str:
 
 
 def _links(d) -> str:
+    """Citations and the entries they mean: by surname as a word and year; numbered ones only if each number has an entry."""
     surname = d.first("c.content", r"[A-Z][\w’'-]+")
     year = d.first("c.content", r"(?:19|20)\d{2}[a-z]?")
-    number = d.first("c.content", r"\d+")
-    bracket = f"(e.entry LIKE '[' || {number} || ']%' OR e.entry LIKE {number} || '.%' OR e.entry LIKE {number} || ']%' OR e.entry LIKE '[' || {number} || '.%')"
-    named = f"(c.style <> 'IEEE' AND {surname} <> '' AND contains(lower(e.entry), lower({surname})) AND ({year} = '' OR contains(e.entry, {year})))"
-    return f"links AS (SELECT c.doc_id, c.style, c.c, e.e FROM cites c JOIN entries e ON c.doc_id = e.doc_id WHERE (c.style = 'IEEE' AND {bracket}) OR {named})"
+    numbers = d.each("ieee", "ns", "k", "number")
+    return f"""named AS (SELECT doc_id, style, c, {trimmed(d, d.replace(f"lower({surname})", r"[^a-z0-9_]+", " "))} AS surname, {year} AS year FROM cites c WHERE style <> 'IEEE'),
+worded AS (SELECT doc_id, e, entry, ' ' || {d.replace("lower(entry)", r"[^a-z0-9_]+", " ")} || ' ' AS line FROM entries),
+ieee AS (SELECT doc_id, c, {d.all("content", r"[0-9]+")} AS ns FROM cites WHERE style = 'IEEE'),
+numbers AS (SELECT DISTINCT doc_id, c, number FROM {numbers}),
+marks AS (SELECT doc_id, e, {d.first("entry", r"^\[?([0-9]+)[\].]", 1)} AS number FROM entries),
+pairs AS (SELECT n.doc_id, n.c, n.number, m.e FROM numbers n LEFT JOIN marks m ON n.doc_id = m.doc_id AND n.number = m.number),
+whole AS (SELECT doc_id, c FROM pairs GROUP BY doc_id, c HAVING sum(CASE WHEN e IS NULL THEN 1 ELSE 0 END) = 0),
+links AS (
+  SELECT n.doc_id, n.style, n.c, e.e FROM named n JOIN worded e ON n.doc_id = e.doc_id
+  WHERE n.surname <> '' AND contains(e.line, ' ' || n.surname || ' ') AND (n.year = '' OR contains(e.entry, n.year))
+  UNION ALL SELECT p.doc_id, 'IEEE' AS style, p.c, p.e FROM pairs p JOIN whole w ON p.doc_id = w.doc_id AND p.c = w.c
+)"""
 
 
 def citation_links(d) -> str:
-    """Citations, those linked to an entry by surname and year or by their first number, and the bibliography's size."""
+    """Citations, those linked to an entry by surname and year or by all their numbers, and the bibliography's size."""
     return f"""WITH parts AS ({_parts(d)}), {_cites(d)}, {_entries(d)}, {_links(d)},
 per AS (SELECT doc_id, count(*) AS n FROM cites GROUP BY doc_id), good AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, style, c FROM links) x GROUP BY doc_id),
 size AS (SELECT doc_id, count(*) AS n FROM entries GROUP BY doc_id)
@@ -265,8 +343,13 @@ SELECT p.doc_id, {big("coalesce(per.n, 0)")} AS citations, {big("coalesce(good.n
 
 
 def uncited_references(d) -> str:
-    return f"""WITH parts AS ({_parts(d)}), {_cites(d)}, {_entries(d)}, {_links(d)}
-SELECT e.doc_id, {big("e.e")} AS entry_no, e.entry FROM entries e LEFT JOIN (SELECT DISTINCT doc_id, e FROM links) l ON e.doc_id = l.doc_id AND e.e = l.e WHERE l.e IS NULL"""
+    """Entries that no linked citation names, by surname alone or by any of its numbers."""
+    return f"""WITH parts AS ({_parts(d)}), {_cites(d)}, {_entries(d)}, {_links(d)}, good AS (SELECT DISTINCT doc_id, style, c FROM links),
+cited AS (
+  SELECT n.doc_id, e.e FROM named n JOIN good g ON n.doc_id = g.doc_id AND n.style = g.style AND n.c = g.c JOIN worded e ON n.doc_id = e.doc_id WHERE contains(e.line, ' ' || n.surname || ' ')
+  UNION SELECT doc_id, e FROM links WHERE style = 'IEEE'
+)
+SELECT e.doc_id, {big("e.e")} AS entry_no, e.entry FROM entries e LEFT JOIN cited l ON e.doc_id = l.doc_id AND e.e = l.e WHERE l.e IS NULL"""
 
 
 def citations_without_reference(d) -> str:
@@ -312,11 +395,13 @@ def isbn_checks(d) -> str:
 FROM (SELECT doc_id, value, {d.replace("value", "[^0-9Xx]", "")} AS x FROM {found}) v"""
 
 
-def _claims(d) -> str:
+def _claims(d, *more: str) -> str:
+    """Claims of more than 20 characters; `more`: "sentence" for their text too."""
     sentences = d.each(f"({_source(d)})" + (" t" if d.name == "spark" else ""), careful_sentences(d), "s", "piece")
     marker = "coalesce(" + ", ".join(f"nullif({d.first('piece', ci(p))}, '')" for p in CLAIMS) + ")"
     cite = "coalesce(" + ", ".join(f"nullif({d.first('piece', p)}, '')" for p in CITATIONS.values()) + ")"
-    return f"""SELECT doc_id, {big("s")} AS sentence_no, {marker} AS marker, {cite} AS citation, {cite} IS NOT NULL AS has_citation
+    sentence = f"{trimmed(d, 'piece')} AS sentence, " if more else ""
+    return f"""SELECT doc_id, {sentence}{big("s")} AS sentence_no, {marker} AS marker, {cite} AS citation, {cite} IS NOT NULL AS has_citation
 FROM {sentences} WHERE length({trimmed(d, "piece")}) > 20 AND {marker} IS NOT NULL"""
 
 
@@ -368,24 +453,70 @@ def identifier_routes(d) -> str:
 
 
 def informal_terms(d) -> str:
-    counts = d.array(big(d.count("text", ci(rf"\b{w}\b"))) for w in INFORMAL)
-    rows = d.each("u", "names", "k", "term")
-    quoted = d.array(f"'{w}'" for w in INFORMAL)
-    return f"""WITH u AS (SELECT doc_id, {quoted} AS names, {counts} AS counts FROM ({_source(d)}) t), v AS (SELECT doc_id, term, {d.at("counts", "k")} AS n FROM {rows})
-SELECT doc_id, term, n FROM v WHERE n > 0"""
+    """The first twelve informal terms of a text, by the order of the list and then of the text, with 25 characters on either side and formal wordings."""
+    rows = []
+    for k, term in enumerate(INFORMAL):
+        pattern = ci(rf"\b{term}\b")
+        guard = d.like("text", pattern)
+        found = d.each(f"(SELECT doc_id, text, {d.all('text', pattern)} AS found, {d.split('text', pattern)} AS pieces FROM injected WHERE {guard}) x", "found", "i", "term")
+        rows.append(f"SELECT doc_id, text, {k} AS k, i, term, '{', '.join(INFORMAL[term])}' AS wordings, length({d.at('pieces', 'i')}) AS lead, length(term) AS own FROM {found}")
+    return f"""WITH injected AS ({_source(d)}), found AS ({" UNION ALL ".join(rows)}),
+placed AS (SELECT *, sum(lead + own) OVER (PARTITION BY doc_id, k ORDER BY i) - own AS low FROM found),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, low) AS place FROM placed)
+SELECT doc_id, {big("place")} AS place, term, {big("low")} AS start_offset, '...' || replace(substring(text, CAST(greatest(0, low - 25) AS INT) + 1, CAST(low + own + 25 - greatest(0, low - 25) AS INT)), {d.char(10)}, ' ') || '...' AS snippet, wordings FROM r WHERE place <= 12"""
+
+
+def _openings(d) -> str:
+    """doc_id, label, opening and front matter of the injected texts.
+
+    The opening begins behind the first abstract or introduction header, else
+    at the first prose marker, else at the first paragraph of 20 words with a
+    sentence mark; it ends at the next section's header or after 5000
+    characters. The front matter ends at the first header or marker, or after
+    1500 characters.
+    """
+    header = OPENING_HEAD.format("(?:abstract|introduction)")
+    rest = d.first("text", f"(?ims){header}(.*)", 1)
+    named = d.first("text", f"(?im){OPENING_HEAD.format('(abstract|introduction)')}", 1)
+    prose = d.first("text", rf"(?is)\b({OPENING_PROSE}.*)", 1)
+    before = lambda text, pattern: d.at(d.split(text, pattern), "0")
+    stop = f"(?im){OPENING_HEAD.format(OPENING_STOP)}"
+    pieces = d.each(f"(SELECT doc_id, text, {d.split('text', PARAGRAPHS)} AS pieces, {d.all('text', PARAGRAPHS)} AS gaps FROM injected) x", "pieces", "s", "piece")
+    return f"""WITH injected AS ({_source(d)}),
+p AS (SELECT doc_id, s, piece, length(piece) AS own, length(coalesce({d.at("gaps", "s")}, '')) AS gap FROM {pieces}),
+q AS (SELECT doc_id, s, sum(own + gap) OVER (PARTITION BY doc_id ORDER BY s) - own - gap AS low, {d.count("piece", PLAIN_WORD)} >= 20 AND {d.like("piece", "[.!?]")} AS fits FROM p),
+f AS (SELECT doc_id, min(low) AS low FROM q WHERE fits GROUP BY doc_id),
+r AS (
+  SELECT t.doc_id, t.text, CASE WHEN {d.like("t.text", f"(?im){header}")} THEN lower({named.replace("text", "t.text")}) WHEN {d.like("t.text", rf"(?i){BOUND}{OPENING_PROSE}")} THEN 'opening prose'
+    WHEN f.low IS NOT NULL THEN 'first substantial paragraph' ELSE 'not located' END AS label, f.low FROM injected t LEFT JOIN f ON t.doc_id = f.doc_id
+),
+o AS (SELECT doc_id, text, label, CASE WHEN label IN ('abstract', 'introduction') THEN {rest} WHEN label = 'opening prose' THEN {prose}
+  WHEN label = 'not located' THEN '' ELSE substring(text, CAST(low AS INT) + 1) END AS rest FROM r)
+SELECT doc_id, label, substring({trimmed(d, before("rest", stop))}, 1, 5000) AS opening,
+  CASE WHEN {d.like("text", f"(?im){header}")} OR {d.like("text", rf"(?i){BOUND}{OPENING_PROSE}")} THEN
+    substring(text, 1, least(length({before("text", f"(?im){header}")}), length({before("text", rf"(?i){BOUND}{OPENING_PROSE}")}))) ELSE substring(text, 1, 1500) END AS front FROM o"""
+
+
+def openings(d) -> str:
+    return f"SELECT doc_id, label, opening FROM ({_openings(d)}) o"
 
 
 def thesis_score(d) -> str:
-    """Points of the snippet part of a document as an opening: 40, and more for a thesis, a method and a meaning."""
+    """Points of the opening: 40, and more for a thesis, a method and a meaning."""
     points = " + ".join(f"CASE WHEN {d.like('opening', ci(p))} THEN {n} ELSE 0 END" for n, p in THESIS)
-    opening = d.first("text", r"(?i)((?:this (?:paper|study|work)|we (?:hypothesi[sz]e|argue|propose|evaluate|investigate)).*)", 1)
-    return f"""SELECT doc_id, opening, {big(f"CASE WHEN opening = '' THEN 0 ELSE 40 + {points} END")} AS score FROM (SELECT doc_id, {opening} AS opening FROM ({_source(d)}) t) o"""
+    return f"SELECT doc_id, label, {big(d.count('opening', PLAIN_WORD))} AS words, {big(f'CASE WHEN opening = {chr(39) * 2} THEN 0 ELSE 40 + {points} END')} AS score FROM ({_openings(d)}) o"
 
 
 def anonymity(d) -> str:
-    """Self-identifying patterns, and a readiness score that loses 15 points for each, 45 at most."""
-    n = total(d, ANONYMITY)
-    return f"SELECT doc_id, {big(n)} AS issues, {n} = 0 AS compliant, {big(f'greatest(20, 100 - least(15 * {n}, 45))')} AS readiness FROM ({_source(d)}) t"
+    """Self-identifying patterns of the text and of its front matter, and a readiness score that loses 15 points for each, 45 at most, and 10 for each section of high cadence."""
+    body = total(d, ANONYMITY)
+    front = "(" + " + ".join(d.count("front", p) for p in FRONT_MATTER) + ")"
+    return f"""WITH o AS ({_openings(d)}), t AS (SELECT doc_id, {big(body)} AS body_issues FROM {aliased(_rows(d))}),
+h AS (SELECT doc_id, count(*) AS n FROM ({section_cadence(d)}) c WHERE cadence = 'High' GROUP BY doc_id),
+n AS (SELECT t.doc_id, t.body_issues, {big(front)} AS front_issues, {big("coalesce(h.n, 0)")} AS high_sections FROM t JOIN o ON t.doc_id = o.doc_id LEFT JOIN h ON t.doc_id = h.doc_id),
+s AS (SELECT *, {big("greatest(20, 100 - least(15 * (body_issues + front_issues), 45) - 10 * high_sections)")} AS readiness FROM n)
+SELECT *, body_issues + front_issues = 0 AS compliant, CASE WHEN body_issues + front_issues = 0 THEN 'no_identifiers_detected' ELSE 'potential_identifiers_found' END AS status,
+  CASE WHEN readiness >= 85 THEN 'success' WHEN readiness >= 60 THEN 'warning' ELSE 'danger' END AS badge FROM s"""
 
 
 def section_cadence(d) -> str:
@@ -405,6 +536,6 @@ PLANS = {
     for f in (
         pattern_evidence, specificity, pattern_scores, top_signals, calibration, sanitized, mixed_script_words, citation_scan, bibliography_entries, citation_links,
         uncited_references, citations_without_reference, duplicate_references, alphabetized_references, link_checks, isbn_checks, claims, unsupported_claims,
-        source_quality, evidence_score, identifier_routes, informal_terms, thesis_score, anonymity, section_cadence,
+        source_quality, evidence_score, identifier_routes, informal_terms, openings, thesis_score, anonymity, section_cadence,
     )
 }

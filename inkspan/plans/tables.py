@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkspan.functions.text import MATCH_WORD, checker_words, marked_sentences, match_words, trimmed
+from inkspan.functions.text import MARK, MATCH_WORD, PLAIN_WORD, checker_words, marked_sentences, match_words, trimmed
 from inkspan.plans.textstats import big, dbl
 
 # Words of little weight in term-frequency cosines.
@@ -97,7 +97,7 @@ def subscribers(d) -> str:
     return f"""WITH m AS (SELECT event_id, ts, ' User' || CAST(user_id AS {d.text_type}) || '@Example.ORG ' AS mail FROM events),
 r AS (SELECT {mail} AS email, ts, event_id, row_number() OVER (PARTITION BY {mail} ORDER BY ts, event_id) AS k FROM m),
 v AS (SELECT email, ts, event_id FROM r WHERE k = 1 AND {d.like("email", r"^[^\s@]+@[^\s@]+\.[^\s@]+$")} AND length(email) <= 254)
-SELECT email, event_id, {big("row_number() OVER (ORDER BY ts DESC, email)")} AS place FROM v"""
+SELECT email, event_id, ts FROM v ORDER BY ts DESC, email"""
 
 
 def page_text(d) -> str:
@@ -107,22 +107,31 @@ def page_text(d) -> str:
 
 
 def html_escaped(d) -> str:
-    return "SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html FROM documents"
+    return "SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;') AS html FROM documents"
 
 
 def source_list(d) -> str:
     """The corpus by name, with counts and a preview."""
     return f"""SELECT item_id, substring({d.replace("text", r"\n", " ")}, 1, 160) AS preview, {big(d.count("text", MATCH_WORD))} AS words,
-  {big("length(text)")} AS characters, {big("row_number() OVER (ORDER BY item_id)")} AS place FROM benchmark"""
+  {big("length(text)")} AS characters FROM benchmark ORDER BY item_id"""
 
 
 def search_phrases(d, most: int = 8, words: int = 12) -> str:
-    """Up to eight evenly spaced opening phrases of the sentences of more than 35 characters."""
-    sentences = d.each("documents", marked_sentences(d), "s", "piece")
-    phrase = d.first("piece", r"^\s*(\S+(?:\s+\S+){0," + str(words - 1) + "})", 1)
-    return f"""WITH p AS (SELECT doc_id, {phrase} AS phrase, min(s) AS s FROM {sentences} WHERE length({trimmed(d, "piece")}) > 35 GROUP BY doc_id, {phrase}),
-n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, phrase) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM p)
-SELECT doc_id, phrase, {big("k")} AS sentence_no FROM n WHERE n <= {most} OR floor(k * {most - 1} / (n - 1)) <> floor((k - 1) * {most - 1} / (n - 1)) OR k = 0"""
+    """Up to eight evenly spaced opening phrases of a text's sentences, different but for case.
+
+    Sentences have more than 35 characters and six words, phrases more than 25
+    characters; labels like "Abstract:" and marks at the ends are cut off.
+    """
+    ended = d.replace("text", r"([.!?])\s+", "<1>" + "\x01")
+    sentences = d.each("documents", d.split(d.replace(ended, r"\n+", "\x01"), MARK), "s", "piece")
+    clean = d.replace(trimmed(d, "piece"), r"(?i)^(title|abstract|introduction|topic|paper|section\s*\d*):\s*", "")
+    phrase = d.replace(d.replace(d.join_words(d.head("w", words)), r"^[^\p{L}\p{N}_]+", ""), r"[^\p{L}\p{N}_]+$", "")
+    places = ", ".join(f"round({i} * (n - 1) / {most - 1}.0)" for i in range(most))
+    return f"""WITH p AS (SELECT doc_id, s, {d.all(clean, PLAIN_WORD)} AS w FROM {sentences} WHERE length({trimmed(d, "piece")}) > 35),
+q AS (SELECT doc_id, s, {phrase} AS phrase FROM p WHERE {d.size("w")} >= 6),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(phrase) ORDER BY s) AS again FROM q WHERE length(phrase) > 25),
+n AS (SELECT doc_id, phrase, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM u WHERE again = 1)
+SELECT doc_id, phrase, {big("k")} AS phrase_no FROM n WHERE n <= {most} OR k IN ({places})"""
 
 
 PLANS = {

@@ -17,6 +17,11 @@ def dbl(x: str) -> str:
     return f"CAST({x} AS DOUBLE)"
 
 
+def aliased(source: str) -> str:
+    """A table or a bracketed SELECT, named t."""
+    return source if source.endswith(" t") else f"{source} t"
+
+
 def token_stats(d) -> str:
     """Words of a document by each of the tokenizers."""
     return f"""SELECT doc_id, {big(d.count("text", MATCH_WORD))} AS match_words, {big(d.size(checker_words(d)))} AS checker_words,
@@ -72,34 +77,34 @@ SELECT doc_id, {big("words")} AS words, {big("syllables")} AS syllables, ease AS
   CASE WHEN words = 0 THEN {dbl("0.0")} ELSE greatest({dbl("0.1")}, round({dbl("words")} / {dbl("220.0")}, 1)) END AS reading_time_minutes FROM f"""
 
 
-def _lengths(d) -> str:
+def _lengths(d, source: str) -> str:
     """Sentences of at least four characters in order, with their words."""
-    found = d.each("documents", d.all("text", PATTERN_SENTENCE), "s", "piece")
+    found = d.each(source, d.all("text", PATTERN_SENTENCE), "s", "piece")
     return f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS n, {d.count("lower(piece)", PATTERN_WORD)} AS len
 FROM {found} WHERE length({trimmed(d, "piece")}) >= 4"""
 
 
-def burstiness(d) -> str:
+def burstiness(d, source: str = "documents") -> str:
     """Coefficient of variation of sentence lengths, at most 100; 50 for fewer than two sentences."""
-    return f"""WITH l AS ({_lengths(d)}),
+    return f"""WITH l AS ({_lengths(d, source)}),
 v AS (SELECT doc_id, count(*) AS n, avg({dbl("len")}) AS mean, stddev_pop({dbl("len")}) AS sd FROM l GROUP BY doc_id)
 SELECT t.doc_id, {big("coalesce(v.n, 0)")} AS sentences,
   CASE WHEN coalesce(v.n, 0) < 2 THEN {dbl("50.0")} WHEN v.mean = 0 THEN {dbl("0.0")} ELSE round(least({dbl("100.0")}, v.sd / v.mean * 100), 2) END AS burstiness
-FROM documents t LEFT JOIN v ON t.doc_id = v.doc_id"""
+FROM {aliased(source)} LEFT JOIN v ON t.doc_id = v.doc_id"""
 
 
-def uniform_runs(d) -> str:
+def uniform_runs(d, source: str = "documents") -> str:
     """Runs of three sentences whose lengths are within five words of each other, none under eight words."""
     frame = "OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)"
     return f"""SELECT doc_id, {big("count(*)")} AS uniform_runs, {big("min(n)")} AS first_sentence FROM (
-  SELECT doc_id, n, max(len) {frame} AS high, min(len) {frame} AS low, count(*) {frame} AS wide FROM ({_lengths(d)}) l
+  SELECT doc_id, n, max(len) {frame} AS high, min(len) {frame} AS low, count(*) {frame} AS wide FROM ({_lengths(d, source)}) l
 ) r WHERE wide = 3 AND high - low <= 5 AND low >= 8 GROUP BY doc_id"""
 
 
-def rhythm_score(d) -> str:
-    return f"""SELECT b.doc_id, b.burstiness, coalesce(u.uniform_runs, 0) AS uniform_runs,
+def rhythm_score(d, source: str = "documents") -> str:
+    return f"""SELECT b.doc_id, b.sentences, b.burstiness, coalesce(u.uniform_runs, 0) AS uniform_runs,
   {big("CASE WHEN b.sentences < 5 THEN 0 WHEN b.burstiness < 18 OR coalesce(u.uniform_runs, 0) >= 3 THEN 3 WHEN b.burstiness < 27 OR coalesce(u.uniform_runs, 0) >= 2 THEN 2 WHEN b.burstiness < 35 OR coalesce(u.uniform_runs, 0) = 1 THEN 1 ELSE 0 END")} AS score
-FROM ({burstiness(d)}) b LEFT JOIN ({uniform_runs(d)}) u ON b.doc_id = u.doc_id"""
+FROM ({burstiness(d, source)}) b LEFT JOIN ({uniform_runs(d, source)}) u ON b.doc_id = u.doc_id"""
 
 
 def lexical_stats(d) -> str:
@@ -120,10 +125,9 @@ def quotations(d) -> str:
 
 
 def term_frequencies(d) -> str:
-    """Each document's most frequent checker word (ties: first by code point) and its count."""
+    """Each checker word of each document and its count."""
     words = d.each("documents", checker_words(d), "i", "word")
-    return f"""WITH c AS (SELECT doc_id, word, count(*) AS n FROM {words} GROUP BY doc_id, word)
-SELECT doc_id, word, {big("n")} AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS place FROM c) r WHERE place = 1"""
+    return f"SELECT doc_id, word, {big('count(*)')} AS n FROM {words} GROUP BY doc_id, word"
 
 
 def shingle_counts(d) -> str:
