@@ -147,9 +147,23 @@ def forest(count: int, near) -> list[tuple[int, int]]:
     return edges
 
 
-def edges_table(nodes: np.ndarray, edges: list[tuple[int, int]]) -> pa.Table:
-    both = np.array(edges, np.int64).reshape(-1, 2)
-    return pa.table({"u": pa.array(nodes[both[:, 0]]), "v": pa.array(nodes[both[:, 1]])})
+def joined_edges(nodes: np.ndarray, edges: list[tuple[int, int]]) -> pa.Table:
+    """Edges between rows as stars: the node of each row with an edge, and the least node of its component."""
+    kinds, kind = np.unique(nodes, return_inverse=True)  # a node may stand in several rows
+    root = list(range(len(kinds)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    pairs = kind[np.array(edges, np.int64).reshape(-1, 2)]
+    for a, b in pairs.tolist():
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    found = np.unique(pairs)
+    tops = np.array([top(i) for i in found.tolist()], np.int64)
+    return pa.table({"u": pa.array(kinds[found[found != tops]]), "v": pa.array(kinds[tops[found != tops]])})
 
 
 def plain_key(column: pa.ChunkedArray) -> np.ndarray:
@@ -158,6 +172,7 @@ def plain_key(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def similar_signatures(group: pa.Table, least: float) -> pa.Table:
+    group = group.sort_by("node")  # so that trees grow from their least node
     nodes = np.asarray(group.column("node").combine_chunks())
     bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint8).reshape(len(nodes), HASHES)
     pair = group.column("pair").combine_chunks().flatten()
@@ -169,10 +184,11 @@ def similar_signatures(group: pa.Table, least: float) -> pa.Table:
                 found.append((int(rows[0]), int(rows[1])))
             continue
         found += [(int(rows[i]), int(rows[j])) for i, j in forest(len(rows), lambda i, rest, own=own: (own[rest] == own[i]).mean(axis=1) >= least)]
-    return edges_table(nodes, found)
+    return joined_edges(nodes, found)
 
 
 def similar_sets(group: pa.Table, k: int, percent: int) -> pa.Table:
+    group = group.sort_by("node")
     nodes = np.asarray(group.column("node").combine_chunks())
     sets = list(shingle_sets(*utf8(group.column("text")), k, Roller()))
     pair = group.column("pair").combine_chunks().flatten()
@@ -193,7 +209,7 @@ def similar_sets(group: pa.Table, k: int, percent: int) -> pa.Table:
             return 100 * both >= percent * (size[rest] + size[i] - both)
 
         found += [(int(rows[i]), int(rows[j])) for i, j in forest(len(rows), near)]
-    return edges_table(nodes, found)
+    return joined_edges(nodes, found)
 
 
 #: What tells a text from others, without nulls: so a join needs no null-safe comparison.

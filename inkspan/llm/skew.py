@@ -16,15 +16,15 @@ def limit(total: int) -> int:
     return max(LEAST, -(-total // MOST_KEYS))
 
 
-def salted_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, spread: str, total: int) -> DataFrame:
+def salted_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, spread: str, total: int, largest: int | None = None) -> DataFrame:
     """`rows` joined by `key` with `keyed`, which has each key once and its number of rows, `count`.
 
-    total: rows of `rows`. Keys of over `limit(total)` rows, at most MOST_KEYS
+    total: rows of `rows`; largest: most rows of one key, if known. Keys of over `limit(total)` rows, at most MOST_KEYS
     of them, are dealt by a hash of the column `spread` into as many parts as
     their rows need, and their row of `keyed` is copied to each part.
     """
     most = limit(total)
-    if total <= most:
+    if (total if largest is None else largest) <= most:
         return rows.join(keyed, key)
     parts = F.ceil(F.col(count) / most).cast("int")
     heavy = keyed.filter(F.col(count) > most).select(F.col(key).alias("__heavy"), parts.alias("__parts"))
