@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.functions.text import PATTERN_SENTENCE
-from inkspan.functions.udfs import common_subsequence, find_spans, nfkc, sequence_diff
+from inkspan.functions.udfs import common_subsequence, nfkc, sequence_diff
+from inkspan.operators import patterns
 from inkspan.operators.revision import cleanup
 from inkspan.operators.style_review import category_points, rule_metrics, style_findings, style_review
 from inkspan.operators.vectors import hashed_vectors, top_k
+from inkspan.plans import evidence
 from inkspan.plans.dialect import SPARK, views
 from inkspan.plans.overlap import overlap_by_source
-from inkspan.plans.signals import HEDGES, PROVENANCE, STRUCTURES, TRANSITIONS, _source
+from inkspan.plans.signals import _source
 from inkspan.plans.tables import QUERY_STEP
 from inkspan.sources.readers import latex_prose, markdown_text
 from inkspan.sources.tables import read_table
@@ -39,22 +40,13 @@ def document_topk(spark, sf_dir):
 
 
 def span_evidence(spark, sf_dir):
-    """Hedges, structures, transitions and provenance marks with their offsets."""
-    families = {"hedge": HEDGES, "structure": STRUCTURES, "transition": TRANSITIONS, "provenance": PROVENANCE}
-    patterns = {f"{family}-{i}": "(?im)" + p.replace("(?m)", "") for family, ps in families.items() for i, p in enumerate(ps)}
-    found = injected(spark, sf_dir).withColumn("s", F.explode(find_spans(F.col("text"), patterns)))
-    return found.select("doc_id", F.substring_index("s.kind", "-", 1).alias("kind"), "s.start", "s.end", F.col("s.text").alias("matched")).distinct()
+    """Evidence of all nine categories and provenance marks, with offsets, kinds and suggestions."""
+    return patterns.evidence(injected(spark, sf_dir))
 
 
 def flagged_sentences(spark, sf_dir):
-    """Sentences that overlap a hedge, structure, transition or provenance mark, with the kinds of those."""
-    families = {"hedge": HEDGES, "structure": STRUCTURES, "transition": TRANSITIONS, "provenance": PROVENANCE}
-    patterns = {f"{family}-{i}": "(?im)" + p.replace("(?m)", "") for family, ps in families.items() for i, p in enumerate(ps)}
-    rows = injected(spark, sf_dir).withColumns({"e": find_spans(F.col("text"), patterns), "s": find_spans(F.col("text"), {"sentence": PATTERN_SENTENCE})})
-    rows = rows.select("doc_id", "e", F.explode("s").alias("s")).filter(F.length(F.trim("s.text")) >= 4)
-    over = F.filter("e", lambda e: (e["start"] < F.col("s.end")) & (e["end"] > F.col("s.start")))
-    kinds = F.array_sort(F.array_distinct(F.transform(over, lambda e: F.substring_index(e["kind"], "-", 1))))
-    return rows.select("doc_id", "s.start", "s.end", kinds.alias("kinds")).filter(F.size("kinds") > 0)
+    """Sentences that overlap shown evidence of some category, with the labels of those."""
+    return patterns.flagged_sentences(injected(spark, sf_dir))
 
 
 def closest_passages(spark, sf_dir):
@@ -70,8 +62,10 @@ def closest_passages(spark, sf_dir):
 
 
 def cleanup_edits(spark, sf_dir):
-    """Edits offered and refused, and a digest of the revised text."""
-    return cleanup(injected(spark, sf_dir)).select("doc_id", F.size("edits").alias("edits"), F.size("refused").alias("refused"), F.sha2("revised", 256).alias("revised_sha256"))
+    """Edits offered and refused, and their places and wordings."""
+    place = lambda e: F.concat(e["start"].cast("string"), F.lit("-"), e["end"].cast("string"), F.lit(":"), e["replacement"])
+    rows = cleanup(injected(spark, sf_dir))
+    return rows.select("doc_id", F.size("edits").cast("long").alias("edits"), F.size("refused").cast("long").alias("refused"), F.array_join(F.transform("edits", place), ",").alias("places"))
 
 
 def normalized_text(spark, sf_dir):
@@ -145,6 +139,9 @@ QUERIES = {
     )
 }
 ORACLES = {
+    "span_evidence": evidence.span_evidence(),
+    "flagged_sentences": evidence.flagged_sentences(),
+    "cleanup_edits": evidence.cleanup_edits(),
     "event_windows": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "smart_citations": """WITH t AS (SELECT item_id, 'Item ' || item_id || ' Notes' AS title FROM benchmark)
 SELECT item_id, title || '. (2024). Institutional Scholarly Archive.' AS apa, '"' || title || '." Institutional Repository, 2024.' AS mla,
