@@ -23,6 +23,14 @@ TABLES = (
 
 class Spark:
     name = "spark"
+    #: Plans over injected texts (see plans.signals) read the documents as they are.
+    plain = False
+
+    def plainly(self):
+        """The same dialect for plans over the documents as they are."""
+        other = type(self)()
+        other.plain = True
+        return other
 
     def pattern(self, regex: str) -> str:
         quote = '"' if '"' not in regex else "'"

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from inkspan.functions.text import MATCH_WORD, PLAIN_WORD, careful_sentences, trimmed
-from inkspan.plans.overlap import coverage
+from inkspan.plans.overlap import QUOTE, coverage, quoted_words
 from inkspan.plans.signals import CITATIONS, HEADER, HIGH, _source, evidence_score, pattern_scores, top_signals, unsupported_claims
 from inkspan.plans.textstats import big, dbl
 
-# Quotations of three kinds; verbs and their replacements in reworded options.
-QUOTE = "\"[^\"\\n]+\"|“[^”]+”|«[^»]+»"
+# Verbs and their replacements in reworded options.
 VERBS = (("shows", "demonstrates"), ("proves", "substantiates"), ("uses", "employs"), ("helps", "facilitates"), ("says", "posits"))
 
 
@@ -22,14 +21,10 @@ def overlap_variants(d) -> str:
     Quoted words are numbered from the words of the pieces between quotations;
     the bibliography's words are those behind the first header line.
     """
-    pieces = d.each("documents", d.split("text", QUOTE), "q", "piece")
     body = d.at(d.split(d.replace("text", HEADER, "\x03"), r"\x03"), "0")
     share = lambda a, b: f"CASE WHEN {b} = 0 THEN {dbl('0.0')} ELSE round({dbl('100.0')} * {a} / {b}, 2) END"
     return f"""WITH {coverage(d)},
-p AS (SELECT doc_id, q, {d.count("piece", MATCH_WORD)} AS np, {d.count(f"coalesce({d.at(d.all('text', QUOTE), 'q')}, '')", MATCH_WORD)} AS nq FROM {pieces}),
-s AS (SELECT doc_id, nq, sum(np) OVER (PARTITION BY doc_id ORDER BY q) + coalesce(sum(nq) OVER (PARTITION BY doc_id ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM p),
-spans AS (SELECT doc_id, low, low + nq AS high FROM s WHERE nq > 0),
-quoted AS (SELECT doc_id, k FROM {d.numbers("spans", "low", "high", "k")}),
+{quoted_words(d)},
 b AS (SELECT doc_id, {d.count("text", MATCH_WORD)} AS n, {d.count(body, MATCH_WORD)} AS body_n FROM documents),
 raw AS (SELECT DISTINCT doc_id, k FROM cover),
 m AS (

@@ -128,6 +128,8 @@ LATIN = "aeopcyxijsbhtABEKMHOPCTXYaeopvABEHIKMNOPTXYZabcde"
 
 def _source(d) -> str:
     """doc_id and text: each document with the snippet of its number modulo their count."""
+    if d.plain:
+        return "SELECT doc_id, text FROM documents"
 
     def literal(s: str) -> str:
         pieces = [p.replace("\\", "\\\\") if d.name == "spark" else p for p in s.split("\n")]
