@@ -15,7 +15,7 @@ from inkspan.plans.dialect import SPARK, views
 from inkspan.plans.overlap import overlap_by_source
 from inkspan.plans.signals import _source
 from inkspan.plans.tables import QUERY_STEP
-from inkspan.sources.readers import latex_prose, markdown_text
+from inkspan.sources.readers import markdown_text
 from inkspan.sources.tables import read_table
 from inkspan.streaming.overlap import windowed_events
 
@@ -86,12 +86,6 @@ def common_words(spark, sf_dir):
     return rows.select("doc_id", common_subsequence(F.slice("w", F.lit(1), F.col("h")), F.slice("w", F.col("h") + 1, F.col("h"))).alias("length"))
 
 
-def latex_documents(spark, sf_dir):
-    """Prose of the documents wrapped in LaTeX."""
-    wrapped = F.concat(F.lit("\\section{Title} % note\n\\cite{key} $x^2$ \\textbf{"), F.regexp_replace("text", r"[{}$%\\]", ""), F.lit("}"))
-    return documents(spark, sf_dir).select("doc_id", F.sha2(latex_prose(wrapped), 256).alias("prose_sha256"))
-
-
 def markdown_documents(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", markdown_text(F.concat(F.lit("# Title\n**bold** [link](http://x) "), "text")).alias("text"))
 
@@ -134,7 +128,7 @@ def style_evidence(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        hashed_vector_norms, document_topk, span_evidence, flagged_sentences, closest_passages, cleanup_edits, normalized_text, draft_sequence, common_words, latex_documents, markdown_documents,
+        hashed_vector_norms, document_topk, span_evidence, flagged_sentences, closest_passages, cleanup_edits, normalized_text, draft_sequence, common_words, markdown_documents,
         event_windows, smart_citations, style_documents, style_rule_metrics, style_categories, style_evidence,
     )
 }

@@ -28,6 +28,7 @@ def decoded(content: Column) -> Column:
 
 def latex_prose(text: Column) -> Column:
     """LaTeX as prose: comments out, citations as (key, 2024), formulas named, other commands dropped."""
+    # What is replaced, in this order.
     steps = (
         (r"(?m)(?<!\\)%.*$", ""),
         (r"\\(?:cite[pt]?|parencite)\{([^}]+)\}", "($1, 2024)"),
@@ -48,11 +49,12 @@ def latex_prose(text: Column) -> Column:
 
 
 def notebook_text(text: Column) -> Column:
-    """Markdown cells and the triple-quoted strings of code cells; the raw text if there are none."""
-    cells = F.from_json(text, "struct<cells:array<struct<cell_type:string,source:array<string>>>>")["cells"]
+    """Markdown cells and the triple-quoted strings of code cells; the raw text if there are none. A cell's source is a list of strings or one string."""
+    cells = F.from_json(text, "struct<cells:array<struct<cell_type:string,source:string>>>")["cells"]
 
     def pieces(cell: Column) -> Column:
-        source = F.concat_ws("", cell["source"])
+        listed = F.from_json(cell["source"], "array<string>")  # null for one string
+        source = F.when(cell["source"].startswith("["), F.coalesce(F.concat_ws("", F.filter(listed, lambda s: s.isNotNull())), cell["source"])).otherwise(F.coalesce(cell["source"], F.lit("")))
         quoted = F.filter(F.transform(F.regexp_extract_all(source, F.lit(r'(?s)"""(.*?)"""'), F.lit(1)), F.trim), lambda s: s != "")
         return F.when(cell["cell_type"] == "markdown", F.array(source)).when(cell["cell_type"] == "code", quoted).otherwise(F.array().cast("array<string>"))
 
