@@ -57,6 +57,27 @@ LINE_CHECKS = {
 PROMOTION = {"academic_report": 1.0, "business_report": 0.75, "general_essay": 1.0, "technical_documentation": 0.6}
 LEAST_WORDS, ACTIVE_CATEGORIES = 120, 3
 
+# Checks with their names, and who makes them.
+_HEURISTIC, _EXACT, _HUMAN, _NONE, _OUTSIDE = "Implemented heuristic check", "Implemented deterministic check", "Requires human review", "Not applicable to uploaded documents", "Optional external verification"
+COVERAGE = (
+    ("significance_legacy", "Undue significance, legacy, and broader trends", _HEURISTIC), ("notability_media", "Canned notability, attribution, and media coverage", _HUMAN),
+    ("superficial_analysis", "Superficial analysis and participial clauses", _HEURISTIC), ("promotional_language", "Promotional or advertisement-like language", _EXACT),
+    ("vague_association", "Vague connection or association", _HEURISTIC), ("vague_authority", "Vague attribution and consensus", _HEURISTIC),
+    ("future_outlook", "Generic challenges and future outlook", _HEURISTIC), ("awards_recognition", "Awards and recognition section", _HUMAN),
+    ("ai_vocabulary", "High density of starter vocabulary", _EXACT), ("copulative_avoidance", "Avoidance of basic copulatives", _HUMAN),
+    ("negative_parallelism", "Repeated negative parallelism", _EXACT), ("proper_noun_leads", "List or broad title treated as a proper noun", _NONE),
+    ("rule_of_three", "Repeated three-part enumeration", _HEURISTIC), ("headings", "Heading hierarchy and repetition", _EXACT),
+    ("boldface", "Excessive boldface and inline bold labels", _EXACT), ("em_dash", "Em-dash usage and spacing", _EXACT),
+    ("emoji", "Emoji used as section formatting", _EXACT), ("tables", "Unusual or repetitive tables", _HUMAN),
+    ("smart_punctuation", "Curly quotes and apostrophes", _EXACT), ("thematic_breaks", "Decorative thematic breaks", _EXACT),
+    ("collaborative_residue", "Assistant-to-user communication", _EXACT), ("cutoff_disclaimer", "Knowledge-cutoff or source disclaimer", _EXACT),
+    ("placeholder", "Template and placeholder text", _EXACT), ("markdown", "Accidental Markdown syntax", _EXACT),
+    ("broken_wikitext", "Broken or internal reference markup", _EXACT), ("citation_links", "Broken URLs, DOI, ISBN, and reference linkage", _EXACT),
+    ("network_citations", "Network DOI, URL, and metadata verification", _OUTSIDE), ("claim_support", "Whether a citation supports a claim", _HUMAN),
+    ("comment_indicators", "Comment-specific indicators", _NONE), ("edit_summaries", "Wikipedia edit-summary behavior", _NONE),
+    ("account_history", "Account history and style shifts", _NONE), ("bias", "Political or cultural bias", _HUMAN),
+    ("external_semantics", "Semantic similarity or external model classification", _OUTSIDE),
+)
 METRICS = "array<struct<rule_id:string,category:string,count:int,eligible_count:int,per_1000:double,affected_blocks:int,local_concentration:int,threshold_met:boolean>>"
 CATEGORIES = "array<struct<category:string,points:double,cap:double,scored_findings:int,shared_blocks:int>>"
 FINDINGS = "array<struct<rule_id:string,category:string,strength:string,block:int,kind:string,start:int,end:int,excluded:boolean>>"

@@ -62,6 +62,10 @@ class Spark:
     def replace(self, text: str, regex: str, by: str) -> str:
         return f"regexp_replace({text}, {self.pattern(regex)}, {self.pattern(re.sub(r'<(\d)>', r'$\1', by))})"
 
+    def marks_with(self, text: str, mark: str, neighbour: str, there: bool) -> str:
+        """Number of marks with a match of `neighbour` on both sides, or on neither."""
+        return self.count(text, f"(?<={neighbour}){mark}(?={neighbour})" if there else f"(?<!{neighbour}){mark}(?!{neighbour})")
+
     def spaced_dashes(self, text: str) -> str:
         """Number of double hyphens between single spaces with no hyphen beyond either."""
         return self.count(text, r"(?<!-)\s--\s(?!-)")
@@ -138,6 +142,11 @@ class Duck(Spark):
     def replace(self, text: str, regex: str, by: str) -> str:
         return f"regexp_replace({text}, {self.pattern(regex)}, {self.pattern(re.sub(r'<(\d)>', r'\\\1', by))}, 'g')"
 
+    def marks_with(self, text: str, mark: str, neighbour: str, there: bool) -> str:
+        sides = (f"CASE WHEN i > 1 THEN substring({text}, i - 1, 1) ELSE '' END", f"substring({text}, i + 1, 1)")
+        fits = " AND ".join(f"{'' if there else 'NOT '}regexp_matches({side}, '{neighbour}')" for side in sides)
+        return f"len(list_filter(range(1, length({text}) + 1), lambda i: substring({text}, i, 1) = '{mark}' AND {fits}))"
+
     def spaced_dashes(self, text: str) -> str:
         # No lookaround here: each place is looked at with its neighbours, an empty string standing for the text's edge.
         fits = rf"regexp_matches(substring({text}, i, 4), '^\s--\s$') AND (i = 1 OR substring({text}, i - 1, 1) <> '-') AND substring({text}, i + 4, 1) <> '-'"

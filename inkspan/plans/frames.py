@@ -11,10 +11,11 @@ from inkspan.operators.revision import cleanup
 from inkspan.operators.style_review import category_points, rule_metrics, style_findings, style_review
 from inkspan.operators.vectors import hashed_vectors, top_k
 from inkspan.plans import evidence
-from inkspan.plans.dialect import SPARK, views
+from inkspan.plans.dialect import DUCK, SPARK, views
 from inkspan.plans.overlap import overlap_by_source
 from inkspan.plans.signals import _source
 from inkspan.plans.tables import QUERY_STEP
+from inkspan.plans.tables import embedding_topk as embedding_topk_sql
 from inkspan.sources.readers import markdown_text
 from inkspan.sources.tables import read_table
 from inkspan.streaming.overlap import windowed_events
@@ -33,6 +34,13 @@ def hashed_vector_norms(spark, sf_dir):
     return hashed_vectors(documents(spark, sf_dir))
 
 
+def embedding_topk(spark, sf_dir):
+    """The five vectors most similar to every vector whose id is divisible by QUERY_STEP."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    found = top_k(vectors.filter(F.col("vec_id") % QUERY_STEP == 0), vectors, "vec_id", "embedding")
+    return found.select("query_id", F.col("id").alias("vec_id"), "similarity", F.col("place").cast("long").alias("place"))
+
+
 def document_topk(spark, sf_dir):
     """The five documents most similar to every document whose id is divisible by QUERY_STEP, by hashed vectors."""
     vectors = hashed_vectors(documents(spark, sf_dir))
@@ -128,11 +136,12 @@ def style_evidence(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        hashed_vector_norms, document_topk, span_evidence, flagged_sentences, closest_passages, cleanup_edits, normalized_text, draft_sequence, common_words, markdown_documents,
+        hashed_vector_norms, embedding_topk, document_topk, span_evidence, flagged_sentences, closest_passages, cleanup_edits, normalized_text, draft_sequence, common_words, markdown_documents,
         event_windows, smart_citations, style_documents, style_rule_metrics, style_categories, style_evidence,
     )
 }
 ORACLES = {
+    "embedding_topk": embedding_topk_sql(DUCK),
     "span_evidence": evidence.span_evidence(),
     "flagged_sentences": evidence.flagged_sentences(),
     "cleanup_edits": evidence.cleanup_edits(),

@@ -6,20 +6,14 @@ rule's alternatives in one pattern, so overlapping alternatives count once.
 
 from __future__ import annotations
 
+from inkspan.functions.text import PATTERN_SENTENCE
+from inkspan.operators.style_review import COVERAGE, LEAST_WORDS, LINE_CHECKS, POINTS
+from inkspan.operators.style_review import RULES as REVIEW_RULES
 from inkspan.plans.signals import _source
 from inkspan.plans.textstats import big, dbl
 
-# Rule, category, least count, least rate per 1000 words, points, category cap, pattern.
-RULES = (
-    ("inflated_vocabulary", "language", 2, 4, 2.0, 12, r"delv(?:e|es|ed|ing)|pivotal|intricate|tapestr(?:y|ies)|testament|robust|transformative|ever[- ]changing landscape"),
-    ("promotional_praise", "promotional_language", 2, 3, 5.0, 14, r"vibrant|cutting[- ]edge|game[- ]chang(?:ing|er)|remarkable journey|powerful reminder|unlock(?:s|ed|ing)? (?:the )?potential|showcas(?:e|es|ed|ing)|seamless(?:ly)?"),
-    ("formulaic_transitions", "discourse", 2, 3, 2.0, 12, r"furthermore|moreover|additionally|in conclusion|to summarize|in summary|it is (?:important|worthwhile) to note"),
-    ("significance_legacy", "content", 2, 2, 5.0, 14, r"(?:stands|serves) as|(?:a )?(?:testament|reminder) to|(?:crucial|pivotal|vital|significant|key) role|underscor(?:e|es|ed|ing) (?:its|the) (?:importance|significance)|reflect(?:s|ed|ing)? broader|enduring legacy|shap(?:e|es|ed|ing) the (?:future|landscape)"),
-    ("generic_analytical_verbs", "content", 3, 5, 2.0, 10, r"highlight(?:s|ed|ing)|emphasiz(?:e|es|ed|ing)|reflect(?:s|ed|ing)|symboliz(?:e|es|ed|ing)|contribut(?:e|es|ed|ing) to|foster(?:s|ed|ing)|enhanc(?:e|es|ed|ing)"),
-    ("vague_authority", "evidence_language", 1, 1, 5.0, 16, r"experts? suggest|widely regarded|studies show|research (?:shows|suggests|indicates)|it is widely (?:known|accepted|recognized)|many (?:believe|argue|consider)"),
-)
-#: Least eligible words for an index, promotional weight of the default profile.
-LEAST_WORDS, PROMOTION = 120, 1.0
+#: The vocabulary rules of the full review: rule, category, least count, least rate per 1000 words, points, category cap, pattern.
+RULES = tuple((r.name, r.category, r.least, r.rate, POINTS[r.strength], r.cap, "|".join(r.patterns)) for r in REVIEW_RULES[:6])
 
 
 def _counts(d) -> str:
@@ -63,22 +57,34 @@ SELECT w.doc_id, {big("w.words")} AS eligible_words, {big("coalesce(p.active, 0)
 
 
 def punctuation_metrics(d) -> str:
-    em = d.count("text", "—")
-    return f"""SELECT doc_id, {big(em)} AS em_dashes, {big(d.count("text", "–"))} AS en_dashes, {big(d.count("text", "-"))} AS hyphens,
-  {big(d.count("text", "[“”‘’]"))} AS smart_quotes, {big(d.count("text", r"\s—\s"))} AS spaced_both, {big(d.count("text", r"—[^—\n]{2,120}—"))} AS paired,
-  round({dbl(em)} / greatest(1, {d.count("text", r"[A-Za-z0-9]+(?:['’][A-Za-z]+)?")}) * 1000, 2) AS em_dashes_per_1000 FROM ({_source(d)}) t"""
+    """Dashes, hyphens and curly quotes; em dashes by the spaces at them; sentences with one, with several, with a pair around an aside."""
+    em, both, neither = d.count("text", "—"), d.marks_with("text", "—", r"\s", True), d.marks_with("text", "—", r"\s", False)
+    sentences = d.each(f"({_source(d)})" + (" t" if d.name == "spark" else ""), d.all("text", PATTERN_SENTENCE), "s", "piece")
+    share = lambda n: f"round({dbl(n)} / greatest(1, sentences) * 100, 2)"
+    return f"""WITH x AS (SELECT doc_id, {big(em)} AS em_dashes, {big(d.count("text", "–"))} AS en_dashes, {big(d.count("text", "-"))} AS hyphens,
+  {big(d.count("text", "[“”‘’]"))} AS smart_quotes, {big(both)} AS spaced_both, {big(neither)} AS unspaced,
+  round({dbl(em)} / greatest(1, {d.count("text", r"[A-Za-z0-9]+(?:['’][A-Za-z]+)?")}) * 1000, 2) AS em_dashes_per_1000 FROM ({_source(d)}) t),
+y AS (SELECT doc_id, {big("count(*)")} AS sentences, {big(f"sum(CASE WHEN {d.count('piece', '—')} > 0 THEN 1 ELSE 0 END)")} AS with_dash, {big(f"sum(CASE WHEN {d.count('piece', '—')} > 1 THEN 1 ELSE 0 END)")} AS with_several,
+  {big(f"sum(CASE WHEN {d.like('piece', r'—[^—' + chr(92) + 'n]{2,120}—')} THEN 1 ELSE 0 END)")} AS paired FROM {sentences} WHERE {d.like("piece", r"[^\s]")} GROUP BY doc_id)
+SELECT x.*, x.em_dashes - x.spaced_both - x.unspaced AS mixed, coalesce(y.with_several, 0) AS sentences_with_several, coalesce(y.paired, 0) AS paired,
+  coalesce({share("y.with_dash")}, {dbl("0")}) AS sentences_with_dash_pct FROM x LEFT JOIN y ON x.doc_id = y.doc_id"""
 
 
 def formatting_findings(d) -> str:
-    """Separators, leftover markup and bold labels by line."""
+    """Emoji markers, separators, leftover markup and bold labels by line; a line may have several."""
     lines = d.each(f"({_source(d)})" + (" t" if d.name == "spark" else ""), d.split("text", r"\n"), "l", "line")
-    checks = (
-        ("decorative_separator", r"^[ \t]*(?:[-*_]\s*){3,}$"),
-        ("leftover_markdown", r"(?:^|\s)(?:#{1,6}\s+|\*\*[^*]+\*\*|```)"),
-        ("bold_label_bullet", r"^[ \t]*(?:[-*+]\s+)?\*\*[^*]{1,60}:\*\*"),
-    )
-    cases = " ".join(f"WHEN {d.like('line', p)} THEN '{name}'" for name, p in checks)
-    return f"SELECT doc_id, {big('l')} AS line_no, kind FROM (SELECT doc_id, l, CASE {cases} END AS kind FROM {lines}) f WHERE kind IS NOT NULL"
+    checks = {name: p.replace("\U0001F300-\U0001FAFF", r"\x{1F300}-\x{1FAFF}").replace(r"\U0001F300-\U0001FAFF", r"\x{1F300}-\x{1FAFF}") for name, p in LINE_CHECKS.items()}
+    counts, names = d.array(big(d.count("line", p)) for p in checks.values()), d.array(f"'{n}'" for n in checks)
+    return f"""WITH f AS (SELECT doc_id, l, {names} AS names, {counts} AS counts FROM {lines}),
+k AS (SELECT doc_id, l, kind, {d.at("counts", "n")} AS findings FROM {d.each("f", "names", "n", "kind")})
+SELECT doc_id, {big('l')} AS line_no, kind, findings FROM k WHERE findings > 0"""
 
 
-PLANS = {f.__name__: f for f in (style_rules, style_index, punctuation_metrics, formatting_findings)}
+def review_coverage(d) -> str:
+    """What the review checks and what it leaves to others."""
+    quote = lambda s: "'" + s + "'"
+    rows = ", ".join(f"({n}, {quote(key)}, {quote(what)}, {quote(status)})" for n, (key, what, status) in enumerate(COVERAGE, 1))
+    return f"SELECT {big('place')} AS place, check_id, description, status FROM (VALUES {rows}) AS v(place, check_id, description, status)"
+
+
+PLANS = {f.__name__: f for f in (style_rules, style_index, punctuation_metrics, formatting_findings, review_coverage)}

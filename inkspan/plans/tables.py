@@ -137,7 +137,7 @@ SELECT doc_id, phrase, {big("k")} AS phrase_no FROM n WHERE n <= {most} OR k IN
 PLANS = {
     f.__name__: f
     for f in (
-        embedding_topk, tf_cosine, word_dice, draft_diff, draft_deltas, interval_union, trailing_events, daily_events, subscribers, page_text,
+        tf_cosine, word_dice, draft_diff, draft_deltas, interval_union, trailing_events, daily_events, subscribers, page_text,
         html_escaped, source_list, search_phrases,
     )
 }
