@@ -231,8 +231,8 @@ def top_signals(d) -> str:
     quoted, rows = d.array(f"'{n}'" for n in names), d.each("u", "names", "k", "category")
     labels = d.array(f"'{n}'" for n in LABELS.values())
     return f"""WITH s AS ({pattern_scores(d)}),
-u AS (SELECT doc_id, {quoted} AS names, {labels} AS labels, {d.array(names)} AS scores, {d.array(f"n_{n}" for n in names)} AS counts FROM s),
-v AS (SELECT doc_id, category, {d.at("labels", "k")} AS label, {d.at("scores", "k")} AS score, {d.at("counts", "k")} AS evidence_count FROM {rows})
+u AS (SELECT doc_id, {quoted} AS names, {labels} AS titles, {d.array(names)} AS scores, {d.array(f"n_{n}" for n in names)} AS counts FROM s),
+v AS (SELECT doc_id, category, {d.at("titles", "k")} AS label, {d.at("scores", "k")} AS score, {d.at("counts", "k")} AS evidence_count FROM {rows})
 SELECT doc_id, category, label, score, evidence_count, {big("place")} AS place FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, evidence_count DESC, label) AS place FROM v WHERE score > 0) r WHERE place <= 4"""
 
