@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkspan.sources.errors import KNOWN, public_message
 from inkspan.sources.readers import add_sources, changed_sources, decoded, delete_source, docx_blocks, extract_text, inverted_to_text, latex_prose, notebook_text, unzip
 from inkspan.sources.sinks import html_reports
 from inkspan.sources.tables import read_table
@@ -141,6 +142,14 @@ def highlighted_reports(spark, sf_dir):
     return html_reports(rows).select("doc_id", sha(F.col("html")).alias("html_sha256"))
 
 
+def public_errors(spark, sf_dir):
+    """What is shown for made-up errors, one for each event."""
+    text = F.when(F.col("event_id") % 5 == 0, F.element_at(F.array(*(F.lit(k) for k in KNOWN)), (F.col("event_id") % len(KNOWN) + 1).cast("int")))
+    text = text.when(F.col("event_id") % 5 == 1, "Options must be an object.").when(F.col("event_id") % 5 == 2, F.concat(F.lit("Unsupported file format: ."), "event_type")).otherwise(F.concat(F.lit("/srv/"), "event_type"))
+    kind = F.when(F.col("event_id") % 5 == 3, "BadZipFile").otherwise("ValueError")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", public_message(text, kind).alias("shown"))
+
+
 _CLEAN = rf"regexp_replace(coalesce(text, ''), '{UNFIT}', '', 'g')"
 _LINES = f"list_filter(string_split({_CLEAN}, chr(10)), lambda x: regexp_matches(x, '[^\\s]'))"
 _ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
@@ -149,10 +158,13 @@ _GAP = "chr(10) || chr(10)"
 QUERIES = {
     f.__name__: f
     for f in (
-        docx_documents, docx_typed_blocks, notebook_documents, zipped_documents, decoded_documents, latex_documents, inverted_documents, corpus_changes, corpus_additions, highlighted_reports,
+        docx_documents, docx_typed_blocks, notebook_documents, zipped_documents, decoded_documents, latex_documents, inverted_documents, corpus_changes, corpus_additions, highlighted_reports, public_errors,
     )
 }
+_KNOWN = ", ".join("'" + k + "'" for k in KNOWN)
 ORACLES = {
+    "public_errors": f"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN list_extract([{_KNOWN}], event_id % {len(KNOWN)} + 1) WHEN 1 THEN 'Report data has an invalid structure.'
+  WHEN 2 THEN 'Unsupported file format.' WHEN 3 THEN 'The uploaded file is not a valid ZIP archive.' ELSE 'The request could not be processed.' END AS shown FROM events""",
     "docx_documents": f"""SELECT doc_id || '.docx' AS filename, 'success' AS status,
   sha256('Report' || {_GAP} || array_to_string(list_append({_LINES}, 'left | right'), {_GAP})) AS text_sha256 FROM documents""",
     "docx_typed_blocks": f"""WITH l AS (SELECT doc_id, unnest(string_split({_CLEAN}, chr(10))) AS line, generate_subscripts(string_split({_CLEAN}, chr(10)), 1) AS n FROM documents),

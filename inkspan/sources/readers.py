@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import io
 import re
 import zipfile
@@ -88,6 +89,32 @@ def docx_text(content: bytes) -> str | None:
     return "\n\n".join(x for x in lines if x.strip())
 
 
+def pdf_text(content: bytes) -> str | None:
+    """Text of a PDF file page by page; None if it can't be read, or if there is no reader."""
+    try:
+        from pypdf import PdfReader
+        from pypdf.errors import PyPdfError
+    except ImportError:
+        return None
+    try:
+        pages = [page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages]
+    except (PyPdfError, ValueError, KeyError):
+        return None
+    return "\n\n".join(p.strip() for p in pages if p.strip())
+
+
+def pdf_readable() -> bool:
+    return importlib.util.find_spec("pypdf") is not None
+
+
+def pdf_column(content: Column) -> Column:
+    @F.pandas_udf("string")
+    def read(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: None if c is None else pdf_text(c))
+
+    return read(content)
+
+
 def docx_column(content: Column) -> Column:
     @F.pandas_udf("string")
     def read(contents: pd.Series) -> pd.Series:
@@ -165,12 +192,15 @@ def extract_text(files: DataFrame) -> DataFrame:
     """(path, content) to path, filename, text, status: success, empty, unsupported, too large or unreadable.
 
     A file that can't be read is a row with its status, never a failed job. PDF
-    text needs a reader this package doesn't bring; such files are unsupported.
+    text needs the library pypdf; without it such files are unsupported.
     """
+    pdf = pdf_readable()
     kind, plain = extension(F.col("path")), decoded(F.col("content"))
     text = F.when(kind == "docx", docx_column(F.when(kind == "docx", F.col("content")))).when(kind == "tex", latex_prose(plain)).when(kind == "ipynb", notebook_text(plain)).when(kind != "pdf", plain)
+    if pdf:
+        text = F.when(kind == "pdf", pdf_column(F.when(kind == "pdf", F.col("content")))).otherwise(text)
     status = (
-        F.when(~kind.isin(*EXTENSIONS) | (kind == "pdf"), "unsupported")
+        F.when(~kind.isin(*EXTENSIONS) | ((kind == "pdf") & F.lit(not pdf)), "unsupported")
         .when(F.length("content") > MAX_FILE_BYTES, "too large")
         .when(F.col("text").isNull(), "unreadable")
         .when(F.trim("text") == "", "empty")
