@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkspan.functions.udfs import common_subsequence, nfkc, sequence_diff
 from inkspan.operators import patterns
 from inkspan.operators.revision import cleanup
+from inkspan.operators.sparse import products
 from inkspan.operators.style_review import category_points, rule_metrics, style_findings, style_review
 from inkspan.operators.vectors import hashed_vectors, top_k
-from inkspan.plans import evidence
+from inkspan.plans import evidence, tables
 from inkspan.plans.dialect import DUCK, SPARK, views
 from inkspan.plans.overlap import overlap_by_source
 from inkspan.plans.signals import _source
 from inkspan.plans.tables import QUERY_STEP
-from inkspan.plans.tables import embedding_topk as embedding_topk_sql
 from inkspan.sources.readers import markdown_text
 from inkspan.sources.tables import read_table
 from inkspan.streaming.overlap import windowed_events
@@ -41,6 +43,28 @@ def embedding_topk(spark, sf_dir):
     return found.select("query_id", F.col("id").alias("vec_id"), "similarity", F.col("place").cast("long").alias("place"))
 
 
+def tf_cosine(spark, sf_dir):
+    """The corpus item of each document with the nearest term vector, light words weighing less; ties to the smaller id."""
+    counted = lambda name, key: spark.sql(views(spark, sf_dir, tables.term_counts(SPARK, name, key)))
+
+    def near(dot, left, right):
+        cosine = dot / np.maximum(np.sqrt(left[:, None] * right), 1e-300)
+        return cosine >= cosine.max(axis=1, keepdims=True) - 0.002  # all that may round to a block's best
+
+    found = products(counted("documents", "doc_id"), counted("benchmark", "item_id"), near)
+    found = found.withColumn("similarity", F.round(100 * F.col("dot") / (F.sqrt("left_square") * F.sqrt("right_square")), 1))
+    best = found.withColumn("place", F.row_number().over(W.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id"))).filter("place = 1")
+    return best.select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), "similarity")
+
+
+def word_dice(spark, sf_dir):
+    """Dice coefficient of the distinct words of corpus items and documents that share at least half an item's words."""
+    words = lambda name, key: spark.sql(views(spark, sf_dir, tables.distinct_words(SPARK, name, key)))
+    found = products(words("documents", "doc_id"), words("benchmark", "item_id"), lambda dot, left, right: 2 * dot >= right[None, :])
+    dice = F.round(2.0 * F.col("dot") / (F.col("left_square") + F.col("right_square")), 4)
+    return found.select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), dice.alias("dice"))
+
+
 def document_topk(spark, sf_dir):
     """The five documents most similar to every document whose id is divisible by QUERY_STEP, by hashed vectors."""
     vectors = hashed_vectors(documents(spark, sf_dir))
@@ -136,12 +160,14 @@ def style_evidence(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        hashed_vector_norms, embedding_topk, document_topk, span_evidence, flagged_sentences, closest_passages, cleanup_edits, normalized_text, draft_sequence, common_words, markdown_documents,
+        hashed_vector_norms, embedding_topk, tf_cosine, word_dice, document_topk, span_evidence, flagged_sentences, closest_passages, cleanup_edits, normalized_text, draft_sequence, common_words, markdown_documents,
         event_windows, smart_citations, style_documents, style_rule_metrics, style_categories, style_evidence,
     )
 }
 ORACLES = {
-    "embedding_topk": embedding_topk_sql(DUCK),
+    "embedding_topk": tables.embedding_topk(DUCK),
+    "tf_cosine": tables.tf_cosine(DUCK),
+    "word_dice": tables.word_dice(DUCK),
     "span_evidence": evidence.span_evidence(),
     "flagged_sentences": evidence.flagged_sentences(),
     "cleanup_edits": evidence.cleanup_edits(),

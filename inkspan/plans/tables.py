@@ -12,7 +12,7 @@ QUERY_STEP = 50
 
 
 def embedding_topk(d, k: int = 5) -> str:
-    """The most similar vectors of each query vector by cosine in percent; ties to the smaller id."""
+    """The most similar vectors of each query vector by cosine in percent; ties to the smaller id. Oracle of the blockwise query."""
     norm = f"sqrt({d.dot('embedding', 'embedding')})"
     return f"""WITH v AS (SELECT vec_id, embedding, {norm} AS norm FROM embeddings),
 q AS (SELECT vec_id AS query_id, embedding AS qe, norm AS qn FROM v WHERE vec_id % {QUERY_STEP} = 0),
@@ -20,17 +20,26 @@ s AS (SELECT q.query_id, v.vec_id, round(greatest(0, least(100, {d.dot("q.qe", "
 SELECT query_id, vec_id, similarity, {big("place")} AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS place FROM s) r WHERE place <= {k}"""
 
 
+def term_counts(d, table: str, key: str) -> str:
+    """Weighted term counts of a table's texts."""
+    light = ", ".join(f"'{w}'" for w in LIGHT)
+    return f"""SELECT {key} AS id, word, count(*) * CASE WHEN word IN ({light}) THEN {dbl("0.4")} ELSE {dbl("1.0")} END AS n
+  FROM {d.each(table, checker_words(d), "i", "word")} GROUP BY {key}, word"""
+
+
+def distinct_words(d, table: str, key: str) -> str:
+    return f"SELECT DISTINCT {key} AS id, word, {dbl('1.0')} AS n FROM {d.each(table, match_words(d), 'i', 'word')}"
+
+
 def _tf(d) -> str:
     """Weighted term counts of documents and of the corpus, with norms."""
-    light = ", ".join(f"'{w}'" for w in LIGHT)
-    part = lambda name, key, table: f"""{name}c AS (SELECT {key} AS id, word, count(*) * CASE WHEN word IN ({light}) THEN {dbl("0.4")} ELSE {dbl("1.0")} END AS n
-  FROM {d.each(table, checker_words(d), "i", "word")} GROUP BY {key}, word),
+    part = lambda name, key, table: f"""{name}c AS ({term_counts(d, table, key)}),
 {name}n AS (SELECT id, sqrt(sum(n * n)) AS norm FROM {name}c GROUP BY id)"""
     return part("d", "doc_id", "documents") + ",\n" + part("b", "item_id", "benchmark")
 
 
 def tf_cosine(d) -> str:
-    """The corpus item of each document with the nearest term vector; ties to the smaller id. Only shared words meet."""
+    """The corpus item of each document with the nearest term vector; ties to the smaller id. Oracle of the blockwise query."""
     return f"""WITH {_tf(d)},
 s AS (SELECT dc.id AS doc_id, bc.id AS item_id, sum(dc.n * bc.n) AS dot FROM dc JOIN bc ON dc.word = bc.word GROUP BY dc.id, bc.id),
 r AS (SELECT s.doc_id, s.item_id, round(100 * s.dot / (dn.norm * bn.norm), 1) AS similarity FROM s JOIN dn ON s.doc_id = dn.id JOIN bn ON s.item_id = bn.id)
@@ -137,7 +146,7 @@ SELECT doc_id, phrase, {big("k")} AS phrase_no FROM n WHERE n <= {most} OR k IN
 PLANS = {
     f.__name__: f
     for f in (
-        tf_cosine, word_dice, draft_diff, draft_deltas, interval_union, trailing_events, daily_events, subscribers, page_text,
+        draft_diff, draft_deltas, interval_union, trailing_events, daily_events, subscribers, page_text,
         html_escaped, source_list, search_phrases,
     )
 }
