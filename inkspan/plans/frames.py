@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions.udfs import common_subsequence, nfkc, sequence_diff
 from inkspan.operators import patterns
+from inkspan.operators.citations import smart_citation, template_citation
 from inkspan.operators.revision import cleanup
 from inkspan.operators.sparse import products
 from inkspan.operators.style_review import category_points, rule_metrics, style_findings, style_review
@@ -23,6 +24,10 @@ from inkspan.sources.tables import read_table
 from inkspan.streaming.overlap import windowed_events
 
 
+#: Addresses given to the corpus items in turn, as the tables have none.
+URLS = ("", "https://export.arxiv.org/abs/1", "https://en.wikipedia.org/wiki/X", "https://notarxiv.org/a")
+
+
 def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(views(spark, sf_dir, _source(SPARK)))
 
@@ -128,16 +133,17 @@ def event_windows(spark, sf_dir):
 
 
 def smart_citations(spark, sf_dir):
-    """Ready-made citations of corpus items by name and host."""
+    """Ready-made citations of corpus items by name and address; addresses are made up by id."""
     name = F.format_string("item_%d-notes.txt", F.col("item_id").cast("long"))
-    title = F.initcap(F.translate(F.regexp_replace(name, r"\.(txt|pdf|docx|md)$", ""), "_-", "  "))
-    corpus = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", title.alias("title"))
-    return corpus.select(
-        "item_id",
-        F.concat("title", F.lit(". (2024). Institutional Scholarly Archive.")).alias("apa"),
-        F.concat(F.lit('"'), "title", F.lit('." Institutional Repository, 2024.')).alias("mla"),
-        F.concat(F.lit('[1] "'), "title", F.lit('," Institutional Academic Database, 2024.')).alias("ieee"),
-    )
+    url = F.element_at(F.array(*(F.lit(u) for u in URLS)), (F.col("item_id") % len(URLS) + 1).cast("int"))
+    corpus = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return corpus.select("item_id", smart_citation(name, url).alias("c")).select("item_id", "c.*")
+
+
+def template_citations(spark, sf_dir):
+    """Templates for corpus items that nobody looked up."""
+    corpus = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return corpus.select("item_id", template_citation(F.format_string(" unknown item_%d ", F.col("item_id").cast("long"))).alias("c")).select("item_id", "c.*")
 
 
 def style_documents(spark, sf_dir):
@@ -161,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hashed_vector_norms, embedding_topk, tf_cosine, word_dice, document_topk, span_evidence, flagged_sentences, closest_passages, cleanup_edits, normalized_text, draft_sequence, common_words, markdown_documents,
-        event_windows, smart_citations, style_documents, style_rule_metrics, style_categories, style_evidence,
+        event_windows, smart_citations, template_citations, style_documents, style_rule_metrics, style_categories, style_evidence,
     )
 }
 ORACLES = {
@@ -172,8 +178,16 @@ ORACLES = {
     "flagged_sentences": evidence.flagged_sentences(),
     "cleanup_edits": evidence.cleanup_edits(),
     "event_windows": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
-    "smart_citations": """WITH t AS (SELECT item_id, 'Item ' || item_id || ' Notes' AS title FROM benchmark)
-SELECT item_id, title || '. (2024). Institutional Scholarly Archive.' AS apa, '"' || title || '." Institutional Repository, 2024.' AS mla,
-  '[1] "' || title || '," Institutional Academic Database, 2024.' AS ieee FROM t""",
+    "smart_citations": """WITH t AS (SELECT item_id, 'Item ' || item_id || ' Notes' AS title, CASE item_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'https://export.arxiv.org/abs/1' WHEN 2 THEN 'https://en.wikipedia.org/wiki/X' ELSE 'https://notarxiv.org/a' END AS url FROM benchmark)
+SELECT item_id, CASE item_id % 4 WHEN 0 THEN title || '. (2024). Institutional Scholarly Archive.' WHEN 1 THEN 'Author et al. (2024). ' || title || '. arXiv preprint ' || url || '.'
+    WHEN 2 THEN 'Wikipedia contributors. (2024). ' || title || '. In Wikipedia, The Free Encyclopedia.' ELSE title || '. (2024). Institutional Scholarly Archive, ' || url || '.' END AS apa,
+  CASE item_id % 4 WHEN 0 THEN '"' || title || '." Institutional Repository, 2024.' WHEN 1 THEN '"' || title || '." arXiv, 2024, ' || url || '.'
+    WHEN 2 THEN '"' || title || '." Wikipedia, Wikimedia Foundation, 2024, ' || url || '.' ELSE '"' || title || '." Institutional Repository, 2024, ' || url || '.' END AS mla,
+  CASE item_id % 4 WHEN 1 THEN '[1] "' || title || '," arXiv preprint, 2024, ' || url || '.' WHEN 2 THEN '[1] "' || title || '," Wikipedia, The Free Encyclopedia, 2024. [Online]. Available: ' || url || '.'
+    ELSE '[1] "' || title || '," Institutional Academic Database, 2024.' END AS ieee FROM t""",
+    "template_citations": """WITH t AS (SELECT item_id, 'Unknown Item_' || item_id AS title FROM benchmark)
+SELECT item_id, 'Unknown author (n.d.). ' || title || '. Unknown publication.' AS apa, 'Unknown author "' || title || '." Unknown publication, n.d..' AS mla,
+  '[1] Unknown author, "' || title || '," Unknown publication, n.d..' AS ieee, 'Unknown author "' || title || '." Unknown publication (n.d.).' AS chicago,
+  '@article{authorn.d.article,' || chr(10) || '  author = {Unknown author},' || chr(10) || '  title  = {{' || title || '}},' || chr(10) || '  year   = {n.d.}' || chr(10) || '}' AS bibtex FROM t""",
     "markdown_documents": r"SELECT doc_id, regexp_replace(regexp_replace('Title' || chr(10) || 'bold link ' || text, '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*\n]+)\*', '\1', 'g') AS text FROM documents",
 }
