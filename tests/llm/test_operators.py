@@ -336,9 +336,10 @@ def test_passages_of_the_tables(spark, small):
     assert passages_found(frame(spark, small).repartition(5)) == removed(small)
 
 
-@pytest.mark.parametrize("crowded", [4096, 2])
-def test_passages_of_random_texts(spark, monkeypatch, crowded):
+@pytest.mark.parametrize(("crowded", "hot"), [(4096, 32), (2, 32), (4096, 2)])
+def test_passages_of_random_texts(spark, monkeypatch, crowded, hot):
     monkeypatch.setattr(passages, "CROWDED", crowded)
+    monkeypatch.setattr(passages, "HOT", hot)
     rng = random.Random(3)
     base = ["".join(rng.choice("ab cé") for _ in range(400)) for _ in range(3)]
     rows = []
@@ -352,6 +353,23 @@ def test_passages_of_random_texts(spark, monkeypatch, crowded):
     assert passages_found(frame(spark, rows).repartition(4)) == removed(rows)
 
 
+def test_passage_in_every_document(spark):
+    """One passage, each time in another context: its triggers are hot, and their phrases don't meet in one bucket."""
+    rng = random.Random(12)
+    passage = "".join(rng.choices("abcdefgh ", k=260))
+    rows = [(i, "".join(rng.choices("klmnopq ", k=rng.randint(150, 600))) + passage[rng.randint(0, 30) :] + "".join(rng.choices("rstuvw ", k=200))) for i in range(150)]
+    docs = frame(spark, rows).repartition(6)
+    keyed = docs.select(F.col("doc_id").alias("doc"), F.hash("text").alias("tie"), "text")
+    hot = passages.hot_triggers(keyed, passages.LENGTH, passages.GRAM)
+    assert 0 < len(hot) < 20
+    found = keyed.select("doc", "tie", "text").mapInArrow(lambda batches: passages.parse(batches, 50, passages.LENGTH, passages.GRAM, hot), passages.ROWS_DDL)
+    records = collections.Counter()
+    for r in found.filter("kind = 0").collect():
+        records[r.bucket] += len(r.blob)
+    assert max(records.values()) < 5 * sum(records.values()) / len(records)
+    assert passages_found(docs) == removed(rows)
+
+
 def test_passages_on_odd_rows(spark, odd):
     rows = passages.remove_repeats(odd).collect()
     assert len(rows) == odd.count()
