@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text that numpy code expands at once; arrays of eight bytes a character stay small.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that numpy code expands at once: arrays of eight bytes a character stay small. Code whose steps are
+#: long vectors of few numbers a text takes more.
+CHUNK_BYTES, LARGE_CHUNK_BYTES = 1 << 18, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import checkpointed, doc_chunks, extended, shared, table, utf8
+from inkspan.llm.common import LARGE_CHUNK_BYTES, checkpointed, doc_chunks, extended, shared, table, utf8
 from inkspan.llm.passages import Roller, U, mix
 
 N = 10
@@ -199,7 +199,7 @@ def reader(automaton, known: bool):
             data, offsets = utf8(batch.column(place("text")))
             before = [batch.column(place(c)).to_pylist() for c in ("__hit", "__items")] if known else None
             counts, hits, items, spans = [], [], [], []
-            for i, j in doc_chunks(offsets):
+            for i, j in doc_chunks(offsets, LARGE_CHUNK_BYTES):
                 names, heads, tails, begin = words_of(data, offsets[i : j + 1], roller)
                 size = np.diff(begin)
                 hit, text, item = own.scan(names, begin) if own else (np.zeros(len(names), bool), np.zeros(0, np.int64), np.zeros(0, np.int64))

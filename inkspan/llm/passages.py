@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import checkpointed, doc_chunks, table, text_or_empty, utf8
+from inkspan.llm.common import LARGE_CHUNK_BYTES, checkpointed, doc_chunks, table, text_or_empty, utf8
 
 LENGTH = 100
 GRAM = 24
@@ -204,7 +204,7 @@ def sampled_triggers(batches: Iterator[pa.RecordBatch], length: int, gram: int)
     roller = Roller()
     for batch in batches:
         data, offsets = utf8(batch.column(0))
-        for i, j in doc_chunks(offsets):
+        for i, j in doc_chunks(offsets, LARGE_CHUNK_BYTES):
             for _, found in parsed_chunk(data, offsets, i, j, roller, length, gram):
                 both = np.unique(np.stack((found[2], found[3])), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["trigger", "content"])
@@ -245,7 +245,7 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def parse_part(data, offsets, doc, tie, buckets: int, roller: Roller, length: int, gram: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     found: list[list[np.ndarray]] = []
-    for i, j in doc_chunks(offsets):
+    for i, j in doc_chunks(offsets, LARGE_CHUNK_BYTES):
         for _, (first, last, trigger, content, at, row) in parsed_chunk(data, offsets, i, j, roller, length, gram):
             found.append([trigger, content, doc[row], tie[row], at.astype(np.int32), (last - first).astype(np.int16)])
     if found:
