@@ -55,8 +55,9 @@ BUCKET_BYTES = 4 << 20
 PARSE_BYTES, LONG_BYTES = 8 << 20, 4 << 20
 #: A trigger with more distinct phrases than this is dealt out string by string.
 CROWDED = 4096
-#: Documents, about, in which hot triggers are looked for, and distinct phrases there that make a trigger hot.
-SAMPLE, HOT = 50_000, 32
+#: Documents, about, in which hot triggers are looked for; distinct phrases there, and by estimate in all documents, that
+#: make a trigger hot: fewer are no burden to one task (36 bytes each).
+SAMPLE, HOT, HOT_ALL = 50_000, 8, 1_000_000
 
 U = np.uint64
 _POSITION = U((1 << 26) - 1)
@@ -211,11 +212,14 @@ def sampled_triggers(batches: Iterator[pa.RecordBatch], length: int, gram: int)
 
 
 def hot_triggers(rows: DataFrame, length: int, gram: int) -> np.ndarray:
-    """Triggers with HOT or more distinct phrases in a sample of about SAMPLE documents, sorted: at most the sample's phrases over HOT."""
+    """Triggers of which a sample of about SAMPLE documents suggests HOT_ALL distinct phrases or more, sorted: at most the sample's phrases over HOT."""
     count = rows.count()
+    least = max(HOT, HOT_ALL * min(1.0, SAMPLE / max(1, count)))
+    if least > min(count, SAMPLE):  # not even one that stands in every document
+        return np.zeros(0, U)
     draw = F.pmod(F.xxhash64("doc", "tie", F.lit(3)), F.lit(1 << 30)) <= int(min(1.0, SAMPLE / max(1, count)) * (1 << 30))
     found = rows.filter(draw).select("text").mapInArrow(lambda batches: sampled_triggers(batches, length, gram), "trigger long, content long").distinct()
-    return np.sort(np.array([r.trigger for r in found.groupBy("trigger").count().filter(F.col("count") >= HOT).collect()], np.int64).view(U))
+    return np.sort(np.array([r.trigger for r in found.groupBy("trigger").count().filter(F.col("count") >= least).collect()], np.int64).view(U))
 
 
 def parse(batches: Iterator[pa.RecordBatch], buckets: int, length: int, gram: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:

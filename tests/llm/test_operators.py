@@ -340,6 +340,7 @@ def test_passages_of_the_tables(spark, small):
 def test_passages_of_random_texts(spark, monkeypatch, crowded, hot):
     monkeypatch.setattr(passages, "CROWDED", crowded)
     monkeypatch.setattr(passages, "HOT", hot)
+    monkeypatch.setattr(passages, "HOT_ALL", hot)
     rng = random.Random(3)
     base = ["".join(rng.choice("ab cé") for _ in range(400)) for _ in range(3)]
     rows = []
@@ -353,13 +354,15 @@ def test_passages_of_random_texts(spark, monkeypatch, crowded, hot):
     assert passages_found(frame(spark, rows).repartition(4)) == removed(rows)
 
 
-def test_passage_in_every_document(spark):
+def test_passage_in_every_document(spark, monkeypatch):
     """One passage, each time in another context: its triggers are hot, and their phrases don't meet in one bucket."""
     rng = random.Random(12)
     passage = "".join(rng.choices("abcdefgh ", k=260))
     rows = [(i, "".join(rng.choices("klmnopq ", k=rng.randint(150, 600))) + passage[rng.randint(0, 30) :] + "".join(rng.choices("rstuvw ", k=200))) for i in range(150)]
     docs = frame(spark, rows).repartition(6)
     keyed = docs.select(F.col("doc_id").alias("doc"), F.hash("text").alias("tie"), "text")
+    assert not len(passages.hot_triggers(keyed, passages.LENGTH, passages.GRAM))  # nothing is hot among so few
+    monkeypatch.setattr(passages, "HOT_ALL", 32)
     hot = passages.hot_triggers(keyed, passages.LENGTH, passages.GRAM)
     assert 0 < len(hot) < 20
     found = keyed.select("doc", "tie", "text").mapInArrow(lambda batches: passages.parse(batches, 50, passages.LENGTH, passages.GRAM, hot), passages.ROWS_DDL)
