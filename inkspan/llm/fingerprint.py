@@ -110,6 +110,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty; texts without words have an empty array;
     equal texts, and texts equal but for case and spaces, equal fingerprints.
+    Texts of any length are read whole, a row a shingle. An empty table gives
+    no rows; other columns, whatever their names, are ignored.
     """
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     rows = rows.withColumn("__id", F.xxhash64("doc_id", "text")).repartition("__id").dropDuplicates(["__id", "doc_id", "text"])
@@ -175,8 +177,10 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     The edited text has the last floor(n/2) code points replaced by the first
     as many (or all) of the next document's, by descending doc_id, the first
     following the last. A null text counts as empty and its edited text is
-    empty; an empty table gives no rows; repeated rows stay, each followed by
-    its twin.
+    empty; an empty table gives no rows; rows of one id are ordered by a hash
+    of their text, nulls among the ids come last; repeated rows stay, each
+    followed by its twin. Texts of any length are read whole; other columns,
+    whatever their names, are ignored.
     """
     frame, order = in_order(docs.select("doc_id", text_or_empty().alias("text")))
     frame = frame.repartition("__bucket").withColumns({"__row": F.row_number().over(order), "__next": F.lead("text").over(order)})

@@ -227,8 +227,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float
     Texts that are null, empty or wordless have no shingles and are linked
     with nothing: their component is their own id. Other components take the
     least doc_id among their rows (null if all are null); rows repeated in the
-    input stay. kept says that a row's id is its component's. An empty table
-    gives no rows; other columns are ignored.
+    input stay, and all rows under a component's id are kept. Texts of any
+    length are compared whole. kept says that a row's id is its component's.
+    An empty table gives no rows; other columns, whatever their names, are
+    ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("check"), text_or_empty().alias("text"))
     schema = "doc_id long, check long, n long, class binary, bands array<long>, bits binary"

@@ -192,6 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Additive:
 def with_quality(docs: DataFrame, model: Additive) -> DataFrame:
     """The rows of `docs` with score, from 0 to 1; null and empty texts are scored as texts without words.
 
+    Texts of any length are read whole; equal texts have equal scores.
     Repeated rows stay; an empty table gives no rows; a column `score` of the
     input is replaced. Without any labelled row every score is 0.5.
     """
