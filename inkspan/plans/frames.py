@@ -87,15 +87,20 @@ def flagged_sentences(spark, sf_dir):
 
 
 def closest_passages(spark, sf_dir):
-    """The corpus sentence nearest to each of the first 50 sentences of the documents that quote the corpus, by hashed vectors."""
+    """For each of the first 50 sentences of a document and each source that it quotes, the nearest of the source's first 100 sentences by hashed vectors.
+
+    Sentences meet by document and source only; ties go to the earlier sentence.
+    """
     pieces = lambda text: F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda s: F.length(F.trim(s)) > 5)
-    cited = spark.sql(views(spark, sf_dir, overlap_by_source(SPARK))).select("doc_id").distinct()
-    drafts = documents(spark, sf_dir).join(cited, "doc_id", "left_semi").select("doc_id", F.posexplode(F.slice(pieces("text"), 1, 50)).alias("n", "sentence"))
-    drafts = drafts.withColumn("key", F.col("doc_id") * 64 + F.col("n"))
+    cited = spark.sql(views(spark, sf_dir, overlap_by_source(SPARK))).select("doc_id", F.col("source_id").alias("item_id"))
+    drafts = documents(spark, sf_dir).join(cited.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(F.slice(pieces("text"), 1, 50)).alias("n", "sentence"))
     corpus = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.posexplode(F.slice(pieces("text"), 1, 100)).alias("m", "sentence"))
-    corpus = corpus.withColumn("key", -(F.col("item_id") * 128 + F.col("m") + 1))
-    near = top_k(hashed_vectors(drafts, "key", "sentence"), hashed_vectors(corpus, "key", "sentence"), "key", "vector", 1)
-    return near.select(F.floor(F.col("query_id") / 64).alias("doc_id"), F.pmod("query_id", F.lit(64)).alias("sentence_no"), F.floor((-F.col("id") - 1) / 128).alias("item_id"), "similarity")
+    vectors = lambda rows, keys: hashed_vectors(rows.withColumn("key", F.struct(*keys)), "key", "sentence").select("key.*", "vector")
+    drafts, corpus = vectors(drafts, ["doc_id", "n"]), vectors(corpus, ["item_id", "m"]).withColumnRenamed("vector", "other")
+    dot = F.aggregate(F.zip_with("vector", "other", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    pairs = drafts.join(cited, "doc_id").join(corpus, "item_id").withColumn("similarity", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * dot)), 2))
+    best = pairs.groupBy("doc_id", "item_id", "n").agg(F.max(F.struct("similarity", (-F.col("m")).alias("m"))).alias("best"))
+    return best.select("doc_id", F.col("n").alias("sentence_no"), "item_id", (-F.col("best.m")).alias("source_sentence"), "best.similarity")
 
 
 def cleanup_edits(spark, sf_dir):
