@@ -160,7 +160,9 @@ def groups(classes: DataFrame, most: int, limit: int) -> list[DataFrame]:
     while True:
         further = {m: bands(m, most + 1) for m in masks}
         split = F.create_map(*(x for m, after in further.items() for x in (F.lit(signed(m)), F.array(*(F.lit(signed(a)) for a in after)))))
-        rows = rows.select(F.explode(split[F.col("mask")]).alias("mask"), "bits").withColumn("group", F.struct("mask", F.col("bits").bitwiseAND(F.col("mask"))))
+        rows = rows.select(F.explode(split[F.col("mask")]).alias("mask"), "bits")
+        rows = (rows.distinct() if out else rows).withColumn("group", F.struct("mask", F.col("bits").bitwiseAND(F.col("mask"))))
+        # Two masks may have a further one in common.
         masks = sorted({a for after in further.values() for a in after})
         small = 1 << BITS - min(m.bit_count() for m in masks) <= limit
         sizes = rows.groupBy("group").agg(F.count("*").alias("size"))
