@@ -21,6 +21,25 @@ TABLES = (
 )
 
 
+#: What words are made of, and a place where a word begins or ends. Neither Java's nor DuckDB's own `\b` and `\w` see letters beyond
+#: ASCII everywhere (Java's changed with version 19), so plans say them in full.
+WORD_CHARS = r"\p{L}\p{N}_"
+BOUNDARY = rf"(?:(?<=[{WORD_CHARS}])(?![{WORD_CHARS}])|(?<![{WORD_CHARS}])(?=[{WORD_CHARS}]))"
+
+
+def spelled_out(regex: str, boundary: str) -> str:
+    """The pattern with `\\w` as letters, digits and underscores of all scripts, and `\\b` as `boundary`."""
+    out, inside, i = [], False, 0
+    while i < len(regex):
+        step = 2 if regex[i] == "\\" else 1
+        part = regex[i : i + step]
+        if part == "[" and not inside or part == "]" and inside:
+            inside = not inside
+        out.append({r"\w": WORD_CHARS if inside else f"[{WORD_CHARS}]", r"\b": boundary}.get(part, part))
+        i += step
+    return "".join(out)
+
+
 class Spark:
     name = "spark"
     #: Plans over injected texts (see plans.signals) read the documents as they are.
@@ -33,11 +52,16 @@ class Spark:
         return other
 
     def pattern(self, regex: str) -> str:
+        regex = spelled_out(regex, BOUNDARY)
         quote = '"' if '"' not in regex else "'"
         if quote in regex:
             regex = regex.replace(quote, "\\x22")
         return f"r{quote}{regex}{quote}"
 
+    def seen(self, text: str) -> str:
+        """The text as patterns with boundaries see it; plans with many such patterns name it `seen` once."""
+        return text
+
     def guarded(self, text: str, regex: str, none: str, found: str) -> str:
         """`found` where a column holds a string that each match needs, `none` elsewhere: a plain search spares most texts the pattern."""
         parts = needed(regex) if re.fullmatch(r"[\w.]+|lower\([\w.]+\)", text) else []
@@ -125,10 +149,17 @@ class Duck(Spark):
     name = "duckdb"
 
     def pattern(self, regex: str) -> str:
-        return "'" + regex.replace("'", "''") + "'"
+        return "'" + spelled_out(regex, r"\b").replace("'", "''") + "'"
+
+    def seen(self, text: str) -> str:
+        """Boundaries see ASCII only here: underscores stand for other letters and digits."""
+        return f"regexp_replace({text}, '[^\\P{{L}}\\x00-\\x7F]|[^\\P{{N}}\\x00-\\x7F]', '_', 'g')"
+
+    def bounded(self, text: str, regex: str) -> str:
+        return self.seen(text) if r"\b" in regex and text != "seen" else text
 
     def count(self, text: str, regex: str) -> str:
-        return f"len(regexp_extract_all({text}, {self.pattern(regex)}))"
+        return f"len(regexp_extract_all({self.bounded(text, regex)}, {self.pattern(regex)}))"
 
     def all(self, text: str, regex: str, group: int = 0) -> str:
         return f"regexp_extract_all({text}, {self.pattern(regex)}, {group})"
@@ -137,7 +168,7 @@ class Duck(Spark):
         return f"regexp_extract({text}, {self.pattern(regex)}, {group})"
 
     def like(self, text: str, regex: str) -> str:
-        return f"regexp_matches({text}, {self.pattern(regex)})"
+        return f"regexp_matches({self.bounded(text, regex)}, {self.pattern(regex)})"
 
     def replace(self, text: str, regex: str, by: str) -> str:
         return f"regexp_replace({text}, {self.pattern(regex)}, {self.pattern(re.sub(r'<(\d)>', r'\\\1', by))}, 'g')"
@@ -150,7 +181,7 @@ class Duck(Spark):
     def spaced_dashes(self, text: str) -> str:
         # No lookaround here: each place is looked at with its neighbours, an empty string standing for the text's edge.
         fits = rf"regexp_matches(substring({text}, i, 4), '^\s--\s$') AND (i = 1 OR substring({text}, i - 1, 1) <> '-') AND substring({text}, i + 4, 1) <> '-'"
-        return f"len(list_filter(range(1, greatest(2, length({text}) - 2)), lambda i: {fits}))"
+        return f"CASE WHEN contains({text}, '--') THEN len(list_filter(range(1, greatest(2, length({text}) - 2)), lambda i: {fits})) ELSE 0 END"
 
     def split(self, text: str, mark: str) -> str:
         return f"string_split_regex({text}, {self.pattern(mark)})"

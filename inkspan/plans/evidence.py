@@ -12,10 +12,11 @@ D = DUCK
 
 
 def spans(pattern: str, category: str, place: int, kind: str) -> str:
-    return f"""SELECT doc_id, '{category}' AS category, {place} AS n, '{kind}' AS kind, sum(length(piece) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS low,
-  sum(length(piece) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS high, m AS raw FROM (
-  SELECT doc_id, unnest(found) AS m, unnest(pieces[1:len(found)]) AS piece, generate_subscripts(found, 1) AS i
-  FROM (SELECT doc_id, {D.all("text", pattern)} AS found, {D.split("text", pattern)} AS pieces FROM src))"""
+    seen = D.bounded("text", pattern)
+    return f"""SELECT doc_id, '{category}' AS category, {place} AS n, '{kind}' AS kind, low, high, substring(text, CAST(low AS BIGINT) + 1, CAST(high - low AS BIGINT)) AS raw FROM (
+  SELECT doc_id, text, sum(length(piece) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS low, sum(length(piece) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS high FROM (
+  SELECT doc_id, text, unnest(found) AS m, unnest(pieces[1:len(found)]) AS piece, generate_subscripts(found, 1) AS i
+  FROM (SELECT doc_id, text, {D.all(seen, pattern)} AS found, {D.split(seen, pattern)} AS pieces FROM src)))"""
 
 
 def evidence_ctes() -> str:

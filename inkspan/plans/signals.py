@@ -159,14 +159,14 @@ def band(n: str, moderate: int, strong: int) -> str:
 
 def pattern_evidence(d) -> str:
     """Hits of each category, with words and bullets."""
-    markers = " + ".join(f"CASE WHEN {d.like('text', ci(chr(92) + 'b' + m + chr(92) + 'b'))} THEN 1 ELSE 0 END" for m in MARKERS)
+    markers = " + ".join(f"CASE WHEN {d.like('seen', ci(chr(92) + 'b' + m + chr(92) + 'b'))} THEN 1 ELSE 0 END" for m in MARKERS)
     bullets = d.count("text", r"(?m)^[ \t]*(?:[-*•]|\d+[.)])\s+")
-    each_marker = " + ".join(d.count("text", ci(rf"\b{m}\b")) for m in MARKERS)
-    return f"""SELECT doc_id, {big(d.count("lower(text)", PATTERN_WORD))} AS words, {big(markers)} AS distinct_markers, {big(each_marker)} AS markers, {big(total(d, HEDGES))} AS hedges,
-  {big(total(d, STRUCTURES) + f" + CASE WHEN {bullets} >= 5 THEN 1 ELSE 0 END")} AS structures, {big(total(d, TRANSITIONS))} AS transitions,
+    each_marker = " + ".join(d.count("seen", ci(rf"\b{m}\b")) for m in MARKERS)
+    return f"""SELECT doc_id, {big(d.count("lower(text)", PATTERN_WORD))} AS words, {big(markers)} AS distinct_markers, {big(each_marker)} AS markers, {big(total(d, HEDGES, "seen"))} AS hedges,
+  {big(total(d, STRUCTURES, "seen") + f" + CASE WHEN {bullets} >= 5 THEN 1 ELSE 0 END")} AS structures, {big(total(d, TRANSITIONS, "seen"))} AS transitions,
   {big(d.count("text", "—"))} AS em_dashes, {big(d.spaced_dashes("text"))} AS double_dashes, {big(d.count("text", r"—[^—\n]{2,100}—"))} AS wrapped,
-  {big(d.count("text", ci(r"\b(?:the (?:problem|answer|reason|rule|point)|what matters)\s*:")))} AS colons, {big(total(d, CHATBOT))} AS chatbot,
-  {big(total(d, RHETORIC))} AS rhetoric, {big(total(d, PROVENANCE))} AS provenance FROM ({_source(d)}) t"""
+  {big(d.count("seen", ci(r"\b(?:the (?:problem|answer|reason|rule|point)|what matters)\s*:")))} AS colons, {big(total(d, CHATBOT, "seen"))} AS chatbot,
+  {big(total(d, RHETORIC, "seen"))} AS rhetoric, {big(total(d, PROVENANCE, "seen"))} AS provenance FROM (SELECT doc_id, text, {d.seen("text")} AS seen FROM ({_source(d)}) t) t"""
 
 
 def specificity(d) -> str:

@@ -197,3 +197,16 @@ def test_streams(spark, sf_dir, tmp_path):
     assert [(r.doc_id, r.item_id, r.i) for r in spark.table("found").collect()] == [(1, 7, 1)]
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert windowed_events(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_boundaries_see_all_letters_in_both_dialects(spark):
+    import duckdb
+
+    from inkspan.plans.dialect import DUCK, SPARK
+
+    texts = ["Thshea Stteä", "Thshea Sttea ä", "édelve delve", "delve1 delvé", "2019年 2019", "été_delve", "don't delve-in"]
+    for pattern, expected in ((r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}\b", [0, 1, 0, 0, 0, 0, 0]), (r"(?i)\bdelve\b", [0, 0, 1, 0, 0, 0, 1]), (r"\b(?:19|20)\d{2}\b", [0, 0, 0, 0, 1, 0, 0]), (r"^[\w-]+\b", [1, 1, 1, 1, 1, 1, 1])):
+        rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+        assert [r[0] for r in rows.orderBy("i").selectExpr(SPARK.count("text", pattern)).collect()] == expected
+        assert [duckdb.execute(f"SELECT {DUCK.count('t', pattern)} FROM (SELECT ? AS t)", [t]).fetchone()[0] for t in texts] == expected
+        assert [len(re.findall(pattern, t)) for t in texts] == expected
