@@ -71,6 +71,48 @@ def docx_typed_blocks(spark, sf_dir):
     return rows.groupBy("path").agg(F.max("block_no").cast("long").alias("blocks"), *kinds, F.max("heading_level").cast("long").alias("level"), F.max("end").cast("long").alias("end_offset"))
 
 
+def damaged_file(number: int, text: str) -> tuple[str, bytes]:
+    """A file by its number: good, cut off, damaged inside, encrypted, beyond the limits by its own account, or of a wrong type."""
+    case, good = number % 7, docx_file(text.split("\n"))
+    local, central = good.index(b"PK\x03\x04"), good.index(b"PK\x01\x02")
+    packed = local + 30 + len("word/document.xml")
+    if case == 1:
+        good = good[: len(good) // 2]
+    elif case == 2:
+        good = good[:packed] + b"\xff" * 12 + good[packed + 12 :]
+    elif case == 3:  # the flag of encrypted entries
+        good = good[: local + 6] + b"\x01" + good[local + 7 : central + 8] + b"\x01" + good[central + 9 :]
+    elif case == 4:  # the size after expansion
+        good = good[: central + 24] + (1 << 30).to_bytes(4, "little") + good[central + 28 :]
+    elif case == 5:
+        return f"/in/{number}.exe", good
+    return f"/in/{number}.docx", b"" if case == 6 else good
+
+
+def damaged_files(spark, sf_dir):
+    """What becomes of a file of each document, six of seven of which are damaged or not allowed, as it is and inside a ZIP file."""
+
+    @F.pandas_udf("path string, content binary, zipped binary")
+    def made(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for number, text in zip(ids, texts, strict=True):
+            path, content = damaged_file(number, text)
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
+                archive.writestr(path[1:], content)
+                archive.writestr("in/notes.md", "Short notes.")
+            whole = out.getvalue()
+            rows.append((path, content, whole[:20] if number % 2 else whole))
+        return pd.DataFrame(rows, columns=["path", "content", "zipped"])
+
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), UNFIT, "")
+    files = documents(spark, sf_dir).select("doc_id", made("doc_id", text).alias("f")).select("doc_id", "f.*")
+    entries = unzip(files.select(F.format_string("/in/%d.zip", "doc_id").alias("path"), F.col("zipped").alias("content")))
+    lost = entries.filter("error IS NOT NULL").select(F.col("archive").alias("path"), F.lit("unreadable").alias("status"), "error")
+    read = extract_text(files.select("path", "content")).unionByName(extract_text(entries.filter("error IS NULL").select(F.concat("archive", F.lit("/"), "path").alias("path"), "content")))
+    return read.select("path", "status", "error").unionByName(lost)
+
+
 def notebook_documents(spark, sf_dir):
     """Text of every document as a notebook's cell, whose source is a list of lines or one string, and of a quoted string in code."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), UNFIT, "")
@@ -158,7 +200,7 @@ _GAP = "chr(10) || chr(10)"
 QUERIES = {
     f.__name__: f
     for f in (
-        docx_documents, docx_typed_blocks, notebook_documents, zipped_documents, decoded_documents, latex_documents, inverted_documents, corpus_changes, corpus_additions, highlighted_reports, public_errors,
+        docx_documents, docx_typed_blocks, damaged_files, notebook_documents, zipped_documents, decoded_documents, latex_documents, inverted_documents, corpus_changes, corpus_additions, highlighted_reports, public_errors,
     )
 }
 _KNOWN = ", ".join("'" + k + "'" for k in KNOWN)
@@ -166,12 +208,19 @@ ORACLES = {
     "public_errors": f"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN list_extract([{_KNOWN}], event_id % {len(KNOWN)} + 1) WHEN 1 THEN 'Report data has an invalid structure.'
   WHEN 2 THEN 'Unsupported file format.' WHEN 3 THEN 'The uploaded file is not a valid ZIP archive.' ELSE 'The request could not be processed.' END AS shown FROM events""",
     "docx_documents": f"""SELECT doc_id || '.docx' AS filename, 'success' AS status,
-  sha256('Report' || {_GAP} || array_to_string(list_append({_LINES}, 'left | right'), {_GAP})) AS text_sha256 FROM documents""",
+  sha256('Report' || {_GAP} || array_to_string(list_append({_LINES}, 'left right'), {_GAP})) AS text_sha256 FROM documents""",
     "docx_typed_blocks": f"""WITH l AS (SELECT doc_id, unnest(string_split({_CLEAN}, chr(10))) AS line, generate_subscripts(string_split({_CLEAN}, chr(10)), 1) AS n FROM documents),
 k AS (SELECT * FROM l WHERE regexp_matches(line, '[^\\s]')),
 c AS (SELECT d.doc_id, count(k.n) AS n, count(*) FILTER (WHERE k.n % 2 = 0) AS items, coalesce(sum(length(line) + 2), 0) AS size FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id)
 SELECT '/in/' || doc_id || '.docx' AS path, n + 3 AS blocks, CAST(1 AS BIGINT) AS heading, items AS list_item, n - items AS paragraph, CAST(2 AS BIGINT) AS table_cell, CAST(2 AS BIGINT) AS level,
   CAST(8 + size + 6 + 5 AS BIGINT) AS end_offset FROM c""",
+    "damaged_files": """WITH c AS (SELECT doc_id, CASE doc_id % 7 WHEN 5 THEN 'in/' || doc_id || '.exe' ELSE 'in/' || doc_id || '.docx' END AS name, doc_id % 2 = 0 AS opens,
+  CASE doc_id % 7 WHEN 0 THEN 'success' WHEN 4 THEN 'too large' WHEN 5 THEN 'unsupported' ELSE 'unreadable' END AS status,
+  CASE doc_id % 7 WHEN 0 THEN NULL WHEN 4 THEN 'DOCX expanded content exceeds extraction limits.' WHEN 5 THEN 'Unsupported file format.' ELSE 'Failed to read DOCX file. It may be corrupt, encrypted, or unsupported.' END AS error FROM documents)
+SELECT '/' || name AS path, status, error FROM c
+UNION ALL SELECT '/in/' || doc_id || '.zip/' || name, status, error FROM c WHERE opens AND doc_id % 7 <> 5
+UNION ALL SELECT '/in/' || doc_id || '.zip/in/notes.md', 'success', NULL FROM c WHERE opens
+UNION ALL SELECT '/in/' || doc_id || '.zip', 'unreadable', 'The uploaded file is not a valid ZIP archive.' FROM c WHERE NOT opens""",
     "notebook_documents": f"""SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN {_CLEAN} ELSE {_CLEAN} || '!' || {_GAP} || 'quoted' END) AS text_sha256 FROM documents""",
     "zipped_documents": """WITH f AS (SELECT 'doc' || doc_id || '.txt' AS filename, trim(coalesce(text, ''), ' ') AS text FROM documents UNION ALL SELECT 'notes.md', 'Short notes.' FROM documents)
 SELECT filename, CASE WHEN text = '' THEN 'empty' ELSE 'success' END AS status, CASE WHEN text <> '' THEN sha256(text) END AS text_sha256, count(*) AS files FROM f GROUP BY ALL""",

@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib.util
 import io
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -13,8 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkspan.sources.errors import ARCHIVE, DOCX_BROKEN, DOCX_LIMITS, EMPTY, FILE_LIMIT, FORMAT, GENERAL, LARGE_ARCHIVE, LARGE_ENTRY, MANY_ENTRIES, PDF_BROKEN
+
 EXTENSIONS = ("txt", "md", "docx", "pdf", "rtf", "csv", "tex", "bib", "ipynb")
 MAX_FILE_BYTES, MAX_ARCHIVE_FILES, MAX_ARCHIVE_BYTES, MAX_DOCX_ENTRIES = 8 << 20, 100, 32 << 20, 2000
+#: What damaged, encrypted and unsupported archives and their XML raise.
+BROKEN = (zipfile.BadZipFile, zlib.error, struct.error, ElementTree.ParseError, RuntimeError, EOFError, OSError, LookupError, ValueError)
+WORDS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def extension(path: Column) -> Column:
@@ -69,24 +76,31 @@ def markdown_text(text: Column) -> Column:
     return text
 
 
-def docx_text(content: bytes) -> str | None:
-    """Paragraphs and table rows of a DOCX file; None if it can't be read within the limits."""
-    space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+def docx_body(content: bytes) -> tuple[ElementTree.Element | None, str | None]:
+    """The body of a DOCX file, or why it can't be read. Its declared sizes are looked at before anything is expanded."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             if len(archive.infolist()) > MAX_DOCX_ENTRIES or sum(i.file_size for i in archive.infolist()) > MAX_ARCHIVE_BYTES:
-                return None
-            body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{space}body")
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-        return None
-    said = lambda node: "".join(t.text or "" for t in node.iter(f"{space}t"))
-    lines = []
-    for node in body if body is not None else ():
-        if node.tag == f"{space}p":
-            lines.append(said(node))
-        elif node.tag == f"{space}tbl":
-            lines += [" | ".join(said(cell) for cell in row.iter(f"{space}tc")) for row in node.iter(f"{space}tr")]
-    return "\n\n".join(x for x in lines if x.strip())
+                return None, DOCX_LIMITS
+            body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{WORDS}body")
+    except BROKEN:
+        return None, DOCX_BROKEN
+    return (body, None) if body is not None else (None, DOCX_BROKEN)
+
+
+def said(node: ElementTree.Element) -> str:
+    return "".join(t.text or "" for t in node.iter(f"{WORDS}t"))
+
+
+def docx_text(content: bytes) -> tuple[str | None, str | None]:
+    """Paragraphs of a DOCX file and then its table rows, or no text and why it can't be read."""
+    body, error = docx_body(content)
+    if error:
+        return None, error
+    lines = [said(node) for node in body if node.tag == f"{WORDS}p"]
+    for row in (r for node in body if node.tag == f"{WORDS}tbl" for r in node.iter(f"{WORDS}tr")):
+        lines.append(" ".join(filter(None, (said(cell).strip() for cell in row.iter(f"{WORDS}tc")))))
+    return "\n\n".join(x for x in lines if x.strip()), None
 
 
 def pdf_text(content: bytes) -> str | None:
@@ -116,41 +130,35 @@ def pdf_column(content: Column) -> Column:
 
 
 def docx_column(content: Column) -> Column:
-    @F.pandas_udf("string")
-    def read(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda c: None if c is None else docx_text(c))
+    @F.pandas_udf("text string, error string")
+    def read(contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if c is None else docx_text(c) for c in contents], columns=["text", "error"], dtype=object)
 
     return read(content)
 
 
 def docx_parts(content: bytes) -> list[dict] | None:
     """Typed parts of a DOCX file, paragraphs before table cells: headings with their level, list items, bold and italic spans; None if it can't be read."""
-    space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            if len(archive.infolist()) > MAX_DOCX_ENTRIES or sum(i.file_size for i in archive.infolist()) > MAX_ARCHIVE_BYTES:
-                return None
-            body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{space}body")
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+    body, error = docx_body(content)
+    if error:
         return None
-    said = lambda node: "".join(t.text or "" for t in node.iter(f"{space}t"))
     parts, cells = [], []
 
     def switched_on(run, name: str) -> bool:
-        mark = run.find(f"{space}rPr/{space}{name}")
-        return mark is not None and mark.get(f"{space}val") not in ("0", "false", "none")
-
-    for node in body if body is not None else ():
-        if node.tag == f"{space}tbl":
-            cells += [said(cell).strip() for cell in node.iter(f"{space}tc")]
-        elif node.tag == f"{space}p" and said(node).strip():
-            named = node.find(f"{space}pPr/{space}pStyle")
-            style = "" if named is None else named.get(f"{space}val") or ""
+        mark = run.find(f"{WORDS}rPr/{WORDS}{name}")
+        return mark is not None and mark.get(f"{WORDS}val") not in ("0", "false", "none")
+
+    for node in body:
+        if node.tag == f"{WORDS}tbl":
+            cells += [said(cell).strip() for cell in node.iter(f"{WORDS}tc")]
+        elif node.tag == f"{WORDS}p" and said(node).strip():
+            named = node.find(f"{WORDS}pPr/{WORDS}pStyle")
+            style = "" if named is None else named.get(f"{WORDS}val") or ""
             level = re.search(r"\d+", style)
             kind = "heading" if style.lower().startswith("heading") else "list_item" if "list" in style.lower() else "paragraph"
             spans: dict[str, list] = {"b": [], "i": []}
             at = 0
-            for run in node.iter(f"{space}r"):
+            for run in node.iter(f"{WORDS}r"):
                 end = at + len(said(run))
                 for name, listed in spans.items():
                     if end > at and switched_on(run, name):
@@ -189,49 +197,68 @@ def changed_sources(known: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def extract_text(files: DataFrame) -> DataFrame:
-    """(path, content) to path, filename, text, status: success, empty, unsupported, too large or unreadable.
+    """(path, content) to path, filename, text, status (success, empty, unsupported, too large or unreadable) and error, the message to show.
 
-    A file that can't be read is a row with its status, never a failed job. PDF
-    text needs the library pypdf; without it such files are unsupported.
+    A file that can't be read is a row with its status, never a failed job. A
+    file beyond the limit isn't looked into. PDF text needs the library pypdf;
+    without it such files are unsupported. A null content is unreadable.
     """
     pdf = pdf_readable()
-    kind, plain = extension(F.col("path")), decoded(F.col("content"))
-    text = F.when(kind == "docx", docx_column(F.when(kind == "docx", F.col("content")))).when(kind == "tex", latex_prose(plain)).when(kind == "ipynb", notebook_text(plain)).when(kind != "pdf", plain)
+    kind = extension(F.col("path"))
+    known = kind.isin(*EXTENSIONS) & (F.lit(pdf) | (kind != "pdf"))
+    large = F.length("content") > MAX_FILE_BYTES
+    content = F.when(known & ~large, F.col("content"))
+    plain = decoded(content)
+    text = F.when(kind == "docx", F.col("docx.text")).when(kind == "tex", latex_prose(plain)).when(kind == "ipynb", notebook_text(plain)).when(kind != "pdf", plain)
     if pdf:
-        text = F.when(kind == "pdf", pdf_column(F.when(kind == "pdf", F.col("content")))).otherwise(text)
-    status = (
-        F.when(~kind.isin(*EXTENSIONS) | ((kind == "pdf") & F.lit(not pdf)), "unsupported")
-        .when(F.length("content") > MAX_FILE_BYTES, "too large")
-        .when(F.col("text").isNull(), "unreadable")
-        .when(F.trim("text") == "", "empty")
-        .otherwise("success")
-    )
-    rows = files.withColumn("text", F.when(kind.isin(*EXTENSIONS), text)).withColumn("status", status)
-    return rows.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.when(F.col("status") == "success", F.col("text")).alias("text"), "status")
+        text = F.when(kind == "pdf", pdf_column(F.when(kind == "pdf", content))).otherwise(text)
+    rows = files.withColumn("docx", docx_column(F.when(kind == "docx", content))).withColumn("text", text)
+    status = F.when(~known, "unsupported").when(large, "too large").when(F.col("docx.error") == DOCX_LIMITS, "too large").when(F.col("text").isNull(), "unreadable").when(F.trim("text") == "", "empty").otherwise("success")
+    error = F.when(~known, FORMAT).when(large, FILE_LIMIT).when(F.col("text").isNull(), F.when(kind == "docx", F.coalesce("docx.error", F.lit(DOCX_BROKEN))).when(kind == "pdf", PDF_BROKEN).otherwise(GENERAL)).when(F.trim("text") == "", EMPTY)
+    rows = rows.withColumns({"status": status, "error": error})
+    return rows.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.when(F.col("status") == "success", F.col("text")).alias("text"), "status", "error")
 
 
 def scan_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """The readable, non-empty files of a folder as corpus rows."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).filter(extension(F.col("path")).isin(*EXTENSIONS))
+    """The readable, non-empty files of a folder as corpus rows. Types and sizes are told by the listing; other files aren't opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).filter(F.col("length") <= MAX_FILE_BYTES)
+    files = files.filter(extension(F.col("path")).isin(*EXTENSIONS))
     return extract_text(files).filter(F.col("status") == "success").select(F.col("filename").alias("source_key"), "filename", "text", F.lit("institutional_corpus").alias("source_type"))
 
 
+def archive_entries(content: bytes | None) -> Iterator[tuple[str | None, bytes | None, str | None]]:
+    """Name, bytes and error of each allowed entry of a ZIP file; an archive beyond the limits is one error."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content or b"")) as archive:
+            infos = archive.infolist()
+            if len(infos) > MAX_ARCHIVE_FILES:
+                yield None, None, MANY_ENTRIES
+            elif sum(i.file_size for i in infos) > MAX_ARCHIVE_BYTES:
+                yield None, None, LARGE_ARCHIVE
+            elif any(i.file_size > MAX_FILE_BYTES or i.flag_bits & 1 for i in infos):
+                yield None, None, LARGE_ENTRY
+            else:
+                for i in infos:
+                    hidden = i.filename.startswith("__MACOSX") or i.filename.rsplit("/", 1)[-1].startswith(".")
+                    if not i.is_dir() and not hidden and i.filename.rsplit(".", 1)[-1].lower() in EXTENSIONS:
+                        try:
+                            yield i.filename, archive.read(i), None
+                        except BROKEN:
+                            yield i.filename, None, GENERAL
+    except BROKEN:
+        yield None, None, ARCHIVE
+
+
 def unzip(archives: DataFrame) -> DataFrame:
-    """(path, content) of ZIP files to (archive, path, content) of their allowed entries; an archive beyond the limits is one row with an error."""
+    """(path, content) of ZIP files to (archive, path, content, error) of their allowed entries.
+
+    An archive that is damaged, encrypted or beyond the limits is one row with
+    an error, a damaged entry one with its name; the rest of the job goes on.
+    """
 
     def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        infos = [i for i in archive.infolist() if not i.is_dir() and not re.search(r"(^|/)(__MACOSX/|\.)", i.filename) and i.filename.rsplit(".", 1)[-1].lower() in EXTENSIONS]
-                        if len(infos) > MAX_ARCHIVE_FILES or sum(i.file_size for i in infos) > MAX_ARCHIVE_BYTES:
-                            rows.append((path, None, None, "archive beyond limits"))
-                        else:
-                            rows += [(path, i.filename, archive.read(i), None) for i in infos]
-                except zipfile.BadZipFile:
-                    rows.append((path, None, None, "not an archive"))
+            rows = [(path, *entry) for path, content in zip(frame["path"], frame["content"], strict=True) for entry in archive_entries(content)]
             yield pd.DataFrame(rows, columns=["archive", "path", "content", "error"])
 
     return archives.select("path", "content").mapInPandas(entries, "archive string, path string, content binary, error string")

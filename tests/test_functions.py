@@ -131,7 +131,7 @@ def test_corpus_scan(spark, tmp_path):
     (tmp_path / "g.exe").write_bytes(b"no")
     (tmp_path / "h.txt").write_bytes(b"  ")
     found = {r.filename: r.text for r in readers.scan_corpus(spark, str(tmp_path)).collect()}
-    assert found == {"a.txt": "plain é", "b.txt": "latin é", "c.tex": "Head \n(key, 2024) and [Math] bold", "d.ipynb": "# Hi\n\nDoc.", "e.docx": "one\n\ntwo\n\nx | y"}
+    assert found == {"a.txt": "plain é", "b.txt": "latin é", "c.tex": "Head \n(key, 2024) and [Math] bold", "d.ipynb": "# Hi\n\nDoc.", "e.docx": "one\n\ntwo\n\nx y"}
     files = spark.read.format("binaryFile").load(str(tmp_path))
     states = {r.filename: r.status for r in readers.extract_text(files).collect()}
     assert states["f.docx"] == "unreadable" and states["g.exe"] == "unsupported" and states["h.txt"] == "empty"
@@ -172,7 +172,7 @@ def test_archives_and_corpus_changes(spark):
         archive.writestr("__MACOSX/a.txt", "no")
         archive.writestr(".hidden.txt", "no")
     rows = readers.unzip(spark.createDataFrame([("z.zip", bytearray(out.getvalue())), ("bad.zip", bytearray(b"no"))], "path string, content binary")).collect()
-    assert {(r.archive, r.path, r.error) for r in rows} == {("z.zip", "x/a.txt", None), ("bad.zip", None, "not an archive")}
+    assert {(r.archive, r.path, r.error) for r in rows} == {("z.zip", "x/a.txt", None), ("bad.zip", None, "The uploaded file is not a valid ZIP archive.")}
     corpus = spark.createDataFrame([("a", "1")], "source_key string, text string")
     new = spark.createDataFrame([("a", "2"), ("b", "3"), ("b", "3")], "source_key string, text string")
     assert [r.source_key for r in readers.add_sources(corpus, new).collect()] == ["b"]
@@ -210,3 +210,47 @@ def test_boundaries_see_all_letters_in_both_dialects(spark):
         assert [r[0] for r in rows.orderBy("i").selectExpr(SPARK.count("text", pattern)).collect()] == expected
         assert [duckdb.execute(f"SELECT {DUCK.count('t', pattern)} FROM (SELECT ? AS t)", [t]).fetchone()[0] for t in texts] == expected
         assert [len(re.findall(pattern, t)) for t in texts] == expected
+
+
+def test_bad_files_are_rows(spark):
+    def zipped(entries, method=zipfile.ZIP_DEFLATED):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", method) as archive:
+            for name, content in entries:
+                archive.writestr(name, content)
+        return bytearray(out.getvalue())
+
+    word = "<w:document xmlns:w='http://schemas.openxmlformats.org/wordprocessingml/2006/main'><w:body><w:p><w:r><w:t>Hello there</w:t></w:r></w:p></w:body></w:document>"
+    good = zipped([("word/document.xml", word)])
+    encrypted = bytearray(good)
+    encrypted[6] |= 1
+    encrypted[good.index(b"PK\x01\x02") + 8] |= 1
+    at = 30 + len("word/document.xml")
+    broken = good[:at] + b"\xff" * 8 + good[at + 8 :]
+    method = bytearray(good)
+    method[8] = method[good.index(b"PK\x01\x02") + 10] = 99
+    files = {
+        "good.docx": good, "encrypted.docx": encrypted, "broken.docx": broken, "method.docx": method, "cut.docx": good[:50], "empty.docx": bytearray(), "null.docx": None, "xml.docx": zipped([("word/document.xml", "<w:document")]),
+        "none.docx": zipped([("other.xml", "x")]), "many.docx": zipped([("word/document.xml", word)] + [(f"x{i}", "") for i in range(2000)], zipfile.ZIP_STORED), "huge.txt": bytearray(b"x" * ((8 << 20) + 1)), "blank.md": bytearray(b"  "), "prog.exe": good,
+        "list.ipynb": bytearray(b"not json"),
+    }
+    rows = {r.path: r for r in readers.extract_text(spark.createDataFrame(list(files.items()), "path string, content binary")).collect()}
+    unreadable = "Failed to read DOCX file. It may be corrupt, encrypted, or unsupported."
+    assert rows["good.docx"].text == "Hello there" and rows["good.docx"].error is None and rows["list.ipynb"].text == "not json"
+    for name in ("encrypted", "broken", "method", "cut", "empty", "null", "xml", "none"):
+        assert (rows[f"{name}.docx"].status, rows[f"{name}.docx"].text, rows[f"{name}.docx"].error) == ("unreadable", None, unreadable), name
+    assert (rows["many.docx"].status, rows["many.docx"].error) == ("too large", "DOCX expanded content exceeds extraction limits.")
+    assert {n: rows[n].status for n in ("huge.txt", "blank.md", "prog.exe")} == {"huge.txt": "too large", "blank.md": "empty", "prog.exe": "unsupported"}
+    assert readers.docx_blocks(spark.createDataFrame(list(files.items()), "path string, content binary")).count() == 1
+    archives = {
+        "ok.zip": zipped([("a/b.txt", "text"), ("__MACOSX/c.txt", "no"), ("d.exe", "no")]), "many.zip": zipped([(f"{i}.txt", "x") for i in range(101)]), "encrypted.zip": encrypted, "cut.zip": good[:50], "null.zip": None,
+        "large.zip": zipped([("big.txt", b"0" * ((8 << 20) + 1))]), "sum.zip": zipped([(f"{i}.txt", b"0" * (8 << 20)) for i in range(5)]), "damaged.zip": zipped([("one.txt", "first"), ("two.txt", "second" * 50)]),
+    }
+    archives["damaged.zip"][30 + len("one.txt")] ^= 0xFF
+    found = {(r.archive, r.path, r.error) for r in readers.unzip(spark.createDataFrame(list(archives.items()), "path string, content binary")).collect()}
+    invalid = "The uploaded file is not a valid ZIP archive."
+    assert found == {
+        ("ok.zip", "a/b.txt", None), ("many.zip", None, "Archive contains too many entries (maximum 100)."), ("encrypted.zip", None, "Archive contains an oversized or encrypted entry."),
+        ("cut.zip", None, invalid), ("null.zip", None, invalid), ("large.zip", None, "Archive contains an oversized or encrypted entry."), ("sum.zip", None, "Archive expanded size exceeds 32 MB."),
+        ("damaged.zip", "one.txt", "The request could not be processed."), ("damaged.zip", "two.txt", None),
+    }
