@@ -1,22 +1,26 @@
-"""Style review of whole texts: findings by rule and block, rule metrics, category points and the index.
+"""Style review by rules: findings by block, rule metrics, category points and the index, as plans over typed blocks.
 
-Everything about one text is decided in one pass over it, so nothing is
-shuffled; a pattern is tried only on blocks that hold a string it needs.
-`plans.style` has the vocabulary rules alone in SQL.
+Rules are a small table of patterns. Of each block the patterns are kept that
+can match (a plain search for strings that every match needs), their matches
+get offsets by running sums, and overlapping matches of one rule are folded to
+the shorter. A document's blocks meet once, as counts by rule; thresholds,
+points, categories and the index follow in that row. Texts are never shuffled.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkspan.functions.numbers import rounded
+from inkspan.functions.scans import bound, matches, scanned
 from inkspan.functions.text import PATTERN_WORD, needed
+from inkspan.operators.blocks import ELIGIBLE, EXCLUDED, plain_blocks
+from inkspan.plans.dialect import BOUNDARY, spelled_out
 
 
 class Rule(NamedTuple):
@@ -27,26 +31,29 @@ class Rule(NamedTuple):
     rate: float
     cap: float
     patterns: tuple[str, ...]
+    kinds: tuple[str, ...]
 
 
-# The rules, with least count, least rate per 1000 words and cap of the category's points; then
-# the rules that look into quotations and references too, points by strength, checks of lines, promotional weights.
+PROSE = ("paragraph", "list_item")
+TITLED = ("paragraph", "heading", "list_item", "table_cell")
+QUOTED_TOO = (*TITLED, "quotation", "code", "reference")
+# The rules, with least count, least rate per 1000 words, cap of the category's points and the kinds of blocks
+# they look into; then points by strength, checks of lines, promotional weights.
 RULES = (
-    Rule("inflated_vocabulary", "language", "weak", 2, 4, 12, ("delv(?:e|es|ed|ing)", "pivotal", "intricate", "tapestr(?:y|ies)", "testament", "robust", "transformative", "ever[- ]changing landscape")),
-    Rule("promotional_praise", "promotional_language", "moderate", 2, 3, 14, ("vibrant", "cutting[- ]edge", "game[- ]chang(?:ing|er)", "remarkable journey", "powerful reminder", "unlock(?:s|ed|ing)? (?:the )?potential", "showcas(?:e|es|ed|ing)", "seamless(?:ly)?")),
-    Rule("formulaic_transitions", "discourse", "weak", 2, 3, 12, ("furthermore", "moreover", "additionally", "in conclusion", "to summarize", "in summary", "it is (?:important|worthwhile) to note")),
-    Rule("significance_legacy", "content", "moderate", 2, 2, 14, ("(?:stands|serves) as", "(?:a )?(?:testament|reminder) to", "(?:crucial|pivotal|vital|significant|key) role", "underscor(?:e|es|ed|ing) (?:its|the) (?:importance|significance)", "reflect(?:s|ed|ing)? broader", "enduring legacy", "shap(?:e|es|ed|ing) the (?:future|landscape)")),
-    Rule("generic_analytical_verbs", "content", "weak", 3, 5, 10, ("highlight(?:s|ed|ing)", "emphasiz(?:e|es|ed|ing)", "reflect(?:s|ed|ing)", "symboliz(?:e|es|ed|ing)", "contribut(?:e|es|ed|ing) to", "foster(?:s|ed|ing)", "enhanc(?:e|es|ed|ing)")),
-    Rule("vague_authority", "evidence_language", "moderate", 1, 1, 16, ("experts? suggest", "widely regarded", "studies show", "research (?:shows|suggests|indicates)", "it is widely (?:known|accepted|recognized)", "many (?:believe|argue|consider)")),
-    Rule("negative_parallelism", "rhetoric", "moderate", 2, 1, 14, ("not (?:just|only) [^.!?]{2,90}?[,;]? but (?:also )?[^.!?]{2,100}", "not [^.!?]{2,80}?[,;]? but [^.!?]{2,100}", "[^.!?]{2,60}? rather than [^.!?]{2,60}")),
-    Rule("rule_of_three", "rhetoric", "weak", 2, 1, 8, ("\\b[\"'’A-Za-z][^,.;:]{1,35}, [^,.;:]{1,35}, (?:and|or) [^,.;:]{1,35}",)),
-    Rule("trailing_participial", "rhetoric", "moderate", 2, 1, 12, (", (?:highlighting|underscoring|reflecting|symbolizing|demonstrating|ensuring|fostering|contributing|enhancing) .{5,100}[.!?]",)),
-    Rule("future_outlook", "structure", "weak", 1, 1, 8, ("despite (?:these|the) challenges", "looking ahead", "future prospects", "the future (?:looks|remains) bright", "only time will tell", "continued (?:growth|success|innovation)")),
-    Rule("chatbot_residue", "generation_residue", "stronger", 1, 1, 22, ("i hope this helps", "let me know if you have any questions", "as an ai (?:language )?model", "my knowledge cutoff", "i (?:cannot|can't) comply with", "(?:your|the) prompt (?:asks|requested|instructs)", "here (?:is|are) (?:a|the|some) (?:revised|draft|requested)")),
-    Rule("internal_tokens", "generation_residue", "stronger", 1, 1, 24, ("contentReference", "oaicite", "oai_citation", "turn\\d+(?:search|view|fetch)\\d+", "attributableIndex", "\\[cite:\\s*\\d+\\]", "span_\\d+\\(start_span\\)", "grok_(?:card|render_citation_card_json)", "ppl-ai-file-upload", ":::writing")),
-    Rule("unfilled_placeholder", "generation_residue", "stronger", 1, 1, 20, ("\\[(?:insert|add|replace|provide|describe|summarize|cite)[^\\]\\n]{0,80}\\]", "<INSERT[^>]{0,80}>")),
+    Rule("inflated_vocabulary", "language", "weak", 2, 4, 12, ("delv(?:e|es|ed|ing)", "pivotal", "intricate", "tapestr(?:y|ies)", "testament", "robust", "transformative", "ever[- ]changing landscape"), (*TITLED, "caption")),
+    Rule("promotional_praise", "promotional_language", "moderate", 2, 3, 14, ("vibrant", "cutting[- ]edge", "game[- ]chang(?:ing|er)", "remarkable journey", "powerful reminder", "unlock(?:s|ed|ing)? (?:the )?potential", "showcas(?:e|es|ed|ing)", "seamless(?:ly)?"), ("paragraph", "heading", "list_item", "caption")),
+    Rule("formulaic_transitions", "discourse", "weak", 2, 3, 12, ("furthermore", "moreover", "additionally", "in conclusion", "to summarize", "in summary", "it is (?:important|worthwhile) to note"), PROSE),
+    Rule("significance_legacy", "content", "moderate", 2, 2, 14, ("(?:stands|serves) as", "(?:a )?(?:testament|reminder) to", "(?:crucial|pivotal|vital|significant|key) role", "underscor(?:e|es|ed|ing) (?:its|the) (?:importance|significance)", "reflect(?:s|ed|ing)? broader", "enduring legacy", "shap(?:e|es|ed|ing) the (?:future|landscape)"), PROSE),
+    Rule("generic_analytical_verbs", "content", "weak", 3, 5, 10, ("highlight(?:s|ed|ing)", "emphasiz(?:e|es|ed|ing)", "reflect(?:s|ed|ing)", "symboliz(?:e|es|ed|ing)", "contribut(?:e|es|ed|ing) to", "foster(?:s|ed|ing)", "enhanc(?:e|es|ed|ing)"), PROSE),
+    Rule("vague_authority", "evidence_language", "moderate", 1, 1, 16, ("experts? suggest", "widely regarded", "studies show", "research (?:shows|suggests|indicates)", "it is widely (?:known|accepted|recognized)", "many (?:believe|argue|consider)"), PROSE),
+    Rule("negative_parallelism", "rhetoric", "moderate", 2, 1, 14, ("not (?:just|only) [^.!?]{2,90}?[,;]? but (?:also )?[^.!?]{2,100}", "not [^.!?]{2,80}?[,;]? but [^.!?]{2,100}", "[^.!?]{2,60}? rather than [^.!?]{2,60}"), PROSE),
+    Rule("rule_of_three", "rhetoric", "weak", 2, 1, 8, ("\\b[\"'’A-Za-z][^,.;:]{1,35}, [^,.;:]{1,35}, (?:and|or) [^,.;:]{1,35}",), PROSE),
+    Rule("trailing_participial", "rhetoric", "moderate", 2, 1, 12, (", (?:highlighting|underscoring|reflecting|symbolizing|demonstrating|ensuring|fostering|contributing|enhancing) .{5,100}[.!?]",), PROSE),
+    Rule("future_outlook", "structure", "weak", 1, 1, 8, ("despite (?:these|the) challenges", "looking ahead", "future prospects", "the future (?:looks|remains) bright", "only time will tell", "continued (?:growth|success|innovation)"), ("paragraph",)),
+    Rule("chatbot_residue", "generation_residue", "stronger", 1, 1, 22, ("i hope this helps", "let me know if you have any questions", "as an ai (?:language )?model", "my knowledge cutoff", "i (?:cannot|can't) comply with", "(?:your|the) prompt (?:asks|requested|instructs)", "here (?:is|are) (?:a|the|some) (?:revised|draft|requested)"), QUOTED_TOO),
+    Rule("internal_tokens", "generation_residue", "stronger", 1, 1, 24, ("contentReference", "oaicite", "oai_citation", "turn\\d+(?:search|view|fetch)\\d+", "attributableIndex", "\\[cite:\\s*\\d+\\]", "span_\\d+\\(start_span\\)", "grok_(?:card|render_citation_card_json)", "ppl-ai-file-upload", ":::writing"), QUOTED_TOO),
+    Rule("unfilled_placeholder", "generation_residue", "stronger", 1, 1, 20, ("\\[(?:insert|add|replace|provide|describe|summarize|cite)[^\\]\\n]{0,80}\\]", "<INSERT[^>]{0,80}>"), TITLED),
 )
-EVERYWHERE = ("chatbot_residue", "internal_tokens")
 POINTS = {"weak": 2.0, "moderate": 5.0, "stronger": 8.0}
 LINE_CHECKS = {
     "emoji_section_marker": r"^[ \t]*[\U0001F300-\U0001FAFF]",
@@ -78,150 +85,210 @@ COVERAGE = (
     ("account_history", "Account history and style shifts", _NONE), ("bias", "Political or cultural bias", _HUMAN),
     ("external_semantics", "Semantic similarity or external model classification", _OUTSIDE),
 )
-METRICS = "array<struct<rule_id:string,category:string,count:int,eligible_count:int,per_1000:double,affected_blocks:int,local_concentration:int,threshold_met:boolean>>"
-CATEGORIES = "array<struct<category:string,points:double,cap:double,scored_findings:int,shared_blocks:int>>"
-FINDINGS = "array<struct<rule_id:string,category:string,strength:string,block:int,kind:string,start:int,end:int,excluded:boolean>>"
-REVIEW = f"struct<eligible_words:int,excluded_words:int,style_index:double,active_categories:int,rules:{METRICS},categories:{CATEGORIES},findings:{FINDINGS}>"
-
-
-def blocks(text: str) -> Iterator[tuple[int, str, str]]:
-    """Start, kind and words of each run of lines between blank ones, without spaces around it."""
-    at, begin, end = 0, -1, -1
-    for line in [*text.split("\n"), ""]:
-        if line.strip():
-            begin = at + len(line) - len(line.lstrip()) if begin < 0 else begin
-            end = at + len(line.rstrip())
-        elif begin >= 0:
-            body = text[begin:end]
-            quoted, listed = body[0] in '>"“', re.match(r"(?:references|works cited|bibliography)\b", body, re.I)
-            yield begin, "quotation" if quoted else "reference" if listed else "paragraph", body
-            begin = -1
-        at += len(line) + 1
-
-
-def apart(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans in order, of two that overlap the shorter, or else the first."""
-    kept: list[tuple[int, int]] = []
-    for start, end in sorted(spans, key=lambda s: (s[0], s[1] - s[0])):
-        if not kept or start >= kept[-1][1]:
-            kept.append((start, end))
-        elif end - start < kept[-1][1] - kept[-1][0]:
-            kept[-1] = start, end
-    return kept
-
-
-def reviewer(profile: str):
-    """A function of a text that returns its review as a dict with the fields of REVIEW."""
-    promotion = PROMOTION[profile]
-    bounded = {r.name: [(re.compile(rf"(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])", re.I), needed("(?i)" + p)) for p in r.patterns] for r in RULES}
-    checks = {name: re.compile(p, re.M) for name, p in LINE_CHECKS.items()}
-    word = re.compile(PATTERN_WORD)
-
-    def review(text: str) -> dict:
-        parts = list(blocks(text))
-        words = Counter()
-        for _, kind, body in parts:
-            words[kind == "paragraph"] += len(word.findall(body))
-        findings, rules, points, caps = [], [], Counter(), {}
-
-        def found(name: str, category: str, strength: str, block: int, span: tuple[int, int], excluded: bool) -> None:
-            start, kind, _ = parts[block]
-            row = {"rule_id": name, "category": category, "strength": strength, "block": block + 1, "kind": kind, "start": start + span[0], "end": start + span[1], "excluded": excluded}
-            findings.append(row)
-
-        lowered = [body.lower() for *_, body in parts]
-        for rule in RULES:
-            hits = []
-            for n, (_, kind, body) in enumerate(parts):
-                if kind == "paragraph" or rule.name in EVERYWHERE:
-                    likely = (p for p, held in bounded[rule.name] if not held or any(h in lowered[n] for h in held))
-                    hits += [(n, span) for span in apart({m.span() for p in likely for m in p.finditer(body)})]
-            per_block = Counter(n for n, _ in hits if parts[n][1] == "paragraph")
-            count = per_block.total()
-            rate = count / max(1, words[True]) * 1000
-            met = count >= rule.least and rate >= rule.rate
-            rules.append(
-                {"rule_id": rule.name, "category": rule.category, "count": len(hits), "eligible_count": count, "per_1000": round(rate, 2), "affected_blocks": len({n for n, _ in hits}),
-                 "local_concentration": max(per_block.values(), default=0), "threshold_met": met}
-            )
-            caps[rule.category] = max(caps.get(rule.category, 0.0), rule.cap)
-            if met:
-                weight = promotion if rule.category == "promotional_language" else 1.0
-                points[rule.category] += POINTS[rule.strength] * min(2.0, count / rule.least) * weight
-            for n, span in hits:
-                found(rule.name, rule.category, rule.strength, n, span, parts[n][1] != "paragraph" or not met)
-
-        dashes = 0
-        for n, (_, kind, body) in enumerate(parts):
-            dashes += body.count("—")
-            for m in re.finditer("[—“”‘’]", body):
-                dash = m.group() == "—"
-                found("em_dash_usage" if dash else "smart_punctuation", "punctuation", "weak", n, m.span(), not dash or kind != "paragraph")
-            for name, check in checks.items():
-                for m in check.finditer(body):
-                    found(name, "formatting", "weak", n, m.span(), kind != "paragraph")
-                    points["formatting"] += 1.5 * (kind == "paragraph")
-        points["punctuation"] = min(4.0, max(0.0, round(dashes / max(1, words[True]) * 1000, 2) - 2.0) * 0.25)
-        caps |= {"punctuation": 4.0, "formatting": 8.0}
-
-        scored = [f for f in findings if not f["excluded"]]
-        together: dict[int, set[str]] = {}
-        for f in scored:
-            together.setdefault(f["block"], set()).add(f["category"])
-        shared = Counter(c for names in together.values() if len(names) > 1 for c in names)
-        sizes = Counter(f["category"] for f in scored)
-        categories = [{"category": c, "points": round(min(cap, points[c]), 1), "cap": float(cap), "scored_findings": sizes[c], "shared_blocks": shared[c]} for c, cap in sorted(caps.items())]
-        total = sum(c["points"] for c in categories)
-        return {
-            "eligible_words": words[True], "excluded_words": words[False], "style_index": round(total / sum(caps.values()) * 100, 1) if words[True] >= LEAST_WORDS else None,
-            "active_categories": sum(c["points"] > 0 for c in categories), "rules": rules, "categories": categories,
-            "findings": sorted(findings, key=lambda f: (f["start"], f["end"], f["rule_id"])),
-        }
-
-    return review
-
-
-def reviewed(text: Column, profile: str = "academic_report") -> Column:
-    """The review of each text as a struct; a null text is reviewed as an empty one, whose index is null."""
-
-    @F.pandas_udf(REVIEW)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        review = reviewer(profile)
-        for texts in batches:
-            rows = [review(t or "") for t in texts]
-            yield pd.DataFrame({name: [r[name] for r in rows] for name in review("")}).astype({"style_index": "float64"})
-
-    return run(text)
-
-
-def style_review(docs: DataFrame, profile: str = "academic_report") -> DataFrame:
-    """Words, index, active categories and a recommendation of each text."""
-    few, many = F.col("r.eligible_words") < LEAST_WORDS, F.col("r.active_categories") >= ACTIVE_CATEGORIES
-    advice = F.when(few, "insufficient_text").when(many, "review_categories").otherwise("review_passages")
-    rows = docs.select("doc_id", reviewed(F.col("text"), profile).alias("r"))
-    index = F.when(~few, F.col("r.style_index"))
-    return rows.select("doc_id", "r.eligible_words", "r.excluded_words", index.alias("style_index"), "r.active_categories", F.size("r.findings").alias("findings"), advice.alias("recommendation"))
-
-
-def rule_metrics(docs: DataFrame) -> DataFrame:
+
+#: What is found without a rule's threshold: marks, line checks and what is told by a block's own format.
+DASH, QUOTES, SKIPPED, BOLD = "em_dash_usage", "smart_punctuation", "skipped_heading_level", "excessive_bold"
+MOST_BOLD, SHOWN_BOLD = 0.35, 160
+#: All kinds of findings by number, and their category and strength.
+NAMES = (*(r.name for r in RULES), DASH, QUOTES, *LINE_CHECKS, SKIPPED, BOLD)
+CATEGORY = {r.name: r.category for r in RULES} | dict.fromkeys((DASH, QUOTES), "punctuation") | dict.fromkeys((*LINE_CHECKS, SKIPPED, BOLD), "formatting")
+STRENGTH = {r.name: r.strength for r in RULES}
+CAPS = {c: max([r.cap for r in RULES if r.category == c], default={"punctuation": 4.0, "formatting": 8.0}.get(c)) for c in sorted(set(CATEGORY.values()))}
+
+
+def number(name: str) -> int:
+    return NAMES.index(name)
+
+
+def _patterns() -> list[tuple[int, str, tuple[str, ...] | None, list[str] | str]]:
+    """Number of the kind, pattern for Spark, kinds of blocks (None: all) and strings of which each match holds one, or a simpler pattern."""
+    bounded = lambda p: r"(?i)(?<![A-Za-z0-9_])(?:" + spelled_out(p, BOUNDARY) + r")(?![A-Za-z0-9_])"
+    more = {"rule_of_three": [", and ", ", or "]}
+    out = [(number(r.name), bounded(p), r.kinds, more.get(r.name) or needed("(?i)" + p)) for r in RULES for p in r.patterns]
+    out += [(number(DASH), "—", None, ["—"]), (number(QUOTES), "[“”‘’]", None, ["“", "”", "‘", "’"])]
+    lines = {n: "(?md)" + p.replace(r"\U0001F300-\U0001FAFF", r"\x{1F300}-\x{1FAFF}") for n, p in LINE_CHECKS.items()}
+    markup = ["#", "**", "```"]
+    needs = {"emoji_section_marker": r"[\x{1F300}-\x{1FAFF}]", "decorative_separator": r"(?md)^[ \t]*[-*_]", "leftover_markdown": markup, "bold_label_bullet": [":**"]}
+    return out + [(number(n), p, None, needs[n]) for n, p in lines.items()]
+
+
+PATTERNS = _patterns()
+
+
+def apart(spans: Column) -> Column:
+    """Sorted spans, of two that overlap the shorter, or else the first."""
+    empty = F.slice(spans, F.lit(1), F.lit(0))
+    end = lambda s: s["start"] + s["length"]
+
+    def step(kept: Column, s: Column) -> Column:
+        last = F.element_at(kept, -1)
+        shorter = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(s))
+        return F.when(F.size(kept) == 0, F.array(s)).when(s["start"] >= end(last), F.concat(kept, F.array(s))).when(s["length"] < last["length"], shorter).otherwise(kept)
+
+    return F.aggregate(spans, empty, step)
+
+
+def likely(kind: Column, low: Column) -> Column:
+    """Numbers of the patterns that can match in a block; low: its text in lower case."""
+    out = []
+    for n, (_, _, kinds, parts) in enumerate(PATTERNS):
+        here = F.lit(True) if kinds is None else kind.isin(*kinds)
+        held = low.rlike(parts) if isinstance(parts, str) else reduce(lambda a, b: a | b, (F.contains(low, F.lit(p)) for p in parts)) if parts else F.lit(True)
+        out.append(F.when(here & held, F.lit(n)))
+    return F.array_compact(F.array(*out))
+
+
+def found_in(text: Column, numbers: Column) -> Column:
+    """rule (its number), start and length of all findings of the numbered patterns in a block."""
+    rules, regexes = F.array(*(F.lit(r) for r, *_ in PATTERNS)), F.array(*(F.lit(p) for _, p, *_ in PATTERNS))
+    hits = F.transform(numbers, lambda n: F.struct(F.get(rules, n).alias("rule"), matches(text, F.get(regexes, n)).alias("spans")))
+
+    def of_rule(all_: Column, rule: Column) -> Column:
+        spans = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(all_, lambda h: h["rule"] == rule), lambda h: h["spans"]))))
+        return F.transform(bound(spans, apart), lambda s: F.struct(rule.alias("rule"), s["start"].alias("start"), s["length"].alias("length")))
+
+    return bound(hits, lambda h: F.flatten(F.transform(F.array_distinct(F.transform(h, lambda x: x["rule"])), lambda rule: of_rule(h, rule))))
+
+
+def _block_findings(docs: DataFrame, blocks: Column, radius: int = 0) -> DataFrame:
+    """A row a block (one without a block for a document that has none): row, doc_id, eligible_words of the document, b, words, found."""
+    level = lambda b: F.coalesce(b["heading_level"], F.lit(0))
+    # The last level before each block, behind the number of its heading: the greatest is the last.
+    leveled = lambda all_: scanned(F.transform(all_, lambda b, i: F.when(level(b) > 0, (i + 1) * 100 + level(b)).otherwise(0)), F.lit(0), lambda x, y: F.greatest(x, y))
+    text = F.coalesce("text", F.lit(""))
+
+    def told(b: Column, before: Column) -> Column:
+        skips = (level(b) > before % 100 + 1) & (before > 0)
+        around = []
+        if radius:
+            low, high = F.greatest(F.lit(0), b["start"] - radius), b["start"] + F.length(b["text"])
+            around = [F.substring(text, low + 1, b["start"] - low).alias("before"), F.substring(text, high + 1, F.lit(radius)).alias("after")]
+        return F.struct(b.alias("b"), skips.alias("skips"), *around)
+
+    eligible = lambda all_: F.aggregate(F.filter(all_, lambda b: b["kind"].isin(*ELIGIBLE)), F.lit(0), lambda n, b: n + F.regexp_count(b["text"], F.lit(PATTERN_WORD)))
+    listed = bound(blocks, lambda all_: F.struct(eligible(all_).alias("eligible_words"), bound(leveled(all_), lambda at: F.zip_with(all_, at, told)).alias("blocks")))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), listed.alias("x")).select("doc_id", "row", "x.eligible_words", F.explode_outer("x.blocks").alias("x"))
+    rows = rows.select("doc_id", "row", "eligible_words", "x.*").withColumn("low", F.lower("b.text"))
+    whole = lambda name: F.array(F.struct(F.lit(number(name)).alias("rule"), F.lit(0).alias("start"), F.length("b.text").alias("length")))
+    # Told in a column of its own and asked for twice, the plain search is compiled and done once a block.
+    rows = rows.withColumn("likely", likely(F.col("b.kind"), F.col("low")))
+    own = F.when(F.size("likely") > 0, found_in(F.col("b.text"), F.col("likely"))).otherwise(F.slice(whole(BOLD), 1, 0))
+    own = F.concat(own, F.when(F.col("skips"), whole(SKIPPED)).otherwise(F.slice(whole(SKIPPED), 1, 0)), F.when(F.col("b.bold_share") > MOST_BOLD, whole(BOLD)).otherwise(F.slice(whole(BOLD), 1, 0)))
+    return rows.withColumn("found", F.when(F.col("b").isNotNull(), own)).drop("low", "likely")
+
+
+def _reviews(docs: DataFrame, blocks: Column) -> DataFrame:
+    """doc_id, words, findings, and `rules`: the metrics of all rules; `hits`: counts by number of kind of the blocks that have findings."""
+    rows = _block_findings(docs, blocks)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(len(NAMES) - 1)), lambda r: F.size(F.filter("found", lambda f: f["rule"] == r)))
+    words = F.regexp_count("b.text", F.lit(PATTERN_WORD))
+    rows = rows.withColumn("hit", F.when(F.size("found") > 0, F.struct(F.col("b.kind").alias("kind"), counts.alias("counts"))))
+    grouped = rows.groupBy("row", "doc_id").agg(
+        F.max("eligible_words").cast("long").alias("eligible_words"), F.coalesce(F.sum(F.when(F.col("b.kind").isin(*EXCLUDED), words)), F.lit(0)).cast("long").alias("excluded_words"), F.collect_list("hit").alias("hits")
+    )
+    scored = F.filter("hits", lambda h: ~h["kind"].isin(*EXCLUDED))
+    total = lambda hits, r: F.aggregate(hits, F.lit(0), lambda n, h: n + F.get(h["counts"], F.lit(r))).cast("long")
+
+    def metrics(rule: Rule, kept: Column) -> Column:
+        r = number(rule.name)
+        count = total(kept, r)
+        rate = count / F.greatest(F.lit(1), F.col("eligible_words")) * 1000
+        return F.struct(
+            F.lit(rule.name).alias("rule_id"), F.lit(rule.category).alias("category"), total(F.col("hits"), r).alias("count"), count.alias("eligible_count"), rounded(rate, 2).alias("per_1000"),
+            F.size(F.filter("hits", lambda h: F.get(h["counts"], F.lit(r)) > 0)).cast("long").alias("affected_blocks"),
+            F.coalesce(F.array_max(F.transform(kept, lambda h: F.get(h["counts"], F.lit(r)))), F.lit(0)).cast("long").alias("local_concentration"),
+            ((count >= rule.least) & (rate >= rule.rate)).alias("threshold_met"),
+        )
+
+    findings = F.aggregate("hits", F.lit(0), lambda n, h: n + F.aggregate(h["counts"], F.lit(0), lambda m, c: m + c)).cast("long")
+    return grouped.withColumns({"findings": findings, "rules": bound(scored, lambda kept: F.array(*(metrics(r, kept) for r in RULES))), "dashes": total(F.col("hits"), number(DASH))})
+
+
+def _categories(profile: str) -> Column:
+    """Points, cap, scored findings and shared blocks of all categories, from a row of `_reviews`."""
+    met = lambda r: F.get(F.col("rules"), F.lit(r))["threshold_met"]
+
+    def weight(name: str, kind: Column) -> Column:
+        """Whether findings of a kind count in a block."""
+        if name == QUOTES:
+            return F.lit(False)
+        if name == DASH:
+            return kind.isin(*ELIGIBLE)
+        here = F.lit(True) if name in (SKIPPED, BOLD) else ~kind.isin(*EXCLUDED)
+        return here & met(number(name)) if name in STRENGTH else here
+
+    # Scored findings by category in each block.
+    own = lambda h, c: reduce(lambda a, b: a + b, (F.when(weight(n, h["kind"]), F.get(h["counts"], F.lit(number(n)))).otherwise(0) for n in NAMES if CATEGORY[n] == c))
+    by_block = F.transform("hits", lambda h: F.array(*(own(h, c) for c in CAPS)))
+
+    def category(k: int, c: str, scored: Column) -> Column:
+        count = F.aggregate(scored, F.lit(0), lambda n, b: n + F.get(b, F.lit(k)))
+        if c == "punctuation":
+            points = F.greatest(F.lit(0.0), rounded(F.col("dashes") / F.greatest(F.lit(1), F.col("eligible_words")) * 1000, 2) - 2.0) * 0.25
+        elif c == "formatting":
+            points = count * 1.5
+        else:
+            times = PROMOTION[profile] if c == "promotional_language" else 1.0
+            each = (F.when(met(number(r.name)), POINTS[r.strength] * F.least(F.lit(2.0), F.get(F.col("rules"), F.lit(number(r.name)))["eligible_count"] / r.least) * times).otherwise(0.0) for r in RULES if r.category == c)
+            points = reduce(lambda a, b: a + b, each)
+        shared = F.size(F.filter(scored, lambda b: (F.get(b, F.lit(k)) > 0) & (F.size(F.filter(b, lambda n: n > 0)) > 1)))
+        return F.struct(F.lit(c).alias("category"), rounded(F.least(F.lit(CAPS[c]), points), 1).alias("points"), F.lit(CAPS[c]).alias("cap"), count.cast("long").alias("scored_findings"), shared.cast("long").alias("shared_blocks"))
+
+    return bound(by_block, lambda scored: F.array(*(category(k, c, scored) for k, c in enumerate(CAPS))))
+
+
+def style_review(docs: DataFrame, profile: str = "academic_report", blocks: Column | None = None) -> DataFrame:
+    """Words, index, active categories and a recommendation of each text of `docs` (doc_id, text).
+
+    blocks: the typed blocks of a row, those of a plain text if not given. A
+    null text has no blocks and, as any of fewer than LEAST_WORDS words, no
+    index. Repeated rows are reviewed each; other columns are ignored.
+    """
+    rows = _reviews(docs, plain_blocks(F.col("text")) if blocks is None else blocks).withColumn("categories", _categories(profile))
+    points = F.aggregate("categories", F.lit(0.0), lambda n, c: n + c["points"])
+    few = F.col("eligible_words") < LEAST_WORDS
+    active = F.size(F.filter("categories", lambda c: c["points"] > 0)).cast("long")
+    advice = F.when(few, "insufficient_text").when(F.col("active_categories") >= ACTIVE_CATEGORIES, "review_categories").otherwise("review_passages")
+    rows = rows.select("doc_id", "eligible_words", "excluded_words", F.when(~few, rounded(points / sum(CAPS.values()) * 100, 1)).alias("style_index"), active.alias("active_categories"), "findings")
+    return rows.withColumn("recommendation", advice)
+
+
+def rule_metrics(docs: DataFrame, blocks: Column | None = None) -> DataFrame:
     """Counts, rate, spread and threshold of each rule that a text meets."""
-    rows = docs.select("doc_id", F.explode(reviewed(F.col("text"))["rules"]).alias("m"))
-    return rows.filter("m.count > 0").select("doc_id", "m.*")
+    rows = _reviews(docs, plain_blocks(F.col("text")) if blocks is None else blocks)
+    return rows.select("doc_id", F.explode("rules").alias("m")).filter("m.count > 0").select("doc_id", "m.*")
 
 
-def category_points(docs: DataFrame, profile: str = "academic_report") -> DataFrame:
+def category_points(docs: DataFrame, profile: str = "academic_report", blocks: Column | None = None) -> DataFrame:
     """Points, cap, scored findings and blocks shared with other categories, by category."""
-    return docs.select("doc_id", F.explode(reviewed(F.col("text"), profile)["categories"]).alias("c")).select("doc_id", "c.*")
+    rows = _reviews(docs, plain_blocks(F.col("text")) if blocks is None else blocks)
+    return rows.select("doc_id", F.explode(_categories(profile)).alias("c")).select("doc_id", "c.*")
 
 
-def style_findings(docs: DataFrame, radius: int = 90) -> DataFrame:
+def style_findings(docs: DataFrame, radius: int = 90, blocks: Column | None = None) -> DataFrame:
     """Every finding with its id, offsets in code points, words, context, and why it doesn't count, if so."""
-    f = docs.select("doc_id", "text", F.explode(reviewed(F.col("text"))["findings"]).alias("f")).select("doc_id", "text", "f.*")
-    low = F.greatest(F.lit(0), F.col("start") - radius)
-    around = F.replace(F.substring("text", low + 1, F.col("end") + radius - low), F.lit("\n"), F.lit(" "))
-    key = F.concat_ws(":", "rule_id", F.concat(F.lit("block-"), "block"), "start", "end")
-    reason = F.when(~F.col("excluded"), None).when(F.col("rule_id") == "smart_punctuation", "no_weight").when(F.col("kind") != "paragraph", "block_type").otherwise("below_threshold")
-    return f.select(
-        "doc_id", F.concat(F.lit("finding-"), F.substring(F.sha1(key.cast("binary")), 1, 12)).alias("finding_id"), "rule_id", "category", "strength", F.col("block").alias("block_no"), "kind",
-        "start", "end", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("matched"), F.trim(around).alias("context"), "excluded", reason.alias("reason"),
+    rows = _block_findings(docs, plain_blocks(F.col("text")) if blocks is None else blocks, radius)
+    rows = rows.select("doc_id", "row", "eligible_words", "b", "before", "after", F.explode("found").alias("f"))
+    n, kind, low = F.col("f.rule"), F.col("b.kind"), F.col("f.start")
+    pick = lambda values: F.get(F.array(*(F.lit(v) for v in values)), n)
+    count = F.count(F.when(~kind.isin(*EXCLUDED), 1)).over(W.partitionBy("row", "rule_id"))
+    # Of a bold block only the beginning is shown.
+    size = F.when(n == number(BOLD), F.least(F.lit(SHOWN_BOLD), F.col("f.length"))).otherwise(F.col("f.length"))
+    whole = F.concat("before", "b.text", "after")
+    begin = F.length("before") + low
+    start, end = F.col("b.start") + low, F.col("b.start") + low + F.col("f.length")
+    around = F.substring(whole, F.greatest(F.lit(0), begin - radius) + 1, F.least(begin, F.lit(radius)) + F.col("f.length") + radius)
+    rows = rows.select(
+        "doc_id", "row", "eligible_words", pick(NAMES).alias("rule_id"), pick([CATEGORY[x] for x in NAMES]).alias("category"), pick([STRENGTH.get(x, "weak") for x in NAMES]).alias("strength"),
+        F.col("b.block_no").cast("long").alias("block_no"), kind.alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), F.substring("b.text", low + 1, size).alias("matched"),
+        F.trim(F.regexp_replace(F.regexp_replace(F.replace(around, F.lit("\n"), F.lit(" ")), r"^\s+", ""), r"(?<!\s)\s++\z", "")).alias("context"), "b",
+        pick([r.least for r in RULES] + [0] * (len(NAMES) - len(RULES))).alias("least"), pick([float(r.rate) for r in RULES] + [0.0] * (len(NAMES) - len(RULES))).alias("rate"),
+    ).withColumn("met", (count >= F.col("least")) & (count / F.greatest(F.lit(1), F.col("eligible_words")) * 1000 >= F.col("rate")))
+    named = F.col("rule_id")
+    reason = (
+        F.when(named == QUOTES, "no_weight").when(named.isin(SKIPPED, BOLD), None).when((named == DASH) & ~F.col("kind").isin(*ELIGIBLE), "block_type")
+        .when(F.col("kind").isin(*EXCLUDED), "block_type").when(named.isin(*STRENGTH) & ~F.col("met"), "below_threshold")
     )
+    key = F.concat_ws(":", "rule_id", F.concat(F.lit("block-"), "block_no"), "start", "end")
+    rows = rows.withColumns({"reason": reason, "finding_id": F.concat(F.lit("finding-"), F.substring(F.sha1(key.cast("binary")), 1, 12))}).withColumn("excluded", F.col("reason").isNotNull())
+    return rows.select("doc_id", "finding_id", "rule_id", "category", "strength", "block_no", "kind", "start", "end", "matched", "context", "excluded", "reason")

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from inkspan.functions.udfs import common_subsequence, nfkc, sequence_diff
 from inkspan.operators import patterns
+from inkspan.operators.blocks import block_rows, kept_text, typed_blocks
 from inkspan.operators.citations import smart_citation, template_citation
 from inkspan.operators.revision import cleanup
 from inkspan.operators.sparse import products
 from inkspan.operators.style_review import category_points, rule_metrics, style_findings, style_review
 from inkspan.operators.vectors import hashed_vectors, top_k
-from inkspan.plans import evidence, tables
+from inkspan.plans import evidence, review_sql, tables
 from inkspan.plans.dialect import DUCK, SPARK, views
 from inkspan.plans.overlap import overlap_by_source
 from inkspan.plans.signals import _source
@@ -151,6 +152,62 @@ def template_citations(spark, sf_dir):
     return corpus.select("item_id", template_citation(F.format_string(" unknown item_%d ", F.col("item_id").cast("long"))).alias("c")).select("item_id", "c.*")
 
 
+#: What stands before and behind the injected texts, by id, so that they have headings, lists, quotations, code, formulas, references and appendices.
+WRAPPED = (
+    ("md", "# Robust title\n\n### Deep part\n\n> It was said: robust, robust.\n\n- a robust item\n\n", "\n\n## References\n\nFurthermore, a robust book.\n\n```\nrobust code\n\nmore of it ``` end\n\nAppendix, a list"),
+    ("md", "```py\nrobust = 1\n\n\nprint(robust)\n```\n\n  1. first \n\n", "\n \n\nAppendix A\n\nMore on it."),
+    ("txt", "# no heading here\n\n```\nplain\n\n* item — one\n\n", "\n\nBibliography:\n\nA, B.\n\n\n\n> C, D."),
+    ("tex", "[Mathematical Formula]\n\n2) second\n\n", "\n\nWorks Cited\n\n[Mathematical Formula]\n\nappendices"),
+    ("ipynb", "Intro.\n\n> quoted\n\n", "\n\nHere [Mathematical Formula] too.\n\nReferenced work, not a header"),
+)
+
+
+def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, format and text: injected texts, their lines as blocks, as extracted from files of several formats."""
+    pick = lambda n: F.get(F.array(*(F.lit(w[n]) for w in WRAPPED)), (F.col("doc_id") % len(WRAPPED)).cast("int"))
+    return injected(spark, sf_dir).select("doc_id", pick(0).alias("format"), F.concat(pick(1), F.replace("text", F.lit("\n"), F.lit("\n\n")), pick(2)).alias("text"))
+
+
+def _wrapped_sql() -> str:
+    pick = lambda n: "CASE doc_id % " + str(len(WRAPPED)) + " " + " ".join(f"WHEN {k} THEN '{w[n]}'".replace("\n", "' || chr(10) || '") for k, w in enumerate(WRAPPED)) + " END"
+    return f"SELECT doc_id, {pick(0)} AS format, {pick(1)} || replace(text, chr(10), chr(10) || chr(10)) || {pick(2)} AS text FROM ({_source(DUCK)})"
+
+
+def typed_block_rows(spark, sf_dir):
+    """Typed blocks of texts of all formats, with their places in the source and in the joined text; cut out of the source, not copied."""
+    docs = wrapped(spark, sf_dir)
+    rows = block_rows(docs, typed_blocks(F.col("text"), F.col("format")))
+    return rows.select("doc_id", F.col("block_no").cast("long"), "kind", F.sha2("text", 256).alias("text_sha256"), "heading_level", *(F.col(c).cast("long").alias(c) for c in ("source_start", "source_end", "start", "end")))
+
+
+def block_types(spark, sf_dir):
+    """Size and type of each block."""
+    rows = block_rows(wrapped(spark, sf_dir), typed_blocks(F.col("text"), F.col("format")))
+    return rows.select("doc_id", F.col("block_no").cast("long"), F.length("text").cast("long").alias("characters"), F.col("kind").alias("block_type"))
+
+
+def section_words(spark, sf_dir):
+    """Blocks and characters by type, and whether they are scored."""
+    rows = block_types(spark, sf_dir).groupBy("doc_id", "block_type").agg(F.count("*").alias("blocks"), F.sum("characters").alias("characters"))
+    return rows.withColumn("scored", ~F.col("block_type").isin("code", "reference", "quotation"))
+
+
+def kept_documents(spark, sf_dir):
+    """The text that is left without code, references and appendices, and how many blocks went for which reason."""
+    kept = wrapped(spark, sf_dir).select("doc_id", kept_text(typed_blocks(F.col("text"), F.col("format"))).alias("k")).select("doc_id", "k.*")
+    return kept.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "skipped_table_cell", "skipped_code", "skipped_appendix", "skipped_reference")
+
+
+def style_rules(spark, sf_dir):
+    """Rule metrics over typed blocks."""
+    return rule_metrics(wrapped(spark, sf_dir), typed_blocks(F.col("text"), F.col("format")))
+
+
+def style_index(spark, sf_dir):
+    """Index over typed blocks."""
+    return style_review(wrapped(spark, sf_dir), blocks=typed_blocks(F.col("text"), F.col("format")))
+
+
 def style_documents(spark, sf_dir):
     """Index and recommendation by all rules."""
     return style_review(injected(spark, sf_dir))
@@ -172,10 +229,22 @@ QUERIES = {
     f.__name__: f
     for f in (
         hashed_vector_norms, embedding_topk, tf_cosine, word_dice, document_topk, span_evidence, flagged_sentences, closest_passages, cleanup_edits, normalized_text, draft_sequence, common_words, markdown_documents,
-        event_windows, smart_citations, template_citations, style_documents, style_rule_metrics, style_categories, style_evidence,
+        event_windows, smart_citations, template_citations, typed_block_rows, block_types, section_words, kept_documents, style_rules, style_index, style_documents, style_rule_metrics, style_categories, style_evidence,
     )
 }
+_PLAIN, _TYPED = review_sql.plain(f"SELECT doc_id, 'txt' AS format, text FROM ({_source(DUCK)})"), review_sql.typed(_wrapped_sql())
+_TYPES = f"SELECT doc_id, block_no, source_end - source_start AS characters, kind AS block_type FROM ({review_sql.block_rows(_TYPED)})"
 ORACLES = {
+    "typed_block_rows": review_sql.block_rows(_TYPED),
+    "block_types": _TYPES,
+    "section_words": f"SELECT doc_id, block_type, count(*) AS blocks, CAST(sum(characters) AS BIGINT) AS characters, block_type NOT IN ('code', 'reference', 'quotation') AS scored FROM ({_TYPES}) GROUP BY doc_id, block_type",
+    "kept_documents": review_sql.kept_documents(_TYPED),
+    "style_rules": review_sql.style_rule_metrics(_TYPED),
+    "style_index": review_sql.style_documents(_TYPED),
+    "style_documents": review_sql.style_documents(_PLAIN),
+    "style_rule_metrics": review_sql.style_rule_metrics(_PLAIN),
+    "style_categories": review_sql.style_categories(_PLAIN),
+    "style_evidence": review_sql.style_evidence(_PLAIN),
     "embedding_topk": tables.embedding_topk(DUCK),
     "tf_cosine": tables.tf_cosine(DUCK),
     "word_dice": tables.word_dice(DUCK),

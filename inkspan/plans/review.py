@@ -40,29 +40,6 @@ SELECT b.doc_id, {big("b.n")} AS total_words, {big("b.n - b.body_n")} AS bibliog
 FROM b LEFT JOIN m ON b.doc_id = m.doc_id LEFT JOIN e ON b.doc_id = e.doc_id"""
 
 
-def block_types(d) -> str:
-    """Blocks between blank lines or lines of injected text, typed; everything behind a reference header is a reference, between code fences code."""
-    blocks = d.each(_source_rows(d), d.split("text", r"\n"), "b", "block")
-    fence = d.count("block", "```")
-    header = r"(?i)^(?:#{1,6}\s*)?(?:references|works cited|bibliography)[:#*\s]*$"
-    return f"""WITH x AS (SELECT doc_id, b, {trimmed(d, "block")} AS block FROM {blocks}),
-f AS (
-  SELECT doc_id, b, block, {d.like("block", header)} AS head, {fence} AS fences,
-    coalesce(sum({fence}) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside,
-    coalesce(max(CASE WHEN {d.like("block", header)} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS behind
-  FROM x WHERE block <> ''
-)
-SELECT doc_id, {big("b")} AS block_no, {big("length(block)")} AS characters, CASE WHEN inside OR fences > 0 THEN 'code' WHEN head THEN 'heading' WHEN behind = 1 THEN 'reference'
-  WHEN {d.like("block", r"^#{1,6}\s+")} THEN 'heading' WHEN {d.like("block", r"^(?:[-*+] |\d+[.)] )")} THEN 'list_item' WHEN {d.like("block", r"^>\s")} THEN 'quotation'
-  ELSE 'paragraph' END AS block_type FROM f"""
-
-
-def section_words(d) -> str:
-    """Words kept and left out by type of block."""
-    return f"""SELECT doc_id, block_type, {big("count(*)")} AS blocks, {big("sum(characters)")} AS characters, block_type NOT IN ('code', 'reference', 'quotation') AS scored
-FROM ({block_types(d)}) b GROUP BY doc_id, block_type"""
-
-
 def skipped_headings(d) -> str:
     """Headings more than one level below the heading before them."""
     lines = d.each(_source_rows(d), d.split("text", r"\n"), "l", "line")
@@ -128,5 +105,5 @@ def attribution(d) -> str:
 
 
 PLANS = {
-    f.__name__: f for f in (overlap_variants, block_types, section_words, skipped_headings, check_summary, reworded, math_counts, attribution)
+    f.__name__: f for f in (overlap_variants, skipped_headings, check_summary, reworded, math_counts, attribution)
 }

@@ -1,61 +1,12 @@
-"""Style rules over document blocks: matches, thresholds, category points and the index.
-
-The rules are a small table; a block's hits of a rule are counted with the
-rule's alternatives in one pattern, so overlapping alternatives count once.
-"""
+"""Punctuation, line checks and the list of what the style review covers; the review itself is in operators.style_review."""
 
 from __future__ import annotations
 
 from inkspan.functions.text import PATTERN_SENTENCE
-from inkspan.operators.style_review import COVERAGE, LEAST_WORDS, LINE_CHECKS, POINTS
-from inkspan.operators.style_review import RULES as REVIEW_RULES
+from inkspan.operators.style_review import COVERAGE, LINE_CHECKS
 from inkspan.plans.signals import _source
 from inkspan.plans.textstats import big, dbl
 
-#: The vocabulary rules of the full review: rule, category, least count, least rate per 1000 words, points, category cap, pattern.
-RULES = tuple((r.name, r.category, r.least, r.rate, POINTS[r.strength], r.cap, "|".join(r.patterns)) for r in REVIEW_RULES[:6])
-
-
-def _counts(d) -> str:
-    """Blocks are paragraphs; those of quotations and references are not eligible."""
-    blocks = d.each("src", d.split("text", r"\n"), "b", "block")
-    hits = ", ".join(f"{d.count('block', '(?i)(?:^|[^A-Za-z0-9])(?:' + rule[6] + ')(?:$|[^A-Za-z0-9])')} AS {rule[0]}" for rule in RULES)
-    words = d.count("block", r"[A-Za-z0-9]+(?:['’][A-Za-z]+)?")
-    return f"""src AS ({_source(d)}),
-blocks AS (SELECT doc_id, b, {words} AS words, {hits} FROM {blocks} WHERE NOT ({d.like("block", r"^\s*(?:>|[“\"])")}))"""
-
-
-def style_rules(d) -> str:
-    """Hits of each rule, their rate, affected blocks, most in one block, and whether the rule's threshold is met."""
-    names, rows = d.array(f"'{r[0]}'" for r in RULES), d.each("wide", "names", "k", "rule_id")
-    sums = d.array(big(f"sum({r[0]})") for r in RULES)
-    tops = d.array(big(f"max({r[0]})") for r in RULES)
-    touched = d.array(big(f"sum(CASE WHEN {r[0]} > 0 THEN 1 ELSE 0 END)") for r in RULES)
-    least = "CASE rule_id " + " ".join(f"WHEN '{r[0]}' THEN {r[2]}" for r in RULES) + " END"
-    rate = "CASE rule_id " + " ".join(f"WHEN '{r[0]}' THEN {r[3]}" for r in RULES) + " END"
-    return f"""WITH {_counts(d)},
-wide AS (SELECT doc_id, sum(words) AS words, {names} AS names, {sums} AS sums, {tops} AS tops, {touched} AS touched FROM blocks GROUP BY doc_id),
-long AS (SELECT doc_id, words, rule_id, {d.at("sums", "k")} AS n, {d.at("tops", "k")} AS top, {d.at("touched", "k")} AS touched FROM {rows})
-SELECT doc_id, rule_id, {big("words")} AS eligible_words, n AS eligible_count, round({dbl("n")} / greatest(1, words) * 1000, 2) AS per_1000,
-  touched AS affected_blocks, top AS local_concentration, n >= {least} AND {dbl("n")} / greatest(1, words) * 1000 >= {rate} AS threshold_met FROM long WHERE n > 0"""
-
-
-def style_index(d) -> str:
-    """Points by rule, capped by category, over all caps; null below the least number of words."""
-    cap = {}
-    for r in RULES:
-        cap[r[1]] = max(cap.get(r[1], 0), r[5])
-    category = "CASE rule_id " + " ".join(f"WHEN '{r[0]}' THEN '{r[1]}'" for r in RULES) + " END"
-    points = "CASE rule_id " + " ".join(f"WHEN '{r[0]}' THEN {dbl(r[4])} * least({dbl(2)}, {dbl('eligible_count')} / {r[2]})" for r in RULES) + " END"
-    caps = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in cap.items()) + " END"
-    return f"""WITH m AS (SELECT doc_id, eligible_words, {category} AS category, {points} AS points FROM ({style_rules(d)}) r WHERE threshold_met),
-c AS (SELECT doc_id, category, sum(points) AS points FROM m GROUP BY doc_id, category),
-p AS (SELECT doc_id, sum(least(points, {caps})) AS points, count(*) AS active FROM c GROUP BY doc_id),
-w AS (SELECT doc_id, sum(words) AS words FROM (WITH {_counts(d)} SELECT doc_id, words FROM blocks) b GROUP BY doc_id)
-SELECT w.doc_id, {big("w.words")} AS eligible_words, {big("coalesce(p.active, 0)")} AS active_categories,
-  CASE WHEN w.words >= {LEAST_WORDS} THEN round(coalesce(p.points, 0) / {sum(cap.values())} * 100, 1) END AS style_index FROM w LEFT JOIN p ON w.doc_id = p.doc_id"""
-
-
 def punctuation_metrics(d) -> str:
     """Dashes, hyphens and curly quotes; em dashes by the spaces at them; sentences with one, with several, with a pair around an aside."""
     em, both, neither = d.count("text", "—"), d.marks_with("text", "—", r"\s", True), d.marks_with("text", "—", r"\s", False)
@@ -87,4 +38,4 @@ def review_coverage(d) -> str:
     return f"SELECT {big('place')} AS place, check_id, description, status FROM (VALUES {rows}) AS v(place, check_id, description, status)"
 
 
-PLANS = {f.__name__: f for f in (style_rules, style_index, punctuation_metrics, formatting_findings, review_coverage)}
+PLANS = {f.__name__: f for f in (punctuation_metrics, formatting_findings, review_coverage)}
