@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,16 +13,19 @@ from inkspan.functions.udfs import common_subsequence, nfkc, sequence_diff
 from inkspan.operators import patterns
 from inkspan.operators.blocks import block_rows, kept_text, typed_blocks
 from inkspan.operators.citations import smart_citation, template_citation
+from inkspan.operators.passage_index import PassageIndex
 from inkspan.operators.revision import cleanup
+from inkspan.operators.set_join import similar_sets, word_set
 from inkspan.operators.sparse import products
 from inkspan.operators.style_review import category_points, rule_metrics, style_findings, style_review
 from inkspan.operators.vectors import hashed_vectors, top_k
 from inkspan.plans import evidence, review_sql, tables
 from inkspan.plans.dialect import DUCK, SPARK, views
-from inkspan.plans.overlap import overlap_by_source
+from inkspan.plans.overlap import corpus_windows, document_windows, overlap_by_source, overlap_scores
 from inkspan.plans.signals import _source
 from inkspan.plans.tables import QUERY_STEP
 from inkspan.sources.readers import markdown_text
+from inkspan.sources.shared import shared_folder
 from inkspan.sources.tables import read_table
 from inkspan.streaming.overlap import windowed_events
 
@@ -71,6 +76,36 @@ def word_dice(spark, sf_dir):
     return found.select(F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), dice.alias("dice"))
 
 
+def corpus_index(spark: SparkSession, sf_dir: str) -> PassageIndex:
+    """The stored index of the corpus of a folder, written once a session."""
+    index = PassageIndex(spark, f"inkspan_{zlib.crc32(sf_dir.encode()):08x}")
+    if not index.exists():
+        index.build(spark.sql(views(spark, sf_dir, corpus_windows(SPARK))), f"{shared_folder(spark)}/{index.name}")
+    return index
+
+
+def indexed_overlap(spark, sf_dir):
+    """Overlap of all documents by the stored index of the corpus."""
+    hits = corpus_index(spark, sf_dir).hits(spark.sql(views(spark, sf_dir, document_windows(SPARK))))
+    name = f"inkspan_hits_{zlib.crc32(sf_dir.encode()):08x}"
+    hits.createOrReplaceTempView(name)
+    return spark.sql(views(spark, sf_dir, overlap_scores(SPARK, name)))
+
+
+#: Least Dice similarity, in percent, of sentences that are told.
+NEAR_SENTENCES = 40
+
+
+def similar_sentences(spark, sf_dir):
+    """Sentences of documents and of the corpus, of four words or more each, that share many of their words."""
+    split = lambda text: F.split(F.regexp_replace(F.regexp_replace(text, r"([.!?])\s+", "$1\u0001"), r"\n\s*\n", "\u0001"), "\u0001")
+    long = lambda rows: rows.filter(F.regexp_count("sentence", F.lit(r"[^\s]+")) >= 4).withColumn("words", word_set(F.col("sentence")))
+    drafts = long(documents(spark, sf_dir).select("doc_id", F.posexplode(split(F.col("text"))).alias("sentence_no", "sentence")))
+    corpus = long(read_table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(split(F.col("text"))).alias("source_sentence", "sentence")))
+    found = similar_sets(drafts, corpus, ["doc_id", "sentence_no"], ["item_id", "source_sentence"], NEAR_SENTENCES)
+    return found.select("doc_id", F.col("sentence_no").cast("long"), "item_id", F.col("source_sentence").cast("long"), "shared", "dice")
+
+
 def document_topk(spark, sf_dir):
     """The five documents most similar to every document whose id is divisible by QUERY_STEP, by hashed vectors."""
     vectors = hashed_vectors(documents(spark, sf_dir))
@@ -228,13 +263,21 @@ def style_evidence(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        hashed_vector_norms, embedding_topk, tf_cosine, word_dice, document_topk, span_evidence, flagged_sentences, closest_passages, cleanup_edits, normalized_text, draft_sequence, common_words, markdown_documents,
+        hashed_vector_norms, embedding_topk, tf_cosine, word_dice, indexed_overlap, similar_sentences, document_topk, span_evidence, flagged_sentences, closest_passages, cleanup_edits, normalized_text, draft_sequence, common_words, markdown_documents,
         event_windows, smart_citations, template_citations, typed_block_rows, block_types, section_words, kept_documents, style_rules, style_index, style_documents, style_rule_metrics, style_categories, style_evidence,
     )
 }
 _PLAIN, _TYPED = review_sql.plain(f"SELECT doc_id, 'txt' AS format, text FROM ({_source(DUCK)})"), review_sql.typed(_wrapped_sql())
 _TYPES = f"SELECT doc_id, block_no, source_end - source_start AS characters, kind AS block_type FROM ({review_sql.block_rows(_TYPED)})"
+_SENTENCES = r"string_split_regex(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n\s*\n', chr(1), 'g'), chr(1))"
 ORACLES = {
+    "indexed_overlap": overlap_scores(DUCK),
+    "similar_sentences": rf"""WITH s AS (SELECT doc_id, unnest({_SENTENCES}) AS sentence, generate_subscripts({_SENTENCES}, 1) - 1 AS n FROM documents),
+c AS (SELECT item_id, unnest({_SENTENCES}) AS sentence, generate_subscripts({_SENTENCES}, 1) - 1 AS m FROM benchmark),
+a AS (SELECT doc_id, n, list_distinct(regexp_extract_all(lower(sentence), '[a-z0-9]+')) AS words FROM s WHERE len(regexp_extract_all(sentence, '[^\s]+')) >= 4),
+b AS (SELECT item_id, m, list_distinct(regexp_extract_all(lower(sentence), '[a-z0-9]+')) AS words FROM c WHERE len(regexp_extract_all(sentence, '[^\s]+')) >= 4),
+p AS (SELECT a.doc_id, a.n, b.item_id, b.m, count(*) AS shared, any_value(a.size + b.size) AS sizes FROM (SELECT *, len(words) AS size, unnest(words) AS word FROM a) a JOIN (SELECT *, len(words) AS size, unnest(words) AS word FROM b) b ON a.word = b.word GROUP BY ALL)
+SELECT doc_id, CAST(n AS BIGINT) AS sentence_no, item_id, CAST(m AS BIGINT) AS source_sentence, shared, round(CAST(200 AS DOUBLE) * shared / sizes, 1) AS dice FROM p WHERE 200 * shared >= {NEAR_SENTENCES} * sizes""",
     "typed_block_rows": review_sql.block_rows(_TYPED),
     "block_types": _TYPES,
     "section_words": f"SELECT doc_id, block_type, count(*) AS blocks, CAST(sum(characters) AS BIGINT) AS characters, block_type NOT IN ('code', 'reference', 'quotation') AS scored FROM ({_TYPES}) GROUP BY doc_id, block_type",

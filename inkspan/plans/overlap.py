@@ -32,14 +32,25 @@ def _grams(d, source: str, key: str, at: str, judged: bool) -> str:
     return f"SELECT {key}, {at}, {text} AS gram{f', ({eligible}) >= 2 AS eligible' if judged else ''} FROM {table}"
 
 
-def coverage(d, docs: str = "documents") -> str:
-    """CTEs up to `cover`: the covered word positions k of each document and source, with their source position."""
+def document_windows(d, docs: str = "documents") -> str:
+    """Windows of the documents: doc_id, i, gram."""
+    return f"WITH dw AS (SELECT doc_id, {match_words(d)} AS w FROM {docs}) {_grams(d, 'dw', 'doc_id', 'i', False)}"
+
+
+def corpus_windows(d) -> str:
+    """Windows of the corpus: src, j, gram, eligible."""
+    return f"WITH cw AS (SELECT item_id AS src, {match_words(d)} AS w FROM benchmark) {_grams(d, 'cw', 'src', 'j', True)}"
+
+
+def coverage(d, docs: str = "documents", hits: str = "") -> str:
+    """CTEs up to `cover`: the covered word positions k of each document and source, with their source position. hits: a table of equal windows, if they were found elsewhere."""
+    found = f"""dg AS ({_grams(d, "dw", "doc_id", "i", False)}),
+cg AS ({_grams(d, "cw", "src", "j", True)}),
+hits AS (SELECT dg.doc_id, cg.src, dg.i, cg.j, dg.i - cg.j AS diag, cg.eligible FROM dg JOIN cg ON dg.gram = cg.gram),"""
     return f"""
 dw AS (SELECT doc_id, {match_words(d)} AS w FROM {docs}),
 cw AS (SELECT item_id AS src, {match_words(d)} AS w FROM benchmark),
-dg AS ({_grams(d, "dw", "doc_id", "i", False)}),
-cg AS ({_grams(d, "cw", "src", "j", True)}),
-hits AS (SELECT dg.doc_id, cg.src, dg.i, cg.j, dg.i - cg.j AS diag, cg.eligible FROM dg JOIN cg ON dg.gram = cg.gram),
+{f"hits AS (SELECT doc_id, src, i, j, i - j AS diag, eligible FROM {hits})," if hits else found}
 kept AS (
   SELECT * FROM (SELECT *, max(CASE WHEN eligible THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, src, diag) AS good FROM hits) h WHERE good = 1
 ),
@@ -55,8 +66,8 @@ spread AS (SELECT doc_id, src, diag, first_i, k FROM {d.numbers("best", "low", "
 cover AS (SELECT doc_id, src, k, {d.min_by("k - diag", "first_i")} AS source_k FROM spread GROUP BY doc_id, src, k)"""
 
 
-def overlap_scores(d) -> str:
-    return f"""WITH {coverage(d)},
+def overlap_scores(d, hits: str = "") -> str:
+    return f"""WITH {coverage(d, hits=hits)},
 matched AS (SELECT doc_id, count(DISTINCT k) AS n FROM cover GROUP BY doc_id),
 total AS (SELECT doc_id, CAST({d.count("text", MATCH_WORD)} AS BIGINT) AS words FROM documents)
 SELECT t.doc_id, t.words AS total_words, CAST(coalesce(m.n, 0) AS BIGINT) AS matched_words,
@@ -75,6 +86,20 @@ SELECT per.doc_id, per.src AS source_id, CAST(per.n AS BIGINT) AS common_words,
 FROM per JOIN dw ON per.doc_id = dw.doc_id JOIN cw ON per.src = cw.src"""
 
 
+def source_breakdown(d) -> str:
+    """Every source that covers words of a document: its share, its words, and the sentences with a covered word of it, most similar first."""
+    sentences = d.each("touched", careful_sentences(d), "s", "sentence")
+    return f"""WITH {coverage(d)},
+touched AS (SELECT t.doc_id, t.text FROM documents t JOIN (SELECT DISTINCT doc_id FROM cover) c ON t.doc_id = c.doc_id),
+sents AS (SELECT doc_id, s, {d.size(match_words(d, "sentence"))} AS n FROM {sentences}),
+bounds AS (SELECT doc_id, s, n, sum(n) OVER (PARTITION BY doc_id ORDER BY s) AS high, sum(n) OVER (PARTITION BY doc_id) AS words FROM sents),
+slots AS (SELECT doc_id, s, words, k FROM {d.numbers("(SELECT doc_id, s, words, CAST(high - n AS INT) AS low, CAST(high AS INT) AS high FROM bounds WHERE n > 0) b", "low", "high", "k")}),
+per AS (SELECT c.doc_id, c.src, max(b.words) AS words, count(*) AS n, count(DISTINCT b.s) AS sentences FROM cover c JOIN slots b ON b.doc_id = c.doc_id AND b.k = c.k GROUP BY c.doc_id, c.src),
+shares AS (SELECT per.*, {d.size("cw.w")} AS source_words, round(CAST(100.0 AS DOUBLE) * n / words, 2) AS similarity FROM per JOIN cw ON per.src = cw.src)
+SELECT doc_id, src AS source_id, similarity, CAST(n AS BIGINT) AS common_words, CAST(source_words AS BIGINT) AS source_words, CAST(sentences AS BIGINT) AS matched_sentences,
+  CAST(row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, src) AS BIGINT) AS place FROM shares"""
+
+
 def overlap_top_source(d) -> str:
     return f"SELECT doc_id, source_id, common_words, similarity FROM ({overlap_by_source(d)}) t WHERE place = 1"
 
@@ -212,6 +237,7 @@ SELECT category, CAST(cases AS BIGINT) AS cases, CAST(tp AS BIGINT) AS tp, CAST(
 PLANS = {
     "overlap_scores": overlap_scores,
     "overlap_by_source": overlap_by_source,
+    "source_breakdown": source_breakdown,
     "overlap_top_source": overlap_top_source,
     "overlap_passages": overlap_passages,
     "overlap_sentences": overlap_sentences,

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from inkspan.functions.text import MATCH_WORD, PLAIN_WORD, careful_sentences, trimmed
 from inkspan.plans.overlap import QUOTE, coverage, quoted_words
-from inkspan.plans.signals import CITATIONS, HEADER, HIGH, _source, evidence_score, pattern_scores, top_signals, unsupported_claims
+from inkspan.plans.signals import CITATIONS, HIGH, _source, evidence_score, pattern_scores, top_signals, unsupported_claims
 from inkspan.plans.textstats import big, dbl
 
 # Verbs and their replacements in reworded options.
+#: Fixed value: the first line of a bibliography that overlap may leave out.
+LISTED = r"(?im)^[ \t]*(?:#+[ \t]*|\d+\.[ \t]*)?(?:references|bibliography|works cited|reference list)[ \t]*(?::[ \t]*)?$"
 VERBS = (("shows", "demonstrates"), ("proves", "substantiates"), ("uses", "employs"), ("helps", "facilitates"), ("says", "posits"))
 
 
@@ -21,7 +23,7 @@ def overlap_variants(d) -> str:
     Quoted words are numbered from the words of the pieces between quotations;
     the bibliography's words are those behind the first header line.
     """
-    body = d.at(d.split(d.replace("text", HEADER, "\x03"), r"\x03"), "0")
+    body = d.at(d.split(d.replace("text", LISTED, "\x03"), r"\x03"), "0")
     share = lambda a, b: f"CASE WHEN {b} = 0 THEN {dbl('0.0')} ELSE round({dbl('100.0')} * {a} / {b}, 2) END"
     return f"""WITH {coverage(d)},
 {quoted_words(d)},
