@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -11,8 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.sources.errors import KNOWN, public_message
-from inkspan.sources.readers import add_sources, changed_sources, decoded, delete_source, docx_blocks, extract_text, inverted_to_text, latex_prose, notebook_text, unzip
+from inkspan.sources.readers import addable_sources, changed_sources, decoded, delete_source, docx_blocks, extract_text, inverted_to_text, latex_prose, notebook_text, unzip
+from inkspan.sources.shared import checkpointed, shared_folder
 from inkspan.sources.sinks import html_reports
+from inkspan.sources.stores import add_sources, address_store, corpus_store, delete_sources, record_views, subscribe, view_store, view_summary
 from inkspan.sources.tables import read_table
 
 #: Characters that XML can't hold or changes.
@@ -174,7 +177,44 @@ def corpus_additions(spark, sf_dir):
     corpus = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.format_string("item_%d.txt", "item_id").alias("source_key"))
     new = documents(spark, sf_dir).select(F.format_string("item_%d.txt", (F.col("doc_id") / 2).cast("long")).alias("source_key"))
     kept = delete_source(corpus, "item_1.txt")
-    return kept.withColumn("how", F.lit("kept")).unionByName(add_sources(kept, new).withColumn("how", F.lit("added")))
+    return kept.withColumn("how", F.lit("kept")).unionByName(addable_sources(kept, new).withColumn("how", F.lit("added")))
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def published_corpus(spark, sf_dir):
+    """A stored corpus after three changes: the corpus' items, then all documents under names that are new, there already, of a wrong type or none, then every fifth item gone; the second change's statuses, too."""
+    store = corpus_store(spark, own_folder(spark, "corpus"))
+    name = lambda key, suffix: F.concat(F.lit("item_"), F.col(key).cast("string"), suffix)
+    items = read_table(spark, sf_dir, "benchmark")
+    add_sources(store, items.select(name("item_id", F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content")))
+    suffix = F.element_at(F.array(F.lit(".txt"), F.lit(".exe"), F.lit("/x.txt"), F.lit(".md")), (F.col("doc_id") % 4 + 1).cast("int"))
+    content = F.when(F.col("doc_id") % 9 == 0, F.lit(" ")).otherwise(F.coalesce("text", F.lit("")))
+    told = checkpointed(add_sources(store, documents(spark, sf_dir).select(name("doc_id", suffix).alias("path"), content.cast("binary").alias("content"))))
+    delete_sources(store, items.filter("item_id % 5 = 0").select(name("item_id", F.lit(".txt")).alias("source_key")))
+    there = store.read().select("source_key", F.lit("stored").alias("status"), F.lit(None).cast("string").alias("error"), sha(F.col("text")).alias("text_sha256"))
+    return told.withColumn("text_sha256", F.lit(None).cast("string")).unionByName(there)
+
+
+def subscriber_store(spark, sf_dir):
+    """Addresses made of the events' users, in two runs whose later one holds all again: one row an address, with its first consent of the run that brought it, and what the second run was told."""
+    store = address_store(spark, own_folder(spark, "addresses"))
+    email = F.concat(F.when(F.col("event_id") % 3 == 0, F.lit(" User")).otherwise(F.lit("user")), F.col("user_id").cast("string"), F.when(F.col("event_id") % 50 == 7, F.lit("@nowhere")).otherwise(F.lit("@Example.org")))
+    rows = read_table(spark, sf_dir, "events").select("event_id", email.alias("email"), F.col("ts").alias("consented_at"), F.col("event_type").alias("source"))
+    subscribe(store, rows.filter("event_id % 4 = 0"))
+    told = checkpointed(subscribe(store, rows)).groupBy("email", "status").agg(F.count("*").alias("times"))
+    return told.select("email", "status", "times", F.lit(None).cast("timestamp").alias("consented_at")).unionByName(store.read().select("email", F.lit("stored").alias("status"), F.lit(1).cast("long").alias("times"), "consented_at"))
+
+
+def stored_views(spark, sf_dir):
+    """Events as page views, stored in two appends; those of the last week and of all time."""
+    store, events = view_store(spark, own_folder(spark, "views")), read_table(spark, sf_dir, "events")
+    for half in (0, 1):
+        record_views(store, events.filter(F.col("event_id") % 2 == half).select(F.concat(F.lit("/"), "event_type").alias("path"), F.col("ts").alias("viewed_at")))
+    last = events.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]
+    return view_summary(store, F.timestamp_micros(F.lit(last)), 7)
 
 
 def highlighted_reports(spark, sf_dir):
@@ -200,7 +240,7 @@ _GAP = "chr(10) || chr(10)"
 QUERIES = {
     f.__name__: f
     for f in (
-        docx_documents, docx_typed_blocks, damaged_files, notebook_documents, zipped_documents, decoded_documents, latex_documents, inverted_documents, corpus_changes, corpus_additions, highlighted_reports, public_errors,
+        docx_documents, docx_typed_blocks, damaged_files, notebook_documents, zipped_documents, decoded_documents, latex_documents, inverted_documents, corpus_changes, corpus_additions, published_corpus, subscriber_store, stored_views, highlighted_reports, public_errors,
     )
 }
 _KNOWN = ", ".join("'" + k + "'" for k in KNOWN)
@@ -234,6 +274,17 @@ FROM part WHERE p_partkey % 7 IN (1, 2) OR p_partkey % 5 = 0""",
     "corpus_additions": """WITH kept AS (SELECT 'item_' || item_id || '.txt' AS source_key FROM benchmark WHERE item_id <> 1)
 SELECT source_key, 'kept' AS how FROM kept UNION ALL
 SELECT DISTINCT 'item_' || (doc_id // 2) || '.txt', 'added' FROM documents WHERE 'item_' || (doc_id // 2) || '.txt' NOT IN (SELECT source_key FROM kept)""",
+    "published_corpus": """WITH t AS (SELECT doc_id, 'item_' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.exe' WHEN 2 THEN '/x.txt' ELSE '.md' END AS source_key, CASE WHEN doc_id % 9 = 0 THEN '' ELSE trim(coalesce(text, ''), ' ') END AS text FROM documents),
+j AS (SELECT *, CASE WHEN doc_id % 4 IN (1, 2) THEN 'Invalid source filename.' WHEN text = '' THEN 'Source contains no extractable text.' END AS error, source_key IN (SELECT 'item_' || item_id || '.txt' FROM benchmark) AS known FROM t)
+SELECT source_key, CASE WHEN error IS NOT NULL THEN 'rejected' WHEN known THEN 'exists' ELSE 'added' END AS status, error, CAST(NULL AS VARCHAR) AS text_sha256 FROM j
+UNION ALL SELECT source_key, 'stored', NULL, sha256(text) FROM j WHERE error IS NULL AND NOT known
+UNION ALL SELECT 'item_' || item_id || '.txt', 'stored', NULL, sha256(trim(text, ' ')) FROM benchmark WHERE item_id % 5 <> 0""",
+    "subscriber_store": """WITH e AS (SELECT event_id, ts, 'user' || user_id || CASE WHEN event_id % 50 = 7 THEN '@nowhere' ELSE '@example.org' END AS email FROM events),
+first AS (SELECT email, min(ts) AS ts FROM e WHERE event_id % 4 = 0 AND event_id % 50 <> 7 GROUP BY email),
+later AS (SELECT email, min(ts) AS ts FROM e WHERE event_id % 50 <> 7 AND email NOT IN (SELECT email FROM first) GROUP BY email)
+SELECT email, CASE WHEN contains(email, '@nowhere') THEN 'rejected' WHEN email IN (SELECT email FROM first) THEN 'exists' ELSE 'added' END AS status, count(*) AS times, CAST(NULL AS TIMESTAMP) AS consented_at FROM e GROUP BY email
+UNION ALL SELECT email, 'stored', 1, ts FROM first UNION ALL SELECT email, 'stored', 1, ts FROM later""",
+    "stored_views": "SELECT count(*) FILTER (ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY) AS page_views, count(*) AS all_time_page_views, CAST(7 AS BIGINT) AS days FROM events",
     "highlighted_reports": f"""SELECT doc_id, sha256('<!doctype html><meta charset=utf-8><title>Overlap report</title><h1>Document ' || doc_id || ': 12.50 %</h1><p><mark>' || {_ESCAPED.format('substring(text, 1, 8)')}
   || '</mark>' || {_ESCAPED.format('substring(text, 9, 12)')} || '<mark>' || {_ESCAPED.format('substring(text, 21, 10)')} || '</mark>' || {_ESCAPED.format('substring(text, 31)')} || '</p>') AS html_sha256
 FROM documents WHERE length(text) >= 30""",

@@ -184,7 +184,7 @@ def docx_blocks(files: DataFrame) -> DataFrame:
 
 def signatures(spark: SparkSession, folder: str) -> DataFrame:
     """Path, time and size of each file of an allowed type; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(folder)
     return files.filter(extension(F.col("path")).isin(*EXTENSIONS)).select("path", "modificationTime", "length")
 
 
@@ -221,7 +221,7 @@ def extract_text(files: DataFrame) -> DataFrame:
 
 def scan_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """The readable, non-empty files of a folder as corpus rows. Types and sizes are told by the listing; other files aren't opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).filter(F.col("length") <= MAX_FILE_BYTES)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(folder).filter(F.col("length") <= MAX_FILE_BYTES)
     files = files.filter(extension(F.col("path")).isin(*EXTENSIONS))
     return extract_text(files).filter(F.col("status") == "success").select(F.col("filename").alias("source_key"), "filename", "text", F.lit("institutional_corpus").alias("source_type"))
 
@@ -264,7 +264,7 @@ def unzip(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInPandas(entries, "archive string, path string, content binary, error string")
 
 
-def add_sources(corpus: DataFrame, new: DataFrame) -> DataFrame:
+def addable_sources(corpus: DataFrame, new: DataFrame) -> DataFrame:
     """The new rows whose source_key isn't in the corpus, one a key: what may be appended."""
     return new.dropDuplicates(["source_key"]).join(corpus.select("source_key"), "source_key", "left_anti").select(*new.columns)
 

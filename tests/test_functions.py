@@ -175,7 +175,7 @@ def test_archives_and_corpus_changes(spark):
     assert {(r.archive, r.path, r.error) for r in rows} == {("z.zip", "x/a.txt", None), ("bad.zip", None, "The uploaded file is not a valid ZIP archive.")}
     corpus = spark.createDataFrame([("a", "1")], "source_key string, text string")
     new = spark.createDataFrame([("a", "2"), ("b", "3"), ("b", "3")], "source_key string, text string")
-    assert [r.source_key for r in readers.add_sources(corpus, new).collect()] == ["b"]
+    assert [r.source_key for r in readers.addable_sources(corpus, new).collect()] == ["b"]
     assert readers.delete_source(corpus, "a").count() == 0
     positions = spark.createDataFrame([({"world": [1], "hello": [0, 2]},)], "m map<string,array<int>>")
     assert positions.select(readers.inverted_to_text(F.col("m"))).first()[0] == "hello world hello"
