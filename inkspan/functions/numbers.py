@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-
-def rounded(x: Column, digits: int) -> Column:
-    """A number of 0 or more rounded as its exact binary value lies, 1 or 2 digits.
+def rounded(x: str, digits: int) -> str:
+    """SQL of a number of 0 or more rounded as its exact binary value lies, to 1 or 2 digits.
 
     `round` looks at the shortest decimal that stands for a number, so 2.05,
     which is a little less, goes up. The two differ only where the number is
@@ -17,10 +12,9 @@ def rounded(x: Column, digits: int) -> Column:
     two so that no step rounds, tells on which side it lies.
     """
     scale = 10**digits
-    up = F.round(x, digits)
-    k = F.round(up * scale).cast("long") - 1
-    n = 2 * k + 1
-    half = n / F.lit(2.0 * scale)
-    left = reduce(lambda rest, power: rest - half * power, {1: (16.0, 4.0), 2: (128.0, 64.0, 8.0)}[digits], n.cast("double"))
-    down = k / F.lit(float(scale))
-    return F.when(x != half, up).when(left > 0, down).when(left < 0, up).when(k % 2 == 0, down).otherwise(up)
+    up = f"round(x, {digits})"
+    k = f"(CAST(round({up} * {scale}) AS BIGINT) - 1)"
+    half = f"((2 * {k} + 1) / {2 * scale}D)"
+    left = f"CAST(2 * {k} + 1 AS DOUBLE)" + "".join(f" - {half} * {power}D" for power in {1: (16, 4), 2: (128, 64, 8)}[digits])
+    body = f"CASE WHEN x <> {half} THEN {up} WHEN {left} > 0 THEN {k} / {scale}D WHEN {left} < 0 THEN {up} WHEN {k} % 2 = 0 THEN {k} / {scale}D ELSE {up} END"
+    return f"get(transform(array(CAST({x} AS DOUBLE)), x -> {body}), 0)"

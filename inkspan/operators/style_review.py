@@ -9,7 +9,6 @@ points, categories and the index follow in that row. Texts are never shuffled.
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -128,19 +127,27 @@ def apart(spans: Column) -> Column:
     return F.aggregate(spans, empty, step)
 
 
-def likely(kind: Column, low: Column) -> Column:
-    """Numbers of the patterns that can match in a block; low: its text in lower case."""
+def quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def listed(values) -> str:
+    return ", ".join(quoted(v) if isinstance(v, str) else str(v) for v in values)
+
+
+def likely(kind: str, low: str) -> Column:
+    """Numbers of the patterns that can match in a block, told in SQL of its kind and its text in lower case."""
     out = []
     for n, (_, _, kinds, parts) in enumerate(PATTERNS):
-        here = F.lit(True) if kinds is None else kind.isin(*kinds)
-        held = low.rlike(parts) if isinstance(parts, str) else reduce(lambda a, b: a | b, (F.contains(low, F.lit(p)) for p in parts)) if parts else F.lit(True)
-        out.append(F.when(here & held, F.lit(n)))
-    return F.array_compact(F.array(*out))
+        here = "true" if kinds is None else f"{kind} IN ({listed(kinds)})"
+        held = f"{low} RLIKE {quoted(parts)}" if isinstance(parts, str) else " OR ".join(f"contains({low}, {quoted(p)})" for p in parts) or "true"
+        out.append(f"CASE WHEN {here} AND ({held}) THEN {n} END")
+    return F.expr(f"array_compact(array({', '.join(out)}))")
 
 
 def found_in(text: Column, numbers: Column) -> Column:
     """rule (its number), start and length of all findings of the numbered patterns in a block."""
-    rules, regexes = F.array(*(F.lit(r) for r, *_ in PATTERNS)), F.array(*(F.lit(p) for _, p, *_ in PATTERNS))
+    rules, regexes = F.expr(f"array({listed(r for r, *_ in PATTERNS)})"), F.expr(f"array({listed(p for _, p, *_ in PATTERNS)})")
     hits = F.transform(numbers, lambda n: F.struct(F.get(rules, n).alias("rule"), matches(text, F.get(regexes, n)).alias("spans")))
 
     def of_rule(all_: Column, rule: Column) -> Column:
@@ -171,7 +178,7 @@ def _block_findings(docs: DataFrame, blocks: Column, radius: int = 0) -> DataFra
     rows = rows.select("doc_id", "row", "eligible_words", "x.*").withColumn("low", F.lower("b.text"))
     whole = lambda name: F.array(F.struct(F.lit(number(name)).alias("rule"), F.lit(0).alias("start"), F.length("b.text").alias("length")))
     # Told in a column of its own and asked for twice, the plain search is compiled and done once a block.
-    rows = rows.withColumn("likely", likely(F.col("b.kind"), F.col("low")))
+    rows = rows.withColumn("likely", likely("b.kind", "low"))
     own = F.when(F.size("likely") > 0, found_in(F.col("b.text"), F.col("likely"))).otherwise(F.slice(whole(BOLD), 1, 0))
     own = F.concat(own, F.when(F.col("skips"), whole(SKIPPED)).otherwise(F.slice(whole(SKIPPED), 1, 0)), F.when(F.col("b.bold_share") > MOST_BOLD, whole(BOLD)).otherwise(F.slice(whole(BOLD), 1, 0)))
     return rows.withColumn("found", F.when(F.col("b").isNotNull(), own)).drop("low", "likely")
@@ -180,61 +187,53 @@ def _block_findings(docs: DataFrame, blocks: Column, radius: int = 0) -> DataFra
 def _reviews(docs: DataFrame, blocks: Column) -> DataFrame:
     """doc_id, words, findings, and `rules`: the metrics of all rules; `hits`: counts by number of kind of the blocks that have findings."""
     rows = _block_findings(docs, blocks)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(len(NAMES) - 1)), lambda r: F.size(F.filter("found", lambda f: f["rule"] == r)))
+    each = f"sequence(0, {len(NAMES) - 1})"
+    rows = rows.withColumn("hit", F.expr(f"CASE WHEN size(found) > 0 THEN struct(b.kind AS kind, transform({each}, r -> size(filter(found, f -> f.rule = r))) AS counts) END"))
     words = F.regexp_count("b.text", F.lit(PATTERN_WORD))
-    rows = rows.withColumn("hit", F.when(F.size("found") > 0, F.struct(F.col("b.kind").alias("kind"), counts.alias("counts"))))
     grouped = rows.groupBy("row", "doc_id").agg(
         F.max("eligible_words").cast("long").alias("eligible_words"), F.coalesce(F.sum(F.when(F.col("b.kind").isin(*EXCLUDED), words)), F.lit(0)).cast("long").alias("excluded_words"), F.collect_list("hit").alias("hits")
     )
-    scored = F.filter("hits", lambda h: ~h["kind"].isin(*EXCLUDED))
-    total = lambda hits, r: F.aggregate(hits, F.lit(0), lambda n, h: n + F.get(h["counts"], F.lit(r))).cast("long")
-
-    def metrics(rule: Rule, kept: Column) -> Column:
-        r = number(rule.name)
-        count = total(kept, r)
-        rate = count / F.greatest(F.lit(1), F.col("eligible_words")) * 1000
-        return F.struct(
-            F.lit(rule.name).alias("rule_id"), F.lit(rule.category).alias("category"), total(F.col("hits"), r).alias("count"), count.alias("eligible_count"), rounded(rate, 2).alias("per_1000"),
-            F.size(F.filter("hits", lambda h: F.get(h["counts"], F.lit(r)) > 0)).cast("long").alias("affected_blocks"),
-            F.coalesce(F.array_max(F.transform(kept, lambda h: F.get(h["counts"], F.lit(r)))), F.lit(0)).cast("long").alias("local_concentration"),
-            ((count >= rule.least) & (rate >= rule.rate)).alias("threshold_met"),
-        )
-
-    findings = F.aggregate("hits", F.lit(0), lambda n, h: n + F.aggregate(h["counts"], F.lit(0), lambda m, c: m + c)).cast("long")
-    return grouped.withColumns({"findings": findings, "rules": bound(scored, lambda kept: F.array(*(metrics(r, kept) for r in RULES))), "dashes": total(F.col("hits"), number(DASH))})
+    sums = lambda hits: f"transform({each}, r -> CAST(aggregate({hits}, 0, (n, h) -> n + h.counts[r]) AS BIGINT))"
+    grouped = grouped.withColumn("kept", F.expr(f"filter(hits, h -> h.kind NOT IN ({listed(EXCLUDED)}))"))
+    grouped = grouped.withColumns({
+        "all_counts": F.expr(sums("hits")), "counts": F.expr(sums("kept")), "touched": F.expr(f"transform({each}, r -> CAST(size(filter(hits, h -> h.counts[r] > 0)) AS BIGINT))"),
+        "most": F.expr(f"transform({each}, r -> CAST(coalesce(array_max(transform(kept, h -> h.counts[r])), 0) AS BIGINT))"),
+    })
+    metrics = []
+    for r, rule in enumerate(RULES):
+        rate = f"counts[{r}] / greatest(1, eligible_words) * 1000"
+        metrics.append(
+            f"""struct({quoted(rule.name)} AS rule_id, {quoted(rule.category)} AS category, all_counts[{r}] AS count, counts[{r}] AS eligible_count, {rounded(rate, 2)} AS per_1000, touched[{r}] AS affected_blocks,
+  most[{r}] AS local_concentration, counts[{r}] >= {rule.least} AND {rate} >= {rule.rate} AS threshold_met)"""
+        )
+    findings = F.expr("aggregate(all_counts, 0L, (n, c) -> n + c)")
+    return grouped.withColumns({"findings": findings, "rules": F.expr(f"array({', '.join(metrics)})"), "dashes": F.expr(f"all_counts[{number(DASH)}]")})
 
 
 def _categories(profile: str) -> Column:
     """Points, cap, scored findings and shared blocks of all categories, from a row of `_reviews`."""
-    met = lambda r: F.get(F.col("rules"), F.lit(r))["threshold_met"]
 
-    def weight(name: str, kind: Column) -> Column:
-        """Whether findings of a kind count in a block."""
-        if name == QUOTES:
-            return F.lit(False)
-        if name == DASH:
-            return kind.isin(*ELIGIBLE)
-        here = F.lit(True) if name in (SKIPPED, BOLD) else ~kind.isin(*EXCLUDED)
-        return here & met(number(name)) if name in STRENGTH else here
+    def counted(name: str) -> str:
+        """Findings of a kind that count in a block."""
+        here = "true" if name in (SKIPPED, BOLD) else f"h.kind IN ({listed(ELIGIBLE)})" if name == DASH else f"h.kind NOT IN ({listed(EXCLUDED)})"
+        met = f" AND rules[{number(name)}].threshold_met" if name in STRENGTH else ""
+        return "0" if name == QUOTES else f"CASE WHEN {here}{met} THEN h.counts[{number(name)}] ELSE 0 END"
 
     # Scored findings by category in each block.
-    own = lambda h, c: reduce(lambda a, b: a + b, (F.when(weight(n, h["kind"]), F.get(h["counts"], F.lit(number(n)))).otherwise(0) for n in NAMES if CATEGORY[n] == c))
-    by_block = F.transform("hits", lambda h: F.array(*(own(h, c) for c in CAPS)))
-
-    def category(k: int, c: str, scored: Column) -> Column:
-        count = F.aggregate(scored, F.lit(0), lambda n, b: n + F.get(b, F.lit(k)))
+    by_block = ", ".join(" + ".join(counted(n) for n in NAMES if CATEGORY[n] == c) for c in CAPS)
+    out = []
+    for k, (c, cap) in enumerate(CAPS.items()):
+        count = f"aggregate(scored, 0L, (n, b) -> n + b[{k}])"
         if c == "punctuation":
-            points = F.greatest(F.lit(0.0), rounded(F.col("dashes") / F.greatest(F.lit(1), F.col("eligible_words")) * 1000, 2) - 2.0) * 0.25
+            points = f"greatest(0D, {rounded('dashes / greatest(1, eligible_words) * 1000', 2)} - 2D) * 0.25D"
         elif c == "formatting":
-            points = count * 1.5
+            points = f"{count} * 1.5D"
         else:
             times = PROMOTION[profile] if c == "promotional_language" else 1.0
-            each = (F.when(met(number(r.name)), POINTS[r.strength] * F.least(F.lit(2.0), F.get(F.col("rules"), F.lit(number(r.name)))["eligible_count"] / r.least) * times).otherwise(0.0) for r in RULES if r.category == c)
-            points = reduce(lambda a, b: a + b, each)
-        shared = F.size(F.filter(scored, lambda b: (F.get(b, F.lit(k)) > 0) & (F.size(F.filter(b, lambda n: n > 0)) > 1)))
-        return F.struct(F.lit(c).alias("category"), rounded(F.least(F.lit(CAPS[c]), points), 1).alias("points"), F.lit(CAPS[c]).alias("cap"), count.cast("long").alias("scored_findings"), shared.cast("long").alias("shared_blocks"))
-
-    return bound(by_block, lambda scored: F.array(*(category(k, c, scored) for k, c in enumerate(CAPS))))
+            points = " + ".join(f"CASE WHEN rules[{number(r.name)}].threshold_met THEN {POINTS[r.strength]}D * least(2D, counts[{number(r.name)}] / {r.least}) * {times}D ELSE 0D END" for r in RULES if r.category == c)
+        shared = f"CAST(size(filter(scored, b -> b[{k}] > 0 AND size(filter(b, n -> n > 0)) > 1)) AS BIGINT)"
+        out.append(f"struct({quoted(c)} AS category, {rounded(f'least({cap}D, {points})', 1)} AS points, {cap}D AS cap, {count} AS scored_findings, {shared} AS shared_blocks)")
+    return F.expr(f"get(transform(array(transform(hits, h -> array({by_block}))), scored -> array({', '.join(out)})), 0)")
 
 
 def style_review(docs: DataFrame, profile: str = "academic_report", blocks: Column | None = None) -> DataFrame:
@@ -245,11 +244,10 @@ def style_review(docs: DataFrame, profile: str = "academic_report", blocks: Colu
     index. Repeated rows are reviewed each; other columns are ignored.
     """
     rows = _reviews(docs, plain_blocks(F.col("text")) if blocks is None else blocks).withColumn("categories", _categories(profile))
-    points = F.aggregate("categories", F.lit(0.0), lambda n, c: n + c["points"])
     few = F.col("eligible_words") < LEAST_WORDS
     active = F.size(F.filter("categories", lambda c: c["points"] > 0)).cast("long")
     advice = F.when(few, "insufficient_text").when(F.col("active_categories") >= ACTIVE_CATEGORIES, "review_categories").otherwise("review_passages")
-    rows = rows.select("doc_id", "eligible_words", "excluded_words", F.when(~few, rounded(points / sum(CAPS.values()) * 100, 1)).alias("style_index"), active.alias("active_categories"), "findings")
+    rows = rows.select("doc_id", "eligible_words", "excluded_words", F.when(~few, F.expr(rounded(f"aggregate(categories, 0D, (n, c) -> n + c.points) / {sum(CAPS.values())}D * 100", 1))).alias("style_index"), active.alias("active_categories"), "findings")
     return rows.withColumn("recommendation", advice)
 
 

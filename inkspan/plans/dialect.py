@@ -24,18 +24,51 @@ TABLES = (
 #: What words are made of, and a place where a word begins or ends. Neither Java's nor DuckDB's own `\b` and `\w` see letters beyond
 #: ASCII everywhere (Java's changed with version 19), so plans say them in full.
 WORD_CHARS = r"\p{L}\p{N}_"
+BEFORE, AFTER = rf"(?<![{WORD_CHARS}])", rf"(?![{WORD_CHARS}])"
 BOUNDARY = rf"(?:(?<=[{WORD_CHARS}])(?![{WORD_CHARS}])|(?<![{WORD_CHARS}])(?=[{WORD_CHARS}]))"
 
 
-def spelled_out(regex: str, boundary: str) -> str:
-    """The pattern with `\\w` as letters, digits and underscores of all scripts, and `\\b` as `boundary`."""
+def begins_word(rest: str) -> bool:
+    """Whether all that `rest` of a pattern can match surely begins with a letter or digit of ASCII."""
+    if re.match(r"[A-Za-z0-9]|\\d|\[[A-Za-z0-9-]+\]", rest):
+        return not re.match(r".[*?]|\\d[*?]|\[[A-Za-z0-9-]+\][*?]", rest)
+    if not re.match(r"\((?!\?[^:])", rest):
+        return False
+    depth, inside, firsts, i = 0, False, [], 0
+    while i < len(rest):
+        if rest[i] == "\\":
+            i += 2
+            continue
+        inside = rest[i] == "[" or inside and rest[i] != "]"
+        if not inside and rest[i] == "(":
+            depth += 1
+            if depth == 1:
+                firsts.append(i + (3 if rest.startswith("(?:", i) else 1))
+        elif not inside and rest[i] == "|" and depth == 1:
+            firsts.append(i + 1)
+        elif not inside and rest[i] == ")":
+            depth -= 1
+            if not depth:
+                break
+        i += 1
+    return not re.match(r"[*?{]", rest[i + 1 :]) and all(begins_word(rest[f:i]) for f in firsts)
+
+
+def spelled_out(regex: str, boundary: str, before: str | None = None, after: str | None = None) -> str:
+    """The pattern with `\\w` as letters, digits and underscores of all scripts, and `\\b` as `boundary`; as `before` where a word surely begins, as `after` where one surely ends there."""
     out, inside, i = [], False, 0
     while i < len(regex):
         step = 2 if regex[i] == "\\" else 1
         part = regex[i : i + step]
         if part == "[" and not inside or part == "]" and inside:
             inside = not inside
-        out.append({r"\w": WORD_CHARS if inside else f"[{WORD_CHARS}]", r"\b": boundary}.get(part, part))
+        if part == r"\w":
+            part = WORD_CHARS if inside else f"[{WORD_CHARS}]"
+        elif part == r"\b":
+            begins = before is not None and begins_word(regex[i + 2 :])
+            ends = after is not None and re.search(r"(?:^|[^\\])[A-Za-z0-9]$", regex[:i])
+            part = before if begins else after if ends else boundary
+        out.append(part)
         i += step
     return "".join(out)
 
@@ -52,7 +85,7 @@ class Spark:
         return other
 
     def pattern(self, regex: str) -> str:
-        regex = spelled_out(regex, BOUNDARY)
+        regex = spelled_out(regex, BOUNDARY, BEFORE, AFTER)
         quote = '"' if '"' not in regex else "'"
         if quote in regex:
             regex = regex.replace(quote, "\\x22")

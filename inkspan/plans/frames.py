@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkspan.functions.scans import matches
 from inkspan.functions.udfs import common_subsequence, nfkc, sequence_diff
 from inkspan.operators import patterns
 from inkspan.operators.blocks import block_rows, kept_text, typed_blocks
@@ -19,8 +20,8 @@ from inkspan.operators.set_join import similar_sets, word_set
 from inkspan.operators.sparse import products
 from inkspan.operators.style_review import category_points, rule_metrics, style_findings, style_review
 from inkspan.operators.vectors import hashed_vectors, top_k
-from inkspan.plans import evidence, review_sql, tables
-from inkspan.plans.dialect import DUCK, SPARK, views
+from inkspan.plans import evidence, review_sql, signals, tables
+from inkspan.plans.dialect import AFTER, BEFORE, BOUNDARY, DUCK, SPARK, spelled_out, views
 from inkspan.plans.overlap import corpus_windows, document_windows, overlap_by_source, overlap_scores
 from inkspan.plans.signals import _source
 from inkspan.plans.tables import QUERY_STEP
@@ -93,7 +94,7 @@ def indexed_overlap(spark, sf_dir):
 
 
 #: Least Dice similarity, in percent, of sentences that are told.
-NEAR_SENTENCES = 40
+NEAR_SENTENCES = 60
 
 
 def similar_sentences(spark, sf_dir):
@@ -233,6 +234,21 @@ def kept_documents(spark, sf_dir):
     return kept.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "skipped_table_cell", "skipped_code", "skipped_appendix", "skipped_reference")
 
 
+def informal_terms(spark, sf_dir, most: int = 12, radius: int = 25):
+    """The first twelve informal terms of a text, by the order of the list and then of the text, with 25 characters on either side and formal wordings; told in each text's own row."""
+    terms = list(signals.INFORMAL)
+    text = F.col("text")
+    regexes = F.array(*(F.lit("(?i)" + spelled_out(rf"\b{t}\b", BOUNDARY, BEFORE, AFTER)) for t in terms))
+    held = F.expr("array_compact(array(" + ", ".join(f"CASE WHEN contains(low, '{t}') THEN {k} END" for k, t in enumerate(terms)) + "))")
+    rows = injected(spark, sf_dir).withColumn("low", F.lower("text")).withColumn("held", held)
+    hits = F.flatten(F.transform("held", lambda k: F.transform(matches(text, F.get(regexes, k)), lambda m: F.struct(k.alias("k"), m["start"].alias("low"), m["length"].alias("own")))))
+    begin = lambda h: F.greatest(F.lit(0), h["low"] - radius)
+    shown = lambda h: F.concat(F.lit("..."), F.replace(F.substring("text", begin(h) + 1, h["low"] + h["own"] + radius - begin(h)), F.lit("\n"), F.lit(" ")), F.lit("..."))
+    told = F.transform(F.slice(hits, 1, most), lambda h, i: F.struct((i + 1).cast("long").alias("place"), F.substring("text", h["low"] + 1, h["own"]).alias("term"), h["low"].cast("long").alias("start_offset"), shown(h).alias("snippet"), h["k"].alias("k")))
+    wordings = F.get(F.array(*(F.lit(", ".join(signals.INFORMAL[t])) for t in terms)), F.col("k"))
+    return rows.select("doc_id", F.inline(told)).select("doc_id", "place", "term", "start_offset", "snippet", wordings.alias("wordings"))
+
+
 def style_rules(spark, sf_dir):
     """Rule metrics over typed blocks."""
     return rule_metrics(wrapped(spark, sf_dir), typed_blocks(F.col("text"), F.col("format")))
@@ -264,7 +280,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hashed_vector_norms, embedding_topk, tf_cosine, word_dice, indexed_overlap, similar_sentences, document_topk, span_evidence, flagged_sentences, closest_passages, cleanup_edits, normalized_text, draft_sequence, common_words, markdown_documents,
-        event_windows, smart_citations, template_citations, typed_block_rows, block_types, section_words, kept_documents, style_rules, style_index, style_documents, style_rule_metrics, style_categories, style_evidence,
+        event_windows, smart_citations, template_citations, typed_block_rows, block_types, section_words, kept_documents, informal_terms, style_rules, style_index, style_documents, style_rule_metrics, style_categories, style_evidence,
     )
 }
 _PLAIN, _TYPED = review_sql.plain(f"SELECT doc_id, 'txt' AS format, text FROM ({_source(DUCK)})"), review_sql.typed(_wrapped_sql())
@@ -281,6 +297,7 @@ SELECT doc_id, CAST(n AS BIGINT) AS sentence_no, item_id, CAST(m AS BIGINT) AS s
     "typed_block_rows": review_sql.block_rows(_TYPED),
     "block_types": _TYPES,
     "section_words": f"SELECT doc_id, block_type, count(*) AS blocks, CAST(sum(characters) AS BIGINT) AS characters, block_type NOT IN ('code', 'reference', 'quotation') AS scored FROM ({_TYPES}) GROUP BY doc_id, block_type",
+    "informal_terms": signals.informal_terms(DUCK),
     "kept_documents": review_sql.kept_documents(_TYPED),
     "style_rules": review_sql.style_rule_metrics(_TYPED),
     "style_index": review_sql.style_documents(_TYPED),

@@ -116,9 +116,9 @@ def passages(d) -> str:
 passage AS (SELECT doc_id, src, g1, g2, min(k) AS low, max(k) + 1 AS high, min(source_k) AS source_low FROM marked GROUP BY doc_id, src, g1, g2)"""
 
 
-def quoted_words(d) -> str:
+def quoted_words(d, docs: str = "documents") -> str:
     """CTEs up to `quoted`: the positions k of the words inside quotations, numbered from the words of the pieces between them."""
-    pieces = d.each("documents", d.split("text", QUOTE), "q", "piece")
+    pieces = d.each(docs, d.split("text", QUOTE), "q", "piece")
     return f"""p AS (SELECT doc_id, q, {d.count("piece", MATCH_WORD)} AS np, {d.count(f"coalesce({d.at(d.all('text', QUOTE), 'q')}, '')", MATCH_WORD)} AS nq FROM {pieces}),
 s AS (SELECT doc_id, nq, sum(np) OVER (PARTITION BY doc_id ORDER BY q) + coalesce(sum(nq) OVER (PARTITION BY doc_id ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM p),
 spans AS (SELECT doc_id, low, low + nq AS high FROM s WHERE nq > 0),
@@ -135,8 +135,9 @@ def overlap_sentences(d) -> str:
 
     sentences = d.each("touched", careful_sentences(d), "s", "sentence")
     cite = "coalesce(" + ", ".join(f"nullif({d.first('sentence', p)}, '')" for p in CITATIONS.values()) + ", '')"
-    return f"""WITH {coverage(d)}, {passages(d)}, {quoted_words(d)},
+    return f"""WITH {coverage(d)}, {passages(d)},
 touched AS (SELECT t.doc_id, t.text FROM documents t JOIN (SELECT DISTINCT doc_id FROM cover) c ON t.doc_id = c.doc_id),
+{quoted_words(d, "touched")},
 sents AS (SELECT doc_id, s, sentence, {d.size(match_words(d, "sentence"))} AS n FROM {sentences}),
 bounds AS (SELECT doc_id, s, sentence, n, sum(n) OVER (PARTITION BY doc_id ORDER BY s) AS high FROM sents),
 slots AS (SELECT doc_id, s, k FROM {d.numbers("(SELECT doc_id, s, CAST(high - n AS INT) AS low, CAST(high AS INT) AS high FROM bounds WHERE n > 0) b", "low", "high", "k")}),
@@ -161,11 +162,19 @@ def gradebook(d) -> str:
     from inkspan.plans.signals import citation_links, pattern_scores
 
     p = d.plainly()
-    return f"""SELECT t.doc_id, CASE WHEN {d.like("t.text", "[^ ]")} THEN 'success' ELSE 'error' END AS status, CASE WHEN {d.like("t.text", "[^ ]")} THEN '' ELSE 'Empty document' END AS error,
-  o.overall_similarity, o.risk, s.pattern_score, s.pattern_band, h.source_id AS highest_matching_source, o.total_words, c.citations
-FROM documents t JOIN ({overlap_scores(d)}) o ON t.doc_id = o.doc_id LEFT JOIN ({overlap_top_source(d)}) h ON t.doc_id = h.doc_id
-LEFT JOIN ({pattern_scores(p)}) s ON t.doc_id = s.doc_id LEFT JOIN ({citation_links(p)}) c ON t.doc_id = c.doc_id
-ORDER BY o.overall_similarity DESC, t.doc_id"""
+    share = "CASE WHEN o.words = 0 THEN 0.0 ELSE round(CAST(100.0 AS DOUBLE) * matched / o.words, 2) END"
+    part = "CAST(100.0 AS DOUBLE) * matched"
+    return f"""WITH {coverage(d)},
+counted AS (SELECT doc_id, src, k, count(*) OVER (PARTITION BY doc_id, src) AS n FROM cover),
+ranked_sources AS (SELECT doc_id, src, k, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, src) AS place FROM counted),
+quoting AS (SELECT doc_id, count(DISTINCT k) AS matched, max(CASE WHEN place = 1 THEN src END) AS source FROM ranked_sources GROUP BY doc_id),
+told AS (SELECT doc_id, {d.like("text", "[^ ]")} AS filled, CAST({d.count("text", MATCH_WORD)} AS BIGINT) AS words FROM documents),
+o AS (SELECT t.doc_id, t.filled, t.words, coalesce(q.matched, 0) AS matched, q.source FROM told t LEFT JOIN quoting q ON t.doc_id = q.doc_id)
+SELECT o.doc_id, CASE WHEN filled THEN 'success' ELSE 'error' END AS status, CASE WHEN filled THEN '' ELSE 'Empty document' END AS error, {share} AS overall_similarity,
+  CASE WHEN {part} < {LOW} * o.words OR o.words = 0 THEN 'Low Risk' WHEN {part} < {MEDIUM} * o.words THEN 'Medium Risk' ELSE 'High Risk' END AS risk,
+  s.pattern_score, s.pattern_band, source AS highest_matching_source, o.words AS total_words, c.citations
+FROM o LEFT JOIN ({pattern_scores(p)}) s ON o.doc_id = s.doc_id LEFT JOIN ({citation_links(p)}) c ON o.doc_id = c.doc_id
+ORDER BY overall_similarity DESC, o.doc_id"""
 
 
 def high_risk(d) -> str:

@@ -6,6 +6,8 @@ The driver's documents hold few of these patterns, so the queries run over
 
 from __future__ import annotations
 
+import re
+
 from inkspan.functions.text import MATCH_WORD, PATTERN_SENTENCE, PATTERN_WORD, PLAIN_WORD, careful_sentences, trimmed
 from inkspan.plans.overlap import overlap_by_source
 from inkspan.plans.textstats import aliased, big, dbl, rhythm_score
@@ -157,16 +159,43 @@ def band(n: str, moderate: int, strong: int) -> str:
     return f"CASE WHEN {n} <= 0 THEN 0 WHEN {n} >= {strong} THEN 3 WHEN {n} >= {moderate} THEN 2 ELSE 1 END"
 
 
-def pattern_evidence(d) -> str:
-    """Hits of each category, with words and bullets."""
+def _evidence_columns(d) -> str:
+    """Hits of each category, with words and bullets, from columns text and seen."""
     markers = " + ".join(f"CASE WHEN {d.like('seen', ci(chr(92) + 'b' + m + chr(92) + 'b'))} THEN 1 ELSE 0 END" for m in MARKERS)
     bullets = d.count("text", r"(?m)^[ \t]*(?:[-*•]|\d+[.)])\s+")
     each_marker = " + ".join(d.count("seen", ci(rf"\b{m}\b")) for m in MARKERS)
-    return f"""SELECT doc_id, {big(d.count("lower(text)", PATTERN_WORD))} AS words, {big(markers)} AS distinct_markers, {big(each_marker)} AS markers, {big(total(d, HEDGES, "seen"))} AS hedges,
+    return f"""{big(d.count("lower(text)", PATTERN_WORD))} AS words, {big(markers)} AS distinct_markers, {big(each_marker)} AS markers, {big(total(d, HEDGES, "seen"))} AS hedges,
   {big(total(d, STRUCTURES, "seen") + f" + CASE WHEN {bullets} >= 5 THEN 1 ELSE 0 END")} AS structures, {big(total(d, TRANSITIONS, "seen"))} AS transitions,
   {big(d.count("text", "—"))} AS em_dashes, {big(d.spaced_dashes("text"))} AS double_dashes, {big(d.count("text", r"—[^—\n]{2,100}—"))} AS wrapped,
   {big(d.count("seen", ci(r"\b(?:the (?:problem|answer|reason|rule|point)|what matters)\s*:")))} AS colons, {big(total(d, CHATBOT, "seen"))} AS chatbot,
-  {big(total(d, RHETORIC, "seen"))} AS rhetoric, {big(total(d, PROVENANCE, "seen"))} AS provenance FROM (SELECT doc_id, text, {d.seen("text")} AS seen FROM ({_source(d)}) t) t"""
+  {big(total(d, RHETORIC, "seen"))} AS rhetoric, {big(total(d, PROVENANCE, "seen"))} AS provenance"""
+
+
+def pattern_evidence(d) -> str:
+    """Hits of each category, with words and bullets."""
+    return f"SELECT doc_id, {_evidence_columns(d)} FROM (SELECT doc_id, text, {d.seen('text')} AS seen FROM ({_source(d)}) t) t"
+
+
+def _in_row(d, evidence: bool = True) -> str:
+    """Evidence, rhythm and specificity of each text in its own row, by arrays of its sentences: Spark's form of the joins of `pattern_scores`."""
+    unmarked = f"NOT ({d.like('x', ANCHORED)}) AND NOT ({d.like('x', ANCHOR)})"
+    vague, claim, cited = (" OR ".join(d.like("x", p) for p in patterns) for patterns in (map(ci, VAGUE), map(ci, CLAIMS), CITATIONS.values()))
+    sentences = d.all("text", PATTERN_SENTENCE)
+    lengths = f"transform(filter({sentences}, x -> length({trimmed(d, 'x')}) >= 4), x -> {d.count('lower(x)', PATTERN_WORD)})"
+    loose = f"transform(filter({sentences}, x -> length({trimmed(d, 'x')}) >= 4 AND ({vague}) AND {unmarked}), x -> substring({trimmed(d, 'x')}, 1, 220))"
+    claims_ = f"transform(filter({careful_sentences(d)}, x -> length({trimmed(d, 'x')}) > 20 AND ({claim}) AND NOT ({cited})), x -> {trimmed(d, 'x')})"
+    bare = f"size(filter({d.split('text', PARAGRAPHS)}, x -> {d.count('lower(x)', PATTERN_WORD)} >= 35 AND {unmarked}))"
+    mean = "aggregate(lengths, 0D, (s, x) -> s + x) / greatest(1, size(lengths))"
+    varies = f"sqrt(aggregate(lengths, 0D, (s, x) -> s + (x - mean) * (x - mean)) / size(lengths)) / mean * 100"
+    three = "get(lengths, i), get(lengths, i + 1), get(lengths, i + 2)"
+    runs = f"size(filter(sequence(0, greatest(size(lengths) - 3, 0)), i -> greatest({three}) - least({three}) <= 5 AND least({three}) >= 8))"
+    own = f"{_evidence_columns(d)}, " if evidence else f"{d.count('lower(text)', PATTERN_WORD)} AS words, "
+    return f"""SELECT *, {big("CASE WHEN sentences < 5 THEN 0 WHEN burstiness < 18 OR uniform_runs >= 3 THEN 3 WHEN burstiness < 27 OR uniform_runs >= 2 THEN 2 WHEN burstiness < 35 OR uniform_runs = 1 THEN 1 ELSE 0 END")} AS score FROM (
+  SELECT *, {big("size(lengths)")} AS sentences, CASE WHEN size(lengths) < 2 THEN 50D WHEN mean = 0 THEN 0D ELSE round(least(100D, {varies}), 2) END AS burstiness,
+    {big(f"CASE WHEN size(lengths) < 3 THEN 0 ELSE {runs} END")} AS uniform_runs, {big("size(loose)")} AS unanchored,
+    {big("size(array_except(filter(open_claims, x -> length(x) <= 220), loose)) + size(filter(open_claims, x -> length(x) > 220))")} AS unsupported,
+    {big(f"CASE WHEN words >= {RELIABLE_WORDS} THEN bare ELSE 0 END")} AS bare_paragraphs FROM (
+    SELECT *, {mean} AS mean FROM (SELECT doc_id, {own}{lengths} AS lengths, {loose} AS loose, {claims_} AS open_claims, {bare} AS bare FROM (SELECT doc_id, text, text AS seen FROM ({_source(d)}) t) t) t) t) t"""
 
 
 def specificity(d) -> str:
@@ -175,6 +204,8 @@ def specificity(d) -> str:
     A claim counts if its sentence isn't among the vague ones, once for each
     wording of up to 220 characters. Paragraphs count from 120 words of text on.
     """
+    if d.name == "spark":
+        return f"SELECT doc_id, unanchored, unsupported, bare_paragraphs FROM ({_in_row(d, False)}) t"
     found = d.each(_rows(d), d.all("text", PATTERN_SENTENCE), "s", "piece")
     vague = " OR ".join(d.like("piece", ci(p)) for p in VAGUE)
     paragraphs = d.each(_rows(d), d.split("text", r"\n\s*\n"), "s", "piece")
@@ -215,9 +246,13 @@ def pattern_scores(d) -> str:
     enough = "e.words > 0 AND r.sentences > 0"
     listed = ", ".join(f"{big(f'CASE WHEN {enough} THEN {v} ELSE 0 END')} AS {k}" for k, v in cols.items())
     counted = ", ".join(f"{big(f'CASE WHEN {enough} THEN {v} ELSE 0 END')} AS n_{k}" for k, v in rows.items())
+    joined = f"({pattern_evidence(d)}) e JOIN ({rhythm_score(d, _rows(d))}) r ON e.doc_id = r.doc_id JOIN ({specificity(d)}) s ON e.doc_id = s.doc_id"
+    if d.name == "spark":  # one row has all
+        enough, listed, counted = (re.sub(r"\b[rs]\.", "e.", x) for x in (enough, listed, counted))
+        joined = f"({_in_row(d)}) e"
     return f"""WITH c AS (
   SELECT e.doc_id, e.words, CASE WHEN {enough} THEN e.provenance ELSE 0 END AS provenance, {enough} AS enough, {listed}, {counted}
-  FROM ({pattern_evidence(d)}) e JOIN ({rhythm_score(d, _rows(d))}) r ON e.doc_id = r.doc_id JOIN ({specificity(d)}) s ON e.doc_id = s.doc_id
+  FROM {joined}
 ), t AS (SELECT *, {" + ".join(cols)} AS points FROM c)
 SELECT *, round({dbl("points")} / 27 * 100, 1) AS pattern_score,
   CASE WHEN NOT enough THEN 'Insufficient Text' WHEN round({dbl("points")} / 27 * 100, 1) < {ELEVATED} THEN 'Low Pattern Score'
@@ -538,6 +573,6 @@ PLANS = {
     for f in (
         pattern_evidence, specificity, pattern_scores, top_signals, calibration, sanitized, mixed_script_words, citation_scan, bibliography_entries, citation_links,
         uncited_references, citations_without_reference, duplicate_references, alphabetized_references, link_checks, isbn_checks, claims, unsupported_claims,
-        source_quality, evidence_score, identifier_routes, informal_terms, openings, thesis_score, anonymity, section_cadence,
+        source_quality, evidence_score, identifier_routes, openings, thesis_score, anonymity, section_cadence,
     )
 }

@@ -40,7 +40,7 @@ def test_matches_have_their_places(spark, pattern):
 def test_halves_round_as_they_lie(spark):
     numbers = [i / 1000 for i in range(0, 6000, 5)] + [(2 * i + 1) / 200 for i in range(900)] + [i / 8 for i in range(200)]
     frame = spark.createDataFrame([(x,) for x in numbers], "x double")
-    assert frame.select(rounded(F.col("x"), 1), rounded(F.col("x"), 2)).collect() == [(round(x, 1), round(x, 2)) for x in numbers]
+    assert frame.selectExpr(rounded("x", 1), rounded("x", 2)).collect() == [(round(x, 1), round(x, 2)) for x in numbers]
 
 
 def test_blocks_end_at_blank_lines(spark):
