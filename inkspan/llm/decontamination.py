@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import LARGE_CHUNK_BYTES, checkpointed, doc_chunks, extended, shared, table, utf8
-from inkspan.llm.passages import Roller, U, mix
+from inkspan.llm.passages import Roller, word_names
 
 N = 10
 #: Item words of one automaton: at most N states of 20 bytes each, 200 MB in all.
@@ -52,7 +52,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, roller: Roller) -> tuple[np.
     tail[:-1] &= ~word[1:] | joint[1:-1]
     heads, tails = np.flatnonzero(head), np.flatnonzero(tail) + 1
     sums = roller.sums(chunk)
-    names = mix((sums[tails] - sums[heads]) * roller.backs[heads] + (tails - heads).astype(U))
+    names = word_names(chunk, sums, heads, tails, roller)
     return names, heads, tails, np.searchsorted(heads, cut)
 
 

@@ -94,6 +94,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
+#: Longer words are told by a digest: sums modulo 2**64 have equal values for some pairs of texts of about a thousand letters, whatever the table.
+LONG_WORD = 256
+
+
+def word_names(data: np.ndarray, sums: np.ndarray, heads: np.ndarray, tails: np.ndarray, roller: Roller) -> np.ndarray:
+    """A 64-bit name for each word data[head:tail]; sums are the buffer's."""
+    names = mix((sums[tails] - sums[heads]) * roller.backs[heads] + (tails - heads).astype(U))
+    for i in np.flatnonzero(tails - heads > LONG_WORD).tolist():
+        names[i] = int.from_bytes(hashlib.blake2b(data[heads[i] : tails[i]].tobytes(), digest_size=8).digest(), "little")
+    return names
+
+
 def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     span, out = 1, v
     while span * 2 <= width:
