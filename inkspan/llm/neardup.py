@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from inkspan.llm.common import checkpointed, doc_chunks, table, text_or_empty, utf8
 from inkspan.llm.components import components
-from inkspan.llm.passages import Roller, U, mix
-from inkspan.llm.skew import likely_in, salted_join
+from inkspan.llm.passages import Roller, U, mix, word_names
+from inkspan.llm.skew import likely_in, limit, salted_join
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
@@ -61,7 +61,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, roller: Roller)
         tail[:-1] &= ~word[1:] | joint[1:-1]
         heads, tails = np.flatnonzero(head), np.flatnonzero(tail) + 1
         sums = roller.sums(chunk)
-        words = mix((sums[tails] - sums[heads]) * roller.backs[heads] + (tails - heads).astype(U))
+        words = word_names(chunk, sums, heads, tails, roller)
         begin = np.searchsorted(heads, offsets[i : j + 1] - start)
         full = np.zeros(max(0, len(words) - k + 1), U)
         for n in range(k):
@@ -238,14 +238,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float
     classes = checkpointed(
         seen.filter("n > 0")
         .groupBy("class")
-        .agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "check")).alias("at"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+        .agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "check")).alias("at"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.count("*").alias("copies"))
         .withColumn("node", F.monotonically_increasing_id())
     )  # from here on a class goes by a number, which the checkpoint holds fast
-    count = classes.count()
+    count, filled, most = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
     bands = classes.select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = checkpointed(bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"))
+    widest = shared.agg(F.max("size")).first()[0] or 0
     buckets = max(8, count // 4000)
-    meeting = bands.join(shared, "band").join(classes.select("node", "bits"), "node")
+    meeting = salted_join(bands, shared, "band", "size", "node", BANDS * count, widest).join(classes.select("node", "bits"), "node")
     meeting = spread(meeting, "band", "node", "size", SIGNATURE_BLOCK, buckets)
     maybe = meeting.groupBy("bucket").applyInArrow(lambda g: similar_signatures(g, percent / 100 - slack), "u long, v long")
     grouped = checkpointed(components(maybe))
@@ -258,13 +259,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float
     texts = near.select(*place(F.col("doc_id"), F.col("check")), "text").dropDuplicates(PLACE)
     wanted = spread(wanted.join(texts, PLACE), "root", "node", "size", SET_BLOCK, buckets)
     links = wanted.groupBy("bucket").applyInArrow(lambda g: similar_sets(g, k, percent), "u long, v long")
-    joined = components(links).join(classes.select("node", "class", "least"), "node")
+    joined = components(links).join(classes.select("node", "class", "least", "copies"), "node")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
-    named = salted_join(joined, least, "root", "size", "node", nodes).select("class", "component_id")
-    alone = classes.join(joined.select("node"), "node", "left_anti").select("class", F.col("least").alias("component_id"))
-    out = seen.select("doc_id", "check", "n", "class").join(named.unionByName(alone), "class", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "check", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    named = salted_join(joined, least, "root", "size", "node", nodes).select("class", "component_id", "copies")
+    alone = classes.join(joined.select("node"), "node", "left_anti").select("class", F.col("least").alias("component_id"), "copies")
+    known = named.unionByName(alone)
+    known = checkpointed(known) if most > limit(filled) else known  # read twice where a class of many copies is dealt out
+    out = salted_join(seen.filter("n > 0").select("doc_id", "check", "n", "class"), known, "class", "copies", "doc_id", filled, most)
+    empty = seen.filter("n = 0").withColumn("component_id", F.col("doc_id"))
+    own = ["doc_id", "check", F.col("n").alias("n_shingles"), "component_id"]
+    out = out.select(*own).unionByName(empty.select(*own))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
