@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from inkspan.llm.common import checkpointed, table, text_or_empty
+from inkspan.llm.skew import salted_join
 
 #: Groups of one size, and rows of one shard, that one task numbers, about.
 PART_ROWS = 100_000
@@ -74,7 +75,7 @@ def schedule(sizes: Iterable[tuple[int, int]], shards: int) -> dict[int, list[in
 
 
 def placed_groups(groups: DataFrame, shards: int) -> DataFrame:
-    """(key, size) of groups, each key once, to (key, shard)."""
+    """(key, size) of groups, each key once, to (key, shard), and rows, if groups have it."""
     spark = groups.sparkSession
     classes = [(r["size"], r["count"]) for r in groups.groupBy("size").count().toLocalIterator()]  # a row a size
     plan, counts = schedule(classes, shards), dict(classes)
@@ -94,8 +95,9 @@ def placed_groups(groups: DataFrame, shards: int) -> DataFrame:
     starts = several.select("size", "part", F.sum("count").over(before).alias("start"))
     within = W.partitionBy("size", "part").orderBy("key")
     rank = F.coalesce("start", F.lit(0)) + F.row_number().over(within)
-    numbered = dealt.join(F.broadcast(starts), ["size", "part"], "left").select("key", "ends", rank.alias("rank"))
-    return numbered.select("key", F.size(F.filter("ends", lambda end: end < F.col("rank"))).alias("shard"))
+    more = [c for c in groups.columns if c == "rows"]
+    numbered = dealt.join(F.broadcast(starts), ["size", "part"], "left").select("key", "ends", *more, rank.alias("rank"))
+    return numbered.select("key", *more, F.size(F.filter("ends", lambda end: end < F.col("rank"))).alias("shard"))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -123,9 +125,9 @@ def sharded(rows: DataFrame, shards: int = 16) -> DataFrame:
     if shards < 1:
         raise ValueError("shards must be at least 1")
     groups = checkpointed(rows.groupBy(F.col("__key").alias("key")).agg(F.sum("size").alias("size"), F.count("*").alias("rows")))
-    total = groups.agg(F.sum("rows")).first()[0] or 0
-    placed = placed_groups(groups.drop("rows"), shards).withColumnRenamed("key", "__key")
-    return numbered(rows.join(placed, "__key").drop("__key"), max(1, -(-total // (shards * PART_ROWS))))
+    total, most = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.max("rows"), F.lit(0))).first()
+    placed = checkpointed(placed_groups(groups, shards).withColumnsRenamed({"key": "__key", "rows": "__rows"}))
+    return numbered(salted_join(rows, placed, "__key", "__rows", "doc_id", total, most).drop("__key", "__rows"), max(1, -(-total // (shards * PART_ROWS))))
 
 
 def numbered(rows: DataFrame, parts: int) -> DataFrame:
