@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from inkspan.llm import conversations, queries, simhash, spelling
+from inkspan.llm import conversations, decontamination, neardup, queries, sharding, simhash, spelling
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACE = " \t\n\x0b\f\r"
@@ -325,3 +325,34 @@ def test_odd_texts_have_fingerprints(spark):
         (str(d), plain_simhash(t), c) for (d, t), c in zip(rows, [1, 1, 1, 1, 4, 4, 4, 6, 6, 6, 8, 8], strict=True)
     )
     assert simhash.near_fingerprints(frame.limit(0)).count() == 0
+
+
+# Words and hot keys of earlier operators
+
+
+def test_long_words_of_one_polynomial_hash_are_told_apart(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    x, y = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))  # equal sums modulo 2**64 for any odd base
+    rows = spark.createDataFrame([(1, f"one {x} two three"), (2, f"one {y} two three"), (3, f"one {x} two three")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(rows, k=4).collect()} == {1: 1, 2: 2, 3: 1}
+    raw = np.frombuffer(f"{x} {y} {x}".encode(), np.uint8)
+    names = decontamination.words_of(raw, np.array([0, len(raw)]), decontamination.Roller())[0]
+    assert names[0] == names[2] != names[1]
+
+
+def test_hot_classes_bands_and_keys_are_dealt_out(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choices(words, k=60) for _ in range(40)]
+    rows = [(i, " ".join(base[0])) for i in range(1500)] + [(5000 + i, " ".join(base[0][:58] + [f"x{i}"])) for i in range(700)] + [(9000 + i, " ".join(b)) for i, b in enumerate(base)] + [(9900, None), (9901, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame).collect()}
+    expected = {d: 0 if d < 5700 or d == 9000 else d for d, _ in rows}
+    assert got == expected
+    shards = sharding.shard_documents(frame).collect()
+    by_text = collections.defaultdict(set)
+    for r in shards:
+        by_text[r.text or ""].add(r.shard)
+    assert all(len(s) == 1 for s in by_text.values()) and len(shards) == len(rows)
+    for s in range(16):
+        assert sorted(r.slot for r in shards if r.shard == s) == list(range(sum(r.shard == s for r in shards)))
