@@ -578,7 +578,7 @@ def test_secrets_on_odd_rows(spark, odd):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     found = queries.QUERIES[name](spark, sf_dir)
     cursor = con.execute(queries.ORACLES[name])
