@@ -354,6 +354,21 @@ def test_passages_of_random_texts(spark, monkeypatch, crowded, hot):
     assert passages_found(frame(spark, rows).repartition(4)) == removed(rows)
 
 
+def test_passages_that_share_a_trigger_only_are_left_out(spark):
+    """Phrases of one trigger without a common half of its surroundings can't repeat: nothing of them goes to the dictionary."""
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    short, long = text(40), text(90)
+    hot = np.zeros(0, np.uint64)
+    one_side = [(i, text(300) + long + text(300)) for i in range(100, 140)]
+    for rows, some in (([(i, text(300) + short + text(300)) for i in range(40)], False), (one_side, True)):
+        keyed = frame(spark, rows).select(F.col("doc_id").alias("doc"), F.hash("text").alias("tie"), "text")
+        parts = keyed.mapInArrow(lambda batches: passages.parse(batches, 4, passages.LENGTH, passages.GRAM, hot), passages.ROWS_DDL)
+        classes = parts.groupBy("bucket").applyInArrow(lambda group: passages.phrase_classes(group, 4, passages.CROWDED, hot), passages.ROWS_DDL)
+        assert (classes.filter(F.col("kind") == passages.ENTRIES).count() > 0) == some
+        assert passages_found(frame(spark, rows)) == removed(rows)
+
+
 def test_passage_in_every_document(spark, monkeypatch):
     """One passage, each time in another context: its triggers are hot, and their phrases don't meet in one bucket."""
     rng = random.Random(12)
