@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def scaled(x: Column, digits: int) -> Column:
+    """A double rounded to a whole number of its multiple, as `Spark.round` of the dialects."""
+    return F.round(x * float(10**digits)) / float(10**digits)
+
 
 def rounded(x: str, digits: int) -> str:
     """SQL of a number of 0 or more rounded as its exact binary value lies, to 1 or 2 digits.

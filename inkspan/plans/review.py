@@ -24,7 +24,7 @@ def overlap_variants(d) -> str:
     the bibliography's words are those behind the first header line.
     """
     body = d.at(d.split(d.replace("text", LISTED, "\x03"), r"\x03"), "0")
-    share = lambda a, b: f"CASE WHEN {b} = 0 THEN {dbl('0.0')} ELSE round({dbl('100.0')} * {a} / {b}, 2) END"
+    share = lambda a, b: f"CASE WHEN {b} = 0 THEN {dbl('0.0')} ELSE {d.round(f"{dbl('100.0')} * {a} / {b}", 2)} END"
     return f"""WITH {coverage(d)},
 {quoted_words(d)},
 b AS (SELECT doc_id, {d.count("text", MATCH_WORD)} AS n, {d.count(body, MATCH_WORD)} AS body_n FROM documents),

@@ -11,10 +11,10 @@ def punctuation_metrics(d) -> str:
     """Dashes, hyphens and curly quotes; em dashes by the spaces at them; sentences with one, with several, with a pair around an aside."""
     em, both, neither = d.count("text", "—"), d.marks_with("text", "—", r"\s", True), d.marks_with("text", "—", r"\s", False)
     sentences = d.each(f"({_source(d)})" + (" t" if d.name == "spark" else ""), d.all("text", PATTERN_SENTENCE), "s", "piece")
-    share = lambda n: f"round({dbl(n)} / greatest(1, sentences) * 100, 2)"
+    share = lambda n: d.round(f"{dbl(n)} / greatest(1, sentences) * 100", 2)
     return f"""WITH x AS (SELECT doc_id, {big(em)} AS em_dashes, {big(d.count("text", "–"))} AS en_dashes, {big(d.count("text", "-"))} AS hyphens,
   {big(d.count("text", "[“”‘’]"))} AS smart_quotes, {big(both)} AS spaced_both, {big(neither)} AS unspaced,
-  round({dbl(em)} / greatest(1, {d.count("text", r"[A-Za-z0-9]+(?:['’][A-Za-z]+)?")}) * 1000, 2) AS em_dashes_per_1000 FROM ({_source(d)}) t),
+  {d.round(f'{dbl(em)} / greatest(1, {d.count("text", r"[A-Za-z0-9]+(?:['’][A-Za-z]+)?")}) * 1000', 2)} AS em_dashes_per_1000 FROM ({_source(d)}) t),
 y AS (SELECT doc_id, {big("count(*)")} AS sentences, {big(f"sum(CASE WHEN {d.count('piece', '—')} > 0 THEN 1 ELSE 0 END)")} AS with_dash, {big(f"sum(CASE WHEN {d.count('piece', '—')} > 1 THEN 1 ELSE 0 END)")} AS with_several,
   {big(f"sum(CASE WHEN {d.like('piece', r'—[^—' + chr(92) + 'n]{2,120}—')} THEN 1 ELSE 0 END)")} AS paired FROM {sentences} WHERE {d.like("piece", r"[^\s]")} GROUP BY doc_id)
 SELECT x.*, x.em_dashes - x.spaced_both - x.unspaced AS mixed, coalesce(y.with_several, 0) AS sentences_with_several, coalesce(y.paired, 0) AS paired,

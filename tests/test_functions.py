@@ -5,6 +5,7 @@ import json
 import re
 import zipfile
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given
@@ -15,7 +16,7 @@ from inkspan.functions.text import needed
 from inkspan.functions.udfs import common_subsequence, edited, find_spans, nfkc, offset_map, sequence_diff, subsequence_length
 from inkspan.operators.revision import cleanup
 from inkspan.operators.vectors import hashed_vectors, top_k
-from inkspan.plans import signals
+from inkspan.plans import catalogue, signals
 from inkspan.sources import readers, sinks
 from inkspan.streaming.overlap import stream_overlap, windowed_events
 
@@ -254,3 +255,14 @@ def test_bad_files_are_rows(spark):
         ("cut.zip", None, invalid), ("null.zip", None, invalid), ("large.zip", None, "Archive contains an oversized or encrypted entry."), ("sum.zip", None, "Archive expanded size exceeds 32 MB."),
         ("damaged.zip", "one.txt", "The request could not be processed."), ("damaged.zip", "two.txt", None),
     }
+
+
+def test_readability_rounds_as_its_sql(spark, tmp_path):
+    """Grades whose exact value is a half: 0.39 * 296 + 11.8 - 15.59 = 111.65 is a little less as a double."""
+    texts = [" ".join(["cat"] * n) for n in range(1, 400)] + [" ".join(["water"] * n) for n in range(1, 200)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = {r.doc_id: r.fk_grade_level for r in catalogue.QUERIES["readability"](spark, str(tmp_path)).collect()}
+    assert found == dict(con.execute(f"SELECT doc_id, fk_grade_level FROM ({catalogue.ORACLES['readability']})").fetchall())
+    assert found[295] == 111.7
