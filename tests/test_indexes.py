@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from inkspan.operators import set_join
 from inkspan.operators.passage_index import PassageIndex
 from inkspan.operators.set_join import dice_pairs, similar_sets
 
@@ -78,3 +79,20 @@ def test_sets_of_nothing(spark):
     some = spark.createDataFrame([(1, ["x"]), (2, []), (3, None)], "a long, words array<string>")
     assert dice_pairs(some, some.filter("a > 1"), 50).count() == 0 == dice_pairs(some.limit(0), some, 50).count()
     assert [tuple(r) for r in similar_sets(some, some.select(F.col("a").alias("b"), "words"), ["a"], ["b"], 50).collect()] == [(1, 1, 1, 100.0)]
+
+
+@pytest.mark.parametrize("few", [0, set_join.FEW])
+def test_similar_sets_of_a_small_side_leave_the_other_in_place(spark, monkeypatch, few):
+    rng = random.Random(8)
+    draw = lambda: sorted({f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randint(0, 9))})
+    a, b = [(i, draw()) for i in range(300)] + [(300, None)], [(i, draw()) for i in range(60)]
+    left, right = spark.createDataFrame(a, "l long, words array<string>").repartition(3), spark.createDataFrame(b, "r long, words array<string>")
+    monkeypatch.setattr(set_join, "FEW", few)
+    if few:
+        monkeypatch.setattr(set_join, "dice_pairs", None)  # its exchanges hold every word with its whole set
+        kept = set_join.met_in_place(left, set_join.prefixed(right, 60), ["l"], 60)
+        assert "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    found = {(r.l, r.r): (r.shared, r.dice) for r in set_join.similar_sets(left, right, ["l"], ["r"], 60).collect()}
+    both = {(i, j): len(set(x) & set(y)) for i, x in a for j, y in b if x and y}
+    sizes = {(i, j): len(x) + len(y) for i, x in a for j, y in b if x and y}
+    assert found == {k: (n, round(200 * n / sizes[k] + 1e-9, 1)) for k, n in both.items() if 200 * n >= 60 * sizes[k]}
