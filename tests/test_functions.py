@@ -7,13 +7,14 @@ import zipfile
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from inkspan.functions.text import needed
-from inkspan.functions.udfs import common_subsequence, edited, find_spans, nfkc, offset_map, sequence_diff, subsequence_length
+from inkspan.functions.udfs import HELD, HELD_ROWS, common_subsequence, edited, find_spans, in_pieces, nfkc, offset_map, sequence_diff, subsequence_length
 from inkspan.operators.revision import cleanup
 from inkspan.operators.vectors import hashed_vectors, top_k
 from inkspan.plans import catalogue, signals
@@ -266,3 +267,24 @@ def test_readability_rounds_as_its_sql(spark, tmp_path):
     found = {r.doc_id: r.fk_grade_level for r in catalogue.QUERIES["readability"](spark, str(tmp_path)).collect()}
     assert found == dict(con.execute(f"SELECT doc_id, fk_grade_level FROM ({catalogue.ORACLES['readability']})").fetchall())
     assert found[295] == 111.7
+
+
+def test_batches_are_cut_before_their_results_are_made():
+    """Ten thousand texts of a batch are never held with all their results; every row stays, in order."""
+    texts = pd.Series(["x" * 5000] * 700 + ["y" * (3 << 20), None, ""] + ["z"] * 1000)
+    pieces = list(in_pieces(pd.Series(range(len(texts))), texts))
+    assert [i for ids, _ in pieces for i in ids] == list(range(len(texts)))
+    assert all(len(t) <= HELD_ROWS and (len(t) == 1 or sum(len(x or "") for x in t) <= HELD) for _, t in pieces)
+    assert [len(t) for (t,) in in_pieces(pd.Series([], dtype=object))] == [0]
+
+
+def test_spans_and_docx_files_of_a_batch_in_pieces(spark, monkeypatch):
+    from inkspan.functions import udfs
+
+    monkeypatch.setattr(udfs, "HELD_ROWS", 3)
+    rows = [(i, None if i == 7 else "ab " * i) for i in range(20)]
+    frame = spark.createDataFrame(rows, "i int, t string").coalesce(1)
+    assert {r.i: len(r.s) for r in frame.select("i", find_spans(F.col("t"), {"x": "ab"}).alias("s")).collect()} == {i: 0 if i == 7 else i for i in range(20)}
+    files = frame.select("i", F.format_string("/in/%d.docx", "i").alias("path"), F.lit(b"no file").alias("content"))
+    assert {r.status for r in readers.extract_text(files).collect()} == {"unreadable"}
+    assert readers.unzip(files).count() == 20
