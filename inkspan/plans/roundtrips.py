@@ -5,12 +5,14 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkspan.functions.udfs import in_pieces
 from inkspan.sources.errors import KNOWN, public_message
 from inkspan.sources.readers import addable_sources, changed_sources, decoded, delete_source, docx_blocks, extract_text, inverted_to_text, latex_prose, notebook_text, unzip
 from inkspan.sources.shared import checkpointed, shared_folder
@@ -55,8 +57,10 @@ def zip_file(name: str, text: str) -> bytes:
 
 def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("binary")
-    def made(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: docx_file(t.split("\n")))
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            for (texts,) in in_pieces(batch):
+                yield texts.map(lambda t: docx_file(t.split("\n")))
 
     text = F.regexp_replace(F.coalesce("text", F.lit("")), UNFIT, "")
     return documents(spark, sf_dir).select("doc_id", F.format_string("/in/%d.docx", "doc_id").alias("path"), made(text).alias("content"))
@@ -96,17 +100,18 @@ def damaged_files(spark, sf_dir):
     """What becomes of a file of each document, six of seven of which are damaged or not allowed, as it is and inside a ZIP file."""
 
     @F.pandas_udf("path string, content binary, zipped binary")
-    def made(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for number, text in zip(ids, texts, strict=True):
-            path, content = damaged_file(number, text)
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
-                archive.writestr(path[1:], content)
-                archive.writestr("in/notes.md", "Short notes.")
-            whole = out.getvalue()
-            rows.append((path, content, whole[:20] if number % 2 else whole))
-        return pd.DataFrame(rows, columns=["path", "content", "zipped"])
+    def made(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for ids, texts in (piece for batch in batches for piece in in_pieces(*batch)):
+            rows = []
+            for number, text in zip(ids, texts, strict=True):
+                path, content = damaged_file(number, text)
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
+                    archive.writestr(path[1:], content)
+                    archive.writestr("in/notes.md", "Short notes.")
+                whole = out.getvalue()
+                rows.append((path, content, whole[:20] if number % 2 else whole))
+            yield pd.DataFrame(rows, columns=["path", "content", "zipped"])
 
     text = F.regexp_replace(F.coalesce("text", F.lit("")), UNFIT, "")
     files = documents(spark, sf_dir).select("doc_id", made("doc_id", text).alias("f")).select("doc_id", "f.*")
@@ -130,8 +135,9 @@ def zipped_documents(spark, sf_dir):
     """Every document from a ZIP file with other entries, which are left out or read too."""
 
     @F.pandas_udf("binary")
-    def made(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([zip_file(f"doc{i}", t) for i, t in zip(ids, texts, strict=True)])
+    def made(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ids, texts in (piece for batch in batches for piece in in_pieces(*batch)):
+            yield pd.Series([zip_file(f"doc{i}", t) for i, t in zip(ids, texts, strict=True)])
 
     files = documents(spark, sf_dir).select(F.format_string("/in/%d.zip", "doc_id").alias("path"), made("doc_id", F.coalesce("text", F.lit(""))).alias("content"))
     entries = unzip(files).select(F.col("archive"), "path", "content")

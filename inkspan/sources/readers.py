@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkspan.functions.udfs import in_pieces
 from inkspan.sources.errors import ARCHIVE, DOCX_BROKEN, DOCX_LIMITS, EMPTY, FILE_LIMIT, FORMAT, GENERAL, LARGE_ARCHIVE, LARGE_ENTRY, MANY_ENTRIES, PDF_BROKEN
 
 EXTENSIONS = ("txt", "md", "docx", "pdf", "rtf", "csv", "tex", "bib", "ipynb")
@@ -131,8 +132,10 @@ def pdf_column(content: Column) -> Column:
 
 def docx_column(content: Column) -> Column:
     @F.pandas_udf("text string, error string")
-    def read(contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, None) if c is None else docx_text(c) for c in contents], columns=["text", "error"], dtype=object)
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (contents,) in in_pieces(batch):
+                yield pd.DataFrame([(None, None) if c is None else docx_text(c) for c in contents], columns=["text", "error"], dtype=object)
 
     return read(content)
 
@@ -173,8 +176,10 @@ def docx_blocks(files: DataFrame) -> DataFrame:
     schema = "array<struct<kind:string,text:string,heading_level:int,bold_spans:array<array<int>>,italic_spans:array<array<int>>>>"
 
     @F.pandas_udf(schema)
-    def read(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda c: None if c is None else docx_parts(c))
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            for (contents,) in in_pieces(batch):
+                yield contents.map(lambda c: None if c is None else docx_parts(c))
 
     rows = files.filter(extension(F.col("path")) == "docx").select("path", read("content").alias("parts"))
     before = F.aggregate(F.slice("parts", F.lit(1), F.col("block_no")), F.lit(0), lambda n, p: n + F.length(p["text"]) + 2)
@@ -258,8 +263,9 @@ def unzip(archives: DataFrame) -> DataFrame:
 
     def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(path, *entry) for path, content in zip(frame["path"], frame["content"], strict=True) for entry in archive_entries(content)]
-            yield pd.DataFrame(rows, columns=["archive", "path", "content", "error"])
+            for paths, contents in in_pieces(frame["path"], frame["content"]):
+                rows = [(path, *entry) for path, content in zip(paths, contents, strict=True) for entry in archive_entries(content)]
+                yield pd.DataFrame(rows, columns=["archive", "path", "content", "error"])
 
     return archives.select("path", "content").mapInPandas(entries, "archive string, path string, content binary, error string")
 
