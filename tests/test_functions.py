@@ -288,3 +288,14 @@ def test_spans_and_docx_files_of_a_batch_in_pieces(spark, monkeypatch):
     files = frame.select("i", F.format_string("/in/%d.docx", "i").alias("path"), F.lit(b"no file").alias("content"))
     assert {r.status for r in readers.extract_text(files).collect()} == {"unreadable"}
     assert readers.unzip(files).count() == 20
+
+
+def test_words_and_shingles_of_a_text_are_not_shuffled(spark, tmp_path):
+    texts = ["a b c d a b c d e", "", None, "one two", "one two three four", "w " * 50]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    shingles = catalogue.QUERIES["shingle_counts"](spark, str(tmp_path))
+    assert {r.doc_id: r.shingles for r in shingles.collect()} == {0: 5, 1: 0, 2: 1, 3: 1, 4: 1, 5: 1}
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "Join" not in plan(shingles) and "Aggregate" not in plan(shingles)
+    whole = catalogue.QUERIES["inverted_documents"](spark, str(tmp_path))
+    assert "hashpartitioning(doc_id" in plan(whole) and ", w#" not in "".join(x for x in plan(whole).split("\n") if "hashpartitioning" in x)
