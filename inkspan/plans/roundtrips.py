@@ -159,9 +159,9 @@ def latex_documents(spark, sf_dir):
 
 
 def inverted_documents(spark, sf_dir):
-    """Texts put together again from maps of words to positions."""
+    """Texts put together again from maps of words to positions. Texts are dealt out by id while they are whole, so their words aren't shuffled."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
+    rows = documents(spark, sf_dir).select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
     rows = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
     return rows.select("doc_id", sha(inverted_to_text(F.col("m"))).alias("text_sha256"))
 
