@@ -157,6 +157,16 @@ def found_in(text: Column, numbers: Column) -> Column:
     return bound(hits, lambda h: F.flatten(F.transform(F.array_distinct(F.transform(h, lambda x: x["rule"])), lambda rule: of_rule(h, rule))))
 
 
+def unfolded(rows: DataFrame, items: str, item: str) -> DataFrame:
+    """A row for each of the items of a column of arrays without nulls.
+
+    `explode` of a computed column puts a filter on its size below all columns
+    that it is made of, which are then made once for each of its conditions
+    and once more for the rows; a filter on the items stays above.
+    """
+    return rows.withColumn(item, F.explode_outer(items)).filter(F.col(item).isNotNull()).drop(items)
+
+
 def _block_findings(docs: DataFrame, blocks: Column, radius: int = 0) -> DataFrame:
     """A row a block (one without a block for a document that has none): row, doc_id, eligible_words of the document, b, words, found."""
     level = lambda b: F.coalesce(b["heading_level"], F.lit(0))
@@ -254,19 +264,19 @@ def style_review(docs: DataFrame, profile: str = "academic_report", blocks: Colu
 def rule_metrics(docs: DataFrame, blocks: Column | None = None) -> DataFrame:
     """Counts, rate, spread and threshold of each rule that a text meets."""
     rows = _reviews(docs, plain_blocks(F.col("text")) if blocks is None else blocks)
-    return rows.select("doc_id", F.explode("rules").alias("m")).filter("m.count > 0").select("doc_id", "m.*")
+    return unfolded(rows.select("doc_id", "rules"), "rules", "m").filter("m.count > 0").select("doc_id", "m.*")
 
 
 def category_points(docs: DataFrame, profile: str = "academic_report", blocks: Column | None = None) -> DataFrame:
     """Points, cap, scored findings and blocks shared with other categories, by category."""
     rows = _reviews(docs, plain_blocks(F.col("text")) if blocks is None else blocks)
-    return rows.select("doc_id", F.explode(_categories(profile)).alias("c")).select("doc_id", "c.*")
+    return unfolded(rows.select("doc_id", _categories(profile).alias("categories")), "categories", "c").select("doc_id", "c.*")
 
 
 def style_findings(docs: DataFrame, radius: int = 90, blocks: Column | None = None) -> DataFrame:
     """Every finding with its id, offsets in code points, words, context, and why it doesn't count, if so."""
     rows = _block_findings(docs, plain_blocks(F.col("text")) if blocks is None else blocks, radius)
-    rows = rows.select("doc_id", "row", "eligible_words", "b", "before", "after", F.explode("found").alias("f"))
+    rows = unfolded(rows.select("doc_id", "row", "eligible_words", "b", "before", "after", "found"), "found", "f")
     n, kind, low = F.col("f.rule"), F.col("b.kind"), F.col("f.start")
     pick = lambda values: F.get(F.array(*(F.lit(v) for v in values)), n)
     count = F.count(F.when(~kind.isin(*EXCLUDED), 1)).over(W.partitionBy("row", "rule_id"))
