@@ -299,3 +299,10 @@ def test_words_and_shingles_of_a_text_are_not_shuffled(spark, tmp_path):
     assert "Join" not in plan(shingles) and "Aggregate" not in plan(shingles)
     whole = catalogue.QUERIES["inverted_documents"](spark, str(tmp_path))
     assert "hashpartitioning(doc_id" in plan(whole) and ", w#" not in "".join(x for x in plan(whole).split("\n") if "hashpartitioning" in x)
+
+
+def test_length_of_a_hashed_vector_is_taken_once(spark):
+    vectors = hashed_vectors(spark.createDataFrame([(1, "one two"), (2, "")], "doc_id long, text string"))
+    assert vectors._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    lengths = {r.doc_id: sum(x * x for x in r.vector) for r in vectors.collect()}
+    assert lengths[1] == pytest.approx(1) and lengths[2] == 0
