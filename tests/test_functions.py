@@ -18,6 +18,7 @@ from inkspan.functions.udfs import HELD, HELD_ROWS, common_subsequence, edited,
 from inkspan.operators.revision import cleanup
 from inkspan.operators.vectors import hashed_vectors, top_k
 from inkspan.plans import catalogue, signals
+from inkspan.plans.dialect import DUCK, SPARK, query
 from inkspan.sources import readers, sinks
 from inkspan.streaming.overlap import stream_overlap, windowed_events
 
@@ -306,3 +307,17 @@ def test_length_of_a_hashed_vector_is_taken_once(spark):
     assert vectors._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
     lengths = {r.doc_id: sum(x * x for x in r.vector) for r in vectors.collect()}
     assert lengths[1] == pytest.approx(1) and lengths[2] == 0
+
+
+def test_pattern_signals_put_a_text_in_lower_case_once(spark, tmp_path):
+    """A text that no claim can be in isn't cut into sentences to look for them; one with some still has them."""
+    texts = [(0, "No more."), (1, "Studies show it.  Studies show it. Most people agree here. "), (2, None), (3, " \t. Studies show it (Smith, 2020).")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = signals.pattern_evidence(SPARK)
+    assert plan.count("lower(text)") == 1
+    assert signals._in_row(SPARK).count("lower(text)") == 1
+    found = query(signals.specificity)(spark, str(tmp_path)).orderBy("doc_id").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    held = con.execute(signals.specificity(DUCK) + " ORDER BY t.doc_id").fetchall()
+    assert [tuple(r) for r in found if r.doc_id != 2] == [r for r in held if r[0] != 2] and found[1].unanchored == 3
