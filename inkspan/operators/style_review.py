@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from inkspan.functions.numbers import rounded
 from inkspan.functions.scans import bound, matches, scanned
-from inkspan.functions.text import PATTERN_WORD, needed
+from inkspan.functions.text import PATTERN_WORD, looked_for, needed
+from inkspan.functions.udfs import plain_search
 from inkspan.operators.blocks import ELIGIBLE, EXCLUDED, plain_blocks
 from inkspan.plans.dialect import BOUNDARY, spelled_out
 
@@ -101,13 +102,17 @@ def number(name: str) -> int:
 
 def _patterns() -> list[tuple[int, str, tuple[str, ...] | None, list[str] | str]]:
     """Number of the kind, pattern for Spark, kinds of blocks (None: all) and strings of which each match holds one, or a simpler pattern."""
-    bounded = lambda p: r"(?i)(?<![A-Za-z0-9_])(?:" + spelled_out(p, BOUNDARY) + r")(?![A-Za-z0-9_])"
-    more = {"rule_of_three": [", and ", ", or "]}
-    out = [(number(r.name), bounded(p), r.kinds, more.get(r.name) or needed("(?i)" + p)) for r in RULES for p in r.patterns]
+    bounded = lambda p: "(?i)" + looked_for(p) + r"(?<![A-Za-z0-9_])(?:" + spelled_out(p, BOUNDARY) + r")(?![A-Za-z0-9_])"
+    # Told of the text in lower case, where a letter may have become two: twice as long as in the rules.
+    paired = r"not [^.!?]{2,200} but "
+    more = {p: paired for p in RULES[[r.name for r in RULES].index("negative_parallelism")].patterns if p.startswith("not ")} | {p: r", [^,.;:]{1,70}, (?:and|or) " for r in RULES if r.name == "rule_of_three" for p in r.patterns}
+    # A run without commas that no comma follows has none further back either: it isn't given back.
+    spark = lambda p: bounded(p).replace("[^,.;:]{1,35}, ", "[^,.;:]{1,35}+, ")
+    out = [(number(r.name), spark(p), r.kinds, more.get(p) or needed("(?i)" + p)) for r in RULES for p in r.patterns]
     out += [(number(DASH), "—", None, ["—"]), (number(QUOTES), "[“”‘’]", None, ["“", "”", "‘", "’"])]
     lines = {n: "(?md)" + p.replace(r"\U0001F300-\U0001FAFF", r"\x{1F300}-\x{1FAFF}") for n, p in LINE_CHECKS.items()}
     markup = ["#", "**", "```"]
-    needs = {"emoji_section_marker": r"[\x{1F300}-\x{1FAFF}]", "decorative_separator": r"(?md)^[ \t]*[-*_]", "leftover_markdown": markup, "bold_label_bullet": [":**"]}
+    needs = {"emoji_section_marker": "[\U0001F300-\U0001FAFF]", "decorative_separator": r"(?m)^[ \t]*[-*_]", "leftover_markdown": markup, "bold_label_bullet": [":**"]}
     return out + [(number(n), p, None, needs[n]) for n, p in lines.items()]
 
 
@@ -135,14 +140,10 @@ def listed(values) -> str:
     return ", ".join(quoted(v) if isinstance(v, str) else str(v) for v in values)
 
 
-def likely(kind: str, low: str) -> Column:
-    """Numbers of the patterns that can match in a block, told in SQL of its kind and its text in lower case."""
-    out = []
-    for n, (_, _, kinds, parts) in enumerate(PATTERNS):
-        here = "true" if kinds is None else f"{kind} IN ({listed(kinds)})"
-        held = f"{low} RLIKE {quoted(parts)}" if isinstance(parts, str) else " OR ".join(f"contains({low}, {quoted(p)})" for p in parts) or "true"
-        out.append(f"CASE WHEN {here} AND ({held}) THEN {n} END")
-    return F.expr(f"array_compact(array({', '.join(out)}))")
+def likely(kind: Column, held: Column) -> Column:
+    """Numbers of the patterns that can match in a block of a kind that holds what these need."""
+    kinds = F.expr("array(" + ", ".join("null" if k is None else f"array({listed(k)})" for _, _, k, _ in PATTERNS) + ")")
+    return F.filter(held, lambda n: F.get(kinds, n).isNull() | F.array_contains(F.get(kinds, n), kind))
 
 
 def found_in(text: Column, numbers: Column) -> Column:
@@ -168,7 +169,7 @@ def unfolded(rows: DataFrame, items: str, item: str) -> DataFrame:
 
 
 def _block_findings(docs: DataFrame, blocks: Column, radius: int = 0) -> DataFrame:
-    """A row a block (one without a block for a document that has none): row, doc_id, eligible_words of the document, b, words, found."""
+    """A row a block (one without a block for a document that has none): row, doc_id, b, words, found; with a radius also what stands around the block and the document's eligible_words."""
     level = lambda b: F.coalesce(b["heading_level"], F.lit(0))
     # The last level before each block, behind the number of its heading: the greatest is the last.
     leveled = lambda all_: scanned(F.transform(all_, lambda b, i: F.when(level(b) > 0, (i + 1) * 100 + level(b)).otherwise(0)), F.lit(0), lambda x, y: F.greatest(x, y))
@@ -183,15 +184,16 @@ def _block_findings(docs: DataFrame, blocks: Column, radius: int = 0) -> DataFra
         return F.struct(b.alias("b"), skips.alias("skips"), *around)
 
     eligible = lambda all_: F.aggregate(F.filter(all_, lambda b: b["kind"].isin(*ELIGIBLE)), F.lit(0), lambda n, b: n + F.regexp_count(b["text"], F.lit(PATTERN_WORD)))
-    listed = bound(blocks, lambda all_: F.struct(eligible(all_).alias("eligible_words"), bound(leveled(all_), lambda at: F.zip_with(all_, at, told)).alias("blocks")))
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), listed.alias("x")).select("doc_id", "row", "x.eligible_words", F.explode_outer("x.blocks").alias("x"))
-    rows = rows.select("doc_id", "row", "eligible_words", "x.*").withColumn("low", F.lower("b.text"))
+    of_document = lambda all_: [eligible(all_).alias("eligible_words")] if radius else []
+    listed = bound(blocks, lambda all_: F.struct(*of_document(all_), bound(leveled(all_), lambda at: F.zip_with(all_, at, told)).alias("blocks")))
+    own = ["x.eligible_words"] if radius else []
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), listed.alias("x")).select("doc_id", "row", *own, F.explode_outer("x.blocks").alias("x"))
+    rows = rows.select("doc_id", "row", *(["eligible_words"] if radius else []), "x.*").withColumn("search", plain_search(F.col("b.text"), PATTERN_WORD, [p[3] for p in PATTERNS]))
+    rows = rows.withColumns({"words": F.col("search.words"), "likely": likely(F.col("b.kind"), F.col("search.held"))})
     whole = lambda name: F.array(F.struct(F.lit(number(name)).alias("rule"), F.lit(0).alias("start"), F.length("b.text").alias("length")))
-    # Told in a column of its own and asked for twice, the plain search is compiled and done once a block.
-    rows = rows.withColumn("likely", likely("b.kind", "low"))
     own = F.when(F.size("likely") > 0, found_in(F.col("b.text"), F.col("likely"))).otherwise(F.slice(whole(BOLD), 1, 0))
     own = F.concat(own, F.when(F.col("skips"), whole(SKIPPED)).otherwise(F.slice(whole(SKIPPED), 1, 0)), F.when(F.col("b.bold_share") > MOST_BOLD, whole(BOLD)).otherwise(F.slice(whole(BOLD), 1, 0)))
-    return rows.withColumn("found", F.when(F.col("b").isNotNull(), own)).drop("low", "likely")
+    return rows.withColumn("found", F.when(F.col("b").isNotNull(), own)).drop("search", "likely")
 
 
 def _reviews(docs: DataFrame, blocks: Column) -> DataFrame:
@@ -199,10 +201,8 @@ def _reviews(docs: DataFrame, blocks: Column) -> DataFrame:
     rows = _block_findings(docs, blocks)
     each = f"sequence(0, {len(NAMES) - 1})"
     rows = rows.withColumn("hit", F.expr(f"CASE WHEN size(found) > 0 THEN struct(b.kind AS kind, transform({each}, r -> size(filter(found, f -> f.rule = r))) AS counts) END"))
-    words = F.regexp_count("b.text", F.lit(PATTERN_WORD))
-    grouped = rows.groupBy("row", "doc_id").agg(
-        F.max("eligible_words").cast("long").alias("eligible_words"), F.coalesce(F.sum(F.when(F.col("b.kind").isin(*EXCLUDED), words)), F.lit(0)).cast("long").alias("excluded_words"), F.collect_list("hit").alias("hits")
-    )
+    of_kinds = lambda kinds: F.coalesce(F.sum(F.when(F.col("b.kind").isin(*kinds), F.col("words"))), F.lit(0)).cast("long")
+    grouped = rows.groupBy("row", "doc_id").agg(of_kinds(ELIGIBLE).alias("eligible_words"), of_kinds(EXCLUDED).alias("excluded_words"), F.collect_list("hit").alias("hits"))
     sums = lambda hits: f"transform({each}, r -> CAST(aggregate({hits}, 0, (n, h) -> n + h.counts[r]) AS BIGINT))"
     grouped = grouped.withColumn("kept", F.expr(f"filter(hits, h -> h.kind NOT IN ({listed(EXCLUDED)}))"))
     grouped = grouped.withColumns({

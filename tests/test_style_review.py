@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from inkspan.functions.numbers import rounded
 from inkspan.functions.scans import matches, scanned, starts
+from inkspan.functions.text import PATTERN_WORD, looked_for
+from inkspan.functions.udfs import plain_search
 from inkspan.operators.blocks import block_rows, kept_text, plain_blocks, typed_blocks
-from inkspan.operators.style_review import apart, category_points, rule_metrics, style_findings, style_review
+from inkspan.operators.style_review import PATTERNS, apart, category_points, rule_metrics, style_findings, style_review
 
 FILL = "plain words go on " * 40
 
@@ -172,3 +174,20 @@ def test_findings_are_not_made_again_to_count_them(spark):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert not re.search(r"^\W*Filter .*(?:contains|regexp_extract_all|array\(struct)\(", plan, re.M)
     assert [r["count"] for r in rule_metrics(docs).filter("rule_id = 'inflated_vocabulary'").collect()] == [3]
+
+
+def test_plain_search_takes_each_block_once_and_misses_no_match(spark):
+    held = ["a, bb, and c", "not only fast but also small", "here is a draft", "Underscoring its significance", "[cite: 4]", "😀 x", "- * -", "NOT " + "İ" * 80 + " but yy", "x, " + "İ" * 35 + ", or z", "none", "", "`**b:** c`"]
+    docs = texts(spark, *held, *(f"{t}. {t.upper()}" for t in held), "\n\n".join(held))
+    rows = docs.select("doc_id", "text", plain_search(F.col("text"), PATTERN_WORD, [p[3] for p in PATTERNS]).alias("s"))
+    for r in rows.collect():
+        assert r.s.words == len(re.findall(PATTERN_WORD, r.text)) and r.s.held == sorted(set(r.s.held))
+    for n, (_, regex, _, _) in enumerate(PATTERNS):
+        assert rows.filter(F.col("text").rlike(regex) & ~F.array_contains("s.held", n)).count() == 0, regex
+    for found in (style_review(docs), rule_metrics(docs), category_points(docs)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "contains(" not in plan.lower().replace("array_contains(", "")
+
+
+def test_patterns_tell_their_first_signs():
+    assert [looked_for(p) for p in ("delv(?:e|ed)", "(?:a )?(?:testament|reminder) to", r"\[cite", "[^.]{2} rather", r"\bx", "(?:a)?", "I|you")] == ["(?=[d])", "(?=[art])", r"(?=[\[])", "", "", "", "(?=[iy])"]
