@@ -1,6 +1,6 @@
 """Products of sparse term vectors, block against block.
 
-Rows of two tables meet as blocks, so a frequent word makes no rows of its own:
+Texts of two tables are dealt out once and meet as blocks, so a frequent word makes no rows of its own:
 a task multiplies two sparse matrices and hands on only the pairs that count.
 """
 
@@ -17,34 +17,51 @@ from pyspark.sql import functions as F
 LEFT_BLOCK, RIGHT_BLOCK = 256, 512
 
 
-def packed(rows: DataFrame, size: int) -> DataFrame:
-    """(id, word, n) to blocks of about `size` ids: ids, how many words each has, the words and their numbers."""
-    own = rows.groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("terms"))
-    count = max(1, -(-rows.select("id").distinct().count() // size))
-    own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)))
-    block = own.groupBy("block").agg(F.collect_list(F.struct("id", "terms")).alias("rows"))
-    block = block.select(F.col("rows.id").alias("ids"), F.transform("rows", lambda r: F.size(r["terms"])).alias("sizes"), F.flatten("rows.terms").alias("terms"))
-    return block.select("ids", "sizes", F.col("terms.word").alias("words"), F.col("terms.n").cast("array<double>").alias("ns"))
+def packed(rows: DataFrame, words: str, size: int) -> DataFrame:
+    """(id, text) to blocks of at most `size` ids: ids, how many words each has, and the words, repeats included.
 
+    Texts are dealt out once, by id, and cut into words (`words` says how, in
+    SQL of a column `text`) where they then lie; a task's rows make its blocks.
+    """
+    own = rows.filter("id IS NOT NULL").groupBy("id").agg(F.collect_list("text").alias("texts")).selectExpr("CAST(id AS BIGINT) AS id", f"flatten(transform(texts, text -> {words})) AS words")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, size):
+                part = batch.slice(low, size)
+                values = part.column(0), part.column(1).value_lengths(), part.column(1).flatten()
+                columns = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values]
+                yield pa.RecordBatch.from_arrays(columns, names=["ids", "sizes", "words"])
 
-def products(left: DataFrame, right: DataFrame, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    return own.mapInArrow(blocks, "ids array<long>, sizes array<int>, words array<string>")
+
+
+def products(left: DataFrame, right: DataFrame, words: str, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray], keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(left_id, right_id, dot, left_square, right_square) of the pairs that `keep` says.
 
-    Both tables are (id, word, n) with each word of an id once. `keep` gets the
-    dot products of two blocks and the squared lengths of their rows, and
-    returns a matrix of booleans.
+    Both tables are (id, text); rows of one id are one text, null ids none.
+    `weigh` gets words and how often an id has each, and returns their numbers.
+    `keep` gets the dot products of two blocks and the squared lengths of their
+    rows, and returns a matrix of booleans.
     """
-    side = lambda rows, size, mark: packed(rows, size).select(*(F.col(c).alias(f"{mark}_{c}") for c in ("ids", "sizes", "words", "ns")))
+    side = lambda rows, size, mark: packed(rows, words, size).select(*(F.col(c).alias(f"{mark}_{c}") for c in ("ids", "sizes", "words")))
     pairs = side(left, LEFT_BLOCK, "l").crossJoin(side(right, RIGHT_BLOCK, "r"))
 
+    def counted(sizes: np.ndarray, codes: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, word and number of each word that a row has."""
+        key, count = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(listed) + codes, return_counts=True)
+        row, code = np.divmod(key, max(1, len(listed)))
+        return row, code, weigh(listed[code], count)
+
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                own = [batch.column(i).slice(row, 1).flatten() for i in range(8)]
-                l_ids, l_sizes, l_words, l_ns, r_ids, r_sizes, r_words, r_ns = own
-                codes = np.asarray(pa.concat_arrays([l_words, r_words]).dictionary_encode().indices)
-                l_row, r_row = np.repeat(np.arange(len(l_ids)), np.asarray(l_sizes)), np.repeat(np.arange(len(r_ids)), np.asarray(r_sizes))
-                l_n, r_n, l_code, r_code = np.asarray(l_ns), np.asarray(r_ns), codes[: len(l_words)], codes[len(l_words) :]
+                own = [batch.column(i).slice(row, 1).flatten() for i in range(6)]
+                l_ids, l_sizes, l_words, r_ids, r_sizes, r_words = own
+                coded = pa.concat_arrays([l_words, r_words]).dictionary_encode()
+                codes, listed = np.asarray(coded.indices).astype(np.int64), np.asarray(coded.dictionary.to_pylist(), dtype=object)
+                l_row, l_code, l_n = counted(np.asarray(l_sizes), codes[: len(l_words)], listed)
+                r_row, r_code, r_n = counted(np.asarray(r_sizes), codes[len(l_words) :], listed)
                 order = np.argsort(r_code, kind="stable")
                 r_code, r_at, r_w = r_code[order], r_row[order], r_n[order]
                 low, high = np.searchsorted(r_code, l_code, "left"), np.searchsorted(r_code, l_code, "right")

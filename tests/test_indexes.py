@@ -3,12 +3,14 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from inkspan.operators import set_join
 from inkspan.operators.passage_index import PassageIndex
 from inkspan.operators.set_join import dice_pairs, similar_sets
+from inkspan.operators.sparse import products
 
 
 def plan_of(frame):
@@ -96,3 +98,12 @@ def test_similar_sets_of_a_small_side_leave_the_other_in_place(spark, monkeypatc
     both = {(i, j): len(set(x) & set(y)) for i, x in a for j, y in b if x and y}
     sizes = {(i, j): len(x) + len(y) for i, x in a for j, y in b if x and y}
     assert found == {k: (n, round(200 * n / sizes[k] + 1e-9, 1)) for k, n in both.items() if 200 * n >= 60 * sizes[k]}
+
+
+def test_texts_of_term_products_are_dealt_out_once(spark):
+    left = spark.createDataFrame([(1, "a b b"), (1, "b c"), (2, None), (3, ""), (None, "a b"), (4, "z " * 3000 + "c")], "id int, text string")
+    right = spark.createDataFrame([(10, "b c"), (11, "z a")], "id int, text string")
+    found = products(left, right, "regexp_extract_all(text, '[a-z]+', 0)", lambda words, counts: counts * np.array([2.0 if w == "a" else 1.0 for w in words]), lambda dot, left, right: dot > 0)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    rows = {(r.left_id, r.right_id): (r.dot, r.left_square, r.right_square) for r in found.collect()}
+    assert rows == {(1, 10): (4.0, 14.0, 2.0), (1, 11): (4.0, 14.0, 5.0), (4, 10): (1.0, 9000001.0, 2.0), (4, 11): (3000.0, 9000001.0, 5.0)}
