@@ -1,12 +1,15 @@
 """Plans over hand-made documents, against rows worked out by hand."""
 
+import re
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from inkspan.operators.patterns import evidence, flagged_sentences
 from inkspan.operators.revision import cleanup
 from inkspan.plans import overlap, review, signals, tables
-from inkspan.plans.dialect import SPARK, query, views
+from inkspan.plans.dialect import DUCK, SPARK, query, views
 
 REFERENCES = "\nReferences\n[1] Smith, J. (2019). A first entry.\n[2] Brown, C. (2021). A second entry.\nJonesson, K. (2018). Another author's entry.\n"
 DOCUMENTS = {
@@ -45,6 +48,49 @@ def test_citations_link_by_all_their_numbers_and_by_whole_surnames(spark, folder
     assert [r.entry[:8] for r in rows(spark, folder, signals.uncited_references)[1]] == ["Jonesson"]
 
 
+def odd_documents(spark, path):
+    """Documents with several headers, marks of our own, entries over many lines, numbers that two entries have, and no text."""
+    references = "\n## References:\n[1] Smith, J. (2019). A first\n   entry of two lines.\n\n[2] Short.\n[1] Other, A. (2020). Has the same number.\nBibliography\nDoe, J. (2020). Behind a second header.\nlower line goes on\r\n* Star, S. (2018). An entry with a star."
+    texts = {
+        0: None, 13: "", 26: "Plain [1] words (Smith, 2019; Doe, 2020) and Star (2018), (Nobody, 1999)." + references, 39: "A mark \x03 of ours [1]." + references,
+        52: "References\nSmith, J. (2019). The text begins with its header (Smith, 2019).", 65: "According to recent data [1], 12% of them agree et al.   \n\nIt is known here (Lee 12). Studies show; short.\n \nResearch\x01suggests no claim at all, it is\nproven by none.",
+        78: "References to [7] inside a line, but no header. İt is known that 5 percent of (smith, 2020) fail.", 91: "Works  cited\n1. Jones, A. (2019). A numbered entry.\n\n\x03\nJones", 104: "As Jones (2019) says [1-2], [1] and [9].\nReference list\n1. Jones, A. (2019). A numbered entry.\n",
+    }
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(10, "12% of them agree et al. it is known")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+PARTED = ("citation_links", "uncited_references", "citations_without_reference", "bibliography_entries", "duplicate_references", "alphabetized_references", "citation_scan", "claims", "unsupported_claims", "evidence_score")
+
+
+def test_parted_texts_have_the_rows_of_their_sql(spark, tmp_path):
+    odd_documents(spark, str(tmp_path))
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    for name in PARTED:
+        found = query(signals.PLANS[name])(spark, str(tmp_path))
+        stated = con.execute(signals.PLANS[name](DUCK))
+        order = [found.columns.index(c[0]) for c in stated.description]
+        key = lambda row: tuple(map(str, row))
+        assert sorted((tuple(r[i] for i in order) for r in found.collect()), key=key) == sorted(stated.fetchall(), key=key), name
+
+
+def test_citations_of_a_style_hold_its_signs():
+    for pattern, signs in zip(signals.CITATIONS.values(), signals.OPENED.values(), strict=True):
+        text = "As Jones (2019) argues [1, 2], see (Miller 23) or (Brown et al., 2021) or Lee; Lee, 2020;"
+        found = [m.group() for m in re.finditer(pattern, text)]
+        assert found and all(any(s in m for s in signs) for m in found)
+
+
+def test_claims_and_links_read_a_text_once(spark, folder):
+    """Once for their own, once for the passages that the source quality comes from; the joins of the SQL would read it a dozen times."""
+    reads = {"evidence_score": 2, "citation_links": 1, "uncited_references": 1, "citations_without_reference": 1}
+    for name, times in reads.items():
+        plan = spark.sql(views(spark, folder, signals.PLANS[name](SPARK)))._jdf.queryExecution().sparkPlan().toString()
+        assert len(re.findall(r"FileScan parquet \[doc_id#\d+L,text#\d+\]", plan)) == times, name
+
+
 def test_citations_have_places(spark, folder):
     found = {(r.style, r.raw): r.start_offset for r in rows(spark, folder, signals.citation_scan)[1]}
     text = DOCUMENTS[1]
