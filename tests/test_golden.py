@@ -85,12 +85,19 @@ def test_citations_of_a_style_hold_its_signs():
 
 def test_claims_and_links_read_a_text_once(spark, folder):
     """Once for their own, once for the passages that the source quality comes from; the joins of the SQL would read it a dozen times."""
-    reads = {"evidence_score": 2, "citation_links": 1, "uncited_references": 1, "citations_without_reference": 1}
+    reads = {"evidence_score": 2, "citation_links": 1, "uncited_references": 1, "citations_without_reference": 1, "citation_scan": 1}
     for name, times in reads.items():
         plan = spark.sql(views(spark, folder, signals.PLANS[name](SPARK)))._jdf.queryExecution().sparkPlan().toString()
         assert len(re.findall(r"FileScan parquet \[doc_id#\d+L,text#\d+\]", plan)) == times, name
 
 
+def test_arrays_of_texts_are_made_once(spark, folder):
+    """Not once more for a filter on their size, which Catalyst puts before the explosion of a named array."""
+    for name in ("bibliography_entries", "citation_scan", "claims", "uncited_references", "citations_without_reference"):
+        plan = spark.sql(views(spark, folder, signals.PLANS[name](SPARK)))._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"(?m)^[ :+-]*Filter ", plan), name
+
+
 def test_citations_have_places(spark, folder):
     found = {(r.style, r.raw): r.start_offset for r in rows(spark, folder, signals.citation_scan)[1]}
     text = DOCUMENTS[1]
