@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from inkspan.functions.text import needed
 from inkspan.functions.udfs import HELD, HELD_ROWS, common_subsequence, edited, find_spans, in_pieces, nfkc, offset_map, sequence_diff, subsequence_length
 from inkspan.operators.revision import cleanup
+from inkspan.operators import vectors
 from inkspan.operators.vectors import hashed_vectors, top_k
 from inkspan.plans import catalogue, signals
 from inkspan.plans.dialect import DUCK, SPARK, query
@@ -321,3 +322,60 @@ def test_pattern_signals_put_a_text_in_lower_case_once(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     held = con.execute(signals.specificity(DUCK) + " ORDER BY t.doc_id").fetchall()
     assert [tuple(r) for r in found if r.doc_id != 2] == [r for r in held if r[0] != 2] and found[1].unanchored == 3
+
+
+def test_vectors_count_terms_in_their_row_and_queries_meet_rows_without_a_product_of_blocks(spark, tmp_path):
+    import zlib
+
+    long = "ж" * 90
+    texts = [(1, "Naïve cat cat"), (2, f"one {long} two {long}"), (3, None), (3, "x y"), (3, " z_1\u00a0\u0085q "), (None, "a"), (None, "b c"), (4, "--- ...")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    want = {}
+    for key, text in texts:
+        words = re.sub(r"[^\w\s]|[^\S \t\n\r\f\v]|[\x1c-\x1f\x85\xa0]", " ", (text or "").lower()).split()
+        sums = want.setdefault(key, np.zeros(128))
+        for term, weight in [(w, 1.0) for w in words] + [(a + "_" + b, 1.5) for a, b in zip(words, words[1:])]:
+            h = zlib.crc32(term.encode())
+            sums[h % 128] += weight if h % 2 == 0 else -weight
+    found = hashed_vectors(frame).collect()
+    assert len(found) == len(want)
+    for r in found:
+        assert np.allclose(r.vector, want[r.doc_id] / max(np.linalg.norm(want[r.doc_id]), 1e-9)), r.doc_id
+    nested = hashed_vectors(frame.selectExpr("struct(doc_id, 1 AS n) AS key", "text"), "key").collect()
+    assert {r.key.doc_id: r.vector for r in nested} == {r.doc_id: r.vector for r in found} and len(nested) == len(found)
+    frame.filter("doc_id < 3").selectExpr("doc_id * 50 AS doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    best = catalogue.QUERIES["document_topk"](spark, str(tmp_path))
+    plan = best._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "posexplode" not in plan and plan.count("FileScan") == 2
+    assert sorted((r.query_id, r.id, r.place) for r in best.collect()) == [(50, 100, 1), (100, 50, 1)]
+
+
+@pytest.mark.parametrize("tile", [7, 64])
+def test_nearest_rows_are_those_of_all_pairs(spark, monkeypatch, tile):
+    """With copies, rows of no similarity, vectors of nothing, ties that the smaller id wins, and fewer rows than places."""
+    rng = np.random.default_rng(tile)
+    x = rng.integers(-1, 2, (150, 16)).astype(float)
+    x[40:60], x[60:75], x[75] = x[0], 0, -x[0]
+    ids = rng.permutation(150) * 3
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    asked = np.flatnonzero(ids % 2 == 0)
+
+    def best(rows, k):
+        s = np.round(np.clip(100 * np.einsum("id,jd->ij", unit[asked], unit[rows]), 0, 100), 2)
+        pairs = {(q, i): s[a, b] for a, q in enumerate(ids[asked]) for b, i in enumerate(ids[rows]) if q != i}
+        return {q: sorted(((-v, i) for (p, i), v in pairs.items() if p == q))[:k] for q in ids[asked]}
+
+    monkeypatch.setattr(vectors, "ROW_TILE", tile)
+    monkeypatch.setattr(vectors, "QUERY_TILE", 11)
+    monkeypatch.setattr(vectors, "PAIRS", 5)
+    for rows, k in ((np.arange(150), 5), (np.arange(3), 5), (np.arange(55, 90), 2)):
+        nearest = vectors.Nearest(ids[asked], x[asked], k)
+        nearest.add(ids[rows], x[rows])
+        found = {q: [(-v, i) for v, i in zip(s, n) if v >= 0] for q, s, n in zip(nearest.queries, nearest.similarity, nearest.ids)}
+        assert found == best(rows, k)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(vectors, "LEAST_ROWS", 40)
+    frame = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "doc_id long, vector array<double>")
+    found = vectors.top_k(frame.filter("doc_id % 2 = 0"), frame, "doc_id", "vector", 5)
+    assert sorted((r.query_id, r.place, -r.similarity, r.id) for r in found.collect()) == sorted((q, n + 1, *row) for q, rows in best(np.arange(150), 5).items() for n, row in enumerate(rows))
+    assert vectors.top_k(frame.limit(0), frame, "doc_id", "vector").count() == 0 and vectors.top_k(frame, frame.limit(0), "doc_id", "vector").count() == 0
