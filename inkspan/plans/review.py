@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from inkspan.functions.text import MATCH_WORD, PLAIN_WORD, careful_sentences, trimmed
 from inkspan.plans.overlap import QUOTE, coverage, quoted_words
-from inkspan.plans.signals import CITATIONS, HIGH, _source, evidence_score, pattern_scores, top_signals, unsupported_claims
+from inkspan.plans.signals import CITATIONS, EMPTY, HIGH, LABELS, _source, evidence_score, pattern_scores, top_signals, unsupported_claims
 from inkspan.plans.textstats import big, dbl
 
 # Verbs and their replacements in reworded options.
@@ -56,6 +56,16 @@ def check_summary(d) -> str:
     Fixes are provenance marks first, then the top signals, then claims
     without a citation.
     """
+    verdict = f"""CASE WHEN NOT p.enough THEN 'insufficient_text' WHEN p.provenance > 0 OR p.pattern_score >= {HIGH} OR (e.evidence_score IS NOT NULL AND e.evidence_score < 60) THEN 'needs_review' ELSE 'clear' END AS verdict,
+  {big(f"CASE WHEN NOT p.enough THEN 1 ELSE CASE WHEN p.provenance > 0 THEN 1 ELSE 0 END + CASE WHEN p.pattern_score >= {HIGH} THEN 1 ELSE 0 END + CASE WHEN e.evidence_score < 60 THEN 1 ELSE 0 END END")} AS reasons"""
+    if d.name == "spark":  # a text's patterns are looked for once, its fixes told in its row
+        signals = ", ".join(f"struct(-{n} AS score, -n_{n} AS rows, '{label}' AS label, '{n}' AS what)" for n, label in LABELS.items())
+        named = "transform(slice(array_sort(filter(array({}), s -> s.score < 0)), 1, 3), s -> CASE WHEN s.score <= -2 THEN 'high:' ELSE 'moderate:' END || s.what)".format(signals)
+        fixes = f"slice(concat(array_repeat('critical:provenance', CAST(coalesce(least(3, provenance), 0) AS INT)), {named}, CASE WHEN open THEN array('high:citation') ELSE {EMPTY} END), 1, 3)"
+        return f"""WITH p AS (SELECT doc_id, pattern_score, provenance, enough, {fixes} AS fixes FROM ({pattern_scores(d, "coalesce(size(open_claims) > 0, false) AS open")}) t), e AS ({evidence_score(d)})
+SELECT p.doc_id, p.pattern_score, p.provenance, e.evidence_score,
+  {verdict},
+  {big("size(p.fixes)")} AS fixes, array_join(p.fixes, ',') AS top_fixes FROM p JOIN e ON p.doc_id = e.doc_id"""
     fixes = f"""SELECT doc_id, 1 AS kind, k AS place, 'critical' AS priority, 'provenance' AS what FROM {d.numbers("marks", "0", "least(3, provenance)", "k")}
 UNION ALL SELECT doc_id, 2 AS kind, place AS k, CASE WHEN score >= 2 THEN 'high' ELSE 'moderate' END AS priority, category AS what FROM signals
 UNION ALL SELECT doc_id, 3 AS kind, 1 AS k, 'high' AS priority, 'citation' AS what FROM open_claims"""
@@ -64,8 +74,7 @@ open_claims AS (SELECT DISTINCT doc_id FROM ({unsupported_claims(d)}) u), fixes
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind, place) AS n FROM fixes),
 f AS (SELECT doc_id, {big("count(*)")} AS fixes, {d.joined("priority || ':' || what", "n")} AS top_fixes FROM r WHERE n <= 3 GROUP BY doc_id)
 SELECT p.doc_id, p.pattern_score, p.provenance, e.evidence_score,
-  CASE WHEN NOT p.enough THEN 'insufficient_text' WHEN p.provenance > 0 OR p.pattern_score >= {HIGH} OR (e.evidence_score IS NOT NULL AND e.evidence_score < 60) THEN 'needs_review' ELSE 'clear' END AS verdict,
-  {big(f"CASE WHEN NOT p.enough THEN 1 ELSE CASE WHEN p.provenance > 0 THEN 1 ELSE 0 END + CASE WHEN p.pattern_score >= {HIGH} THEN 1 ELSE 0 END + CASE WHEN e.evidence_score < 60 THEN 1 ELSE 0 END END")} AS reasons,
+  {verdict},
   coalesce(f.fixes, 0) AS fixes, coalesce(f.top_fixes, '') AS top_fixes
 FROM p JOIN e ON p.doc_id = e.doc_id LEFT JOIN f ON p.doc_id = f.doc_id"""
 
