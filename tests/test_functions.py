@@ -412,3 +412,8 @@ def test_check_summary_looks_for_patterns_once(spark, tmp_path):
     held = {r[0]: r for r in con.execute(review.check_summary(DUCK)).fetchall()}
     assert {k: v for k, v in found.items() if k != 7} == {k: v for k, v in held.items() if k != 7} and len(found) == len(texts) + 1
     assert found[52][-1] == ",".join(["critical:provenance"] * 3) and found[78][-1].endswith("high:citation") and found[7][-2:] == (0, "")
+
+
+def test_patterns_pass_by_places_of_another_sign_only_where_case_is_ignored():
+    assert SPARK.pattern(r"(?i)\bnot here").startswith('r"(?i)(?=[n])') and "(?=[" not in SPARK.pattern(r"\b(?:Department|University) of").split("(?:")[0]
+    assert "(?=[" not in SPARK.pattern(r"(?i)\b[A-Z]+x") and SPARK.pattern(r"(?i)\b(?:a|Bc|de)").startswith('r"(?i)(?=[abd])')
