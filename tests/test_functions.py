@@ -417,3 +417,16 @@ def test_check_summary_looks_for_patterns_once(spark, tmp_path):
 def test_patterns_pass_by_places_of_another_sign_only_where_case_is_ignored():
     assert SPARK.pattern(r"(?i)\bnot here").startswith('r"(?i)(?=[n])') and "(?=[" not in SPARK.pattern(r"\b(?:Department|University) of").split("(?:")[0]
     assert "(?=[" not in SPARK.pattern(r"(?i)\b[A-Z]+x") and SPARK.pattern(r"(?i)\b(?:a|Bc|de)").startswith('r"(?i)(?=[abd])')
+
+
+def test_copies_of_one_vector_are_bounded(monkeypatch):
+    """Of equal rows only the first places + 1 by id meet queries; near copies are looked at again a few pairs at a time."""
+    x = np.random.default_rng(1).normal(size=(1, 16)).repeat(3000, axis=0)
+    x[1500:] += 1e-9 * np.arange(1500)[:, None]
+    nearest, ids, pairs = vectors.Nearest(np.arange(3000), x, 5), np.arange(3000), []
+    assert len(nearest.apart(ids, x)) == 6 + 1499
+    meet = nearest.meet
+    monkeypatch.setattr(nearest, "meet", lambda q, ids, rows, r: (pairs.append(len(q)), meet(q, ids, rows, r)))
+    nearest.add(ids, x)
+    assert max(pairs) <= vectors.PAIRS
+    assert nearest.ids[0].tolist() == [1, 2, 3, 4, 5] and nearest.ids[3].tolist() == [0, 1, 2, 4, 5] and nearest.ids[2999].tolist() == [0, 1, 2, 3, 4]
